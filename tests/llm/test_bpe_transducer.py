@@ -1,0 +1,63 @@
+import hashlib
+import struct
+
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from assetloom.llm.bpe_transducer import Codec, Lexicon, Vocabulary, compile_lexicon, encode_digests, encode_documents, op10_transducer_bpe
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+TEXTS = [
+    "", " ", "Hello  World's don't 'start IT'LL 1234 ١٢ x²", "ΑΣ ΣΑΣ İstanbul ﬁ été ǅ", "a<|endoftext|>b <|startoftext|><|endoftext", "tab\x1cfs\x1dgs\x85nel\xa0nbsp　x​z",
+    "日本語 テスト 🙂🙂 👩‍👩‍👧 नमस्ते", "x" * 3000 + " " + "ab" * 500, None, "!!! ... --- ''' '' 's 'S", "\n\n line\r\n\tend ",
+]
+
+
+@pytest.fixture(scope="module")
+def library():
+    tokenizer = Tokenizer.from_file(PATH)
+    return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids, lambda ids: tokenizer.decode(ids, skip_special_tokens=False)
+
+
+def test_lexicon_holds_its_words_and_no_others():
+    entries = {w.encode(): [i, i + 1] for i, w in enumerate(["a", "ab", "abc", "xabc", "bc", "é", "station", "nation", "ration"])}
+    lexicon = Lexicon(compile_lexicon(entries))
+    assert all(lexicon.get(w) == ids for w, ids in entries.items())
+    assert all(lexicon.get(w) is None for w in (b"", b"x", b"abcd", b"tion", b"\xc3"))
+    assert len(lexicon.final) < sum(map(len, entries)) - 10  # tails are shared
+    assert Lexicon(compile_lexicon({})).get(b"a") is None
+
+
+def test_codec_equals_library(library):
+    encode, decode = library
+    with open(PATH, "rb") as file:
+        vocabulary = Vocabulary(file.read())
+    words = [w.encode() for w in ("hello", "world", "'s", "ab")]
+    for codec in (Codec(vocabulary), Codec(vocabulary, Lexicon(compile_lexicon({w: vocabulary.merge(w) for w in words})))):
+        for text in TEXTS:
+            ids, decoded = codec.encode(text or "")
+            expected = encode(text)
+            assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == expected, text
+            assert decoded == decode(expected), text
+
+
+def test_documents_with_nulls_repeats_and_other_columns(spark, library):
+    encode, decode = library
+    rows = [(i, t, "w") for i, t in enumerate(TEXTS)] + [(None, "Hello", "w"), (2, TEXTS[2], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, word string")
+    got = encode_documents(docs, PATH, lexicon_size=5).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.doc_id is None, r.doc_id or 0, bytes(r.ids)) for r in got) == sorted((i is None, i or 0, struct.pack(f"<{len(encode(t))}I", *encode(t))) for i, t, _ in rows)
+    assert encode_digests(docs.limit(0), PATH).count() == 0
+
+
+def test_query_equals_library_on_whole_table(spark, library):
+    encode, decode = library
+    sf = "/root/testdata/sf0.001"
+    got = {r.doc_id: r for r in op10_transducer_bpe(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        ids = encode(d.text)
+        assert (got[d.doc_id].n_tokens, got[d.doc_id].ids_sha256, got[d.doc_id].decoded_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(decode(ids).encode()).hexdigest())
