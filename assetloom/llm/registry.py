@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .bpe_transducer import op10_transducer_bpe
+from .jpeg_media import op8_baseline_jpeg
+from .token_attribution import op1_token_attribution
 
 
 def queries():
     return {
+        "op1_token_attribution": op1_token_attribution,
+        "op8_baseline_jpeg": op8_baseline_jpeg,
         "op10_transducer_bpe": op10_transducer_bpe,
     }
 
