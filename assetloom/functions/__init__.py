@@ -1 +1 @@
-"""Part of the catalog engine."""
+"""Column functions: predicates, vectors, paths and texture names."""

@@ -1 +1 @@
-"""Part of the catalog engine."""
+"""Operators of the catalog: DataFrames in, DataFrames out."""

@@ -1 +1 @@
-"""Part of the catalog engine."""
+"""Composed queries."""

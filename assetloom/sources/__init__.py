@@ -1 +1 @@
-"""Part of the catalog engine."""
+"""Sources and sinks of the catalog."""

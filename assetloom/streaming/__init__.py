@@ -1 +1 @@
-"""Part of the catalog engine."""
+"""Structured Streaming counterparts of the batch operators."""

@@ -1,11 +1,375 @@
-"""The registered queries of the catalog operators and their SQL oracles."""
+"""The catalog operators as queries over the driver's tables, each with its SQL where SQL can say it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from assetloom.functions.paths import basename, stem
+from assetloom.functions.predicates import all_of, any_of, contains_text, dominant_in, flag_is, in_range, in_whole_range, one_of
+from assetloom.functions.textures import channels, texture_kind
+from assetloom.operators import documents as docs_
+from assetloom.operators import files, graph, hierarchy, integrity, scene, similarity, textures
+from assetloom.schema import schema_doc as schema_table
 
-def oracle_sql():
-    return {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def geography(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers below nations below regions: (uid, l1, l2, l3)."""
+    nations = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    customers = table(spark, sf, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    return customers.select(F.col("c_custkey").alias("uid"), F.col("r_name").alias("l1"), F.col("n_name").alias("l2"), F.col("c_mktsegment").alias("l3"))
+
+
+def joined(array) -> F.Column:
+    return F.concat_ws("|", array)
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem
+WHERE l_quantity BETWEEN 10 AND 20 AND l_discount BETWEEN 0.03 AND 0.07 AND l_extendedprice BETWEEN 1000 AND 30000""")
+def range_filter(spark, sf):
+    wanted = [in_range(F.col("l_quantity"), (10, 20)), in_range(F.col("l_discount"), (0.03, 0.07)), in_range(F.col("l_extendedprice"), (1000, 30000))]
+    return table(spark, sf, "lineitem").where(all_of(wanted)).select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+
+
+@query("SELECT doc_id, lang FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(toxic = 1, false) = false")
+def bool_missing_false(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels"), "doc_id", "left")
+    return rows.where(flag_is(F.col("toxic") == 1, False)).select("doc_id", "lang")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE list_has_any(string_split(lower(p_name), ' '), ['red', 'gear'])")
+def list_any_match(spark, sf):
+    return table(spark, sf, "part").where(any_of(F.split("p_name", " "), ["Red", "gear"])).select("p_partkey", "p_name")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE lower(string_split(p_name, ' ')[1]) IN ('red', 'hot')")
+def dominant_match(spark, sf):
+    return table(spark, sf, "part").where(dominant_in(F.split("p_name", " "), ["RED", "hot"])).select("p_partkey", "p_name")
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE lower(o_orderpriority) IN ('1-urgent', '2-high')")
+def exact_match_ci(spark, sf):
+    return table(spark, sf, "orders").where(one_of(F.col("o_orderpriority"), ["1-urgent", "2-HIGH"])).select("o_orderkey", "o_orderpriority")
+
+
+@query("""SELECT DISTINCT c_custkey AS uid FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+WHERE lower(r_name) IN ('asia', 'nation_3', 'building') OR lower(n_name) IN ('asia', 'nation_3', 'building') OR lower(c_mktsegment) IN ('asia', 'nation_3', 'building')""")
+def category_any_level(spark, sf):
+    return hierarchy.in_categories(geography(spark, sf), ["asia", "NATION_3", "building"])
+
+
+@query("SELECT r_name AS name, string_agg(n_name, '|' ORDER BY n_nationkey) AS members, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def hierarchy_group(spark, sf):
+    nations = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    bridge = nations.select(F.col("r_name").alias("l1"), F.col("n_nationkey").alias("category_pos"), F.lit(0).alias("pos"), F.col("n_name").alias("uid"))
+    return hierarchy.by_level(bridge, 1).select("name", joined("uids").alias("members"), F.size("uids").cast("long").alias("n"))
+
+
+@query("""SELECT r_name AS l1, n_name AS l2, CAST(grouping_id(r_name, n_name) AS BIGINT) AS level, count(*) AS n
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)""")
+def hierarchy_rollup(spark, sf):
+    return hierarchy.distribution(geography(spark, sf), "l1", "l2")
+
+
+@query("SELECT c_mktsegment AS name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def class_counts(spark, sf):
+    return hierarchy.counts(geography(spark, sf), 3)
+
+
+@query("""SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS BIGINT) AS pos, l_partkey
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey""")
+def catalog_flatten(spark, sf):
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("parts"))
+    rows = table(spark, sf, "orders").select("o_orderkey").join(lines, "o_orderkey").select("o_orderkey", F.posexplode("parts").alias("pos", "part"))
+    return rows.select("o_orderkey", F.col("pos").cast("long").alias("pos"), F.col("part.l_partkey").alias("l_partkey"))
+
+
+@query()
+def schema_doc(spark, sf):
+    return schema_table(spark)
+
+
+@query("SELECT name FROM (VALUES ('NATION_1'), ('ATLANTIS'), ('nation_2'), ('NATION_24'), ('MU')) AS t(name) EXCEPT SELECT n_name FROM nation")
+def unknown_names(spark, sf):
+    wanted = spark.createDataFrame([("NATION_1",), ("ATLANTIS",), ("nation_2",), ("NATION_24",), ("MU",)], "name string")
+    return hierarchy.unknown_names(wanted, table(spark, sf, "nation").select(F.col("n_name").alias("name")))
+
+
+@query("SELECT count(*) FILTER (WHERE contains(lower(p_name), 'red w')) AS visible, count(*) AS total FROM part")
+def substring_search(spark, sf):
+    return hierarchy.search(table(spark, sf, "part"), contains_text(F.col("p_name"), "  Red W "))
+
+
+def vector(spark, sf, number):
+    """One row's vector, as a literal for the scan of all others."""
+    return table(spark, sf, "embeddings").where(F.col("vec_id") == number).select("embedding").first()[0]
+
+
+_COSINE = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {}))"
+
+
+@query(f"SELECT vec_id, round({_COSINE.format(0)}, 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10")
+def dense_topk(spark, sf):
+    return similarity.nearest(table(spark, sf, "embeddings"), vector(spark, sf, 0), 10, key="vec_id")
+
+
+@query(f"SELECT vec_id, round(({_COSINE.format(0)} + {_COSINE.format(1)}) / 2, 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10")
+def dual_score_topk(spark, sf):
+    scored = table(spark, sf, "embeddings").select("vec_id", similarity.dense_scores(None, [vector(spark, sf, 0), vector(spark, sf, 1)]).alias("score"))
+    return similarity.top_k(scored, 10, key="vec_id")
+
+
+@query(f"SELECT vec_id, label, round({_COSINE.format(0)}, 6) AS score FROM embeddings WHERE label BETWEEN 2 AND 5 ORDER BY score DESC, vec_id LIMIT 10")
+def filtered_topk(spark, sf):
+    rows = table(spark, sf, "embeddings").where(in_whole_range(F.col("label"), (2, 5)))
+    return similarity.top_k(rows.select("vec_id", "label", similarity.dense_scores(rows, [vector(spark, sf, 0)]).alias("score")), 10, key="vec_id")
+
+
+@query("""WITH t AS (SELECT p_partkey, unnest(regexp_split_to_array(lower(p_name || ' ' || p_type), '[^a-z0-9]+')) AS term FROM part),
+f AS (SELECT p_partkey, term, count(*) AS n FROM t WHERE term <> '' GROUP BY ALL),
+s AS (SELECT p_partkey, sum(n * CASE term WHEN 'red' THEN 2 WHEN 'widget' THEN 1 WHEN 'economy' THEN 1 ELSE 0 END) AS d, sqrt(sum(CAST(n * n AS DOUBLE))) AS l FROM f GROUP BY p_partkey)
+SELECT p_partkey, round(d / (l * sqrt(6.0::DOUBLE)), 6) AS score FROM s ORDER BY score DESC, p_partkey LIMIT 10""")
+def tf_topk(spark, sf):
+    parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_type")
+    scored = similarity.text_scores(parts, "red Widget, red economy", "p_partkey", F.concat_ws(" ", "p_name", "p_type"))
+    return similarity.clamped_top_k(scored, 10, key="p_partkey")
+
+
+@query("SELECT DISTINCT p_type AS name FROM part ORDER BY name")
+def names_sorted(spark, sf):
+    return files.names(table(spark, sf, "part").select(F.col("p_type").alias("name")))
+
+
+def order_files(spark, sf):
+    """Orders as files of customers: (uid, asset_type, path); the type is the status."""
+    kind = F.when(F.col("o_orderstatus") == "P", "glb").when(F.col("o_orderstatus") == "F", "thumbnail").otherwise("render")
+    rows = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("uid"), kind.alias("asset_type")).agg(F.min("o_orderkey").alias("first"))
+    return rows.select("uid", "asset_type", F.concat(F.lit("order/"), F.col("first").cast("string")).alias("path"))
+
+
+@query("SELECT o_custkey AS uid, 'order/' || min(o_orderkey) AS path FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P' GROUP BY o_custkey")
+def path_resolve(spark, sf):
+    return files.resolve(table(spark, sf, "customer").select(F.col("c_custkey").alias("uid")), order_files(spark, sf), "glb")
+
+
+@query("""WITH f AS (SELECT o_custkey AS uid, o_orderstatus AS s, min(o_orderkey) AS k FROM orders GROUP BY ALL)
+SELECT c_custkey AS uid, max(CASE WHEN s = 'P' AND k % 2 = 0 THEN 'order/' || k END) AS glb, max(CASE WHEN s = 'F' AND k % 2 = 0 THEN 'order/' || k END) AS thumbnail
+FROM customer LEFT JOIN f ON uid = c_custkey GROUP BY c_custkey""")
+def load_wide(spark, sf):
+    there = table(spark, sf, "orders").where("o_orderkey % 2 = 0").select(F.concat(F.lit("order/"), F.col("o_orderkey").cast("string")).alias("path"))
+    return files.load(table(spark, sf, "customer").select(F.col("c_custkey").alias("uid")), order_files(spark, sf), there, ["glb", "thumbnail"])
+
+
+@query("""WITH u AS (SELECT DISTINCT user_id FROM events), e AS (SELECT DISTINCT user_id, event_type FROM events WHERE value < 1)
+SELECT user_id AS uid, string_agg(CASE WHEN e.event_type IS NULL THEN a.angle || '=' ELSE a.angle || '=' || user_id || '/render_' || a.angle || '.0.jpg' END, '|' ORDER BY a.angle) AS renders
+FROM u CROSS JOIN (VALUES (0, 'view'), (90, 'click'), (180, 'error'), (270, 'signup')) AS a(angle, event_type) LEFT JOIN e USING (user_id, event_type) GROUP BY user_id""")
+def render_pivot(spark, sf):
+    events = table(spark, sf, "events")
+    kinds = spark.createDataFrame([(0, "view"), (90, "click"), (180, "error"), (270, "signup")], "angle int, event_type string")
+    user = F.col("user_id").cast("string")
+    there = events.where("value < 1").select("user_id", "event_type").distinct().join(F.broadcast(kinds), "event_type")
+    there = there.select(F.concat(user, F.lit("/render_"), F.col("angle").cast("string"), F.lit(".0.jpg")).alias("path"))
+    users = events.select(F.col("user_id").alias("uid")).distinct()
+    found = files.renders(users, users.select("uid", F.col("uid").cast("string").alias("folder")), there)
+    return found.select("uid", joined(F.transform(F.map_entries("renders"), lambda e: F.concat(e["key"].cast("string"), F.lit("="), F.coalesce(e["value"], F.lit(""))))).alias("renders"))
+
+
+@query("SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)")
+def wanted_missing(spark, sf):
+    from assetloom.sources.transfer import missing
+
+    return missing(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id")
+
+
+@query("""SELECT d.doc_id, coalesce(a.quality, b.quality + 10) AS quality FROM documents d
+LEFT JOIN labels a ON d.doc_id = a.doc_id AND a.toxic = 1 LEFT JOIN labels b ON d.doc_id = b.doc_id""")
+def precedence_merge(spark, sf):
+    labels = table(spark, sf, "labels")
+    return files.precedence(table(spark, sf, "documents"), labels.where("toxic = 1"), labels.withColumn("quality", F.col("quality") + 10), "doc_id", "quality")
+
+
+@query("""WITH p AS (SELECT page_id, string_split(regexp_extract(url, '([^/]*)$', 1), '.')[1] AS name FROM pages)
+SELECT name, count(*) AS n, min(page_id) AS first_page, string_agg(CAST(page_id AS VARCHAR), '|' ORDER BY page_id) AS pages FROM p GROUP BY name""")
+def file_map(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", stem(basename(F.col("url"))).alias("name"))
+    grouped = pages.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_page"), F.sort_array(F.collect_list("page_id")).alias("ids"))
+    return grouped.select("name", "n", "first_page", joined(F.transform("ids", lambda i: i.cast("string"))).alias("pages"))
+
+
+@query("""SELECT o_custkey, arg_min(o_orderkey, (CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE 1 END) * 1000000000 + o_orderkey) AS chosen FROM orders GROUP BY o_custkey""")
+def prefer_extension(spark, sf):
+    path = F.concat(F.lpad(F.col("o_orderkey").cast("string"), 12, "0"), F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(".mdl")).otherwise(F.lit(".txt")))
+    grouped = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(path)).alias("paths"))
+    return grouped.select("o_custkey", F.substring(files.preferred(F.col("paths"), ".mdl"), 1, 12).cast("long").alias("chosen"))
+
+
+@query("SELECT CAST(floor((r - 1) / 256) AS BIGINT) AS batch, count(*) AS n, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents) GROUP BY 1")
+def batch_256(spark, sf):
+    from assetloom.sources.catalog import numbered
+
+    rows = numbered(table(spark, sf, "documents").select("doc_id"), "doc_id").withColumn("batch", F.floor(F.col("pos") / 256).cast("long"))
+    return rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+
+
+@query("""WITH n AS (SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_nationkey) AS number, count(*) OVER () AS total FROM nation)
+SELECT n_nationkey, n_name, number, total, number > 1 AS has_previous, number < total AS has_next FROM n WHERE number = least(1000 + 1, total)""")
+def page_nav(spark, sf):
+    return files.page(table(spark, sf, "nation").select("n_nationkey", "n_name"), "n_nationkey", 1000)
+
+
+@query("SELECT lang, count(*) AS expected, count(l.doc_id) AS present, count(*) - count(l.doc_id) AS missing FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY ROLLUP (lang)")
+def integrity_report(spark, sf):
+    return integrity.counted(table(spark, sf, "documents").select("doc_id", "lang"), table(spark, sf, "labels"), "doc_id", "lang")
+
+
+def _expected(spark, sf):
+    docs = table(spark, sf, "documents")
+    return docs.select(F.lit("object").alias("kind"), F.col("lang").alias("subkind"), F.col("doc_id").cast("string").alias("item"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"))
+
+
+@query("SELECT 'object' AS kind, lang AS subkind, CAST(doc_id AS VARCHAR) AS item, 'doc/' || doc_id AS path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def repair_plan(spark, sf):
+    there = table(spark, sf, "labels").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"))
+    return integrity.repair_plan(_expected(spark, sf), there)
+
+
+@query("""SELECT kind, subkind, sum(n)::BIGINT AS expected, sum(p)::BIGINT AS present, sum(n - p)::BIGINT AS missing FROM (SELECT 'object' AS kind, lang AS subkind, 1 AS n, (doc_id IN (SELECT doc_id FROM labels))::INT AS p FROM documents) GROUP BY ROLLUP (kind, subkind)""")
+def integrity_totals(spark, sf):
+    there = table(spark, sf, "labels").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"))
+    return integrity.report(integrity.status(_expected(spark, sf), there))
+
+
+@query("""WITH r AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) AS refs FROM pages),
+p AS (SELECT page_id, unnest(refs) AS ref, unnest(range(len(refs))) AS pos FROM r)
+SELECT page_id AS name, CAST(min(pos) AS BIGINT) AS pos, ref FROM p GROUP BY page_id, ref""")
+def regex_refs(spark, sf):
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("name"), F.col("html").alias("value"))
+    return textures.references(pages, pattern=r'href="([^"]+)"')
+
+
+def _part_texture():
+    suffix = F.element_at(F.array(*map(F.lit, ["diff", "rough", "ORM", "multi_rough_ao", "mask", "other", "Norm_2k", "platform"])), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return F.concat(F.lit("textures/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), suffix, F.lit(".png"))
+
+
+@query("""WITH t AS (SELECT p_brand, p_partkey, CASE p_partkey % 8 WHEN 0 THEN ['diffuse'] WHEN 1 THEN ['roughness'] WHEN 2 THEN ['roughness', 'ao'] WHEN 3 THEN ['ao'] WHEN 6 THEN ['normal'] WHEN 7 THEN ['roughness', 'ao'] ELSE [] END AS c FROM part),
+u AS (SELECT p_brand, p_partkey, unnest(c) AS channel FROM t)
+SELECT p_brand, channel, min(p_partkey) AS first_part, count(*) AS n FROM u GROUP BY ALL""")
+def classify_refs(spark, sf):
+    ref = _part_texture()
+    rows = table(spark, sf, "part").select("p_brand", "p_partkey", F.explode(channels(texture_kind(ref), ref)).alias("channel"))
+    return rows.groupBy("p_brand", "channel").agg(F.min("p_partkey").alias("first_part"), F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def texture_channels(spark, sf):
+    """Material texts made of parts: the channels of each brand, by the first texture that is there."""
+    parts = table(spark, sf, "part").select("p_brand", "p_partkey", _part_texture().alias("ref"))
+    line = F.concat(F.lit('texture: texture_2d("./'), F.col("ref"), F.lit('")'))
+    texts = parts.groupBy(F.col("p_brand").alias("name")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", line.alias("line")))), lambda x: x["line"]), "\n").alias("value"))
+    there = parts.where("p_partkey % 3 = 0").select(F.concat(F.lit("m/"), "ref").alias("path"))
+    found = textures.channel_urls(texts, there, "m", "http://localhost")
+    return found.select("name", F.to_json("textures").alias("textures"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_fields(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.try_element_at(F.from_json("props", "map<string,string>"), F.lit("k")).alias("k"))
+
+
+@query("SELECT event_id AS uid, 'k' AS path, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def annotation_leaves(spark, sf):
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("uid"), F.col("props").alias("annotation"))
+    return docs_.annotation_rows(rows)
+
+
+@query()
+def viewer_document(spark, sf):
+    customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("uid"))
+    loaded = load_wide(spark, sf).withColumn("annotation", F.lit(None).cast("string")).withColumn("renders", F.create_map().cast("map<int,string>"))
+    return docs_.asset_document(customers.join(loaded, "uid"), "show", "http://localhost")
+
+
+@query("""WITH a AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'float2' WHEN 1 THEN 'int' WHEN 2 THEN 'string' ELSE 'float2' END AS type,
+p_retailprice AS x, CASE p_partkey % 4 WHEN 3 THEN NULL ELSE 950.5 END AS y FROM part)
+SELECT p_partkey, CASE WHEN type = 'int' THEN 'float2' ELSE type END AS new_type,
+CASE WHEN type = 'string' THEN x ELSE 950.5 END AS new_x, CASE WHEN type = 'string' THEN y ELSE 950.5 END::DOUBLE AS new_y,
+CASE WHEN type = 'int' THEN true WHEN type = 'string' THEN false ELSE NOT (abs(x - 950.5) < 1e-9 AND abs(coalesce(y, x) - 950.5) < 1e-9) END AS changed FROM a""")
+def vec2_patch(spark, sf):
+    kind = F.element_at(F.array(*map(F.lit, ["float2", "int", "string", "float2"])), (F.col("p_partkey") % 4 + 1).cast("int"))
+    rows = table(spark, sf, "part").select("p_partkey", F.lit("l").alias("layer"), F.lit("p").alias("prim"), kind.alias("type"), F.col("p_retailprice").alias("x"), F.when(F.col("p_partkey") % 4 != 3, F.lit(950.5)).alias("y"))
+    return scene.patch(rows, override=950.5).select("p_partkey", "new_type", "new_x", "new_y", "changed")
+
+
+@query("""SELECT p_brand AS layer, count(*) FILTER (WHERE p_size % 3 = 0 OR abs(p_retailprice * 2 - p_retailprice) >= 1e-9) AS fixes FROM part GROUP BY ROLLUP (p_brand)""")
+def scene_fixes(spark, sf):
+    rows = table(spark, sf, "part").select(F.col("p_brand").alias("layer"), F.lit("p").alias("prim"), F.when(F.col("p_size") % 3 == 0, "half").otherwise("float2").alias("type"), F.col("p_retailprice").alias("x"), F.col("p_retailprice").alias("y"))
+    return scene.fixes(scene.patch(rows, scale=2.0))
+
+
+def _tree(spark, sf):
+    half = (F.col("p_partkey") / 2).cast("long")
+    return table(spark, sf, "part").where("p_partkey >= 2").select(F.col("p_partkey").alias("child"), half.alias("parent"))
+
+
+@query("""WITH RECURSIVE r(node, depth) AS (SELECT 1::BIGINT, 0 UNION ALL SELECT p_partkey, depth + 1 FROM part JOIN r ON p_partkey >= 2 AND p_partkey // 2 = node) SELECT node, depth FROM r""")
+def reachability(spark, sf):
+    tree = _tree(spark, sf)
+    start = spark.createDataFrame([(1,)], "node long")
+    return graph.reachable(start, tree.select(F.col("parent").alias("src"), F.col("child").alias("dst")))
+
+
+@query("""WITH RECURSIVE a(node, depth) AS (SELECT unnest([5, 6]::BIGINT[]), 0 UNION ALL SELECT p_partkey, depth + 1 FROM part JOIN a ON p_partkey >= 2 AND p_partkey // 2 = node)
+SELECT p.p_partkey AS layer, './n' || (p.p_partkey // 2) || '_new.usd' AS renamed FROM part p WHERE p.p_partkey >= 2 AND p.p_partkey IN (SELECT node FROM a) AND p.p_partkey // 2 IN (SELECT node FROM a)""")
+def closure(spark, sf):
+    tree = _tree(spark, sf)
+    edges = tree.select(F.col("child").alias("src"), F.concat(F.lit("./n"), F.col("parent").cast("string"), F.lit(".usd")).alias("authored"), F.col("parent").alias("dst"))
+    changed = graph.affected(spark.createDataFrame([(5,), (6,)], "node long"), edges)
+    return graph.rewrites(edges, changed, "_new").select("layer", joined(F.map_values("renames")).alias("renamed"))
+
+
+@query("SELECT event_type, count(*) FILTER (WHERE value >= 10) AS ok, count(*) FILTER (WHERE NOT coalesce(value >= 10, false)) AS failed FROM events GROUP BY event_type")
+def batch_summary(spark, sf):
+    return files.outcome(table(spark, sf, "events"), F.col("value") >= 10, ["event_type"])
+
+
+@query("""WITH l AS (SELECT l_orderkey AS mesh, l_partkey AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS i FROM lineitem),
+n AS (SELECT mesh, count(*) AS n FROM l GROUP BY mesh)
+SELECT a.mesh, CAST(0 AS INTEGER) AS face, a.p AS a, b.p AS b, c.p AS c FROM l a JOIN l b ON a.mesh = b.mesh AND a.i = 0 AND b.i >= 1 JOIN l c ON c.mesh = b.mesh AND c.i = b.i + 1""")
+def fan_triangles(spark, sf):
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("mesh")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("lines"))
+    return scene.triangles(lines.select("mesh", F.transform("lines", lambda x: x["l_partkey"]).alias("indices"), F.array(F.size("lines")).alias("counts")))
+
+
+@query("""SELECT d.doc_id AS uid, CASE WHEN l.quality = 1 THEN 'existing' WHEN d.n_chars > 1000 THEN 'to_do' ELSE 'missing' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def conversion_plan(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("uid"), F.lit("g").alias("glb"), F.col("doc_id").cast("string").alias("usd"), (F.col("n_chars") > 1000).alias("glb_present"))
+    done = table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("path"))
+    return files.conversion_plan(docs, done).select("uid", "status")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
