@@ -39,6 +39,9 @@ HOT = 2000
 #: Words of a shard (an anchor's stretches are never parted).
 SHARD = 200_000
 
+#: Windows that one cursor of the search looks at.
+SPAN = 16
+
 _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -138,8 +141,12 @@ def matched(index: FMIndex, begin: np.ndarray, length: np.ndarray, own: np.ndarr
     """
     text = index.text
     found: list[tuple] = []
-    row = np.flatnonzero(length >= window)
-    at = np.zeros(len(row), np.int64)  # the window that is looked at
+    # a cursor looks at SPAN windows of a stretch at most, so that long stretches don't go on alone
+    windows = np.maximum(length - window + 1, 0)
+    cursors = -(-windows // SPAN)
+    row = np.repeat(np.arange(len(length)), cursors)
+    at = SPAN * (np.arange(len(row)) - np.repeat(np.cumsum(cursors) - cursors, cursors))  # the window that is looked at
+    end = np.minimum(at + SPAN, windows[row])
     word = at + window - 1  # the word that comes next, from right to left
     low, high = np.zeros(len(row), np.int64), np.full(len(row), index.size)
     while len(row):
@@ -169,8 +176,8 @@ def matched(index: FMIndex, begin: np.ndarray, length: np.ndarray, own: np.ndarr
         at = np.where(ended, goes_on, at)
         word = np.where(ended, at + window - 1, word - 1)
         low, high = np.where(ended, 0, low), np.where(ended, index.size, high)
-        keep = at + window <= length[row]
-        row, at, word, low, high = row[keep], at[keep], word[keep], low[keep], high[keep]
+        keep = at < end
+        row, at, end, word, low, high = row[keep], at[keep], end[keep], word[keep], low[keep], high[keep]
     if not found:
         none = np.zeros(0, np.int64)
         return none, none, none
