@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Distinct words whose hashes a Python worker remembers before it starts afresh.
 WORD_CACHE = 400_000
@@ -42,6 +43,22 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def most_frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
+    """The rows with the highest counts, ``most`` of them at most and all that are as frequent.
+
+    Counts fall into buckets by their seven leading bits, so only a bounded histogram meets in one place.
+    """
+    bucket = F.expr(f"length(bin({n})) * 128 + shiftright({n}, greatest(length(bin({n})) - 7, 0))")
+    histogram = counts.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("rows")).collect()
+    least, total = None, 0
+    for row in sorted(histogram, reverse=True):
+        total += row["rows"]
+        if total > most:
+            break
+        least = row["bucket"]
+    return counts.where(bucket >= least) if least is not None else counts.limit(0)
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
