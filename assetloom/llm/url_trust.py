@@ -58,7 +58,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.where((F.col("src") != "") & (F.col("dst") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, most_rounds: int = 200, rounds_per_cut: int = 5) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most_rounds: int = 200, rounds_per_cut: int = 5) -> DataFrame:
     """(host, trust, distrust) from seeds (host, trust, distrust) over edges (src, dst, n).
 
     Trust passes along edges, distrust against them, each split by the edges' counts.
@@ -83,8 +83,8 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, toleran
     return ranks.groupBy("host").agg(each("trust"), each("distrust"))
 
 
-def judge(pages: DataFrame, rules: DataFrame, threshold: float = 0.5, key: str = "page_id", tolerance: float = 1e-4) -> DataFrame:
-    """(key, host, path, rule, verdict, trust, distrust) of each page of (key, url, html); rules: (verdict, host, path)."""
+def judge(pages: DataFrame, rules: DataFrame, threshold: float = 0.5, key: str = "page_id", **options) -> DataFrame:
+    """(key, host, path, rule, verdict, trust, distrust) of each page of (key, url, html); rules: (verdict, host, path); options: of ``propagate``."""
     split = pages.select(F.col(key), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     candidates = host_rules(split.select("host").distinct(), rules)
     fit = F.get(F.filter("rules", lambda r: F.col("path").startswith(r.prefix)), 0)
@@ -92,7 +92,7 @@ def judge(pages: DataFrame, rules: DataFrame, threshold: float = 0.5, key: str =
     of = lambda verdict: F.avg(F.when(F.col("fit.verdict") == verdict, 1.0).otherwise(0.0))
     seeds = ruled.where("host != ''").groupBy("host").agg(of("allow").alias("trust"), of("block").alias("distrust"))
     edges = cut(host_edges(pages.select(host(F.col("url")).alias("host"), "html")), "host-edges")
-    scores = propagate(cut(seeds, "trust-seeds"), edges, tolerance=tolerance)
+    scores = propagate(cut(seeds, "trust-seeds"), edges, **options)
     by_host = F.when(F.col("distrust") - F.col("trust") >= threshold, "block").otherwise("allow")
     return ruled.join(scores, "host", "left").select(key, "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", by_host).alias("verdict"), "trust", "distrust")
 

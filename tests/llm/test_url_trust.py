@@ -36,12 +36,12 @@ def brute_ranks(seeds, edges, damping=0.85, rounds=400):
 def test_propagation_equals_brute_force(spark):
     edges = [("a", "b", 2), ("b", "c", 1), ("c", "a", 1), ("b", "d", 3), ("e", "d", 1), ("a", "e", 1)]
     seeds = {"a": (1.0, 0.0), "d": (0.0, 1.0), "z": (0.25, 0.5)}
-    got = propagate(spark.createDataFrame([(h, *s) for h, s in seeds.items()], "host string, trust double, distrust double"), spark.createDataFrame(edges, "src string, dst string, n long"), tolerance=1e-3).collect()
-    trust = brute_ranks({h: s[0] for h, s in seeds.items()}, edges)
-    distrust = brute_ranks({h: s[1] for h, s in seeds.items()}, [(b, a, n) for a, b, n in edges])
+    got = propagate(spark.createDataFrame([(h, *s) for h, s in seeds.items()], "host string, trust double, distrust double"), spark.createDataFrame(edges, "src string, dst string, n long"), damping=0.5).collect()
+    trust = brute_ranks({h: s[0] for h, s in seeds.items()}, edges, 0.5)
+    distrust = brute_ranks({h: s[1] for h, s in seeds.items()}, [(b, a, n) for a, b, n in edges], 0.5)
     assert {r.host for r in got} == set(trust)
     for r in got:
-        assert r.trust == pytest.approx(trust[r.host], abs=6e-3) and r.distrust == pytest.approx(distrust[r.host], abs=6e-3)
+        assert r.trust == pytest.approx(trust[r.host], abs=1e-5) and r.distrust == pytest.approx(distrust[r.host], abs=1e-5)
 
 
 def test_links_spread_trust_and_distrust(spark):
@@ -53,7 +53,7 @@ def test_links_spread_trust_and_distrust(spark):
     ]
     pages = spark.createDataFrame([(*r, "h") for r in rows], SCHEMA + ", host string")
     rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
-    got = judge(pages, rules, tolerance=0.01).collect()
+    got = judge(pages, rules, damping=0.7, tolerance=1e-3).collect()
     assert len(got) == len(rows)
     by = {r.page_id: r for r in got}
     assert [by[i].verdict for i in (1, 2, 3, 4, 5, 7, 8, 9, 10)] == ["block", "block", "allow", "allow", "block", "allow", "allow", "allow", "allow"]
@@ -61,7 +61,7 @@ def test_links_spread_trust_and_distrust(spark):
     assert by[6].distrust > 0.5 and by[6].rule is None and by[4].trust > 0.3
     assert (by[7].host, by[7].path, by[None].host) == ("", "", "")
     assert judge(pages.limit(0), rules).count() == 0
-    assert [r.verdict for r in judge(pages, rules.limit(0), tolerance=0.05).collect()] == ["allow"] * len(rows)
+    assert [r.verdict for r in judge(pages, rules.limit(0), damping=0.5, tolerance=1e-3).collect()] == ["allow"] * len(rows)
 
 
 def test_query_on_whole_table(spark):
