@@ -6,12 +6,17 @@ of a band (and those just below that can reach into it) that bound is one number
 n-grams is partitioned by hashing in two levels; a signature is the content of a subset of partitions:
 
 * k <= 4: one first-level partition, k + 2 parts, each subset of two of them (k parts may differ);
-* else: ceil((k + 1) / 2) first-level partitions, one of which has one difference at most, of two
-  parts each, one of which therefore is equal.
+* else: first-level partitions of two parts each, k + 1 parts in all and some to spare; each part alone
+  (k of them may differ).
 
-So similar sets of a band share a signature, without exception. Equal sets are one class and take part
-once. Signatures' buckets are joined as stars around their smallest document; what hangs together is a
-candidate group. Groups are cut into blocks of bounded size, and each pair of blocks is verified exactly
+So similar sets of a band share a signature, without exception. Empty subsets would be shared by many
+sets that aren't alike, so they aren't signed. Two sets can agree on empty parts alone only if at most k
+of their parts hold anything: such a set signs again with another hashing (the last of ``SCHEMES`` signs
+the empty subsets too). The spare parts make that rare.
+
+Documents that share a signature are chained: those of a batch before anything is shuffled, so a
+signature that very many documents share is sent once for each batch. What hangs together is a candidate
+group; of equal sets one takes part. Groups are cut into blocks of bounded size, and each pair of blocks is verified exactly
 with an inverted index, whatever the group's size; only spanning links leave the task.
 
 Defined results: null, empty or blank text has an empty set and links with nothing; fewer words than n
@@ -21,19 +26,23 @@ that share an id are one document that links by any of its texts; the smallest i
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, documents, hash_words, mix, ngram_hashes, signed, text_bytes
+from .common import cut, documents, hash_words, mix, ngram_hashes, signed, text_bytes, word_hash
 
 #: Shingles of a block of a candidate group.
 BLOCK = 200_000
 
+#: Hashings of the domain that a set with empty subsets goes through.
+SCHEMES = 8
+
 _PART, _SUM, _KEY = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0xD1342543DE82EF95)
 _EMPTY = np.zeros(0, np.uint64)
 
@@ -73,49 +82,84 @@ class Bands:
             bands.append(own + 1)
         return [(b, 2 * upper[b] * (q - p) // (q + p)) for b in bands]
 
+    def parts(self, band: int, k: int) -> int:
+        """Parts of the domain; beyond k + 1 as many as the band's smallest sets may leave empty."""
+        if k <= 4:
+            return k + 2
+        least = (self.upper[band - 1] + 1) * self.p / self.q
+        parts = k + 1
+        for _ in range(4):
+            parts = k + 2 + int(1.3 * parts * math.exp(-least / parts))
+        return parts + parts % 2
+
     def signatures(self, elements: np.ndarray) -> np.ndarray:
         """Signatures of a set, for all bands that it signs for."""
         found = []
         bands = self.of(len(elements))
         if not bands:
             return _EMPTY
-        place = mix(elements ^ _PART) >> np.uint64(32)
         value = mix(elements ^ _SUM)
         low, high = (value & np.uint64(0xFFFFFFFF)).astype(float), (value >> np.uint64(32)).astype(float)
         for band, k in bands:
-            parts = k + 2 if k <= 4 else 2 * ((k + 2) // 2)
-            part = (place * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            sums = [np.bincount(part, x, parts) for x in (low, high)]
-            if k <= 4:
-                first, second = np.array(list(combinations(range(parts), 2))).T
-                sums = [s[first] + s[second] for s in sums]
-            number = np.arange(len(sums[0]), dtype=np.uint64) + np.uint64(band << 32)
-            found.append(mix(mix(sums[0].astype(np.uint64) + (number << np.uint64(1))) + sums[1].astype(np.uint64) * _KEY + number))
+            parts = self.parts(band, k)
+            for scheme in range(SCHEMES):
+                place = mix(elements ^ (_PART + np.uint64(scheme))) >> np.uint64(32)
+                part = (place * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                sums = [np.bincount(part, x, parts) for x in (None, low, high)]
+                again = np.count_nonzero(sums[0]) <= k and scheme < SCHEMES - 1
+                if k <= 4:
+                    first, second = np.array(list(combinations(range(parts), 2))).T
+                    sums = [s[first] + s[second] for s in sums]
+                number = np.arange(len(sums[0]), dtype=np.uint64) + np.uint64(band << 40 | scheme << 32)
+                own = mix(mix(sums[1].astype(np.uint64) + (number << np.uint64(1))) + sums[2].astype(np.uint64) * _KEY + number)
+                found.append(own if scheme == SCHEMES - 1 else own[sums[0] > 0])
+                if not again:
+                    break
         return np.concatenate(found)
 
 
-def sets(docs: DataFrame, n: int, p: int, q: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, k1, k2, signatures): k1 and k2 tell sets apart."""
+def sets(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, n_shingles, k1, k2): k1 and k2 tell sets apart."""
+
+    def measure(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            size, k1, k2 = [], [], []
+            for raw in text_bytes(batch.column(1)):
+                elements = shingle_set(raw, n)
+                size.append(len(elements))
+                k1.append(mix(elements ^ _KEY).sum(dtype=np.uint64))
+                k2.append(mix(elements ^ _SUM).sum(dtype=np.uint64))
+            keys = [pa.array(signed(np.array(k, np.uint64))) for k in (k1, k2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), *keys], ["id", "n_shingles", "k1", "k2"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(measure, f"id {kind}, n_shingles long, k1 long, k2 long")
+
+
+def signature_rows(docs: DataFrame, n: int, p: int, q: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(signature, id): each signature once for each batch of documents; a document whose signature another of the batch has sent is tied to that one by a signature of their own."""
 
     def sign(batches: Iterator[pa.RecordBatch]):
         bands = Bands(p, q)
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                size, k1, k2, signatures = [], [], [], []
-                for raw in text_bytes(part.column(1)):
-                    elements = shingle_set(raw, n)
-                    size.append(len(elements))
-                    k1.append(mix(elements ^ _KEY).sum(dtype=np.uint64))
-                    k2.append(mix(elements ^ _SUM).sum(dtype=np.uint64))
-                    signatures.append(bands.signatures(elements) if len(elements) else _EMPTY)
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in signatures])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(np.concatenate(signatures))))
-                keys = [pa.array(signed(np.array(k, np.uint64))) for k in (k1, k2)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), *keys, lists], ["id", "n_shingles", "k1", "k2", "signatures"])
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
+                own = [bands.signatures(e) if len(e := shingle_set(raw, n)) else _EMPTY for raw in text_bytes(part.column(1))]
+                rows = np.repeat(np.arange(len(own)), [len(o) for o in own])
+                every = np.concatenate(own)
+                order = np.argsort(every, kind="stable")
+                every, rows = every[order], rows[order]
+                head = np.concatenate([[True], every[1:] != every[:-1]])[: len(every)]
+                leader = rows[head][np.cumsum(head) - 1]
+                ties = np.unique(leader[~head] * len(own) + rows[~head])
+                one, two = ties // len(own), ties % len(own)
+                one, two = one[one != two], two[one != two]
+                names = np.array([word_hash(f"{part.column(0)[int(a)]} {part.column(0)[int(b)]}".encode()) for a, b in zip(one, two, strict=True)], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate([every[head], names, names]))), part.column(0).take(pa.array(np.concatenate([rows[head], one, two])))], ["signature", "id"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(sign, f"id {kind}, n_shingles long, k1 long, k2 long, signatures array<long>")
+    usable = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
+    return usable.mapInArrow(sign, f"signature long, id {kind}")
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -217,23 +261,23 @@ def verified_links(groups: DataFrame, n: int, p: int, q: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id): documents link when their sets' Jaccard similarity is p/q or more."""
-    signed_sets = cut(sets(docs, n, p, q, key, text), "jaccard-sets")
-    usable = signed_sets.where("n_shingles > 0 and id is not null")
+    known = cut(sets(docs, n, key, text), "jaccard-sets")
+    usable = known.where("n_shingles > 0 and id is not null")
     classes = usable.groupBy("k1", "k2").agg(F.min("id").alias("class"))
-    first = usable.join(classes.select(F.col("class").alias("id")).distinct(), "id")
-    signatures = first.select("id", F.explode("signatures").alias("signature"))
-    buckets = signatures.groupBy("signature").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    stars = signatures.join(buckets.hint("shuffle_hash"), "signature").where("id > least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
-    grouped = components(stars, "jaccard-candidates")
+    before = F.lag("id").over(Window.partitionBy("signature").orderBy("id"))
+    chained = signature_rows(docs, n, p, q, key, text).select(F.col("id").alias("a"), before.alias("b")).where("a <> b").distinct()
+    grouped = components(chained, "jaccard-candidates")
 
-    sizes = grouped.join(first.groupBy("id").agg(F.sum("n_shingles").alias("n")), "id").groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
-    members = cut(grouped.join(sizes, "root"), "jaccard-groups")
+    first = usable.join(classes.select(F.col("class").alias("id")).distinct(), "id")
+    first = grouped.join(first.groupBy("id").agg(F.sum("n_shingles").alias("n")), "id")
+    sizes = first.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    members = cut(first.join(sizes, "root").select("id", "root", "blocks"), "jaccard-groups")
     texts = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(members, "id")
     links = cut(verified_links(texts.select(F.col("root").alias("group"), "id", "blocks", "text"), n, p, q), "jaccard-links")
     roots = components(links, "jaccard-components").withColumnRenamed("id", "class")
 
-    known = signed_sets.join(classes, ["k1", "k2"], "left").join(roots, "class", "left")
-    return known.select(F.col("id").alias(key), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("root", "class", "id")).alias("component_id"))
+    rows = known.join(classes, ["k1", "k2"], "left").join(roots, "class", "left")
+    return rows.select(F.col("id").alias(key), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("root", "class", "id")).alias("component_id"))
 
 
 def op3_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
