@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetloom.functions.paths import renamed
+from assetloom.sources.shared import written
 
 #: Extensions of scene layers.
 LAYER_EXTENSIONS = ("usd", "usda", "usdc", "usdz")
 
 
-def _written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage by a table in the shared folder that the cluster names."""
-    spark: SparkSession = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/shared"
-    path = f"{root}/{label}-{uuid.uuid4().hex}"
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def reachable(starts: DataFrame, edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """(node, depth): all nodes reached from ``starts`` (node) along ``edges`` (src, dst), starts included.
 
@@ -31,17 +19,17 @@ def reachable(starts: DataFrame, edges: DataFrame, most_rounds: int = 10_000) ->
     diamonds end by themselves. Each round's nodes are written once; the answer reads them all.
     """
     edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
-    edges = _written(edges, "edges")
-    fresh = _written(starts.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)), "reached")
+    edges = written(edges, "edges")
+    fresh = written(starts.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)), "reached")
     seen = fresh
     for depth in range(1, most_rounds + 1):
         found = fresh.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct()
-        fresh = _written(found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "reached")
+        fresh = written(found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "reached")
         if fresh.isEmpty():
             return seen
         seen = seen.unionByName(fresh)
         if depth % 20 == 0:
-            seen = _written(seen, "reached")
+            seen = written(seen, "reached")
     raise RuntimeError(f"not closed after {most_rounds} rounds")
 
 

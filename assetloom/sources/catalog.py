@@ -9,9 +9,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from assetloom.schema import ASSET, ATTRIBUTE_PREFIX, MASTER
+from assetloom.sources.shared import written
 
 #: Kinds of files that each asset has.
 ASSET_TYPES = ("glb", "annotation", "thumbnail", "render")
@@ -131,8 +131,7 @@ def material_texts(spark: SparkSession, path: str) -> DataFrame:
 def numbered(files: DataFrame, order: str = "path") -> DataFrame:
     """Adds ``pos``: the place in order, from 0. Positions of a global order without one big sort task:
     rows are counted per range partition and each partition starts at the sum of those before."""
-    parts = files.repartitionByRange(order).sortWithinPartitions(order).withColumn("part_", F.spark_partition_id())
-    parts = parts.persist()
+    parts = written(files.repartitionByRange(order).sortWithinPartitions(order).withColumn("part_", F.spark_partition_id()), "numbered")
     counts = parts.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))
     before = counts.select("part_", (F.sum("n_").over(Window.orderBy("part_")) - F.col("n_")).alias("before_"))
     inner = F.row_number().over(Window.partitionBy("part_").orderBy(order))
@@ -158,6 +157,3 @@ def quality_counts(texts: DataFrame, value: str = "value") -> DataFrame:
         bad = F.col("fields").getItem(f.name).isNotNull() & F.col(f"asset.{f.name}").isNull()
         pairs.append(F.struct(F.lit(f.name).alias("field"), F.count_if(bad).alias("unreadable")))
     return parsed.agg(F.array(*pairs).alias("all")).select(F.explode("all").alias("one")).select("one.*")
-
-
-EMPTY_FILES = T.StructType([T.StructField("path", T.StringType())])
