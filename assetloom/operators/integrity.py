@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assetloom.sources.catalog import ASSET_TYPES
+
 
-def expected_assets(bridge: DataFrame, files: DataFrame) -> DataFrame:
-    """(kind, subkind, item, path) of all assets' files; an asset without an index entry is expected without a path."""
+def expected_assets(bridge: DataFrame, files: DataFrame, types: Sequence[str] = ASSET_TYPES) -> DataFrame:
+    """(kind, subkind, item, path) of all assets' files of the types; an asset without an index entry is expected without a path."""
     uids = bridge.select("uid").distinct()
-    types = files.select("asset_type").distinct()
-    rows = uids.join(files, "uid", "left")
-    known = rows.where("path is not null").select(F.lit("object").alias("kind"), F.col("asset_type").alias("subkind"), F.col("uid").alias("item"), "path")
-    pairs = uids.crossJoin(F.broadcast(types))  # a handful of types
+    known = uids.join(files.where(F.col("asset_type").isin(list(types))), "uid").select(F.lit("object").alias("kind"), F.col("asset_type").alias("subkind"), F.col("uid").alias("item"), "path")
+    pairs = uids.select("uid", F.explode(F.array(*map(F.lit, types))).alias("asset_type"))
     absent = pairs.join(files.select("uid", "asset_type"), ["uid", "asset_type"], "left_anti")
     return known.unionByName(absent.select(F.lit("object").alias("kind"), F.col("asset_type").alias("subkind"), F.col("uid").alias("item"), F.lit(None).cast("string").alias("path")))
 
