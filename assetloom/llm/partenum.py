@@ -14,9 +14,11 @@ sets that aren't alike, so they aren't signed. Two sets can agree on empty parts
 of their parts hold anything: such a set signs again with another hashing (the last of ``SCHEMES`` signs
 the empty subsets too). The spare parts make that rare.
 
-Documents that share a signature are chained: those of a batch before anything is shuffled, so a
-signature that very many documents share is sent once for each batch. What hangs together is a candidate
-group; of equal sets one takes part. Groups are cut into blocks of bounded size, and each pair of blocks is verified exactly
+More than that: similar sets share at least ``parts - k`` parts, less those that are empty. A set of whose
+parts fewer than so many are shared with any other document is like none, so its signatures go before
+documents are tied together; a passage that many documents share doesn't tie them. What hangs together
+by shared signatures is a candidate group; of equal sets one takes part.
+Groups are cut into blocks of bounded size, and each pair of blocks is verified exactly
 with an inverted index, whatever the group's size; only spanning links leave the task.
 
 Defined results: null, empty or blank text has an empty set and links with nothing; fewer words than n
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, documents, hash_words, mix, ngram_hashes, signed, text_bytes, word_hash
+from .common import cut, documents, hash_words, mix, ngram_hashes, signed, text_bytes
 
 #: Shingles of a block of a candidate group.
 BLOCK = 200_000
@@ -92,30 +94,35 @@ class Bands:
             parts = k + 2 + int(1.3 * parts * math.exp(-least / parts))
         return parts + parts % 2
 
-    def signatures(self, elements: np.ndarray) -> np.ndarray:
-        """Signatures of a set, for all bands that it signs for."""
-        found = []
+    def signatures(self, elements: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(signatures, codes) of a set for all bands that it signs for.
+
+        A code says the band and hashing, and below bit 32 how many of their signatures the set must share to be like another.
+        """
+        found, codes = [_EMPTY], []
         bands = self.of(len(elements))
-        if not bands:
-            return _EMPTY
-        value = mix(elements ^ _SUM)
-        low, high = (value & np.uint64(0xFFFFFFFF)).astype(float), (value >> np.uint64(32)).astype(float)
+        if bands:
+            value = mix(elements ^ _SUM)
+            low, high = (value & np.uint64(0xFFFFFFFF)).astype(float), (value >> np.uint64(32)).astype(float)
         for band, k in bands:
             parts = self.parts(band, k)
             for scheme in range(SCHEMES):
                 place = mix(elements ^ (_PART + np.uint64(scheme))) >> np.uint64(32)
                 part = (place * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
                 sums = [np.bincount(part, x, parts) for x in (None, low, high)]
-                again = np.count_nonzero(sums[0]) <= k and scheme < SCHEMES - 1
+                need = np.count_nonzero(sums[0]) - k
                 if k <= 4:
                     first, second = np.array(list(combinations(range(parts), 2))).T
                     sums = [s[first] + s[second] for s in sums]
-                number = np.arange(len(sums[0]), dtype=np.uint64) + np.uint64(band << 40 | scheme << 32)
+                slot = band << 8 | scheme
+                number = np.arange(len(sums[0]), dtype=np.uint64) + np.uint64(slot << 32)
                 own = mix(mix(sums[1].astype(np.uint64) + (number << np.uint64(1))) + sums[2].astype(np.uint64) * _KEY + number)
-                found.append(own if scheme == SCHEMES - 1 else own[sums[0] > 0])
-                if not again:
+                last = scheme == SCHEMES - 1
+                found.append(own if last else own[sums[0] > 0])
+                codes += [slot << 32 | (1 if k <= 4 or last else max(1, need))] * len(found[-1])
+                if need > 0:
                     break
-        return np.concatenate(found)
+        return np.concatenate(found), np.array(codes, np.int64)
 
 
 def sets(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -137,29 +144,39 @@ def sets(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> Da
 
 
 def signature_rows(docs: DataFrame, n: int, p: int, q: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(signature, id): each signature once for each batch of documents; a document whose signature another of the batch has sent is tied to that one by a signature of their own."""
+    """(signature, id, code); of documents of a batch that have equal sets one signs."""
 
     def sign(batches: Iterator[pa.RecordBatch]):
         bands = Bands(p, q)
         for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
-                own = [bands.signatures(e) if len(e := shingle_set(raw, n)) else _EMPTY for raw in text_bytes(part.column(1))]
-                rows = np.repeat(np.arange(len(own)), [len(o) for o in own])
-                every = np.concatenate(own)
-                order = np.argsort(every, kind="stable")
-                every, rows = every[order], rows[order]
-                head = np.concatenate([[True], every[1:] != every[:-1]])[: len(every)]
-                leader = rows[head][np.cumsum(head) - 1]
-                ties = np.unique(leader[~head] * len(own) + rows[~head])
-                one, two = ties // len(own), ties % len(own)
-                one, two = one[one != two], two[one != two]
-                names = np.array([word_hash(f"{part.column(0)[int(a)]} {part.column(0)[int(b)]}".encode()) for a, b in zip(one, two, strict=True)], np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate([every[head], names, names]))), part.column(0).take(pa.array(np.concatenate([rows[head], one, two])))], ["signature", "id"])
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                rows, found, codes, seen = [], [_EMPTY], [np.zeros(0, np.int64)], set()
+                for i, raw in enumerate(text_bytes(part.column(1))):
+                    elements = shingle_set(raw, n)
+                    same = mix(elements ^ _KEY).sum(dtype=np.uint64)
+                    if len(elements) and same not in seen:
+                        seen.add(same)
+                        own, code = bands.signatures(elements)
+                        rows.append(np.full(len(own), i))
+                        found.append(own)
+                        codes.append(code)
+                at = pa.array(np.concatenate([np.zeros(0, np.int64), *rows]))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(found))), part.column(0).take(at), pa.array(np.concatenate(codes))], ["signature", "id", "code"])
 
     kind = docs.schema[key].dataType.simpleString()
     usable = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    return usable.mapInArrow(sign, f"signature long, id {kind}")
+    return usable.mapInArrow(sign, f"signature long, id {kind}, code long")
+
+
+def candidate_edges(rows: DataFrame) -> DataFrame:
+    """(a, b): documents tied by signatures, each to the smallest with the same, of documents that share enough of theirs."""
+    bucket = Window.partitionBy("signature")
+    shared = rows.withColumn("least", F.min("id").over(bucket)).withColumn("most", F.max("id").over(bucket)).where("least < most")
+    shared = cut(shared.select("signature", "id", "code"), "jaccard-shared")
+    enough = shared.groupBy("id", "code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.col("code").bitwiseAND(F.lit(0xFFFFFFFF))).select("id", "code")
+    kept = shared.join(enough, ["id", "code"])
+    return kept.select(F.col("id").alias("a"), F.min("id").over(bucket).alias("b")).where("a <> b").distinct()
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -264,9 +281,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, k
     known = cut(sets(docs, n, key, text), "jaccard-sets")
     usable = known.where("n_shingles > 0 and id is not null")
     classes = usable.groupBy("k1", "k2").agg(F.min("id").alias("class"))
-    before = F.lag("id").over(Window.partitionBy("signature").orderBy("id"))
-    chained = signature_rows(docs, n, p, q, key, text).select(F.col("id").alias("a"), before.alias("b")).where("a <> b").distinct()
-    grouped = components(chained, "jaccard-candidates")
+    owner = cut(usable.join(classes, ["k1", "k2"]).select("id", "class").distinct(), "jaccard-classes")
+    edges = candidate_edges(signature_rows(docs, n, p, q, key, text))
+    for end in ("a", "b"):  # equal sets stand for each other
+        edges = edges.join(owner.select(F.col("id").alias(end), "class"), end).drop(end).withColumnRenamed("class", end)
+    grouped = components(edges, "jaccard-candidates")
 
     first = usable.join(classes.select(F.col("class").alias("id")).distinct(), "id")
     first = grouped.join(first.groupBy("id").agg(F.sum("n_shingles").alias("n")), "id")
