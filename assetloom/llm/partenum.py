@@ -18,7 +18,7 @@ More than that: similar sets share at least ``parts - k`` parts, less those that
 parts fewer than so many are shared with any other document is like none, so its signatures go before
 documents are tied together; a passage that many documents share doesn't tie them. What hangs together
 by shared signatures is a candidate group; of equal sets one takes part.
-Groups are cut into blocks of bounded size, and each pair of blocks is verified exactly
+Groups are parted by set size (similar sets have similar sizes) and cut into blocks of bounded size, and each pair of blocks is verified exactly
 with an inverted index, whatever the group's size; only spanning links leave the task.
 
 Defined results: null, empty or blank text has an empty set and links with nothing; fewer words than n
@@ -289,10 +289,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, k
 
     first = usable.join(classes.select(F.col("class").alias("id")).distinct(), "id")
     first = grouped.join(first.groupBy("id").agg(F.sum("n_shingles").alias("n")), "id")
-    sizes = first.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = cut(first.join(sizes, "root").select("id", "root", "blocks"), "jaccard-groups")
+    # similar sets lie in one band of sizes or in neighbouring ones, so each goes to two windows of two bands
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(1.001 * math.log(q / p)))
+    first = first.select("id", "root", "n", F.explode(F.array(band, band - 1)).alias("window"))
+    sizes = first.groupBy("root", "window").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    members = cut(first.join(sizes, ["root", "window"]).select("id", F.concat_ws(":", "root", "window").alias("group"), "blocks"), "jaccard-groups")
     texts = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(members, "id")
-    links = cut(verified_links(texts.select(F.col("root").alias("group"), "id", "blocks", "text"), n, p, q), "jaccard-links")
+    links = cut(verified_links(texts.select("group", "id", "blocks", "text"), n, p, q), "jaccard-links")
     roots = components(links, "jaccard-components").withColumnRenamed("id", "class")
 
     rows = known.join(classes, ["k1", "k2"], "left").join(roots, "class", "left")
