@@ -10,8 +10,9 @@ The posterior of a language multiplies four kinds of evidence:
 * the host: their languages by grouped counts of the first two kinds' decisions over all rows, each
   level smoothed towards the one above with ``STRENGTH`` rows: all rows, suffix, host.
 
-One more class, ``und``, has all trigrams alike: a text that fits it better than any language is no
-language. Rows that come out as ``und`` or have no text are rejected.
+One more class, ``und``, gives every trigram the same likelihood, halfway (in logarithms) between that of
+equally frequent trigrams and that of one never seen: numbers and addresses in a text don't make it
+foreign to every language, but a text of unseen trigrams is no language. Rows that come out as ``und`` or have no text are rejected.
 
 Defined results: null or empty text is ``und``; null declared language, suffix or host adds nothing;
 a declared language that isn't known adds nothing; ties go to the language that comes first in the
@@ -70,6 +71,12 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
     return languages, np.log(table / table.sum(0)).astype(np.float32)
 
 
+def unknown_rate(table: np.ndarray) -> float:
+    """Log-likelihood of any trigram in no language."""
+    alike = -float(np.log(BUCKETS))
+    return (alike + float(table.min())) / 2 if table.size else alike
+
+
 def text_evidence(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """Adds ``evidence``: tempered log-likelihoods of ``text`` in each language, then in none; null without text."""
     shared = rows.sparkSession.sparkContext.broadcast(model[1])
@@ -77,7 +84,7 @@ def text_evidence(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataF
 
     def look(batches: Iterator[pa.RecordBatch]):
         table = shared.value
-        none = -float(np.log(BUCKETS))
+        none = unknown_rate(table)
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)

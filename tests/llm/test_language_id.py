@@ -45,7 +45,7 @@ def test_posterior_by_hand(spark):
     rows = spark.createDataFrame([(1, 1, "in", "en", "com", "a.com")], ROWS)
     (r,) = identify(rows, model).collect()
     at = trigrams(b"in")
-    ll = np.append(model[1][at].sum(0, dtype=float) / 4, -len(at) * np.log(BUCKETS) / 4)
+    ll = np.append(model[1][at].sum(0, dtype=float) / 4, len(at) * (model[1].min() - np.log(BUCKETS)) / 2 / 4)
     ll += np.log([0.05, 0.9, 0.05, 1.0])
     own = np.eye(4)[np.argmax(ll)]
     top = (own + 1) / (own + 1).sum()
