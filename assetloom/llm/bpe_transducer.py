@@ -15,6 +15,7 @@ encoded whole.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import mmap
 import struct
@@ -29,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import cut, documents, most_frequent
 
 #: Distinct white-space-free chunks that a worker remembers, and counts that it holds before it emits them.
 CHUNK_CACHE = 200_000
@@ -39,6 +40,9 @@ COUNT_CACHE = 400_000
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 WORD_END = "</w>"
 
+#: Beyond all ids and all ranks.
+PAD, NO_RANK = (1 << 20) - 1, 1 << 40
+
 #: Code points that Python's split() takes as white space and the vocabulary's normalizer doesn't.
 SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 WHITE = regex.compile(r"[^\t-\r \x85\xa0  -     　]+")
@@ -78,28 +82,96 @@ class Vocabulary:
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special))) + ")") if self.special else None
         self.symbols = byte_symbols()
+        self.tables = None
 
     def merge(self, word: bytes) -> list[int]:
-        """Token ids of one pre-token: merge the best-ranked pair everywhere until none is left."""
+        """Token ids of one pre-token: the best-ranked pair first, of equals the leftmost.
+
+        A heap of pairs over a linked list, so long words take n log n steps.
+        """
         parts = [self.symbols[b] for b in word]
         parts[-1] += WORD_END
-        ranks, none = self.ranks, 1 << 60
-        while len(parts) > 1:
-            scores = [ranks.get(pair, none) for pair in zip(parts, parts[1:])]
-            best = min(scores)
-            if best == none:
-                break
-            merged, i, last = [], 0, len(parts) - 1
-            while i <= last:
-                if i < last and scores[i] == best:
-                    merged.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    merged.append(parts[i])
-                    i += 1
-            parts = merged
+        count, ranks = len(parts), self.ranks
+        after, before = list(range(1, count + 1)), list(range(-1, count - 1))
+        heap = [(r, i, parts[i], parts[i + 1]) for i in range(count - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, left, right = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] != left or j >= count or parts[j] != right:
+                continue
+            parts[i], parts[j] = left + right, ""
+            after[i] = k = after[j]
+            if k < count:
+                before[k] = i
+                if (r := ranks.get((parts[i], parts[k]))) is not None:
+                    heapq.heappush(heap, (r, i, parts[i], parts[k]))
+            h = before[i]
+            if h >= 0 and (r := ranks.get((parts[h], parts[i]))) is not None:
+                heapq.heappush(heap, (r, h, parts[h], parts[i]))
         return [self.ids[p] for p in parts if p in self.ids]
 
+    def merge_many(self, words: list[bytes]) -> list[list[int]]:
+        """``merge`` of many words at once: short ones in step, a merge of each at a time."""
+        found: list = [None] * len(words)
+        for low, high in ((0, 6), (6, 12), (12, 24)):
+            at = [i for i, w in enumerate(words) if low < len(w) <= high]
+            if at:
+                for i, ids in zip(at, self._merge_in_step([words[i] for i in at], high), strict=True):
+                    found[i] = ids
+        return [self.merge(w) if ids is None else ids for w, ids in zip(words, found, strict=True)]
+
+    def _tables(self):
+        """Ids of bytes inside and at the end of words; sorted pairs of ids with their ranks and results."""
+        ids = self.ids
+        inner = np.array([ids[s] for s in self.symbols])
+        last = np.array([ids[s + WORD_END] for s in self.symbols])
+        keys = np.array([ids[a] << 20 | ids[b] for a, b in self.ranks], np.int64)
+        results = np.array([ids[a + b] for a, b in self.ranks], np.int64)
+        order = np.argsort(keys)
+        return inner, last, np.append(keys[order], 1 << 62), np.append(np.array(list(self.ranks.values()))[order], NO_RANK), np.append(results[order], -1)
+
+    def _merge_in_step(self, words: list[bytes], width: int) -> list[list[int]]:
+        if self.tables is None:
+            self.tables = self._tables()
+        inner, last, keys, ranks, results = self.tables
+        size = np.array([len(w) for w in words])
+        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)
+        row = np.arange(len(words))
+        ids = inner[raw]
+        ids[row, size - 1] = last[raw[row, size - 1]]
+        ids[np.arange(width) >= size[:, None]] = PAD
+        ids = np.concatenate([ids, np.full((len(words), 1), PAD)], 1)
+
+        def look(a, b):
+            wanted = a << 20 | b
+            at = np.searchsorted(keys, wanted)
+            return np.where(keys[at] == wanted, at, len(keys) - 1)
+
+        pair = look(ids[:, :-1], ids[:, 1:])
+        rank = ranks[pair]
+        place = np.arange(width + 1)
+        out: list = [None] * len(words)
+        while True:
+            best = rank.argmin(1)
+            going = rank[np.arange(len(row)), best] < NO_RANK
+            for i, x in zip(row[~going].tolist(), ids[~going].tolist(), strict=True):
+                out[i] = x[: x.index(PAD)]
+            if not going.any():
+                return out
+            row, ids, pair, rank, best = row[going], ids[going], pair[going], rank[going], best[going]
+            at = np.arange(len(row))
+            ids[at, best] = results[pair[at, best]]
+            shift = np.minimum(place + (place > best[:, None]), width)
+            ids = np.take_along_axis(ids, shift, 1)
+            ids[:, -1] = PAD
+            pair = np.take_along_axis(pair, shift[:, :-1] - (shift[:, :-1] == width), 1)
+            pair[:, -1] = len(keys) - 1
+            pair[at, best] = look(ids[at, best], ids[at, best + 1])
+            left = np.maximum(best - 1, 0)
+            pair[at, left] = look(ids[at, left], ids[at, left + 1])
+            rank = ranks[pair]
+
     def decode(self, ids) -> str:
         """The vocabulary file has no decoder: tokens are joined by spaces."""
         return " ".join(self.tokens[int(i)] for i in ids)
@@ -211,41 +283,49 @@ class Codec:
         self.known: dict[str, bytes] = {}
         self.decoded: dict[str, str] = {}
 
-    def learn(self, chunk: str) -> None:
-        ids: list[int] = []
-        for piece in PATTERN.findall(chunk):
-            word = piece.encode()
-            found = self.lexicon.get(word) if self.lexicon else None
-            ids += self.vocabulary.merge(word) if found is None else found
-        self.known[chunk] = np.array(ids, "<u4").tobytes()
-        self.decoded[chunk] = self.vocabulary.decode(ids)
-
-    def run(self, text: str) -> tuple[list[bytes], list[str]]:
-        found = chunks(normalize(text))
-        known = self.known
+    def learn(self, unknown: list[str]) -> None:
+        pieces = [[p.encode() for p in PATTERN.findall(chunk)] for chunk in unknown]
+        ids = {w: None for ps in pieces for w in ps}
+        if self.lexicon:
+            get = self.lexicon.get
+            ids = {w: get(w) for w in ids}
+        rest = [w for w, found in ids.items() if found is None]
+        ids.update(zip(rest, self.vocabulary.merge_many(rest), strict=True))
+        tokens = self.vocabulary.tokens
+        for chunk, ps in zip(unknown, pieces, strict=True):
+            all_ids = ids[ps[0]] if len(ps) == 1 else [i for w in ps for i in ids[w]]
+            self.known[chunk] = struct.pack(f"<{len(all_ids)}I", *all_ids)
+            self.decoded[chunk] = " ".join([tokens[i] for i in all_ids])
+
+    def encode_many(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """(ids as little-endian unsigned 32-bit integers, text decoded from the ids) of each text."""
+        vocabulary, known, decoded = self.vocabulary, self.known, self.decoded
         if len(known) > CHUNK_CACHE:
             known.clear()
-            self.decoded.clear()
-        for chunk in set(found).difference(known):
-            self.learn(chunk)
-        return [known[c] for c in found], [x for c in found if (x := self.decoded[c])]
+            decoded.clear()
+        split = []
+        for text in texts:
+            if vocabulary.special_split and "<|" in text:
+                parts = [p for p in vocabulary.special_split.split(text) if p]
+            else:
+                parts = [text]
+            split.append([([p], True) if p in vocabulary.special else (chunks(normalize(p)), False) for p in parts])
+        self.learn(list({c for parts in split for found, special in parts if not special for c in found}.difference(known)))
+        out = []
+        for parts in split:
+            ids, words = [], []
+            for found, special in parts:
+                if special:
+                    ids.append(struct.pack("<I", vocabulary.special[found[0]]))
+                    words += found
+                else:
+                    ids += map(known.__getitem__, found)
+                    words += map(decoded.__getitem__, found)
+            out.append((b"".join(ids), " ".join(filter(None, words))))
+        return out
 
     def encode(self, text: str) -> tuple[bytes, str]:
-        """(ids as little-endian unsigned 32-bit integers, text decoded from the ids)."""
-        vocabulary = self.vocabulary
-        if vocabulary.special_split and "<|" in text:
-            ids, words = [], []
-            for part in vocabulary.special_split.split(text):
-                if part in vocabulary.special:
-                    ids.append(struct.pack("<I", vocabulary.special[part]))
-                    words.append(part)
-                elif part:
-                    a, b = self.run(part)
-                    ids += a
-                    words += b
-        else:
-            ids, words = self.run(text)
-        return b"".join(ids), " ".join(words)
+        return self.encode_many([text])[0]
 
 
 _codecs: dict[str, Codec] = {}
@@ -276,8 +356,8 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def fit_lexicon(docs: DataFrame, vocabulary: Vocabulary, lexicon_size: int, text: str = "text") -> bytes:
-    """Compile the ``lexicon_size`` most frequent words (ties by word) of all documents."""
-    top = word_counts(docs, text).orderBy(F.desc("n"), "word").limit(lexicon_size).select("word").collect()
+    """Compile the most frequent words of all documents, ``lexicon_size`` at most."""
+    top = most_frequent(cut(word_counts(docs, text), "lexicon-counts"), lexicon_size).select("word").collect()
     return compile_lexicon({w.encode(): vocabulary.merge(w.encode()) for (w,) in top})
 
 
@@ -312,9 +392,9 @@ def _run(docs, vocabulary_path, lexicon_size, key, text, schema, row):
             raw, compiled = shared.value
             codec = _codecs[token] = Codec(Vocabulary(raw), Lexicon(compiled))
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                rows = [row(*codec.encode(t.as_py() or "")) for t in part.column(1)]
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                rows = [row(*x) for x in codec.encode_many([t or "" for t in part.column(1).to_pylist()])]
                 columns = [pa.array([r[i] for r in rows], arrow[t]) for i, t in enumerate(types)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], [key, *names])
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import struct
 
 import public_tokenizers
@@ -29,6 +30,18 @@ def test_lexicon_holds_its_words_and_no_others():
     assert Lexicon(compile_lexicon({})).get(b"a") is None
 
 
+def test_merging_in_step_equals_merging_alone(library):
+    encode, _ = library
+    with open(PATH, "rb") as file:
+        vocabulary = Vocabulary(file.read())
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abetinorsé漢", k=rng.randint(1, 30))) for _ in range(3000)] + ["a" * n for n in range(1, 40)]
+    words = [w for w in words if "漢" not in w or len(w) < 9]
+    got = vocabulary.merge_many([w.encode() for w in words])
+    assert got == [vocabulary.merge(w.encode()) for w in words]
+    assert got == [encode(w) for w in words]
+
+
 def test_codec_equals_library(library):
     encode, decode = library
     with open(PATH, "rb") as file:
