@@ -380,11 +380,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id",
     """The documents, less the repeated words (what is left is joined by single spaces); rows that lose all their words go."""
     scan, changed = removals(docs, window, key=key, text=text)
     gone = scan.where("copy").select("id", "content").distinct()
-    rows = docs.withColumn("content_", content_of(F.col(text)))
-    rows = rows.join(gone, (rows[key] == gone["id"]) & (rows["content_"] == gone["content"]), "left_anti")
-    new = changed.select(F.col("id").alias("id_"), F.col("content").alias("of_"), F.col("kept").alias("kept_"))
-    rows = rows.join(new, (F.col(key) == F.col("id_")) & (F.col("content_") == F.col("of_")), "left").where("kept_ is null or kept_ <> ''")
-    return rows.withColumn(text, F.coalesce("kept_", text)).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("id"), content_of(F.col(text)).alias("content"))  # whatever the columns are called
+    rows = rows.join(gone, ["id", "content"], "left_anti").join(changed.select("id", "content", "kept"), ["id", "content"], "left").where("kept is null or kept <> ''")
+    own = F.col("row")
+    return rows.select(*[(F.coalesce("kept", own[c]) if c == text else own[c]).alias(c) for c in docs.columns])
 
 
 def op6_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
