@@ -288,18 +288,22 @@ def jaccard_components(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, k
     grouped = components(edges, "jaccard-candidates")
 
     first = usable.join(classes.select(F.col("class").alias("id")).distinct(), "id")
-    first = grouped.join(first.groupBy("id").agg(F.sum("n_shingles").alias("n")), "id")
-    # similar sets lie in one band of sizes or in neighbouring ones, so each goes to two windows of two bands
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(1.001 * math.log(q / p)))
-    first = first.select("id", "root", "n", F.explode(F.array(band, band - 1)).alias("window"))
+    # similar sets lie in one band of sizes or in neighbouring ones, so each goes to two windows of two bands; a document of several sets to those of each
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(1.001 * math.log(q / p)))
+    first = grouped.join(first.groupBy("id").agg(F.sum("n_shingles").alias("n"), F.collect_set(band).alias("bands")), "id")
+    windows = F.array_union("bands", F.transform("bands", lambda b: b - 1))
+    first = first.select("id", "root", "n", F.explode(windows).alias("window"))
     sizes = first.groupBy("root", "window").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"), F.count(F.lit(1)).alias("members")).where("members > 1")
     members = cut(first.join(sizes, ["root", "window"]).select("id", F.concat_ws(":", "root", "window").alias("group"), "blocks"), "jaccard-groups")
     texts = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(members, "id")
     links = cut(verified_links(texts.select("group", "id", "blocks", "text"), n, p, q), "jaccard-links")
-    roots = components(links, "jaccard-components").withColumnRenamed("id", "class")
+    several = owner.groupBy("id").agg(F.min("class").alias("b"), F.max("class").alias("most")).where("b < most")
+    own = owner.join(several, "id").where("class <> b").select(F.col("class").alias("a"), "b")  # sets of one document hang together
+    roots = components(links.unionByName(own), "jaccard-components").withColumnRenamed("id", "class")
 
-    rows = known.join(classes, ["k1", "k2"], "left").join(roots, "class", "left")
-    return rows.select(F.col("id").alias(key), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("root", "class", "id")).alias("component_id"))
+    whole = owner.join(roots, "class", "left").groupBy("id").agg(F.min(F.coalesce("root", "class")).alias("root"))
+    rows = known.join(whole, "id", "left")
+    return rows.select(F.col("id").alias(key), "n_shingles", F.coalesce("root", "id").alias("component_id"))
 
 
 def op3_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:

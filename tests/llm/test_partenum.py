@@ -117,6 +117,17 @@ def test_odd_rows(spark):
     assert len(shingle_set(b"A b", 3)) == 1
 
 
+@pytest.mark.parametrize("p,q", [(90, 100), (80, 100)])
+def test_repeated_ids_with_near_copies(spark, p, q):
+    words = [[f"{c}{i}" for i in range(90)] for c in "abcd"]
+    a, b, c, d = map(" ".join, words)
+    docs = [(1, a), (1, a), (2, a + " end"), (10, b), (10, " ".join(words[2][:40])), (11, b + " end"), (12, " ".join(words[2][:40]) + " end")]
+    docs += [(20, d), (21, d), (21, c + " x"), (22, c + " x"), (23, c + " y")]  # both texts of 21 are another's too
+    docs += [(i + 100, t) for i, t in made_up(7, 120, 3)] + [(i % 40 + 2000, t) for i, t in made_up(8, 120, 3)]
+    got = jaccard_components(spark.createDataFrame(docs, SCHEMA), 3, p, q).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(docs, 3, p, q)
+
+
 def test_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
