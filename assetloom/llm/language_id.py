@@ -3,8 +3,9 @@
 The posterior of a language multiplies four kinds of evidence:
 
 * the text's likelihood under the language's byte trigrams (hashed to ``BUCKETS``), learnt from
-  labelled rows, ``SAMPLE`` at most (those with the smallest hash of their id); its logarithm is
-  divided by ``TEMPER`` since neighbouring trigrams say the same;
+  labelled rows, ``SAMPLE`` at most, dealt evenly over the labels of all rows (a label with fewer rows gives
+  all of them, the others those with the smallest hash of their id); unseen trigrams are equally likely in
+  each language; the logarithm is divided by ``TEMPER`` since neighbouring trigrams say the same;
 * the declared markup language, which is right with probability ``DECLARED_RIGHT``;
 * the address suffix, and
 * the host: their languages by grouped counts of the first two kinds' decisions over all rows, each
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, documents, text_bytes
@@ -49,9 +50,21 @@ def trigrams(raw: bytes) -> np.ndarray:
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """(languages, log-likelihoods by bucket and language) from rows (id, text, label)."""
-    rows = labelled.where(F.col("label").isNotNull() & F.col("text").isNotNull())
-    chosen = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = rows.join(F.broadcast(chosen), "id").select("label", "text")
+    rows = labelled.where(F.col("label").isNotNull() & (F.col("text") != ""))
+    ids = rows.where(F.col("id").isNotNull()).select("id", "label").distinct()
+    counts = sorted(((r["label"], r["count"]) for r in ids.groupBy("label").count().collect()), key=lambda x: (-x[1], x[0]))[:sample]
+    quotas, left = [], sample
+    for k, (label, n) in enumerate(reversed(counts)):  # the rarest first: what they leave goes to the others
+        quota = min(n, left // (len(counts) - k))
+        left -= quota
+        # about as many by the hash, and some more to choose from
+        quotas.append((label, quota, min(1.0, (quota + 8 * quota**0.5 + 50) / n)))
+    limits = rows.sparkSession.createDataFrame(quotas, "label string, quota int, share double")
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    near = ids.join(F.broadcast(limits), "label").withColumn("place", place).where("place <= share")
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("place", "id")))
+    chosen = ranked.where("rank <= quota").select("id", "label")
+    rows = rows.join(F.broadcast(chosen), ["id", "label"]).select("label", "text")
 
     def count(batches: Iterator[pa.RecordBatch]):
         sums: dict[str, np.ndarray] = {}
@@ -66,9 +79,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
 
     found = rows.mapInArrow(count, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["label"].unique())
-    table = np.full((BUCKETS, len(languages)), 0.5)
+    table = np.zeros((BUCKETS, len(languages)))
     table[found["bucket"], found["label"].map(languages.index)] += found["n"]
-    return languages, np.log(table / table.sum(0)).astype(np.float32)
+    seen = table.sum(0)
+    unseen = 0.5 / (BUCKETS / 2 + seen.max(initial=0))  # the same in each language, however little text it has
+    return languages, np.log((1 - BUCKETS * unseen) * table / seen + unseen).astype(np.float32)
 
 
 def unknown_rate(table: np.ndarray) -> float:

@@ -40,6 +40,18 @@ def test_evidence_is_fused(spark):
     assert identify(spark.createDataFrame(rows[:1], ROWS).limit(0), model).count() == 0
 
 
+def test_rare_and_thin_languages(spark):
+    rare = spark.createDataFrame([(1000 + i, "och att det som en " * 3, "sv") for i in range(2)], "id long, text string, label string")
+    for sample in (8, 40, 8000):
+        model = fit(labelled(spark).unionByName(rare), sample)
+        assert model[0] == ["de", "en", "fr", "sv"]
+        rows = [(1, 1, "%%%% #### @@@@ $$$$ " * 20, None, None, None), (2, 2, "och det som att en " * 4, None, None, None), (3, 3, "7391 +++ ~~ 0x5f " * 20, "sv", None, None)]
+        got = {r.id: r for r in identify(spark.createDataFrame(rows, ROWS), model).collect()}
+        assert [got[i].accepted for i in (1, 2, 3)] == [False, True, False] and got[2].lang == "sv"
+        # what nobody has seen says nothing for the language with the least text
+        assert np.allclose(model[1].min(0), model[1].min())
+
+
 def test_posterior_by_hand(spark):
     model = fit(labelled(spark))
     rows = spark.createDataFrame([(1, 1, "in", "en", "com", "a.com")], ROWS)
