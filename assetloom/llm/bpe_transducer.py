@@ -215,12 +215,17 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
             number[state] = len(order)
             order.append(state)
             stack.extend(edges[state].values())
-    reach: dict[int, int] = {}
-
-    def words_below(state: int) -> int:
-        if state not in reach:
-            reach[state] = final[state] + sum(words_below(t) for t in edges[state].values())
-        return reach[state]
+    reach: dict[int, int] = {}  # words below each state, its targets first
+    for start in order:
+        waiting = [start]
+        while waiting:
+            state = waiting[-1]
+            missing = [t for t in edges[state].values() if t not in reach]
+            if missing:
+                waiting.extend(missing)
+            else:
+                reach[state] = final[state] + sum(reach[t] for t in edges[state].values())
+                waiting.pop()
 
     first, labels, targets, outputs = [0], bytearray(), [], []
     for state in order:
@@ -230,7 +235,7 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
             labels.append(label)
             targets.append(number[target])
             outputs.append(below)
-            below += words_below(target)
+            below += reach[target]
         first.append(len(labels))
     ids = [entries[w] for w in ordered]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]) if ids else np.zeros(1)

@@ -30,6 +30,13 @@ def test_lexicon_holds_its_words_and_no_others():
     assert Lexicon(compile_lexicon({})).get(b"a") is None
 
 
+def test_lexicon_holds_very_long_words():
+    entries = {b"x" * 30_000: [1], b"x" * 29_999 + b"y": [2], b"-" * 5000: [3], b"x": [4]}
+    lexicon = Lexicon(compile_lexicon(entries))
+    assert all(lexicon.get(w) == ids for w, ids in entries.items())
+    assert lexicon.get(b"x" * 29_999) is None
+
+
 def test_merging_in_step_equals_merging_alone(library):
     encode, _ = library
     with open(PATH, "rb") as file:
