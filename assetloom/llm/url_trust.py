@@ -3,9 +3,12 @@
 Rules (host, path) allow or block a URL; the longest fitting rule wins. Pages without a rule are
 judged by their host: trust flows from hosts whose pages rules allow along links, distrust flows from
 hosts whose pages rules block against links (who links to bad hosts is suspect). Both are personalised
-PageRanks, each host's seed being the share of its pages that rules allow or block. A host whose
-distrust exceeds its trust by ``threshold`` or more is blocked, any other allowed. Links of a host to
-itself say nothing; a host without links to others keeps its own seed.
+PageRanks, each host's seed being the share of its pages that rules allow or block. The size of a rank
+says how a host is linked, so what a host gets along links is divided by what it would get if every host
+had a full seed: the share of trusted (distrusted) origins in it, whoever else shares them. The ruled
+part of a host's pages speaks for itself, these shares speak for the rest. A host whose distrust so
+exceeds its trust by ``threshold`` or more, or whose seeds alone do, is blocked, any other allowed.
+Links of a host to itself say nothing; a host without links to others keeps its own seed.
 
 Only hosts and distinct host edges enter the iteration. It runs until no score moves by more than
 ``tolerance`` and cuts its lineage every few rounds by a table in the shared folder.
@@ -59,9 +62,10 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most_rounds: int = 200, rounds_per_cut: int = 5) -> DataFrame:
-    """(host, trust, distrust) from seeds (host, trust, distrust) over edges (src, dst, n).
+    """(host, trust, distrust, trust_share, distrust_share) from seeds (host, trust, distrust) over edges (src, dst, n).
 
-    Trust passes along edges, distrust against them, each split by the edges' counts.
+    Trust passes along edges, distrust against them, each split by the edges' counts. A share is what a host
+    got last, divided by what it would have got if every seed were 1; 0 if it gets nothing.
     """
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = both.groupBy("kind", "src").agg(F.sum("n").alias("all"))
@@ -69,18 +73,23 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, toleran
     linked = shares.select("kind", F.col("src").alias("host")).distinct().withColumn("linked", F.lit(True))
     hosts = seeds.select("host").unionByName(edges.select(F.explode(F.array("src", "dst")).alias("host"))).distinct()
     start = hosts.join(seeds, "host", "left").select("host", F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.coalesce("trust", F.lit(0.0)).alias("seed")), F.struct(F.lit("distrust").alias("kind"), F.coalesce("distrust", F.lit(0.0)).alias("seed")))).alias("x")).select("host", "x.*")
-    ranks = cut(start.join(linked, ["kind", "host"], "left").select("kind", "host", "seed", F.coalesce("linked", F.lit(False)).alias("linked"), F.col("seed").alias("rank"), F.col("seed").alias("before")), "trust-ranks")
+    ranks = cut(start.join(linked, ["kind", "host"], "left").select("kind", "host", "seed", F.coalesce("linked", F.lit(False)).alias("linked"), F.col("seed").alias("rank"), F.col("seed").alias("before"), F.lit(1.0).alias("even"), F.lit(1.0).alias("even_before"), F.lit(0.0).alias("share")), "trust-ranks")
     for done in range(rounds_per_cut, most_rounds + 1, rounds_per_cut):
         for _ in range(rounds_per_cut):
-            sent = ranks.where("rank > 0").select("kind", F.col("host").alias("src"), "rank").join(shares, ["kind", "src"])
-            got = sent.groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-            kept = F.when(F.col("linked"), F.lit(0.0)).otherwise(F.col("rank"))  # nowhere to go: it stays
-            ranks = ranks.join(got, ["kind", "host"], "left").select("kind", "host", "seed", "linked", ((1 - damping) * F.col("seed") + damping * (kept + F.coalesce("got", F.lit(0.0)))).alias("rank"), F.col("rank").alias("before"))
+            sent = ranks.select("kind", F.col("host").alias("src"), "rank", "even").join(shares, ["kind", "src"])
+            got = sent.groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"), F.sum(F.col("even") * F.col("share")).alias("even_got"))
+
+            def moved(name: str, seed: Column, got: str) -> Column:
+                kept = F.when(F.col("linked"), F.lit(0.0)).otherwise(F.col(name))  # nowhere to go: it stays
+                return (1 - damping) * seed + damping * (kept + F.coalesce(got, F.lit(0.0)))
+
+            share = F.coalesce(F.when(F.col("even_got") > 0, F.col("got") / F.col("even_got")), F.lit(0.0))
+            ranks = ranks.drop("share").join(got, ["kind", "host"], "left").select("kind", "host", "seed", "linked", moved("rank", F.col("seed"), "got").alias("rank"), F.col("rank").alias("before"), moved("even", F.lit(1.0), "even_got").alias("even"), F.col("even").alias("even_before"), share.alias("share"))
         ranks = cut(ranks, f"trust-ranks-{done}")
-        if (ranks.agg(F.max(F.abs(F.col("rank") - F.col("before")))).first()[0] or 0.0) <= tolerance:
+        if (ranks.agg(F.max(F.greatest(F.abs(F.col("rank") - F.col("before")), F.abs(F.col("even") - F.col("even_before"))))).first()[0] or 0.0) <= tolerance:
             break
-    each = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("rank"))).alias(kind)
-    return ranks.groupBy("host").agg(each("trust"), each("distrust"))
+    each = lambda kind, of: F.max(F.when(F.col("kind") == kind, F.col(of)))
+    return ranks.groupBy("host").agg(*(each(kind, of).alias(kind + end) for of, end in (("rank", ""), ("share", "_share")) for kind in ("trust", "distrust")))
 
 
 def judge(pages: DataFrame, rules: DataFrame, threshold: float = 0.5, key: str = "page_id", **options) -> DataFrame:
@@ -92,8 +101,13 @@ def judge(pages: DataFrame, rules: DataFrame, threshold: float = 0.5, key: str =
     of = lambda verdict: F.avg(F.when(F.col("fit.verdict") == verdict, 1.0).otherwise(0.0))
     seeds = ruled.where("host != ''").groupBy("host").agg(of("allow").alias("trust"), of("block").alias("distrust"))
     edges = cut(host_edges(pages.select(host(F.col("url")).alias("host"), "html")), "host-edges")
-    scores = propagate(cut(seeds, "trust-seeds"), edges, **options)
-    by_host = F.when(F.col("distrust") - F.col("trust") >= threshold, "block").otherwise("allow")
+    seeds = cut(seeds, "trust-seeds")
+    scores = propagate(seeds, edges, **options).join(seeds.select("host", F.col("trust").alias("own_trust"), F.col("distrust").alias("own_distrust")), "host", "left")
+    own = F.coalesce(F.col("own_distrust") - F.col("own_trust"), F.lit(0.0))
+    unruled = F.greatest(1 - F.coalesce(F.col("own_distrust") + F.col("own_trust"), F.lit(0.0)), F.lit(0.0))
+    excess = F.greatest(own, own + unruled * (F.col("distrust_share") - F.col("trust_share")))
+    scores = scores.select("host", "trust", "distrust", excess.alias("excess"))
+    by_host = F.when(F.col("excess") >= threshold, "block").otherwise("allow")
     return ruled.join(scores, "host", "left").select(key, "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", by_host).alias("verdict"), "trust", "distrust")
 
 

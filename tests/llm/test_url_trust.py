@@ -64,6 +64,18 @@ def test_links_spread_trust_and_distrust(spark):
     assert [r.verdict for r in judge(pages, rules.limit(0), damping=0.5, tolerance=1e-3).collect()] == ["allow"] * len(rows)
 
 
+def test_verdicts_at_production_damping(spark):
+    link = lambda *hosts: "".join(f'<a href="https://{h}/p">x</a>' for h in hosts)
+    rows = [(1, "http://bad.net/x", ""), (2, "http://bad.net", ""), (3, "http://bad.net/y", "")]  # page 2 has no rule
+    rows += [(10 + i, f"http://fan{i}.com/x", link("bad.net")) for i in range(6)]
+    rows += [(20, "http://directory.com/x", link("bad.net", *(f"plain{i}.com" for i in range(30)))), (21, "http://good.org/fr/x", link("liked.com")), (22, "http://liked.com/x", link("plain1.com"))]
+    pages = spark.createDataFrame(rows, SCHEMA)
+    got = {r.page_id: r for r in judge(pages, spark.createDataFrame(RULES, "verdict string, host string, path string")).collect()}
+    assert got[2].rule is None and [got[i].verdict for i in (1, 2, 3)] == ["block"] * 3  # a linked seed
+    assert [got[10 + i].verdict for i in range(6)] == ["block"] * 6  # several linkers
+    assert [got[i].verdict for i in (20, 21, 22)] == ["allow"] * 3
+
+
 def test_query_on_whole_table(spark):
     sf = "/root/testdata/sf0.01"
     pages = {p.page_id: p for p in spark.read.parquet(f"{sf}/pages.parquet").collect()}
