@@ -21,7 +21,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import cut, documents, join_skewed
 
 MAX_WEIGHT = 12
 WHITE = r"[\x20\x09-\x0D]+"
@@ -95,14 +95,17 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
     The edited text has its last third replaced by as much of the beginning of the next smaller id's text.
     """
-    whole = docs.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    all_rows = docs.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    whole = all_rows.where(F.col(key).isNotNull())  # filtered once, so both joins below share one shuffle of the texts
     order = next_ids(whole, key, "simhash-order")
     sizes = whole.groupBy(key).agg(F.max(F.length("text")).alias("longest"))
     wanted = order.join(sizes, key).select(F.col("next").alias(key), F.col(key).alias("reader"), F.floor(F.col("longest") / 3).cast("int").alias("wanted"))
-    heads = whole.join(wanted, key).groupBy(F.col("reader")).agg(F.max(key).alias("next"), F.min(F.col("text").substr(F.lit(1), F.col("wanted"))).alias("head"))
+    heads = whole.join(wanted.hint("merge"), key).groupBy(F.col("reader")).agg(F.max(key).alias("next"), F.min(F.col("text").substr(F.lit(1), F.col("wanted"))).alias("head"))
     heads = heads.select(F.col("reader").alias(key), "next", "head")
     n, gone = F.length("text"), F.floor(F.length("text") / 3).cast("int")
-    both = whole.join(heads, key, "left").select(key, "next", "text", n.cast("long").alias("n_chars"), F.concat(F.col("text").substr(F.lit(1), n - gone), F.coalesce(F.col("head").substr(F.lit(1), gone), F.lit(""))).alias("edited"))
+    met = whole.join(heads.hint("merge"), key, "left").select(key, "next", "text", "head")
+    met = met.unionByName(all_rows.where(F.col(key).isNull()).select(key, F.col(key).alias("next"), "text", F.lit(None).cast("string").alias("head")))
+    both = met.select(key, "next", "text", n.cast("long").alias("n_chars"), F.concat(F.col("text").substr(F.lit(1), n - gone), F.coalesce(F.col("head").substr(F.lit(1), gone), F.lit(""))).alias("edited"))
     both = both.select(key, "next", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.monotonically_increasing_id().alias("row"), "text", "edited")
     both = both.select(key, "next", "n_chars", "edited_sha256", "row", F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("content")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("content")))).alias("version"))
     keys = [key, "next", "n_chars", "edited_sha256", "row", "which"]
@@ -121,6 +124,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str, radius: int = 3) -> DataFrame:
     asked = F.col("doc_id") % 100 == 0
     near = within_radius(found.where(asked), counts, radius).join(counts.withColumnRenamed("fingerprint", "found"), "found")
     near = near.groupBy(F.col("query").alias("fingerprint")).agg((F.sum("documents") - 1).alias("near"))
+    told = join_skewed(found.where(asked), near, ["fingerprint"], "near").unionByName(found.where(~F.coalesce(asked, F.lit(False))).withColumn("near", F.lit(None).cast("long")))
     others = found.select(F.col("doc_id").alias("next"), F.col("fingerprint").alias("next_fingerprint")).groupBy("next").agg(F.min("next_fingerprint").alias("next_fingerprint"))
-    rows = found.join(others, "next", "left").join(near, "fingerprint", "left")
-    return rows.select("doc_id", "n_chars", "edited_sha256", text(F.col("fingerprint")).alias("fingerprint"), text(F.col("edited_fingerprint")).alias("edited_fingerprint"), likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), F.when(asked, F.col("near")).alias("n_within_radius"))
+    rows = told.join(others, "next", "left")
+    return rows.select("doc_id", "n_chars", "edited_sha256", text(F.col("fingerprint")).alias("fingerprint"), text(F.col("edited_fingerprint")).alias("edited_fingerprint"), likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), F.col("near").alias("n_within_radius"))
