@@ -16,10 +16,14 @@ the empty subsets too). The spare parts make that rare.
 
 More than that: similar sets share at least ``parts - k`` parts, less those that are empty. A set of whose
 parts fewer than so many are shared with any other document is like none, so its signatures go before
-documents are tied together; a passage that many documents share doesn't tie them. What hangs together
-by shared signatures is a candidate group; of equal sets one takes part.
-Groups are parted by set size (similar sets have similar sizes) and cut into blocks of bounded size, and each pair of blocks is verified exactly
-with an inverted index, whatever the group's size; only spanning links leave the task.
+documents are tied together; a passage that many documents share doesn't tie them. Of equal sets one takes part.
+
+Two rounds verify what signatures tie, both exactly and with an inverted index. First each document meets the
+one that most of its signatures point to (the smallest that shares them), in stars that are cut into blocks of bounded size:
+near copies hang together after that. Then only signatures count that documents of different components
+still share. What they tie is parted by set size (similar sets have similar sizes); its largest component meets the
+others, and the others meet each other, in pairs of blocks of bounded size. So a large group of near copies isn't
+compared pair by pair. Only spanning links leave a task.
 
 Defined results: null, empty or blank text has an empty set and links with nothing; fewer words than n
 are one element, the whole sequence; rows with a null id link with nothing and have no component; rows
@@ -37,10 +41,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, documents, hash_words, mix, ngram_hashes, signed, text_bytes
+from .common import cut, documents, hash_words, join_skewed, mix, ngram_hashes, signed, text_bytes
 
-#: Shingles of a block of a candidate group.
-BLOCK = 200_000
+#: Shingles of a block of a star, and of a block in the second round.
+STAR, BLOCK = 50_000, 200_000
 
 #: Hashings of the domain that a set with empty subsets goes through.
 SCHEMES = 8
@@ -169,27 +173,34 @@ def signature_rows(docs: DataFrame, n: int, p: int, q: int, key: str = "doc_id",
     return usable.mapInArrow(sign, f"signature long, id {kind}, code long")
 
 
-def candidate_edges(rows: DataFrame) -> DataFrame:
-    """(a, b): documents tied by signatures, each to the smallest with the same, of documents that share enough of theirs."""
+def shared_signatures(rows: DataFrame, owner: DataFrame) -> DataFrame:
+    """(signature, id): signatures that several documents have, of documents that share enough of theirs; the smallest stands for equal sets."""
     bucket = Window.partitionBy("signature")
     shared = rows.withColumn("least", F.min("id").over(bucket)).withColumn("most", F.max("id").over(bucket)).where("least < most")
-    shared = cut(shared.select("signature", "id", "code"), "jaccard-shared")
+    shared = shared.join(owner, "id").select("signature", F.col("class").alias("id"), "code").distinct()
+    shared = cut(shared, "jaccard-shared")
     enough = shared.groupBy("id", "code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.col("code").bitwiseAND(F.lit(0xFFFFFFFF))).select("id", "code")
-    kept = shared.join(enough, ["id", "code"])
-    return kept.select(F.col("id").alias("a"), F.min("id").over(bucket).alias("b")).where("a <> b").distinct()
+    return cut(shared.join(enough, ["id", "code"]).select("signature", "id"), "jaccard-tied")
+
+
+def stars(tied: DataFrame) -> DataFrame:
+    """(id, hub): of the smallest documents that share a signature, the one that shares most (of equals the smallest)."""
+    ways = tied.select("id", F.min("id").over(Window.partitionBy("signature")).alias("hub")).where("id <> hub")
+    counted = ways.groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("id").agg(F.max_by("hub", F.struct("n", F.negative("hub"))).alias("hub"))
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(id, root): for each node of the edges (a, b), the smallest node that it hangs together with.
 
     Large and small stars in turn: each node's neighbours are hung on the smallest of them until
-    nothing changes. Neither a hub nor a component has to fit into a task.
+    nothing changes. Neither a hub nor a component has to fit into a task: the busiest hubs go by broadcast.
     """
 
     def hang(pairs: DataFrame, only_smaller: bool) -> DataFrame:
         ways = pairs.where("a > b") if only_smaller else pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = ways.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
-        moved = ways.join(least, "a")
+        least = ways.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "least").alias("least"), "n")
+        moved = join_skewed(ways, least, ["a"], "n")
         if only_smaller:
             hung = moved.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(least.select("a", F.col("least").alias("b")))
         else:
@@ -207,9 +218,11 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("root"))).distinct()
 
 
-def _links(ids: list, found: list[np.ndarray], block: list[int], pair: tuple[int, int], p: int, q: int) -> list[tuple]:
-    """(id, root) of spanning links among the sets; with two blocks only across them."""
-    root = list(range(len(ids)))
+def _links(ids: list, known: list, found: list[np.ndarray], block: list[int], apart: bool, p: int, q: int) -> list[tuple]:
+    """(a, b): spanning links among the components ``known`` of the sets; ``apart``: only across the two blocks."""
+    number_of = {c: i for i, c in enumerate(dict.fromkeys(known))}
+    names, own_root = list(number_of), [number_of[c] for c in known]
+    root = list(range(len(names)))
 
     def top(i: int) -> int:
         while root[i] != i:
@@ -224,86 +237,120 @@ def _links(ids: list, found: list[np.ndarray], block: list[int], pair: tuple[int
     ends = np.cumsum(np.bincount(number))
     begins = np.concatenate([[0], ends[:-1]])
     shared = (ends - begins)[number] > 1
-    owners, at, blocks = owner[order], np.concatenate([[0], np.cumsum(size)]), np.array(block)
-    across = pair[0] != pair[1]
+    owners, at, blocks, groups = owner[order], np.concatenate([[0], np.cumsum(size)]), np.array(block), np.array(own_root)
     for i in range(len(ids)):
         own = number[at[i] : at[i + 1]][shared[at[i] : at[i + 1]]]
-        if not len(own):
+        if not len(own) or apart and blocks[i] != blocks.max():
             continue
         lengths = (ends - begins)[own]
         places = np.repeat(begins[own] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
         both = np.bincount(owners[places], minlength=len(ids))
-        alike = q * both >= p * (size + size[i] - both)
-        if across:
+        alike = (q * both >= p * (size + size[i] - both)) & (groups != groups[i])
+        if apart:
             alike &= blocks != blocks[i]
-        for j in np.flatnonzero(alike[:i]):
-            a, b = top(i), top(int(j))
+        for j in np.flatnonzero(alike):
+            a, b = top(own_root[i]), top(own_root[int(j)])
             if a != b:
                 root[max(a, b)] = min(a, b)
-    return [(ids[i], ids[top(i)]) for i in range(len(ids)) if top(i) != i]
+    return [(names[i], names[top(i)]) for i in range(len(names)) if top(i) != i]
 
 
-def verified_links(groups: DataFrame, n: int, p: int, q: int) -> DataFrame:
-    """(a, b): spanning links within the groups (group, id, blocks, text), each pair of blocks by itself."""
-    block = (F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("other")
-    dealt = groups.select("group", "id", block.alias("block"), "text", others)
-    dealt = dealt.select("group", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "block", "text")
-    dealt = dealt.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high", "id")
+def verified_links(dealt: DataFrame, n: int, p: int, q: int) -> DataFrame:
+    """(a, b): spanning links between the components of each task of (task, apart, block, id, known, text).
+
+    ``known`` is the component that a document is known to belong to; ``apart``: only documents of different blocks are compared.
+    """
+    dealt = dealt.select("task", "id", "known", "block", "apart", "text").repartition("task").sortWithinPartitions("task", "id")
 
     def verify(batches: Iterator[pa.RecordBatch]):
-        held: list[tuple] = []
+        held: dict[tuple, tuple] = {}
         last = None
 
         def done():
-            out = _links([h[0] for h in held], [h[2] for h in held], [h[1] for h in held], last[1:], p, q) if len(held) > 1 else []
+            ids, known, block, apart, sets = zip(*held.values(), strict=True)
+            out = _links(ids, known, sets, block, apart[0], p, q)
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i in (0, 1)], ["a", "b"])
 
         kind = None
         for batch in batches:
             kind = batch.schema.field("id").type
             columns = [batch.column(i).to_pylist() for i in range(5)]
-            for group, low, high, own, number, raw in zip(*columns, text_bytes(batch.column(5)), strict=True):
-                if (group, low, high) != last:
+            for task, *row, raw in zip(*columns, text_bytes(batch.column(5)), strict=True):
+                if task != last:
                     if len(held) > 1:
                         yield done()
-                    held, last = [], (group, low, high)
-                held.append((own, number, shingle_set(raw, n)))
+                    held, last = {}, task
+                elements = shingle_set(raw, n)
+                held[row[0], int(mix(elements ^ _KEY).sum(dtype=np.uint64))] = (*row, elements)  # repeated rows once
         if len(held) > 1:
             yield done()
 
-    kind = groups.schema["id"].dataType.simpleString()
+    kind = dealt.schema["id"].dataType.simpleString()
     return dealt.mapInArrow(verify, f"a {kind}, b {kind}")
 
 
+def star_tasks(star: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Tasks of ``verified_links``: the documents of each star (id, hub) in blocks of ``STAR`` shingles, each with the hub."""
+    sized = star.join(sizes, "id")
+    blocks = sized.groupBy("hub").agg(F.ceil(F.sum("n") / STAR).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    members = join_skewed(sized, blocks, ["hub"], "blocks").select("id", "hub", block.alias("block"))
+    hubs = blocks.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    rows = members.unionByName(hubs).select("id", F.col("id").alias("known"), F.concat_ws(":", "hub", "block").alias("task"), F.lit(0).alias("block"), F.lit(False).alias("apart"))
+    return rows.join(texts, "id")
+
+
+def pair_tasks(tied: DataFrame, roots: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Tasks of ``verified_links`` for documents of different components (id, root) that still share signatures."""
+    bucket = Window.partitionBy("signature")
+    placed = tied.join(roots, "id", "left").select("signature", "id", F.coalesce("root", "id").alias("known"))
+    placed = placed.withColumn("least", F.min("known").over(bucket)).withColumn("most", F.max("known").over(bucket)).where("least < most")
+    open_ = cut(placed.select("id", "known", "least").distinct(), "jaccard-open")
+    groups = components(open_.select(F.col("known").alias("a"), F.col("least").alias("b")), "jaccard-groups").withColumnRenamed("id", "known")
+    members = open_.select("id", "known").distinct().join(groups, "known").join(sizes, "id")
+    # similar sets lie in one band of sizes or in neighbouring ones, so each goes to two windows of two bands; a document of several sets to those of each
+    windows = F.array_union("bands", F.transform("bands", lambda b: b - 1))
+    members = members.select("id", "known", "n", "root", F.explode(windows).alias("window"))
+    members = cut(members.select("id", "known", "n", F.concat_ws(":", "root", "window").alias("group")), "jaccard-members")
+    parts = members.groupBy("group", "known").agg(F.sum("n").alias("n"))
+    groups = parts.groupBy("group").agg(F.max_by("known", F.struct("n", "known")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    groups = groups.select("group", "largest", blocks(F.col("most")).alias("large"), blocks(F.col("all") - F.col("most")).alias("small"), "all")
+    # blocks from 0 hold what isn't in the largest component and meet all; blocks from -1 down hold the largest and meet the others
+    dealt = join_skewed(members, groups, ["group"], "all")
+    inside = F.col("known") == F.col("largest")
+    block = F.when(inside, -1 - F.pmod(F.xxhash64("id"), F.col("large"))).otherwise(F.pmod(F.xxhash64("id"), F.col("small"))).cast("int")
+    lowest = F.when(inside, F.lit(0)).otherwise(-F.col("large"))
+    dealt = dealt.select("group", "id", "known", block.alias("block"), F.explode(F.sequence(lowest, F.col("small") - 1)).alias("other"))
+    task = F.concat_ws(":", "group", F.least("block", "other"), F.greatest("block", "other"))
+    return dealt.select("id", "known", task.alias("task"), "block", (F.col("block") != F.col("other")).alias("apart")).join(texts, "id")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id): documents link when their sets' Jaccard similarity is p/q or more."""
     known = cut(sets(docs, n, key, text), "jaccard-sets")
     usable = known.where("n_shingles > 0 and id is not null")
-    classes = usable.groupBy("k1", "k2").agg(F.min("id").alias("class"))
-    owner = cut(usable.join(classes, ["k1", "k2"]).select("id", "class").distinct(), "jaccard-classes")
-    edges = candidate_edges(signature_rows(docs, n, p, q, key, text))
-    for end in ("a", "b"):  # equal sets stand for each other
-        edges = edges.join(owner.select(F.col("id").alias(end), "class"), end).drop(end).withColumnRenamed("class", end)
-    grouped = components(edges, "jaccard-candidates")
-
-    first = usable.join(classes.select(F.col("class").alias("id")).distinct(), "id")
-    # similar sets lie in one band of sizes or in neighbouring ones, so each goes to two windows of two bands; a document of several sets to those of each
+    classes = cut(usable.groupBy("k1", "k2").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("copies")), "jaccard-classes")
+    owner = cut(join_skewed(usable, classes, ["k1", "k2"], "copies").select("id", "class").distinct(), "jaccard-owners")
+    tied = shared_signatures(signature_rows(docs, n, p, q, key, text), owner)
+
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(1.001 * math.log(q / p)))
-    first = grouped.join(first.groupBy("id").agg(F.sum("n_shingles").alias("n"), F.collect_set(band).alias("bands")), "id")
-    windows = F.array_union("bands", F.transform("bands", lambda b: b - 1))
-    first = first.select("id", "root", "n", F.explode(windows).alias("window"))
-    sizes = first.groupBy("root", "window").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = cut(first.join(sizes, ["root", "window"]).select("id", F.concat_ws(":", "root", "window").alias("group"), "blocks"), "jaccard-groups")
-    texts = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(members, "id")
-    links = cut(verified_links(texts.select("group", "id", "blocks", "text"), n, p, q), "jaccard-links")
+    nodes = tied.select("id").distinct()
+    sizes = cut(usable.select("id", "n_shingles").distinct().join(nodes, "id").groupBy("id").agg(F.sum("n_shingles").alias("n"), F.collect_set(band).alias("bands")), "jaccard-sizes")
+    # whole texts are dealt by id once, at any size of the corpus, and those that take part kept
+    texts = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
+    texts = cut(texts.join(sizes.select("id").hint("merge"), "id"), "jaccard-texts")
+
     several = owner.groupBy("id").agg(F.min("class").alias("b"), F.max("class").alias("most")).where("b < most")
     own = owner.join(several, "id").where("class <> b").select(F.col("class").alias("a"), "b")  # sets of one document hang together
-    roots = components(links.unionByName(own), "jaccard-components").withColumnRenamed("id", "class")
-
-    whole = owner.join(roots, "class", "left").groupBy("id").agg(F.min(F.coalesce("root", "class")).alias("root"))
+    first = cut(verified_links(star_tasks(stars(tied), sizes, texts), n, p, q), "jaccard-stars")
+    roots = cut(components(first.unionByName(own), "jaccard-first"), "jaccard-roots")
+    second = cut(verified_links(pair_tasks(tied, roots, sizes, texts), n, p, q), "jaccard-pairs")
+    further = components(second, "jaccard-second").select(F.col("id").alias("root"), F.col("root").alias("further"))
+    placed = owner.join(roots.withColumnRenamed("id", "class"), "class", "left").select("id", F.coalesce("root", "class").alias("root"))
+    whole = placed.join(further, "root", "left").groupBy("id").agg(F.min(F.coalesce("further", "root")).alias("component"))
     rows = known.join(whole, "id", "left")
-    return rows.select(F.col("id").alias(key), "n_shingles", F.coalesce("root", "id").alias("component_id"))
+    return rows.select(F.col("id").alias(key), "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
 def op3_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,6 +100,7 @@ def test_components(spark):
 @pytest.mark.parametrize("seed,n,p,q,block", [(1, 3, 90, 100, 200_000), (2, 3, 90, 100, 150), (3, 5, 80, 100, 300), (4, 1, 50, 100, 100)])
 def test_documents_equal_brute_force(spark, monkeypatch, seed, n, p, q, block):
     monkeypatch.setattr("assetloom.llm.partenum.BLOCK", block)
+    monkeypatch.setattr("assetloom.llm.partenum.STAR", block // 3)
     docs = made_up(seed, 260, 6)
     got = jaccard_components(spark.createDataFrame(docs, SCHEMA), n, p, q).collect()
     expected = brute(docs, n, p, q)
