@@ -17,6 +17,7 @@ with nothing; repeated rows are packed each; ties go to the lower id, then to th
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,7 +38,7 @@ class Bins:
 
     def __init__(self, capacity: int, per_source: int):
         self.capacity, self.per_source = capacity, per_source
-        self.by_residual: list[dict[int, None]] = [{} for _ in range(capacity + 1)]
+        self.by_residual: list[list[int]] = [[] for _ in range(capacity + 1)]  # the oldest bin first
         self.in_use = 0  # bit r: some bin has residual r
         self.sources: list[list[int]] = []
         self.clusters: list[int] = []
@@ -64,11 +65,12 @@ class Bins:
         if residual is None:
             residual = self.capacity
         else:
-            del self.by_residual[residual][number]
-            if not self.by_residual[residual]:
+            same = self.by_residual[residual]
+            del same[bisect_left(same, number)]
+            if not same:
                 self.in_use &= ~(1 << residual)
         if residual > need:
-            self.by_residual[residual - need][number] = None
+            insort(self.by_residual[residual - need], number)
             self.in_use |= 1 << (residual - need)
         self.clusters[number] |= cluster
         planes = self.sources[number]

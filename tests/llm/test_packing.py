@@ -21,24 +21,28 @@ def brute_shard(pieces, capacity, per_source):
         if not fits:
             bins.append([])
             fits = [(capacity, len(bins) - 1)]
-        room = min(fits)[0]
-        out[i] = ({n for r, n in fits if r == room}, room)
-        yield i, out[i], bins
-        # the caller says which of the equally tight bins was taken
-        bins[brute_shard.taken].append(pieces[i])
+        room, number = min(fits)  # the tightest, of equally tight ones the oldest
+        out[i] = (number, capacity - room)
+        bins[number].append(pieces[i])
+    return out
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_every_piece_goes_to_a_tightest_compatible_bin(seed):
+def test_every_piece_goes_to_the_oldest_of_the_tightest_compatible_bins(seed):
     rng = random.Random(seed)
     pieces = [(i, rng.randint(1, 50), rng.choice(["hot", "hot", None, *"abc"]), rng.choice([None, 1, 2, *range(10, 40)])) for i in range(150)]
     per_source = rng.randint(1, 3)
     got = {i: (number, offset) for i, number, offset in pack_shard(pieces, 50, per_source)}
-    assert len(got) == len(pieces)
-    for i, (numbers, room), _ in brute_shard(pieces, 50, per_source):
-        number, offset = got[i]
-        assert number in numbers and offset == 50 - room
-        brute_shard.taken = number
+    assert got == brute_shard(pieces, 50, per_source)
+
+
+def test_ties_go_to_the_older_bin():
+    bins = Bins(10, 1)
+    assert bins.place(6, 1, 0) == (0, 0)
+    assert bins.place(7, 1, 0) == (1, 0)  # the source conflicts
+    assert bins.place(1, 2, 0) == (1, 7)  # bin 1 has 2 left
+    assert bins.place(2, 2, 0) == (0, 6)  # bin 0 has 2 left, later than bin 1
+    assert bins.place(2, 4, 0) == (0, 8)
 
 
 def check(rows, got, capacity, per_source):
