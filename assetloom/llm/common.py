@@ -46,13 +46,13 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_skewed(rows: DataFrame, values: DataFrame, on: list[str], weight: str) -> DataFrame:
-    """``rows`` joined with ``values`` (one row for each key), of which ``weight`` says how busy a key is.
+def join_skewed(rows: DataFrame, values: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) with ``values`` (one row for each key), of which ``weight`` says how busy a key is.
 
     The ``HEAVY`` busiest keys go by a broadcast of that bounded size, so their rows stay where they are; all others are shuffled.
     """
     busiest = F.broadcast(values.orderBy(F.desc(weight), *on).limit(HEAVY))
-    return rows.join(busiest, on).unionByName(rows.join(busiest.select(*on), on, "left_anti").join(values, on))
+    return rows.join(busiest, on).unionByName(rows.join(busiest.select(*on), on, "left_anti").join(values, on, how))
 
 
 def most_frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:

@@ -3,16 +3,19 @@
 A window is ``window`` consecutive words of a document; it goes when the same words also start in a
 document with a smaller id. Equal windows have the same anchor (the least hash among their word
 ``GRAM``-grams), so only stretches around anchors that several documents hold are compared, and each
-anchor's stretches meet in one shard. A shard is an FM-index: the Burrows-Wheeler transform of its
-stretches over a bit-packed wavelet matrix. Stretches are streamed against it by backward search that
-keeps only intervals with an occurrence in a smaller document. Where the search of a window dies at
+anchor's stretches meet in one shard. A shard is a compressed FM-index: the Burrows-Wheeler transform of its
+stretches and their documents as bit-packed wavelet matrices, and every ``SAMPLED``-th entry of the suffix array.
+Stretches are streamed against it by backward search that keeps only intervals with an occurrence in a smaller
+document. Where the search of a window dies at
 word j, no window that starts at or before j can match, so the next one starts behind it; where it
 lives, the match is compared on to its end. So all stretches of at least ``window`` words of matching
 statistics are found with little more than one search each.
 
 Whole copies are settled before by a hash of all words: only the smallest document of equal ones takes
-part. An anchor that more than ``HOT`` documents hold would make one shard large: its windows are
-settled exactly by grouping their 128-bit hashes instead, which adds up before the shuffle.
+part. An anchor with more than ``shard`` words would make a shard large, so its stretches are reduced first:
+windows whose hash no other document has go, what is left is cut into pieces of ``PIECE`` windows, and of equal pieces only
+the smallest document's are searched (the others go whole). If they still hold more words, they are cut into blocks,
+and each pair of blocks makes a shard.
 
 Defined results: null or blank text has no words; fewer words than a window are all kept; of rows with
 a null id nothing goes and nothing goes because of them; rows with the same id are no reason for each
@@ -30,14 +33,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, hash_words, mix, ngram_hashes, signed, text_bytes
+from .common import cut, documents, hash_words, join_skewed, mix, ngram_hashes, signed, text_bytes
 
 WINDOW = 50
 GRAM = 20
-#: Documents that may hold an anchor before its windows are settled by grouping.
-HOT = 2000
-#: Words of a shard (an anchor's stretches are never parted).
+#: Words of a shard; an anchor of more is reduced before and parted.
 SHARD = 200_000
+#: Windows of a piece of such an anchor's stretches.
+PIECE = 32
+#: Words from one kept entry of the suffix array to the next.
+SAMPLED = 16
 
 #: Windows that one cursor of the search looks at.
 SPAN = 16
@@ -72,66 +77,109 @@ def anchor_runs(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray
     return least[starts], starts, np.append(starts[1:], len(least)) - 1
 
 
+class WaveletMatrix:
+    """Bit-packed wavelet matrix of a sequence of small numbers."""
+
+    def __init__(self, values: np.ndarray):
+        self.size, self.levels = len(values), []
+        for shift in range(max(1, int(values.max(initial=0)).bit_length()) - 1, -1, -1):
+            bit = (values >> shift & 1).astype(bool)
+            words = np.packbits(np.pad(bit, (0, 64 + -len(bit) % 64)), bitorder="little").view(np.uint64)
+            ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1]]).astype(np.uint32)
+            self.levels.append((shift, words, ones, len(bit) - int(bit.sum())))
+            values = np.concatenate([values[~bit], values[bit]])
+
+    @staticmethod
+    def _rank(words: np.ndarray, ones: np.ndarray, at: np.ndarray) -> np.ndarray:
+        word = at >> 6
+        below = words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
+        return ones[word].astype(np.int64) + np.bitwise_count(below)
+
+    def descend(self, values: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Places of ``at`` below the matrix, along the values' bits; differences count the value."""
+        for shift, words, ones, zeros in self.levels:
+            rank = self._rank(words, ones, at)
+            at = np.where(values >> shift & 1, zeros + rank, at - rank)
+        return at
+
+    def look(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values at ``at``, their places below the matrix)."""
+        values = np.zeros(len(at), np.int64)
+        for _, words, ones, zeros in self.levels:
+            rank = self._rank(words, ones, at)
+            bit = (words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(np.int64)
+            values = values << 1 | bit
+            at = np.where(bit, zeros + rank, at - rank)
+        return values, at
+
+    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The smallest value between ``low`` and ``high`` (none empty)."""
+        values = np.zeros(len(low), np.int64)
+        for _, words, ones, zeros in self.levels:
+            first, last = self._rank(words, ones, low), self._rank(words, ones, high)
+            some = high - last > low - first  # a zero bit is there
+            values = values << 1 | ~some
+            low, high = np.where(some, low - first, zeros + first), np.where(some, high - last, zeros + last)
+        return values
+
+    def find(self, values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """A place of the value between ``low`` and ``high``, where it is: the first."""
+        before, high = self.descend(values, low), high.copy()
+        low = low.copy()
+        while (high - low > 1).any():
+            middle = (low + high) >> 1
+            there = self.descend(values, middle) > before
+            high, low = np.where(there, middle, high), np.where(there, low, middle)
+        return low
+
+
 class FMIndex:
-    """Backward search for patterns of up to ``depth`` words over separated stretches.
+    """Backward search for patterns over separated stretches.
 
     ``text``: symbols from 1, with 0 after each stretch; ``owner``: the number of each place's document.
     """
 
-    def __init__(self, text: np.ndarray, owner: np.ndarray, depth: int = 64):
-        self.text, self.size = text, len(text)
+    def __init__(self, text: np.ndarray, owner: np.ndarray):
+        self.text, self.size = text.astype(np.uint32), len(text)
         rank, step = text, 1
-        while step < depth:  # suffixes are ordered by so many words at least
+        while True:  # suffixes are ordered by twice as many words each time
             after = np.concatenate([rank[step:] + 1, np.zeros(min(step, len(rank)), rank.dtype)])
             _, rank = np.unique(rank * (self.size + 2) + after, return_inverse=True)
             step *= 2
             if int(rank.max()) == self.size - 1:
                 break
-        self.suffixes = np.argsort(rank, kind="stable")
-        last = text[self.suffixes - 1]  # the transform
+        suffixes = np.empty(self.size, np.int64)
+        suffixes[rank] = np.arange(self.size)
+        self.transform = WaveletMatrix(text[suffixes - 1])
+        self.documents = WaveletMatrix(owner[suffixes])
         counts = np.bincount(text)
-        self.first = np.concatenate([[0], np.cumsum(counts)[:-1]])  # first row of each symbol
-        self.bits, self.ones, self.zeros = [], [], []
-        self.shifts = list(range(max(1, int(text.max()).bit_length()) - 1, -1, -1))
-        for shift in self.shifts:
-            bit = (last >> shift & 1).astype(bool)
-            words = np.packbits(np.pad(bit, (0, 64 + -len(bit) % 64)), bitorder="little").view(np.uint64)
-            self.bits.append(words)
-            self.ones.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1]]))
-            self.zeros.append(len(bit) - int(bit.sum()))
-            last = np.concatenate([last[~bit], last[bit]])
-        symbols = np.arange(len(counts))
-        self.first = self.first - self._descend(symbols, np.zeros(len(counts), np.int64))
-        least = owner[self.suffixes].astype(np.int64) * self.size + np.arange(self.size)
-        self.least = [least]  # sparse table of the smallest document (and its row) of 2**k rows
-        while (1 << len(self.least)) <= self.size:
-            half = 1 << (len(self.least) - 1)
-            self.least.append(np.minimum(self.least[-1][:-half], self.least[-1][half:]))
-
-    def _descend(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Places of ``at`` below the wavelet matrix, along the symbols' bits."""
-        for shift, words, ones, zeros in zip(self.shifts, self.bits, self.ones, self.zeros, strict=True):
-            word = at >> 6
-            below = words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
-            rank = ones[word] + np.bitwise_count(below)
-            at = np.where(symbols >> shift & 1, zeros + rank, at - rank)
-        return at
+        first = np.concatenate([[0], np.cumsum(counts)[:-1]])  # first row of each symbol
+        self.first = first - self.transform.descend(np.arange(len(counts)), np.zeros(len(counts), np.int64))
+        separators = np.flatnonzero(text == 0)
+        begins = np.concatenate([[0], separators[:-1] + 1])
+        offset = np.arange(self.size) - np.repeat(begins, np.diff(np.append(begins, self.size)))
+        kept = offset[suffixes] % SAMPLED == 0  # so no search for a place leaves its stretch
+        self.kept, self.places = WaveletMatrix(kept.astype(np.int64)), suffixes[kept].astype(np.uint32)
 
     def extend(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of symbol + pattern, given the rows of the patterns."""
         count = len(low)
-        both = self._descend(np.concatenate([symbols, symbols]), np.concatenate([low, high]))
+        both = self.transform.descend(np.concatenate([symbols, symbols]), np.concatenate([low, high]))
         first = self.first[symbols]
         return first + both[:count], first + both[count:]
 
-    def smallest(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(smallest document, the place of its occurrence) among rows low to high, none empty."""
-        level = np.frexp((high - low).astype(float))[1] - 1
-        found = np.empty(len(low), np.int64)
-        for k in np.unique(level):
-            here = level == k
-            found[here] = np.minimum(self.least[k][low[here]], self.least[k][high[here] - (1 << int(k))])
-        return found // self.size, self.suffixes[found % self.size]
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """Places of the rows' suffixes: back word by word to a kept entry."""
+        places, steps, at = np.empty(len(rows), np.int64), np.zeros(len(rows), np.int64), np.arange(len(rows))
+        none = self.size - len(self.places)
+        while len(at):
+            kept, below = self.kept.look(rows)
+            here = kept == 1
+            places[at[here]] = self.places[below[here] - none] + steps[here]
+            at, rows, steps = at[~here], rows[~here], steps[~here] + 1
+            symbols, below = self.transform.look(rows)
+            rows = self.first[symbols] + below
+        return places
 
 
 def matched(index: FMIndex, begin: np.ndarray, length: np.ndarray, own: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,15 +200,16 @@ def matched(index: FMIndex, begin: np.ndarray, length: np.ndarray, own: np.ndarr
     while len(row):
         low, high = index.extend(text[begin[row] + word], low, high)
         alive = low < high
-        place = np.zeros(len(row), np.int64)
+        document = np.zeros(len(row), np.int64)
         if alive.any():
-            document, place[alive] = index.smallest(low[alive], high[alive])
-            alive[alive] = document < own[row[alive]]
+            document[alive] = index.documents.least(low[alive], high[alive])
+            alive &= document < own[row]
         whole = alive & (word == at)
         goes_on = np.where(whole, at, word) + 1  # the next window to look at, where a search ends
         if whole.any():
             w = np.flatnonzero(whole)
-            here, there, last = begin[row[w]] + at[w] + window, place[w] + window, begin[row[w]] + length[row[w]]
+            place = index.locate(index.documents.find(document[w], low[w], high[w]))
+            here, there, last = begin[row[w]] + at[w] + window, place + window, begin[row[w]] + length[row[w]]
             more, run = np.zeros(len(w), np.int64), np.arange(len(w))
             while len(run):  # compare on, 64 words at a time
                 x = here[run] + more[run]
@@ -202,7 +251,7 @@ def search_shard(ids: np.ndarray, stretches: list[np.ndarray], window: int) -> t
     _, symbols = np.unique(np.concatenate([stretches[i] for i in kept]), return_inverse=True)
     text[inner] = symbols + 1
     own = least[kept]
-    row, start, stop = matched(FMIndex(text, np.repeat(own, wide), window), begin, length[kept], own, window)
+    row, start, stop = matched(FMIndex(text, np.repeat(own, wide)), begin, length[kept], own, window)
     copies = np.flatnonzero(number > least[original])
     # the document that stands for equal stretches has what was found; the others go whole
     holders = np.flatnonzero(number == least[original])
@@ -216,31 +265,34 @@ def search_shard(ids: np.ndarray, stretches: list[np.ndarray], window: int) -> t
 
 
 def _scan(docs: DataFrame, window: int) -> DataFrame:
-    """(id, content, n_words, k1, k2, sha, anchors) of (id, content, text)."""
+    """(id, content, n_words, k1, k2, sha, anchors, sizes: the words of their stretches) of (id, content, text)."""
 
     def look(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
-                counts, keys, shas, anchors = [], [], [], []
+                counts, keys, shas, anchors, sizes = [], [], [], [], []
                 for raw in text_bytes(part.column(2)):
                     words = raw.split()
                     hashes = hash_words(words)
                     counts.append(len(words))
                     keys.append(content_keys(hashes))
                     shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                    anchors.append(np.unique(anchor_runs(hashes, window)[0]))
+                    found, starts, stops = anchor_runs(hashes, window)
+                    own, number = np.unique(found, return_inverse=True)
+                    anchors.append(own)
+                    sizes.append(np.bincount(number, stops - starts + window, len(own)).astype(np.int64))
                 offsets = np.concatenate([[0], np.cumsum([len(a) for a in anchors])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(np.concatenate(anchors))))
+                lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (signed(np.concatenate(anchors)), np.concatenate(sizes))]
                 k = signed(np.array(keys, np.uint64).reshape(-1, 2))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(shas), lists], ["id", "content", "n_words", "k1", "k2", "sha", "anchors"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(shas), *lists], ["id", "content", "n_words", "k1", "k2", "sha", "anchors", "sizes"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(look, f"id {kind}, content long, n_words long, k1 long, k2 long, sha string, anchors array<long>")
+    return docs.mapInArrow(look, f"id {kind}, content long, n_words long, k1 long, k2 long, sha string, anchors array<long>, sizes array<long>")
 
 
 def _stretches(held: DataFrame, window: int) -> DataFrame:
-    """(anchor, id, k1, start, words): stretches of shared anchors of (id, text, cold, hot); of hot anchors a row for each window, its hash in anchor and check."""
+    """(anchor, hot, id, k1, start, words): stretches of shared anchors of (id, text, cold, hot)."""
 
     def deal(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -253,26 +305,66 @@ def _stretches(held: DataFrame, window: int) -> DataFrame:
                     k1 -= (k1 >> 63) << 64
                     anchors, starts, stops = anchor_runs(hashes, window)
                     anchors = signed(anchors)
-                    for j in np.flatnonzero(np.isin(anchors, np.array(cold, np.int64))):
+                    of_hot = np.isin(anchors, np.array(hot, np.int64))
+                    for j in np.flatnonzero(of_hot | np.isin(anchors, np.array(cold, np.int64))):
                         a, b = int(starts[j]), int(stops[j]) + window
-                        for held, x in zip(rows, (i, int(anchors[j]), None, k1, a, hashes[a:b].tobytes()), strict=True):
+                        for held, x in zip(rows, (i, int(anchors[j]), bool(of_hot[j]), k1, a, hashes[a:b].tobytes()), strict=True):
                             held.append(x)
-                    if hot:
-                        one = signed(ngram_hashes(hashes, window))
-                        two = signed(ngram_hashes(mix(hashes), window))
-                        for j in np.flatnonzero(np.isin(anchors, np.array(hot, np.int64))):
-                            span = range(int(starts[j]), int(stops[j]) + 1)
-                            for held, x in zip(rows, ([i] * len(span), one[span.start : span.stop].tolist(), two[span.start : span.stop].tolist(), [k1] * len(span), span, [None] * len(span)), strict=True):
-                                held.extend(x)
                 ids = part.column(0).take(pa.array(rows[0], pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), ids, pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.int64()), pa.array(rows[5], pa.binary())], ["anchor", "check", "id", "k1", "start", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.bool_()), ids, pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.int64()), pa.array(rows[5], pa.binary())], ["anchor", "hot", "id", "k1", "start", "words"])
 
     kind = held.schema["id"].dataType.simpleString()
-    return held.select("id", "text", "cold", "hot").mapInArrow(deal, f"anchor long, check long, id {kind}, k1 long, start long, words binary")
+    return held.select("id", "text", "cold", "hot").mapInArrow(deal, f"anchor long, hot boolean, id {kind}, k1 long, start long, words binary")
+
+
+def _pieces(hot: DataFrame, window: int) -> DataFrame:
+    """(anchor, id, k1, start, words): what hot anchors' stretches (anchor, id, k1, start, words) share with other documents, in pieces."""
+    last = (F.length("words") / 8 - window).cast("int")
+    at = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("at"), F.xxhash64(F.substring(F.col("words"), i * 8 + 1, F.lit(window * 8))).alias("h")))
+    windows = hot.select("anchor", "id", "k1", "start", F.explode(at).alias("x")).select("anchor", "id", "k1", "start", "x.at", "x.h")
+    shared = windows.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").select("h", "n")
+    kept = join_skewed(windows, shared, ["h"], "n").groupBy("anchor", "id", "k1", "start").agg(F.sort_array(F.collect_set("at")).alias("ats"))
+    rows = hot.join(kept, ["anchor", "id", "k1", "start"]).select("anchor", "id", "k1", "start", "words", "ats")
+
+    def part(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for first in range(0, batch.num_rows, 200):
+                rows = batch.slice(first, 200)
+                at, start, words = [], [], []
+                for i, (begin, raw, ats) in enumerate(zip(rows.column(3).to_pylist(), rows.column(4).to_pylist(), rows.column(5).to_numpy(zero_copy_only=False), strict=True)):
+                    run = np.concatenate([[0], np.cumsum(np.diff(ats) > 1)])
+                    place = np.arange(len(ats)) - np.searchsorted(run, run)  # within its run
+                    heads = np.flatnonzero(place % PIECE == 0)
+                    for a, b in zip(heads, np.append(heads[1:], len(ats)), strict=True):
+                        at.append(i)
+                        start.append(begin + int(ats[a]))
+                        words.append(raw[int(ats[a]) * 8 : (int(ats[b - 1]) + window) * 8])
+                taken = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(rows.column(k).take(taken) for k in range(3)), pa.array(start, pa.int64()), pa.array(words, pa.binary())], ["anchor", "id", "k1", "start", "words"])
+
+    kind = hot.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(part, f"anchor long, id {kind}, k1 long, start long, words binary")
+
+
+def _hot(hot: DataFrame, window: int, shard: int) -> tuple[DataFrame, DataFrame]:
+    """(copies (id, k1, start, stop), dealt (shard, id, k1, start, words)) of the stretches of anchors that have too many words for a shard."""
+    pieces = cut(_pieces(hot, window).withColumns({"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(1), "words")}), "dedup-pieces")
+    keys = ["anchor", "h1", "h2"]
+    owners = pieces.groupBy(*keys).agg(F.min("id").alias("owner"), F.count(F.lit(1)).alias("n"))
+    told = join_skewed(pieces, owners, keys, "n")
+    copies = told.where("id > owner").select("id", "k1", "start", (F.col("start") + F.length("words") / 8).cast("long").alias("stop"))
+    lead = told.where("id = owner").drop("n", "owner")
+    blocks = lead.groupBy("anchor").agg(F.ceil(F.sum(F.length("words")) / 8 / shard).cast("int").alias("blocks"))
+    block = F.pmod("h1", F.col("blocks")).cast("int")
+    dealt = join_skewed(lead, blocks, ["anchor"], "blocks").withColumns({"block": block, "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+    return copies, dealt.select(F.xxhash64("anchor", F.least("block", "other"), F.greatest("block", "other")).alias("shard"), "id", "k1", "start", "words")
 
 
 def _search(stretches: DataFrame, window: int, shard: int) -> DataFrame:
-    """(id, k1, start, stop): words covered by windows of smaller documents, from shards of stretches."""
+    """(id, k1, start, stop): words covered by windows of smaller documents, from stretches (shard, id, k1, start, words).
+
+    Small shards are searched together, ``shard`` words at a time.
+    """
 
     def search(batches: Iterator[pa.RecordBatch]):
         held: list[pa.RecordBatch] = []
@@ -307,7 +399,7 @@ def _search(stretches: DataFrame, window: int, shard: int) -> DataFrame:
             yield done()
 
     kind = stretches.schema["id"].dataType.simpleString()
-    dealt = stretches.select("anchor", "id", "k1", "start", "words").repartition("anchor").sortWithinPartitions("anchor", "id", "start")
+    dealt = stretches.select("shard", "id", "k1", "start", "words").repartition("shard").sortWithinPartitions("shard", "id", "start")
     return dealt.mapInArrow(search, f"id {kind}, k1 long, start long, stop long")
 
 
@@ -340,7 +432,7 @@ def _cut_out(marked: DataFrame) -> DataFrame:
     return marked.select("id", "content", "text", "k1", "spans").mapInArrow(remove, f"id {kind}, content long, n_removed long, new_sha string, kept string")
 
 
-def removals(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard: int = SHARD, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def removals(docs: DataFrame, window: int = WINDOW, shard: int = SHARD, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(scan, changed): for each row (id, content, n_words, sha, copy: is it a copy of a smaller document as a whole?), and for other texts that lose words (id, content, n_removed, new_sha, kept).
 
     ``content`` tells texts of one id apart; it is ``content_of`` the text.
@@ -348,19 +440,19 @@ def removals(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard: int =
     plain = docs.select(F.col(key).alias("id"), content_of(F.col(text)).alias("content"), F.col(text).cast("string").alias("text"))
     scan = cut(_scan(plain, window), "dedup-scan")
     long = scan.where((F.col("n_words") >= window) & F.col("id").isNotNull())
-    copies = long.groupBy("k1", "k2").agg(F.min("id").alias("class"))
+    copies = cut(long.groupBy("k1", "k2").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("n")), "dedup-copies")
     first = long.join(copies.select(F.col("class").alias("id"), "k1", "k2"), ["id", "k1", "k2"])
-    anchors = first.select("id", F.explode("anchors").alias("anchor"))
-    shared = anchors.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").select("anchor", (F.col("n") > hot).alias("hot"))
-    own = anchors.join(shared.hint("shuffle_hash"), "anchor").groupBy("id").agg(F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
-    stretches = cut(_stretches(plain.join(own, "id"), window), "dedup-stretches")
-    found = _search(stretches.where("words is not null"), window, shard)
-    windows = stretches.where("words is null").select("anchor", "check", "id", "k1", "start")
-    least = windows.groupBy("anchor", "check").agg(F.min("id").alias("least"))
-    grouped = windows.join(least, ["anchor", "check"]).where("least < id").select("id", "k1", "start", (F.col("start") + window).alias("stop"))
-    spans = found.unionByName(grouped).groupBy("id", "k1").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    changed = cut(_cut_out(plain.join(spans, "id")), "dedup-changed")
-    rows = scan.join(copies, ["k1", "k2"], "left").select("id", "content", "n_words", "sha", ((F.col("n_words") >= window) & F.coalesce(F.col("class") < F.col("id"), F.lit(False))).alias("copy"))
+    anchors = first.select("id", F.explode(F.arrays_zip("anchors", "sizes")).alias("x")).select("id", F.col("x.anchors").alias("anchor"), F.col("x.sizes").alias("size"))
+    shared = anchors.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.sum("size").alias("n")).where("least < most").select("anchor", "n", (F.col("n") > shard).alias("hot"))
+    shared = cut(shared, "dedup-shared")
+    own = join_skewed(anchors, shared, ["anchor"], "n").groupBy("id").agg(F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+    stretches = cut(_stretches(plain.join(own.hint("merge"), "id"), window), "dedup-stretches")
+    whole, dealt = _hot(stretches.where("hot").drop("hot"), window, shard)
+    dealt = stretches.where("not hot").select(F.col("anchor").alias("shard"), "id", "k1", "start", "words").unionByName(dealt)
+    spans = _search(dealt, window, shard).unionByName(whole).groupBy("id", "k1").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    changed = cut(_cut_out(plain.join(spans.hint("merge"), "id")), "dedup-changed")
+    some = join_skewed(scan.select("id", "content", "n_words", "sha", "k1", "k2"), copies, ["k1", "k2"], "n", "left")
+    rows = some.select("id", "content", "n_words", "sha", ((F.col("n_words") >= window) & F.coalesce(F.col("class") < F.col("id"), F.lit(False))).alias("copy"))
     return rows, changed.dropDuplicates(["id", "content"])
 
 
@@ -368,9 +460,9 @@ def content_of(text: Column) -> Column:
     return F.xxhash64(text.cast("string"))
 
 
-def deduplicated(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard: int = SHARD, key: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, window: int = WINDOW, shard: int = SHARD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, n_removed, kept_sha256) of each row."""
-    scan, changed = removals(docs, window, hot, shard, key, text)
+    scan, changed = removals(docs, window, shard, key, text)
     rows = scan.join(changed.drop("kept"), ["id", "content"], "left")
     whole = F.col("copy")
     return rows.select(F.col("id").alias(key), "n_words", F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.when(whole, F.lit(_EMPTY_SHA)).otherwise(F.coalesce("new_sha", "sha")).alias("kept_sha256"))
