@@ -8,7 +8,10 @@ says how a host is linked, so what a host gets along links is divided by what it
 had a full seed: the share of trusted (distrusted) origins in it, whoever else shares them. The ruled
 part of a host's pages speaks for itself, these shares speak for the rest. A host whose distrust so
 exceeds its trust by ``threshold`` or more, or whose seeds alone do, is blocked, any other allowed.
-Links of a host to itself say nothing; a host without links to others keeps its own seed.
+Links of a host to itself say nothing. Host edges are the links of pages, as often as they occur, and, once each way, the
+edges between a host and the domain directly above it (of two labels or more): a domain answers for what it
+hands out, and the other way round. So hosts hang together where pages only link to their own host.
+A host without edges keeps its own seed.
 
 Only hosts and distinct host edges enter the iteration. It runs until no score moves by more than
 ``tolerance`` and cuts its lineage every few rounds by a table in the shared folder.
@@ -23,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_skewed
 
 #: The rules of the registered query.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -61,7 +64,15 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.where((F.col("src") != "") & (F.col("dst") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most_rounds: int = 200, rounds_per_cut: int = 5) -> DataFrame:
+def domain_edges(hosts: DataFrame) -> DataFrame:
+    """(src, dst, n): each host and the domain directly above it, then that and the next, both ways; a domain has two labels at least."""
+    labels = F.split("host", r"\.")
+    up = F.transform(F.sequence(F.lit(1), F.size(labels) - 2), lambda i: F.struct(F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("low"), F.array_join(F.slice(labels, i + 1, F.size(labels)), ".").alias("high")))
+    steps = hosts.where(F.size(labels) > 2).select(F.explode(up).alias("x")).select("x.low", "x.high").distinct()
+    return steps.select(F.explode(F.array(F.struct(F.col("low").alias("src"), F.col("high").alias("dst")), F.struct(F.col("high").alias("src"), F.col("low").alias("dst")))).alias("x")).select("x.src", "x.dst", F.lit(1).cast("long").alias("n"))
+
+
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-3, most_rounds: int = 200, rounds_per_cut: int = 2) -> DataFrame:
     """(host, trust, distrust, trust_share, distrust_share) from seeds (host, trust, distrust) over edges (src, dst, n).
 
     Trust passes along edges, distrust against them, each split by the edges' counts. A share is what a host
@@ -95,12 +106,14 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, toleran
 def judge(pages: DataFrame, rules: DataFrame, threshold: float = 0.5, key: str = "page_id", **options) -> DataFrame:
     """(key, host, path, rule, verdict, trust, distrust) of each page of (key, url, html); rules: (verdict, host, path); options: of ``propagate``."""
     split = pages.select(F.col(key), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    candidates = host_rules(split.select("host").distinct(), rules)
+    hosts = cut(split.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "trust-hosts")
+    candidates = hosts.join(host_rules(hosts.select("host"), rules), "host", "left")
     fit = F.get(F.filter("rules", lambda r: F.col("path").startswith(r.prefix)), 0)
-    ruled = split.join(candidates, "host", "left").select(key, "host", "path", fit.alias("fit"))
+    ruled = join_skewed(split, candidates, ["host"], "pages").select(key, "host", "path", fit.alias("fit"))
     of = lambda verdict: F.avg(F.when(F.col("fit.verdict") == verdict, 1.0).otherwise(0.0))
     seeds = ruled.where("host != ''").groupBy("host").agg(of("allow").alias("trust"), of("block").alias("distrust"))
-    edges = cut(host_edges(pages.select(host(F.col("url")).alias("host"), "html")), "host-edges")
+    edges = host_edges(pages.select(host(F.col("url")).alias("host"), "html")).unionByName(domain_edges(hosts.select("host")))
+    edges = cut(edges.groupBy("src", "dst").agg(F.sum("n").alias("n")), "host-edges")
     seeds = cut(seeds, "trust-seeds")
     scores = propagate(seeds, edges, **options).join(seeds.select("host", F.col("trust").alias("own_trust"), F.col("distrust").alias("own_distrust")), "host", "left")
     own = F.coalesce(F.col("own_distrust") - F.col("own_trust"), F.lit(0.0))
@@ -108,7 +121,8 @@ def judge(pages: DataFrame, rules: DataFrame, threshold: float = 0.5, key: str =
     excess = F.greatest(own, own + unruled * (F.col("distrust_share") - F.col("trust_share")))
     scores = scores.select("host", "trust", "distrust", excess.alias("excess"))
     by_host = F.when(F.col("excess") >= threshold, "block").otherwise("allow")
-    return ruled.join(scores, "host", "left").select(key, "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", by_host).alias("verdict"), "trust", "distrust")
+    scores = hosts.join(scores, "host", "left")
+    return join_skewed(ruled, scores, ["host"], "pages").select(key, "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", by_host).alias("verdict"), "trust", "distrust")
 
 
 def op4_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
