@@ -58,9 +58,19 @@ def has_thumbnails(rows: DataFrame) -> DataFrame:
     return rows.agg(F.coalesce(F.bool_or(F.col("thumbnail").isNotNull()), F.lit(False)).alias("has_thumbnails"))
 
 
-def annotation_rows(rows: DataFrame, key: str = "uid", document: str = "annotation") -> DataFrame:
-    """(key, path, value): the leaves of JSON documents, one level of nesting at a time."""
-    top = rows.select(key, F.explode(F.from_json(document, "map<string,string>")).alias("path", "value"))
-    nested = top.where(F.col("value").startswith("{")).select(key, F.col("path").alias("above"), F.explode(F.from_json("value", "map<string,string>")).alias("path", "value"))
-    flat = top.where(~F.coalesce(F.col("value").startswith("{"), F.lit(False)))
-    return flat.unionByName(nested.select(key, F.concat_ws(".", "above", "path").alias("path"), "value"))
+def annotation_rows(rows: DataFrame, key: str = "uid", document: str = "annotation", depth: int = 8) -> DataFrame:
+    """(key, path, value): the leaves of JSON documents; objects are opened by their keys, arrays by their places.
+
+    Below ``depth`` levels what is left stays as JSON text. One explode a level, all in one plan, no shuffle.
+    """
+    opened = F.from_json(document, "map<string,string>")
+    leaves = rows.select(key, F.explode(opened).alias("path", "value"))
+    for _ in range(depth - 1):
+        value = F.col("value")
+        inside = F.when(value.startswith("{"), F.map_entries(F.from_json(value, "map<string,string>")))
+        places = F.transform(F.from_json(value, "array<string>"), lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value")))
+        entries = F.coalesce(inside, F.when(value.startswith("["), places))
+        named = F.transform(entries, lambda e: F.struct(F.concat_ws(".", "path", e["key"]).alias("path"), e["value"].alias("value")))
+        each = F.coalesce(named, F.array(F.struct("path", "value")))  # an empty object or array has no leaves
+        leaves = leaves.select(key, F.explode(each).alias("x")).select(key, "x.path", "x.value")
+    return leaves

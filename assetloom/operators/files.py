@@ -7,10 +7,10 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetloom.functions.paths import below, render_name, stem, without_archive_suffix
+from assetloom.functions.paths import below, render_name, renamed, stem, without_archive_suffix
 from assetloom.functions.predicates import direct_child
 from assetloom.operators.hierarchy import check_arguments
-from assetloom.sources.catalog import ASSET_TYPES
+from assetloom.sources.catalog import ASSET_TYPES, numbered
 
 ANGLES = (0, 90, 180, 270)
 #: Folders of the namespaces.
@@ -80,11 +80,10 @@ def batches(rows: DataFrame, order: Sequence[str], size: int = 256) -> DataFrame
 
 def page(rows: DataFrame, order: str, index: int) -> DataFrame:
     """The row at an index, which is clamped to what there is, with ``number``, ``total``, ``has_previous`` and ``has_next``."""
-    total = F.count(F.lit(1)).over(Window.partitionBy())
-    place = F.row_number().over(Window.orderBy(order)) - 1
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
     at = F.greatest(F.lit(0), F.least(F.lit(index), F.col("total") - 1))
-    placed = rows.withColumn("place_", place).withColumn("total", total).where(F.col("place_") == at)
-    return placed.select(*rows.columns, (F.col("place_") + 1).cast("long").alias("number"), "total", (F.col("place_") > 0).alias("has_previous"), (F.col("place_") + 1 < F.col("total")).alias("has_next"))
+    placed = numbered(rows, order).crossJoin(F.broadcast(total)).where(F.col("pos") == at)  # one row of totals
+    return placed.select(*rows.columns, (F.col("pos") + 1).cast("long").alias("number"), "total", (F.col("pos") > 0).alias("has_previous"), (F.col("pos") + 1 < F.col("total")).alias("has_next"))
 
 
 def material_map(files: DataFrame, kind: str) -> DataFrame:
@@ -149,6 +148,18 @@ def load_vegetation(mapping: DataFrame, present: DataFrame, kind: str, wanted: D
     return chosen.join(found, "name", "left").select("name", F.when(F.col("there"), F.concat(F.lit(folder + "/"), "name")).alias("folder"), "usd")
 
 
+def without_preview(mapping: DataFrame, present: DataFrame, kind: str, preview: str = "_preview.glb") -> DataFrame:
+    """The plants of a kind whose folder holds no preview yet."""
+    path = F.concat(F.lit(VEGETATION[kind] + "/"), "name", F.lit("/" + preview))
+    return mapping.withColumn("preview_", path).join(present.select(F.col("path").alias("preview_")).distinct(), "preview_", "left_anti").select(*mapping.columns)
+
+
+def without_sibling(rows: DataFrame, present: DataFrame, suffix: str, path: str = "path") -> DataFrame:
+    """The rows whose path has no sibling with the suffix before its extension."""
+    done = present.select(F.col("path").alias("sibling_")).distinct()
+    return rows.withColumn("sibling_", renamed(F.col(path), suffix)).join(done, "sibling_", "left_anti").select(*rows.columns)
+
+
 def precedence(rows: DataFrame, first: DataFrame, second: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value): the first frame's value, else the second's, else null."""
     a = first.select(key, F.col(value).alias("first_")).dropDuplicates([key])

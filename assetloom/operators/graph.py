@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assetloom.functions.paths import renamed
+from assetloom.functions.paths import parent, renamed
 from assetloom.sources.shared import written
 
 #: Extensions of scene layers.
@@ -50,3 +50,16 @@ def rewrites(edges: DataFrame, changed: DataFrame, suffix: str) -> DataFrame:
     into = edges.join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi").join(nodes.withColumnRenamed("node", "src"), "src", "left_semi")
     pairs = F.sort_array(F.collect_set(F.struct(F.col("authored").alias("key"), renamed(F.col("authored"), suffix).alias("value"))))
     return into.groupBy(F.col("src").alias("layer")).agg(F.map_from_entries(pairs).alias("renames"))
+
+
+def resolved(folder: Column, authored: Column) -> Column:
+    """An authored path as seen from a folder: ``.`` stays, ``..`` goes up."""
+    parts = F.filter(F.split(F.concat_ws("/", F.nullif(folder, F.lit("")), authored), "/"), lambda p: (p != ".") & (p != ""))
+    walk = lambda done, p: F.when(p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(p)))
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), walk), "/")
+
+
+def layer_edges(texts: DataFrame) -> DataFrame:
+    """(src, authored, dst): each asset path that a layer's text (layer, value) refers to, once, as written and as resolved from the layer's folder."""
+    found = texts.select(F.col("layer").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit("@([^@\n]+)@"), F.lit(1)))).alias("authored"))
+    return found.select("src", "authored", resolved(parent(F.col("src")), F.col("authored")).alias("dst"))

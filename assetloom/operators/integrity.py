@@ -47,6 +47,12 @@ def report(items: DataFrame) -> DataFrame:
     return items.rollup("kind", "subkind").agg(F.count(F.lit(1)).alias("expected"), F.count_if("there").alias("present"), F.count_if(~F.col("there")).alias("missing"))
 
 
+def lines(reported: DataFrame) -> DataFrame:
+    """(line): a report as text."""
+    name = F.coalesce(F.concat("kind", F.lit("/"), "subkind"), F.concat("kind", F.lit("/*")), F.lit("all"))
+    return reported.select(F.format_string("%s: %d of %d, %d missing", name, "present", "expected", "missing").alias("line"))
+
+
 def complete(items: DataFrame) -> DataFrame:
     """(missing, complete)."""
     return items.agg(F.count_if(~F.col("there")).alias("missing")).select("missing", (F.col("missing") == 0).alias("complete"))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from assetloom.functions.predicates import near, typed_as
 
@@ -41,8 +46,24 @@ def fixes(patched: DataFrame) -> DataFrame:
 
 
 def triangles(meshes: DataFrame) -> DataFrame:
-    """(mesh, face, a, b, c): fans of each face of meshes (mesh, indices, counts); faces of less than three corners are passed over."""
-    faces = meshes.select("mesh", "indices", F.posexplode(F.transform("counts", lambda c, i: F.struct(c.alias("n"), F.aggregate(F.slice("counts", 1, i), F.lit(0), lambda s, x: s + x).alias("start")))).alias("face", "f"))
-    fans = faces.where("f.n >= 3").select("mesh", "face", "indices", "f.start", F.explode(F.sequence(F.lit(1), F.col("f.n") - 2)).alias("k"))
-    corner = lambda offset: F.get("indices", F.col("start") + offset)
-    return fans.select("mesh", "face", corner(F.lit(0)).alias("a"), corner(F.col("k")).alias("b"), corner(F.col("k") + 1).alias("c"))
+    """(mesh, face, a, b, c): fans of each face of meshes (mesh, indices, counts); faces of less than three corners are passed over.
+
+    In step over all faces of a mesh: built-in functions have no running sum over an array, so each face would add up those before it.
+    """
+
+    def fans(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                indices = batch.column(1)[row].values if batch.column(1)[row].is_valid else pa.nulls(0, kind)
+                n = np.asarray(batch.column(2)[row].as_py() or [], np.int64)
+                start = np.cumsum(n) - n
+                fan = np.maximum(n - 2, 0)
+                face = np.repeat(np.arange(len(n)), fan)
+                k = 1 + np.arange(len(face)) - np.repeat(np.cumsum(fan) - fan, fan)
+                corners = [indices.take(pa.array(at, mask=at >= len(indices))) for at in (start[face], start[face] + k, start[face] + k + 1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(face), row))), pa.array(face, pa.int32()), *corners], ["mesh", "face", "a", "b", "c"])
+
+    mesh, index = meshes.schema["mesh"].dataType, meshes.schema["indices"].dataType.elementType
+    kind = to_arrow_type(index)
+    name = index.simpleString()
+    return meshes.select("mesh", "indices", "counts").mapInArrow(fans, f"mesh {mesh.simpleString()}, face int, a {name}, b {name}, c {name}")

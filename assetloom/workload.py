@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetloom.functions.paths import basename, stem
+from assetloom.functions.paths import basename, spaced, stem
 from assetloom.functions.predicates import all_of, any_of, contains_text, dominant_in, flag_is, in_range, in_whole_range, one_of
 from assetloom.functions.textures import channels, texture_kind
 from assetloom.operators import documents as docs_
 from assetloom.operators import files, graph, hierarchy, integrity, scene, similarity, textures
+from assetloom.plans.query import AssetQuery
+from assetloom.schema import ASSET_FIELDS, ATTRIBUTE_PREFIX, ATTRIBUTES_DOC
 from assetloom.schema import schema_doc as schema_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,7 +105,11 @@ def catalog_flatten(spark, sf):
     return rows.select("o_orderkey", F.col("pos").cast("long").alias("pos"), F.col("part.l_partkey").alias("l_partkey"))
 
 
-@query()
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({_text(n)}, {_text(t.simpleString())}, {_text(d)})" for n, t, d in ASSET_FIELDS) + f", ({_text(ATTRIBUTE_PREFIX + '*')}, 'map<string,string>', {_text(ATTRIBUTES_DOC)})) AS t(field, type, description)")
 def schema_doc(spark, sf):
     return schema_table(spark)
 
@@ -230,10 +236,10 @@ def batch_256(spark, sf):
     return rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
 
 
-@query("""WITH n AS (SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_nationkey) AS number, count(*) OVER () AS total FROM nation)
-SELECT n_nationkey, n_name, number, total, number > 1 AS has_previous, number < total AS has_next FROM n WHERE number = least(1000 + 1, total)""")
+@query("""WITH n AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) AS number, count(*) OVER () AS total FROM documents)
+SELECT doc_id, lang, number, total, number > 1 AS has_previous, number < total AS has_next FROM n WHERE number = least(300 + 1, total)""")
 def page_nav(spark, sf):
-    return files.page(table(spark, sf, "nation").select("n_nationkey", "n_name"), "n_nationkey", 1000)
+    return files.page(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id", 300)
 
 
 @query("SELECT lang, count(*) AS expected, count(l.doc_id) AS present, count(*) - count(l.doc_id) AS missing FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY ROLLUP (lang)")
@@ -280,7 +286,12 @@ def classify_refs(spark, sf):
     return rows.groupBy("p_brand", "channel").agg(F.min("p_partkey").alias("first_part"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""WITH t AS (SELECT p_brand, p_partkey, 'm/textures/' || replace(p_name, ' ', '_') || '_' || ['diff', 'rough', 'ORM', 'multi_rough_ao', 'mask', 'other', 'Norm_2k', 'platform'][p_partkey % 8 + 1] || '.png' AS path,
+CASE p_partkey % 8 WHEN 0 THEN ['diffuse'] WHEN 1 THEN ['roughness'] WHEN 2 THEN ['roughness', 'ao'] WHEN 3 THEN ['ao'] WHEN 6 THEN ['normal'] WHEN 7 THEN ['roughness', 'ao'] ELSE [] END AS c FROM part),
+u AS (SELECT p_brand, min(p_partkey) AS k, path, any_value(c) AS c FROM t WHERE path IN (SELECT path FROM t WHERE p_partkey % 3 = 0) GROUP BY p_brand, path),
+v AS (SELECT p_brand, channel, arg_min(path, k) AS path FROM (SELECT p_brand, k, path, unnest(c) AS channel FROM u) GROUP BY ALL),
+j AS (SELECT p_brand, '{' || string_agg('"' || channel || '":"http://localhost/' || path || '"', ',' ORDER BY channel) || '}' AS textures FROM v GROUP BY p_brand)
+SELECT DISTINCT p.p_brand AS name, coalesce(textures, '{}') AS textures FROM part p LEFT JOIN j ON j.p_brand = p.p_brand""")
 def texture_channels(spark, sf):
     """Material texts made of parts: the channels of each brand, by the first texture that is there."""
     parts = table(spark, sf, "part").select("p_brand", "p_partkey", _part_texture().alias("ref"))
@@ -302,11 +313,22 @@ def annotation_leaves(spark, sf):
     return docs_.annotation_rows(rows)
 
 
-@query()
+@query("""WITH u AS (SELECT user_id, min(props) AS annotation FROM events GROUP BY user_id), e AS (SELECT DISTINCT user_id, event_type FROM events WHERE value < 1),
+r AS (SELECT user_id, '{' || string_agg('"' || angle || '":' || CASE WHEN e.event_type IS NULL THEN 'null' ELSE '"http://localhost/' || user_id || '/render_' || angle || '.0.jpg"' END, ',' ORDER BY angle) || '}' AS renders
+FROM u CROSS JOIN (VALUES (0, 'view'), (90, 'click'), (180, 'error'), (270, 'signup')) AS a(angle, event_type) LEFT JOIN e USING (user_id, event_type) GROUP BY user_id),
+o AS (SELECT o_custkey, min(o_orderkey) FILTER (WHERE o_orderstatus = 'P') AS p, min(o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS f FROM orders GROUP BY o_custkey)
+SELECT '{"title":"Assets","mode":"show","items":[' || string_agg('{"uid":' || user_id || ',"annotation":' || to_json(annotation) || ',"glb_url":' || CASE WHEN p % 2 = 0 THEN '"http://localhost/order/' || p || '"' ELSE 'null' END
+|| ',"thumbnail_url":' || CASE WHEN f % 2 = 0 THEN '"http://localhost/order/' || f || '"' ELSE 'null' END || ',"render_urls":' || renders || '}', ',' ORDER BY user_id) || ']}' AS document
+FROM u JOIN r USING (user_id) JOIN customer ON c_custkey = user_id LEFT JOIN o ON o_custkey = user_id""")
 def viewer_document(spark, sf):
-    customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("uid"))
-    loaded = load_wide(spark, sf).withColumn("annotation", F.lit(None).cast("string")).withColumn("renders", F.create_map().cast("map<int,string>"))
-    return docs_.asset_document(customers.join(loaded, "uid"), "show", "http://localhost")
+    """Annotations and renders of users, files of the customers of the same number."""
+    events = table(spark, sf, "events")
+    kinds = spark.createDataFrame([(0, "view"), (90, "click"), (180, "error"), (270, "signup")], "angle int, event_type string")
+    there = events.where("value < 1").select("user_id", "event_type").distinct().join(F.broadcast(kinds), "event_type")
+    there = there.select(F.concat(F.col("user_id").cast("string"), F.lit("/render_"), F.col("angle").cast("string"), F.lit(".0.jpg")).alias("path"))
+    users = events.groupBy(F.col("user_id").alias("uid")).agg(F.min("props").alias("annotation"))
+    shown = files.renders(users, users.select("uid", F.col("uid").cast("string").alias("folder")), there)
+    return docs_.asset_document(load_wide(spark, sf).join(users, "uid").join(shown, "uid"), "show", "http://localhost")
 
 
 @query("""WITH a AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'float2' WHEN 1 THEN 'int' WHEN 2 THEN 'string' ELSE 'float2' END AS type,
@@ -367,6 +389,278 @@ def conversion_plan(spark, sf):
     return files.conversion_plan(docs, done).select("uid", "status")
 
 
+# ---- queries that run whole operators of the catalog over tables made of parts
+
+_PARTS_SQL = """a AS (SELECT p_partkey AS uid, p_retailprice AS height, CAST(p_size AS DOUBLE) AS mass, CASE p_size % 3 WHEN 0 THEN true WHEN 1 THEN false END AS movable,
+string_split(p_name, ' ') AS materials, [p_type, p_brand] AS affordances, p_type AS surface_finish, p_brand AS l1, p_type AS l2, p_name AS l3 FROM part)"""
+
+
+def part_assets(spark, sf):
+    part = table(spark, sf, "part")
+    movable = F.when(F.col("p_size") % 3 == 0, True).when(F.col("p_size") % 3 == 1, False)
+    return part.select(F.col("p_partkey").alias("uid"), F.col("p_retailprice").alias("height"), F.col("p_size").cast("double").alias("mass"), movable.alias("movable"), F.split("p_name", " ").alias("materials"), F.array("p_type", "p_brand").alias("affordances"), F.col("p_type").alias("surface_finish"))
+
+
+def part_bridge(spark, sf):
+    """Every asset twice in its category."""
+    part = table(spark, sf, "part")
+    twice = F.explode(F.array(F.lit(0), F.lit(1))).alias("pos")
+    return part.select(F.col("p_partkey").alias("uid"), F.col("p_brand").alias("l1"), F.col("p_type").alias("l2"), F.col("p_name").alias("l3"), F.col("p_size").alias("category_pos"), twice)
+
+
+def part_vectors(spark, sf):
+    """Of each asset the vector of its number, and as the long one that of the next (missing for the last)."""
+    rows = table(spark, sf, "embeddings")
+    after = rows.select((F.col("vec_id") - 1).alias("uid"), F.col("embedding").alias("long"))
+    return rows.select(F.col("vec_id").alias("uid"), F.col("embedding").alias("short")).join(after, "uid", "left")
+
+
+_DOT = "list_inner_product({}::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 3))"
+
+
+@query(f"""WITH {_PARTS_SQL}, f AS (SELECT DISTINCT uid FROM a WHERE lower(l1) IN ('brand#2', 'economy', 'red widget') OR lower(l2) IN ('brand#2', 'economy', 'red widget') OR lower(l3) IN ('brand#2', 'economy', 'red widget'))
+SELECT uid, round(({_DOT.format('s.embedding')} + coalesce({_DOT.format('n.embedding')}, 0)) / 2, 6) AS score FROM a SEMI JOIN f USING (uid) JOIN embeddings s ON s.vec_id = uid LEFT JOIN embeddings n ON n.vec_id = uid + 1
+WHERE height BETWEEN 900 AND 1500 AND mass BETWEEN 5 AND 45 AND NOT coalesce(movable, false) AND list_has_any([lower(x) FOR x IN affordances], ['economy', 'promo', 'brand#2'])
+ORDER BY score DESC, uid LIMIT 10""")
+def asset_query(spark, sf):
+    found = AssetQuery(part_bridge(spark, sf), part_assets(spark, sf), part_vectors(spark, sf)).in_categories(["BRAND#2", "economy", "Red Widget"])
+    found = found.where(height_range=(900, 1500), mass_range=(5, 45), movable=False, affordances=["Economy", "promo", "brand#2"])
+    return found.similar_to(vector(spark, sf, 3), 10).uids()
+
+
+@query(f"WITH {_PARTS_SQL} SELECT uid FROM a, (VALUES (0), (1)) WHERE movable AND lower(materials[1]) IN ('red', 'small') AND lower(surface_finish) = 'economy'")
+def asset_query_repeats(spark, sf):
+    """Without categories the catalog's repeats are kept."""
+    return AssetQuery(part_bridge(spark, sf), part_assets(spark, sf)).where(movable=True, dominant_materials=["Red", "small"], surface_finish=["ECONOMY"]).uids()
+
+
+@query("SELECT p_partkey AS uid FROM part, (VALUES (0), (1))")
+def catalog_order(spark, sf):
+    return hierarchy.all_uids(part_bridge(spark, sf))
+
+
+@query("SELECT p_partkey AS uid, p_retailprice AS height, p_partkey < 50 AS known FROM part WHERE p_partkey < 50 UNION ALL SELECT DISTINCT -1 - p_size, NULL, false FROM part WHERE p_size < 4")
+def requested_annotations(spark, sf):
+    """A request that names ids twice and ids that aren't there."""
+    part = table(spark, sf, "part")
+    wanted = part.where("p_partkey < 50").select(F.col("p_partkey").alias("uid")).unionAll(part.where("p_size < 4").select((-1 - F.col("p_size")).cast("long").alias("uid")))
+    found = files.annotations(wanted.unionAll(wanted), part_assets(spark, sf))
+    return found.select("uid", "height", F.col("height").isNotNull().alias("known"))
+
+
+_NAME = "replace(p_name, ' ', '_') || '_' || p_partkey"
+_MATERIAL_SQL = f"""p AS (SELECT {_NAME} AS name, p_partkey AS k FROM part WHERE p_partkey % 7 <> 6),
+f AS (SELECT name, k, 'material_road_mdl/' || name || '.mdl' AS path, 1 AS main FROM p WHERE k % 3 < 2 UNION ALL SELECT name, k, 'material_road_mdl/' || name || '.hash', 1 FROM p WHERE k % 3 > 0
+UNION ALL SELECT name, k, 'material_road_thumbnail/' || name || '.jpg', 0 FROM p WHERE k % 2 = 0 UNION ALL SELECT name, k, 'material_road_mdl/textures/' || name || '.png', 2 FROM p),
+m AS (SELECT name, list_sort(list(path) FILTER (WHERE main = 1)) AS mains, max(path) FILTER (WHERE main = 0) AS thumbnail FROM f WHERE main < 2 GROUP BY name)"""
+
+
+def material_files(spark, sf):
+    """Paths of a road material for each part: main files, thumbnails, textures."""
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_partkey").cast("string"))
+    k = F.col("k")
+    rows = table(spark, sf, "part").where("p_partkey % 7 <> 6").select(name.alias("name"), F.col("p_partkey").alias("k"))
+    path = lambda folder, end: F.concat(F.lit(folder + "/"), "name", F.lit(end))
+    paths = F.array_compact(F.array(F.when(k % 3 < 2, path("material_road_mdl", ".mdl")), F.when(k % 3 > 0, path("material_road_mdl", ".hash")), F.when(k % 2 == 0, path("material_road_thumbnail", ".jpg")), path("material_road_mdl/textures", ".png")))
+    return rows.select("k", F.explode(paths).alias("path"))
+
+
+@query(f"WITH {_MATERIAL_SQL} SELECT name, array_to_string(mains, '|') AS mains, thumbnail FROM m")
+def material_map(spark, sf):
+    return files.material_map(material_files(spark, sf), "road").select("name", joined("main_files").alias("mains"), "thumbnail")
+
+
+@query(f"""WITH {_MATERIAL_SQL}, w AS (SELECT * FROM m WHERE name LIKE '%red%')
+SELECT DISTINCT path FROM (SELECT unnest(mains) AS path FROM w UNION ALL SELECT thumbnail FROM w WHERE thumbnail IS NOT NULL UNION ALL SELECT path FROM f WHERE main = 2)""")
+def material_request(spark, sf):
+    rows = material_files(spark, sf)
+    mapping = files.material_map(rows, "road")
+    return files.material_request(mapping, rows, "road", mapping.where("name like '%red%'"))
+
+
+@query(f"""WITH {_MATERIAL_SQL}, there AS (SELECT path FROM f WHERE k % 5 <> 0)
+SELECT name, CASE WHEN main IN (SELECT path FROM there) THEN main END AS main, CASE WHEN thumbnail IN (SELECT path FROM there) THEN thumbnail END AS thumbnail
+FROM (SELECT name, thumbnail, coalesce(list_filter(mains, lambda x: x LIKE '%.mdl')[1], mains[1]) AS main FROM m)""")
+def load_materials(spark, sf):
+    rows = material_files(spark, sf)
+    return files.load_materials(files.material_map(rows, "road"), rows.where("k % 5 <> 0"), "road")
+
+
+def plant_files(spark, sf):
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_partkey").cast("string"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("k"), name.alias("name"), F.concat(F.lit("collected_trees/"), name, F.lit(".tar.gz")).alias("path"))
+
+
+def plant_parts(spark, sf):
+    """Unpacked files of two plants of three; one of six has no scene file."""
+    inside = F.array_compact(F.array(F.lit("/textures/x.png"), F.when(F.col("k") % 6 != 1, F.lit("/b.usd")), F.when(F.col("k") % 4 == 0, F.lit("/a.usdc"))))
+    return plant_files(spark, sf).where("k % 3 < 2").select("name", F.explode(inside).alias("end")).select(F.concat(F.lit("collected_trees/"), "name", "end").alias("path"))
+
+
+_PLANT_SQL = f"p AS (SELECT p_partkey AS k, {_NAME} AS name FROM part)"
+
+
+@query(f"WITH {_PLANT_SQL} SELECT name, 'collected_trees/' || name || '.tar.gz' AS archive FROM p")
+def vegetation_map(spark, sf):
+    return files.vegetation_map(plant_files(spark, sf), "tree")
+
+
+@query(f"""WITH {_PLANT_SQL} SELECT name, CASE WHEN k % 3 < 2 THEN 'collected_trees/' || name END AS folder,
+CASE WHEN k % 3 < 2 THEN CASE WHEN k % 4 = 0 THEN 'collected_trees/' || name || '/a.usdc' WHEN k % 6 <> 1 THEN 'collected_trees/' || name || '/b.usd' END END AS usd FROM p""")
+def load_vegetation(spark, sf):
+    return files.load_vegetation(files.vegetation_map(plant_files(spark, sf), "tree"), plant_parts(spark, sf), "tree")
+
+
+@query(f"WITH {_PLANT_SQL} SELECT name FROM p WHERE k % 4 <> 1")
+def previews_to_make(spark, sf):
+    plants = files.vegetation_map(plant_files(spark, sf), "tree")
+    done = plant_files(spark, sf).where("k % 4 = 1").select(F.concat(F.lit("collected_trees/"), "name", F.lit("/_preview.glb")).alias("path"))
+    return files.without_preview(plants, done, "tree").select("name")
+
+
+@query("""SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 3 THEN NULL ELSE 'm/t/' || p_partkey || '_albedo.png' END AS diffuse, CASE WHEN p_partkey % 3 = 0 THEN 'm/t/' || p_partkey || '_n.png' END AS normal FROM part""")
+def preview_textures(spark, sf):
+    k = F.col("p_partkey").cast("string")
+    line = lambda parameter, end: F.concat(F.lit(f"{parameter}: texture_2d(\"./t/"), k, F.lit(end + '"),\n'))
+    texts = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.concat(line("rough_map", "_r.png"), line("tex_a", "_albedo.png"), line("diffuse_texture", "_late.png"), line("normalmap", "_n.png")).alias("value"))
+    path = lambda end: F.concat(F.lit("m/t/"), k, F.lit(end))
+    there = table(spark, sf, "part").select(F.explode(F.array_compact(F.array(path("_r.png"), F.when(F.col("p_partkey") % 4 != 3, path("_albedo.png")), F.when(F.col("p_partkey") % 3 == 0, path("_n.png"))))).alias("path"))
+    return textures.preview_textures(texts, there, "m", "k")
+
+
+@query("""WITH t AS (SELECT o_custkey AS glb, min(o_orderkey) AS uid FROM orders GROUP BY o_custkey)
+SELECT uid, CASE WHEN c_acctbal >= 0 THEN 'usd/' || uid END AS usd, CASE WHEN c_acctbal < 0 THEN c_mktsegment END AS error FROM customer JOIN t ON glb = c_custkey""")
+def conversion_results(spark, sf):
+    tasks = table(spark, sf, "orders").select(F.col("o_orderkey").alias("uid"), F.concat(F.lit("usd/"), F.col("o_orderkey").cast("string")).alias("usd"), F.col("o_custkey").alias("glb"))
+    results = table(spark, sf, "customer").select(F.col("c_custkey").alias("glb"), (F.col("c_acctbal") >= 0).alias("ok"), F.col("c_mktsegment").alias("error"))
+    return files.conversion_results(tasks, results)
+
+
+@query("SELECT count(*) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS missing, count(*) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM labels)) = 0 AS complete FROM documents")
+def integrity_complete(spark, sf):
+    there = table(spark, sf, "labels").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"))
+    return integrity.complete(integrity.status(_expected(spark, sf), there))
+
+
+_INTEGRITY_SQL = f"""WITH {_MATERIAL_SQL}, o AS (SELECT p_partkey AS k, t FROM part, (VALUES ('glb'), ('thumbnail')) AS x(t)),
+i AS (SELECT 'object' AS kind, t AS subkind, (k % 4 <> 3 AND k % 5 <> 0) AS there FROM o
+UNION ALL SELECT 'material', 'road', bool_and(f.k % 5 <> 0) FROM f WHERE main < 2 GROUP BY name
+UNION ALL SELECT 'vegetation', 'tree', p_partkey % 3 < 2 FROM part),
+r AS (SELECT kind, subkind, count(*) AS expected, count(*) FILTER (WHERE there) AS present, count(*) FILTER (WHERE NOT there) AS missing FROM i GROUP BY ROLLUP (kind, subkind))"""
+
+
+def whole_status(spark, sf):
+    """Objects (an index entry for three of four), materials and vegetation together; a fifth of the files is gone."""
+    part = table(spark, sf, "part")
+    uid = F.col("p_partkey").cast("string")
+    kinds = F.explode(F.array(F.lit("glb"), F.lit("thumbnail"))).alias("asset_type")
+    index = part.where("p_partkey % 4 <> 3").select(uid.alias("uid"), "p_partkey", kinds).select("uid", "p_partkey", "asset_type", F.concat_ws("/", "asset_type", "uid").alias("path"))
+    materials = material_files(spark, sf)
+    plants = files.vegetation_map(plant_files(spark, sf), "tree")
+    expected = integrity.expected_assets(part.select(uid.alias("uid")), index.drop("p_partkey"), ["glb", "thumbnail"])
+    expected = expected.unionByName(integrity.expected_materials(files.material_map(materials, "road"), "road")).unionByName(integrity.expected_vegetation(plants, "tree", "collected_trees"))
+    there = index.where("p_partkey % 5 <> 0").select("path").unionAll(materials.where("k % 5 <> 0").select("path")).unionAll(plant_parts(spark, sf))
+    return integrity.status(expected, there)
+
+
+@query(_INTEGRITY_SQL + " SELECT * FROM r")
+def integrity_whole(spark, sf):
+    return integrity.report(whole_status(spark, sf))
+
+
+@query(_INTEGRITY_SQL + " SELECT coalesce(kind || '/' || subkind, kind || '/*', 'all') || ': ' || present || ' of ' || expected || ', ' || missing || ' missing' AS line FROM r")
+def integrity_lines(spark, sf):
+    return integrity.lines(integrity.report(whole_status(spark, sf)))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS mesh, l_partkey AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+f AS (SELECT mesh, i // 3 AS face, i % 3 AS j, p FROM l WHERE i < n // 3 * 3 UNION ALL SELECT mesh, n // 3, i - n // 3 * 3, p FROM l WHERE i >= n // 3 * 3 UNION ALL SELECT mesh, n // 3 + 1, i, p FROM l)
+SELECT a.mesh, CAST(a.face AS INTEGER) AS face, a.p AS a, b.p AS b, c.p AS c FROM f a JOIN f b ON a.mesh = b.mesh AND a.face = b.face AND a.j = 0 AND b.j >= 1 JOIN f c ON c.mesh = b.mesh AND c.face = b.face AND c.j = b.j + 1""")
+def mesh_triangles(spark, sf):
+    """Meshes of several faces: three corners each, then what is left (too few corners), then all corners again."""
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("mesh")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("p"))
+    n = F.size("p")
+    counts = F.concat(F.array_repeat(F.lit(3), (n / 3).cast("int")), F.array(n % 3, n))
+    return scene.triangles(lines.select("mesh", F.concat("p", "p").alias("indices"), counts.alias("counts")))
+
+
+@query("""WITH t AS (SELECT p_partkey, unnest(regexp_split_to_array(lower(replace(n, '_', ' ')), '[^a-z0-9]+')) AS term FROM (SELECT p_partkey, replace(p_name, ' ', '_') || '_' || p_type AS n FROM part)),
+f AS (SELECT p_partkey, term, count(*) AS n FROM t WHERE term <> '' GROUP BY ALL),
+s AS (SELECT p_partkey, sum(n * CASE term WHEN 'small' THEN 1 WHEN 'ring' THEN 1 ELSE 0 END) AS d, sqrt(sum(CAST(n * n AS DOUBLE))) AS l FROM f GROUP BY p_partkey)
+SELECT p_partkey, round(d / (l * sqrt(2.0::DOUBLE)), 6) AS score FROM s ORDER BY score DESC, p_partkey LIMIT 10""")
+def names_topk(spark, sf):
+    """Names with underscores are scored as words."""
+    parts = table(spark, sf, "part").select("p_partkey", F.concat_ws("_", F.replace("p_name", F.lit(" "), F.lit("_")), "p_type").alias("name"))
+    return similarity.clamped_top_k(similarity.text_scores(parts, "small ring", "p_partkey", spaced(F.col("name"))), 10, key="p_partkey")
+
+
+@query("""SELECT 'scenes/s' || p_partkey || '/main.usda' AS src, a AS authored, CASE WHEN a LIKE './%' THEN 'scenes/s' || p_partkey || a[2:] WHEN a LIKE '../../%' THEN a[7:] ELSE 'scenes' || a[3:] END AS dst
+FROM part, (SELECT unnest([0, 1, 2]) AS i), LATERAL (SELECT CASE i WHEN 0 THEN './sub/n' || p_partkey // 2 || '.usd' WHEN 1 THEN '../s' || p_partkey // 3 || '/main.usda' ELSE '../../shared/' || p_type || '.usdc' END AS a)""")
+def layer_edges(spark, sf):
+    k = F.col("p_partkey")
+    half, third = (k / 2).cast("long").cast("string"), (k / 3).cast("long").cast("string")
+    text = F.concat(F.lit("#usda 1.0\nreferences = @./sub/n"), half, F.lit(".usd@\npayload = @../s"), third, F.lit("/main.usda@</x>\nsubLayers = [@../../shared/"), F.col("p_type"), F.lit(".usdc@, @./sub/n"), half, F.lit(".usd@]"))
+    return graph.layer_edges(table(spark, sf, "part").select(F.concat(F.lit("scenes/s"), k.cast("string"), F.lit("/main.usda")).alias("layer"), text.alias("value")))
+
+
+@query("SELECT 'order/' || o_orderkey || '.usd' AS path FROM orders WHERE o_orderstatus = 'F'")
+def without_sibling(spark, sf):
+    """Files that have no renamed sibling yet."""
+    path = F.concat(F.lit("order/"), F.col("o_orderkey").cast("string"))
+    rows = table(spark, sf, "orders").select(F.concat(path, F.lit(".usd")).alias("path"), "o_orderstatus")
+    done = table(spark, sf, "orders").where("o_orderstatus <> 'F'").select(F.concat(path, F.lit("_new.usd")).alias("path"))
+    return files.without_sibling(rows, done, "_new").select("path")
+
+
+@query("""SELECT p_partkey AS uid, k AS path, v AS value FROM part, LATERAL (VALUES ('name', p_name), ('a.size', CAST(p_size AS VARCHAR)), ('a.b.type', p_type), ('a.b.c.list.0', p_brand), ('a.b.c.list.1.x', CAST(p_partkey AS VARCHAR)), ('tags.0', p_type), ('tags.1', p_name)) AS t(k, v)""")
+def nested_leaves(spark, sf):
+    deep = F.struct(F.array(F.col("p_brand"), F.to_json(F.struct(F.col("p_partkey").alias("x")))).alias("list"))
+    whole = F.struct(F.col("p_name").alias("name"), F.struct(F.col("p_size").alias("size"), F.struct(F.col("p_type").alias("type"), deep.alias("c")).alias("b")).alias("a"), F.array("p_type", "p_name").alias("tags"))
+    return docs_.annotation_rows(table(spark, sf, "part").select(F.col("p_partkey").alias("uid"), F.to_json(whole).alias("annotation")))
+
+
+@query("""WITH e AS (SELECT DISTINCT user_id AS uid, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 90 WHEN 'error' THEN 180 WHEN 'signup' THEN 270 END AS angle FROM events WHERE value < 1)
+SELECT uid, CAST(angle AS INTEGER) AS angle, uid || '/render_' || angle || '.0.jpg' AS path FROM e WHERE angle IS NOT NULL""")
+def image_strip(spark, sf):
+    events = table(spark, sf, "events")
+    kinds = spark.createDataFrame([(0, "view"), (90, "click"), (180, "error"), (270, "signup")], "angle int, event_type string")
+    there = events.where("value < 1").select("user_id", "event_type").distinct().join(F.broadcast(kinds), "event_type")
+    there = there.select(F.concat(F.col("user_id").cast("string"), F.lit("/render_"), F.col("angle").cast("string"), F.lit(".0.jpg")).alias("path"))
+    users = events.select(F.col("user_id").alias("uid")).distinct()
+    return docs_.image_strip(files.renders(users, users.select("uid", F.col("uid").cast("string").alias("folder")), there))
+
+
+@query("SELECT true AS has_thumbnails")
+def any_thumbnails(spark, sf):
+    return docs_.has_thumbnails(load_wide(spark, sf))
+
+
+@query("SELECT CAST(floor((r - 1) / 256) AS BIGINT) AS batch, c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey DESC) AS r FROM customer)")
+def request_batches(spark, sf):
+    return files.batches(table(spark, sf, "customer").select("c_custkey"), [F.col("c_custkey").desc()])
+
+
+@query("""WITH f AS (SELECT o_custkey AS uid, min(o_orderkey) AS k FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL) SELECT c_custkey AS uid, CASE WHEN k % 2 = 0 THEN 'order/' || k END AS path FROM customer LEFT JOIN f ON uid = c_custkey""")
+def load_one(spark, sf):
+    there = table(spark, sf, "orders").where("o_orderkey % 2 = 0").select(F.concat(F.lit("order/"), F.col("o_orderkey").cast("string")).alias("path"))
+    return files.load_one(table(spark, sf, "customer").select(F.col("c_custkey").alias("uid")), order_files(spark, sf), there, "glb")
+
+
+@query(f"""WITH {_MATERIAL_SQL}, there AS (SELECT path FROM f WHERE k % 5 <> 0), l AS (SELECT name, CASE WHEN main IN (SELECT path FROM there) THEN main END AS main, CASE WHEN thumbnail IN (SELECT path FROM there) THEN thumbnail END AS thumbnail
+FROM (SELECT name, thumbnail, coalesce(list_filter(mains, lambda x: x LIKE '%.mdl')[1], mains[1]) AS main FROM m))
+SELECT CAST(to_json({{title: 'Road', mode: 'show', items: list({{name: name, url: 'http://localhost/' || main, thumbnail_url: 'http://localhost/' || thumbnail}} ORDER BY name)}}) AS VARCHAR) AS document FROM l WHERE name < 'c'""")
+def material_page(spark, sf):
+    return docs_.material_document(load_materials(spark, sf).where("name < 'c'"), "http://localhost", "Road")
+
+
+@query(f"""WITH {_PLANT_SQL} SELECT CAST(to_json({{title: 'Trees', mode: 'show', items: list({{name: name, usd: CASE WHEN k % 3 < 2 THEN CASE WHEN k % 4 = 0 THEN 'collected_trees/' || name || '/a.usdc' WHEN k % 6 <> 1 THEN 'collected_trees/' || name || '/b.usd' END END,
+preview_url: CASE WHEN k % 4 = 1 THEN 'http://localhost/p/' || name END}} ORDER BY name)}}) AS VARCHAR) AS document FROM p WHERE name < 'c'""")
+def vegetation_page(spark, sf):
+    preview = F.when(F.substring_index("name", "_", -1).cast("int") % 4 == 1, F.concat(F.lit("p/"), "name"))
+    return docs_.vegetation_document(load_vegetation(spark, sf).where("name < 'c'").withColumn("preview", preview), "http://localhost", "Trees")
+
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
