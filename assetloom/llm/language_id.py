@@ -11,6 +11,10 @@ The posterior of a language multiplies four kinds of evidence:
 * the host: their languages by grouped counts of the first two kinds' decisions over all rows, each
   level smoothed towards the one above with ``STRENGTH`` rows: all rows, suffix, host.
 
+Documents have no markup: their language column is the label that the text model learns from and no evidence. So
+that no row is judged by what it taught, rows lie in ``FOLDS`` parts by a hash of their id, and each part is judged by the model that
+the others give (a language whose labelled rows all lie in one part is learnt from there for all).
+
 One more class, ``und``, gives every trigram the same likelihood, halfway (in logarithms) between that of
 equally frequent trigrams and that of one never seen: numbers and addresses in a text don't make it
 foreign to every language, but a text of unseen trigrams is no language. Rows that come out as ``und`` or have no text are rejected.
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, documents, text_bytes
+from .common import cut, documents, join_skewed, text_bytes
 
 BUCKETS = 1 << 16
 SAMPLE = 8000
@@ -38,6 +42,7 @@ TEMPER = 4.0
 DECLARED_RIGHT = 0.9
 STRENGTH = 20.0
 UNKNOWN = "und"
+FOLDS = 2
 #: Trigrams looked up at once.
 _SLICE = 1 << 20
 
@@ -86,25 +91,42 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
     return languages, np.log((1 - BUCKETS * unseen) * table / seen + unseen).astype(np.float32)
 
 
+def cross_fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[np.ndarray]]:
+    """(languages, a table for the rows of each fold) from rows (id, text, label): each learnt from the other folds."""
+    parts = [fit(labelled.where(fold(F.col("id")) != k), sample // FOLDS) for k in range(FOLDS)]
+    languages = sorted({name for names, _ in parts for name in names})
+    tables = []
+    for k in range(FOLDS):
+        ways = [dict(zip(names, table.T, strict=True)) for names, table in [parts[k], *parts]]
+        tables.append(np.array([next(way[name] for way in ways if name in way) for name in languages], np.float32).T.reshape(BUCKETS, len(languages)))
+    return languages, tables
+
+
+def fold(key: Column) -> Column:
+    """The part of a row by its id; null ids are in the first."""
+    return F.coalesce(F.pmod(F.shiftright(F.xxhash64(key), 7), F.lit(FOLDS)).cast("int"), F.lit(0))
+
+
 def unknown_rate(table: np.ndarray) -> float:
     """Log-likelihood of any trigram in no language."""
     alike = -float(np.log(BUCKETS))
     return (alike + float(table.min())) / 2 if table.size else alike
 
 
-def text_evidence(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """Adds ``evidence``: tempered log-likelihoods of ``text`` in each language, then in none; null without text."""
-    shared = rows.sparkSession.sparkContext.broadcast(model[1])
+def text_evidence(rows: DataFrame, model: tuple[list[str], np.ndarray | list[np.ndarray]]) -> DataFrame:
+    """Adds ``evidence``: tempered log-likelihoods of ``text`` in each language, then in none; null without text. ``fold`` says which of several tables."""
+    shared = rows.sparkSession.sparkContext.broadcast(model[1] if isinstance(model[1], list) else [model[1]])
     others = [f for f in rows.schema.fieldNames() if f != "text"]
 
     def look(batches: Iterator[pa.RecordBatch]):
-        table = shared.value
-        none = unknown_rate(table)
+        tables = shared.value
+        unknown = [unknown_rate(table) for table in tables]
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
                 found = []
-                for raw in text_bytes(part.column("text")):
+                for k, raw in zip(part.column("fold").to_pylist(), text_bytes(part.column("text")), strict=True):
+                    table, none = tables[k], unknown[k]
                     if not raw.strip():
                         found.append(None)
                         continue
@@ -125,8 +147,15 @@ def _best(scores: Column, names: Column) -> Column:
     return F.element_at(names, F.array_position(scores, F.array_max(scores)).cast("int"))
 
 
+def place(host: Column, suffix: Column) -> Column:
+    """One key of a host under a suffix, null without a host."""
+    return F.concat(F.when(suffix.isNull(), F.lit("")).otherwise(F.concat(F.lit("."), suffix)), F.lit("\n"), host)
+
+
 def identify(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """(id, content, lang, posterior, text_lang, accepted) of rows (id, content, text, declared, suffix, host)."""
+    """(id, content, lang, posterior, text_lang, accepted) of rows (id, content, text, declared, suffix, host, and fold if the model has several)."""
+    if "fold" not in rows.columns:
+        rows = rows.withColumn("fold", F.lit(0))
     languages = [*model[0], UNKNOWN]
     names = F.array(*map(F.lit, languages))
     size = len(model[0])
@@ -146,11 +175,12 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     def smoothed(own: Column, above: Column) -> Column:
         return F.zip_with(own, above, lambda n, p: (n + STRENGTH * p) / (total(own) + STRENGTH))
 
-    suffixes = counts("suffix").where("suffix is not null").select("suffix", smoothed(as_array, top).alias("by_suffix"))
+    suffixes = counts("suffix").where("suffix is not null").select("suffix", smoothed(as_array, top).alias("by_suffix"), total(as_array).alias("rows"))
     hosts = counts("host", "suffix").where("host is not null").select("host", F.col("suffix").alias("its_suffix"), as_array.alias("own"))
-    hosts = hosts.join(suffixes.withColumnRenamed("suffix", "its_suffix"), "its_suffix", "left").select("host", "its_suffix", smoothed(F.col("own"), F.coalesce("by_suffix", top)).alias("by_host"))
-    same_host = (seen["host"] == hosts["host"]) & seen["suffix"].eqNullSafe(hosts["its_suffix"])
-    fused = seen.join(hosts.select("host", "its_suffix", "by_host"), same_host, "left").drop(hosts["host"], hosts["its_suffix"]).join(suffixes, "suffix", "left")
+    hosts = hosts.join(suffixes.select(F.col("suffix").alias("its_suffix"), "by_suffix"), "its_suffix", "left")
+    hosts = hosts.select(place(F.col("host"), F.col("its_suffix")).alias("place"), smoothed(F.col("own"), F.coalesce("by_suffix", top)).alias("by_host"), total(F.col("own")).alias("rows"))
+    fused = join_skewed(seen.withColumn("place", place(F.col("host"), F.col("suffix"))), hosts, ["place"], "rows", "left").drop("rows")
+    fused = join_skewed(fused, suffixes, ["suffix"], "rows", "left")
     prior = F.transform(F.coalesce("by_host", "by_suffix", top), lambda p: F.log(p))
     fused = fused.withColumn("score", _add(F.col("evidence"), prior))
     peak = F.array_max("score")
@@ -160,9 +190,9 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
 
 
 def document_evidence(docs: DataFrame) -> DataFrame:
-    """Rows to identify: a document's column ``lang`` is its declared language, ``source`` its host."""
+    """Rows to identify: a document's ``source`` is its host; nothing is declared (its column ``lang`` is the label)."""
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("content"), text.alias("text"), F.col("lang").cast("string").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").cast("string").alias("host"))
+    return docs.select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("content"), text.alias("text"), F.lit(None).cast("string").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").cast("string").alias("host"), fold(F.col("doc_id")).alias("fold"))
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
@@ -174,8 +204,12 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").alias("id"), F.xxhash64("html").alias("content"), text.alias("text"), declared.alias("declared"), suffix.alias("suffix"), host.alias("host"))
 
 
-def document_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    return fit(docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("label")))
+def labelled(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("label"))
+
+
+def document_model(docs: DataFrame) -> tuple[list[str], list[np.ndarray]]:
+    return cross_fit(labelled(docs))
 
 
 def in_a_language(docs: DataFrame) -> DataFrame:
@@ -193,4 +227,4 @@ def op5_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same operator on pages, where markup, address and host speak too."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return identify(page_evidence(pages), document_model(documents(spark, sf_dir))).withColumnRenamed("id", "page_id").drop("content")
+    return identify(page_evidence(pages), fit(labelled(documents(spark, sf_dir)))).withColumnRenamed("id", "page_id").drop("content")

@@ -1,9 +1,11 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from assetloom.llm.language_id import BUCKETS, document_evidence, document_model, fit, identify, in_a_language, op5_language_fusion, page_evidence, pages_language, trigrams
+from assetloom.llm.language_id import BUCKETS, document_evidence, document_model, fit, fold, identify, in_a_language, op5_language_fusion, page_evidence, pages_language, trigrams
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ROWS = "id long, content long, text string, declared string, suffix string, host string"
@@ -76,6 +78,57 @@ def test_held_out_accuracy(spark):
     assert right > 0.95, right
 
 
+def test_query_equals_brute_force(spark):
+    """Two models from counters, each judging what the other learnt from; priors of sources; posteriors."""
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text or "", r.lang, r.source, r.fold) for r in spark.read.parquet(f"{sf}/documents.parquet").withColumn("fold", fold(F.col("doc_id"))).collect()]
+    assert {r[4] for r in rows} == {0, 1} and len(rows) < 4000  # so all rows are learnt from
+    names = sorted({r[2] for r in rows})
+
+    def grams(text):
+        raw = b" " + text.encode().lower() + b" "
+        return Counter((int.from_bytes(raw[i : i + 3], "big") * 2654435761) % 2**32 >> 16 for i in range(len(raw) - 2))
+
+    counts = {(k, lang): sum((grams(t) for _, t, label, _, f in rows if t and label == lang and f != k), Counter()) for k in (0, 1) for lang in names}
+    assert all(counts.values())
+    evidence = {}
+    for i, t, _, _, k in rows:
+        if t.strip():
+            unseen = 0.5 / (BUCKETS / 2 + max(counts[k, lang].total() for lang in names))
+            none = (math.log(unseen) - math.log(BUCKETS)) / 2
+            found = grams(t)
+            logs = [sum(n * math.log((1 - BUCKETS * unseen) * counts[k, lang][g] / counts[k, lang].total() + unseen) for g, n in found.items()) for lang in names]
+            evidence[i] = np.array([*logs, none * found.total()]) / 4
+    own = {}
+    for i, _, _, source, _ in rows:
+        if i in evidence:
+            for key in (source, "all"):
+                own.setdefault(key, np.zeros(len(names) + 1))[evidence[i].argmax()] += 1
+    top = (own["all"] + 1) / (own["all"] + 1).sum()
+    got = {r.doc_id: r for r in op5_language_fusion(spark, sf).collect()}
+    assert len(got) == len(rows)
+    differs = 0
+    for i, _, label, source, _ in rows:
+        if i not in evidence:
+            assert (got[i].lang, got[i].posterior) == ("und", None)
+            continue
+        prior = top if source is None else (own[source] + 20 * top) / (own[source].sum() + 20)
+        score = evidence[i] + np.log(prior)
+        share = np.exp(score - score.max())
+        assert got[i].lang == [*names, "und"][score.argmax()] and got[i].text_lang == [*names, "und"][evidence[i].argmax()]
+        assert abs(got[i].posterior - 1 / share.sum()) < 1e-3
+        differs += got[i].lang != label
+    assert differs < 0.1 * len(rows)
+
+
+def test_labels_are_not_echoed(spark):
+    """A wrong label doesn't come back as the row's language."""
+    rows = [(i, text(lang, i), "fr" if i % 10 == 0 else lang, "s", 1) for i in range(120) for lang in [list(WORDS)[i % 2]]]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.id: r.lang for r in identify(document_evidence(docs), document_model(docs)).collect()}
+    assert got == {i: list(WORDS)[i % 2] for i in range(120)}
+
+
 def test_queries_and_stage_keep_whole_tables(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
