@@ -5,7 +5,12 @@ clustered are the ``CLUSTERED`` most frequent words and ``SHAPES`` groups of all
 ending; a group's words share its class, so each word, seen or not, has one. Exchange clustering moves
 one unit after another to the class that gains most likelihood of the class bigrams.
 
-P(w | v) = P(class(w) | class(v)) * P(w | class(w)). Transitions are smoothed towards the classes'
+That tells what comes before. Each listed word then gets a class of its own for what comes after: all words that are listed (and the
+endings) are counted with the classes before them, and in ``SWEEPS`` sweeps over all of them at once each word that occurs ``ENOUGH`` times
+moves to the class under which its own contexts are most likely. So a word has two classes, one as history, from its frequency or ending, and one as what follows,
+from its own occurrences; only words that are rarer or aren't listed have both from their ending.
+
+P(w | v) = P(class(w) | history(v)) * P(w | class(w)). Transitions are smoothed towards the classes'
 frequencies. A word that is listed has its share of its class; any other word has its group's share of
 the class times (c + 1) / (n + v + 1) within the group (n tokens, v distinct words), so unseen words
 have a probability too. A text begins after, and ends with, the end token, a class of its own.
@@ -35,6 +40,9 @@ CLUSTERED = 768
 SHAPES = 256
 CLASSES = 48
 LISTED = 200_000
+SWEEPS = 3
+#: Occurrences from which a word's own contexts say more than its ending.
+ENOUGH = 5
 SMOOTHING = 20.0
 
 #: Distinct words that a worker counts or remembers before it starts afresh.
@@ -177,15 +185,102 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = 10) -> n
     return own
 
 
-def transitions(bigrams: np.ndarray, own: np.ndarray, classes: int = CLASSES) -> np.ndarray:
-    """log10 P(class | class before), smoothed towards the classes' own frequencies."""
-    side = classes + 1
-    table = np.zeros((side, side))
-    np.add.at(table, (own[:, None], own[None, :]), bigrams)
-    share = (table.sum(0) + 1) / (table.sum() + side)
+def transitions(table: np.ndarray) -> np.ndarray:
+    """log10 P(class | history), smoothed towards the classes' own frequencies, of counts (history, class)."""
+    share = (table.sum(0) + 1) / (table.sum() + len(table))
     return np.log10((table + SMOOTHING * share) / (table.sum(1, keepdims=True) + SMOOTHING))
 
 
+def class_table(bigrams: np.ndarray, own: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+    table = np.zeros((classes + 1, classes + 1))
+    np.add.at(table, (own[:, None], own[None, :]), bigrams)
+    return table
+
+
+def best_classes(contexts: np.ndarray, steps: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """The class of each word that makes its contexts (word, history) most likely; of equals the first."""
+    gain = contexts @ steps[:, : len(mass)] - contexts.sum(1, keepdims=True) * np.log10(np.maximum(mass, 1))
+    return np.argmax(np.round(gain, 6), 1)
+
+
+def word_contexts(training: DataFrame, listed: list[bytes], history: np.ndarray, text: str = "text") -> DataFrame:
+    """(unit, before, n: arrays): how often each listed word, ending and end comes after each history class."""
+    side, end = CLASSES + 1, len(listed) + SHAPES
+    shared = training.sparkSession.sparkContext.broadcast((listed, history))
+
+    def count(batches):
+        listed, history = shared.value
+        units = _Units(listed)
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        size = 0
+
+        def merged():
+            keys, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return keys, np.bincount(place, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, _ROWS):
+                _, tokens, _ = _tokens(text_bytes(batch.column(0).slice(start, _ROWS)), units, end)
+                before = np.concatenate([[CLASSES], history[tokens[:-1]]])
+                held.append(np.unique(tokens * side + before, return_counts=True))
+                size += len(held[-1][0])
+                if size > 4 * HELD:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size > 2 * HELD:
+                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], ["key", "n"])
+                        held, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+        keys, n = merged()
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
+
+    counted = training.select(F.col(text).cast("string")).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    rows = counted.select(F.expr(f"key div {side}").alias("unit"), F.struct((F.col("key") % side).cast("int").alias("before"), "n").alias("x"))
+    gathered = rows.groupBy("unit").agg(F.collect_list("x").alias("x"))
+    return gathered.select("unit", F.transform("x", lambda x: x["before"]).alias("before"), F.transform("x", lambda x: x["n"]).alias("n"))
+
+
+def _dense(batch: pa.RecordBatch) -> np.ndarray:
+    """Contexts (unit, history class) of a batch of ``word_contexts``."""
+    before, n = batch.column(1), batch.column(2)
+    row = np.repeat(np.arange(batch.num_rows), np.diff(before.offsets.to_numpy()))
+    out = np.zeros((batch.num_rows, CLASSES + 1))
+    np.add.at(out, (row, before.flatten().to_numpy()), n.flatten().to_numpy())
+    return out
+
+
+def followed(contexts: DataFrame, classes: np.ndarray) -> np.ndarray:
+    """Counts (history, class) of all tokens, given each unit's class."""
+    side = CLASSES + 1
+    shared = contexts.sparkSession.sparkContext.broadcast(classes)
+
+    def add(batches):
+        table = np.zeros((side, side))
+        for batch in batches:
+            np.add.at(table.T, shared.value[batch.column(0).to_numpy()], _dense(batch))
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table.ravel()[at].astype(np.int64))], ["at", "n"])
+
+    found = contexts.mapInArrow(add, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(side * side)
+    table[found["at"].to_numpy(np.int64)] = found["n"]
+    return table.reshape(side, side)
+
+
+def sweep(contexts: DataFrame, listed: int, steps: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """The best class of each listed word; as many numbers as are listed come to the driver."""
+
+    def choose(batches):
+        for batch in batches:
+            unit = batch.column(0).to_numpy()
+            own = best_classes(_dense(batch), steps, mass)
+            yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(own.astype(np.int64))], ["unit", "own"])
+
+    found = contexts.where(F.col("unit") < listed).mapInArrow(choose, "unit long, own long").toPandas()
+    own = np.zeros(listed, np.int64)
+    own[found["unit"].to_numpy(np.int64)] = found["own"]
+    return own
+
+
 def score(docs: DataFrame, is_training: Column, key: str = "doc_id", text: str = "text", clustered: int = CLUSTERED, listed: int = LISTED) -> DataFrame:
     """(key, is_training, n_tokens, n_known, train_tokens, base_score, score) of each document."""
     spark = docs.sparkSession
@@ -215,19 +310,25 @@ def score(docs: DataFrame, is_training: Column, key: str = "doc_id", text: str =
     listed_unit = np.array([i if i < clustered else clustered + shape(w) for i, (w, _) in enumerate(top)], np.int64)
     listed_class = own[listed_unit] if top else np.zeros(0, np.int64)
     shape_class = own[clustered : clustered + SHAPES]
-    mass = np.bincount(listed_class, listed_n, CLASSES) + np.bincount(shape_class, group_tokens + 1, CLASSES)
+    history = np.concatenate([listed_class, shape_class, [CLASSES]]).astype(np.int64)
+    contexts = cut(word_contexts(training, [w for w, _ in top], history), "lm-contexts")
+    masses = lambda: np.bincount(listed_class, listed_n, CLASSES) + np.bincount(shape_class, group_tokens + 1, CLASSES)
+    for _ in range(SWEEPS):
+        table = followed(contexts, np.concatenate([listed_class, shape_class, [CLASSES]]).astype(np.int64))
+        listed_class = np.where(listed_n >= ENOUGH, sweep(contexts, len(top), transitions(table), masses()), listed_class)
+    mass = masses()
     emit = np.concatenate([np.log10(listed_n / mass[listed_class]) if top else [], np.log10((group_tokens + 1) / mass[shape_class]), [0.0]])
     base = np.concatenate([np.log10((listed_n + 1) / (total + distinct + 1)), np.zeros(SHAPES), [np.log10((ends + 1) / (total + distinct + 1))]])
     class_of = np.concatenate([listed_class, shape_class, [CLASSES]]).astype(np.int64)
-    steps = transitions(bigrams, own)
-    shared = spark.sparkContext.broadcast(([w for w, _ in top], class_of, emit, base, steps))
+    steps = transitions(followed(contexts, class_of))
+    shared = spark.sparkContext.broadcast(([w for w, _ in top], history, class_of, emit, base, steps))
     token, known_end, first_rare = uuid.uuid4().hex, int(ends > 0), len(top)
 
     def tally(batches):
         if token not in _models:
             _models.clear()
             _models[token] = (_Units(shared.value[0]), *shared.value[1:])
-        units, class_of, emit, base, steps = _models[token]
+        units, history, class_of, emit, base, steps = _models[token]
         end = first_rare + SHAPES
         for batch in batches:
             for start in range(0, batch.num_rows, _ROWS):
@@ -235,7 +336,7 @@ def score(docs: DataFrame, is_training: Column, key: str = "doc_id", text: str =
                 words, tokens, ends = _tokens(text_bytes(part.column(1)), units, end)
                 begins = np.concatenate([[0], ends[:-1] + 1])
                 classes = class_of[tokens]
-                before = np.concatenate([[CLASSES], classes[:-1]])
+                before = np.concatenate([[CLASSES], history[tokens[:-1]]])
                 sums = [np.add.reduceat(x, begins) for x in ((tokens < first_rare).astype(np.int64), base[tokens], emit[tokens] + steps[before, classes])]
                 rows = part.num_rows
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.nulls(rows, pa.binary()), pa.array(ends - begins + 1), pa.array(sums[0] + known_end), pa.array(sums[1]), pa.array(sums[2])], names)

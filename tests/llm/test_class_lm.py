@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assetloom.llm import class_lm
-from assetloom.llm.class_lm import CLASSES, SHAPES, exchange, held_out, op2_class_lm, score, shape, transitions
+from assetloom.llm.class_lm import CLASSES, ENOUGH, SHAPES, SWEEPS, best_classes, class_table, exchange, held_out, op2_class_lm, score, shape, transitions
 
 SCHEMA = "doc_id long, text string"
 
@@ -42,20 +42,38 @@ def brute(docs, training, clustered, listed):
         sequence = [end, *map(unit, s), end]
         np.add.at(bigrams, (sequence[:-1], sequence[1:]), 1)
     own = exchange(bigrams)
-    steps = transitions(bigrams, own)
     rare = [w for w in counts if w not in known]
     tokens, words = Counter(), Counter()
     for w in rare:
         tokens[shape(w)] += counts[w]
         words[shape(w)] += 1
-    mass = Counter()
-    for w in known:
-        mass[own[unit(w)]] += counts[w]
-    for s in range(SHAPES):
-        mass[own[len(top) + s]] += tokens[s] + 1
+    class_of = {w: own[unit(w)] for w in known}  # what follows; own: what came before
+    follows = lambda w: class_of[w] if w in known else own[unit(w)]
+
+    def counted():
+        table, mass = np.zeros((CLASSES + 1, CLASSES + 1)), np.zeros(CLASSES)
+        for s in trained:
+            sequence = [CLASSES, *(own[unit(w)] for w in s)], [*map(follows, s), CLASSES]
+            np.add.at(table, sequence, 1)
+        for w in known:
+            mass[class_of[w]] += counts[w]
+        for s in range(SHAPES):
+            mass[own[len(top) + s]] += tokens[s] + 1
+        return table, mass
+
+    contexts = {w: np.zeros(CLASSES + 1) for w in known}
+    for s in trained:
+        for before, w in zip([None, *s], s, strict=False):
+            if w in known:
+                contexts[w][CLASSES if before is None else own[unit(before)]] += 1
+    for _ in range(SWEEPS):
+        table, mass = counted()
+        class_of = {w: best_classes(contexts[w][None, :], transitions(table), mass)[0] if counts[w] >= ENOUGH else class_of[w] for w in known}
+    table, mass = counted()
+    steps = transitions(table)
 
     def emit(w):
-        c = own[unit(w)]
+        c = follows(w)
         if w in known:
             return math.log10(counts[w] / mass[c])
         s = shape(w)
@@ -65,8 +83,7 @@ def brute(docs, training, clustered, listed):
     for i, t in docs:
         s = split(t)
         base = sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in s) + math.log10((ends + 1) / (total + distinct + 1))
-        sequence = [end, *map(unit, s), end]
-        model = sum(steps[own[a], own[b]] for a, b in zip(sequence, sequence[1:], strict=False)) + sum(map(emit, s))
+        model = sum(steps[a, b] for a, b in zip([CLASSES, *(own[unit(w)] for w in s)], [*map(follows, s), CLASSES], strict=True)) + sum(map(emit, s))
         out[i] = (len(s) + 1, sum(w in counts for w in s) + (ends > 0), total, base, model)
     return out
 
@@ -97,7 +114,7 @@ def test_probabilities_add_up():
     rng = np.random.default_rng(1)
     bigrams = rng.integers(0, 5, (SHAPES + 11, SHAPES + 11))
     own = exchange(bigrams)
-    assert np.allclose((10 ** transitions(bigrams, own)).sum(1), 1)
+    assert np.allclose((10 ** transitions(class_table(bigrams, own))).sum(1), 1)
     assert own.max() == CLASSES
 
 
