@@ -176,9 +176,11 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
         return F.zip_with(own, above, lambda n, p: (n + STRENGTH * p) / (total(own) + STRENGTH))
 
     suffixes = counts("suffix").where("suffix is not null").select("suffix", smoothed(as_array, top).alias("by_suffix"), total(as_array).alias("rows"))
+    suffixes = cut(suffixes, "language-suffixes")
     hosts = counts("host", "suffix").where("host is not null").select("host", F.col("suffix").alias("its_suffix"), as_array.alias("own"))
     hosts = hosts.join(suffixes.select(F.col("suffix").alias("its_suffix"), "by_suffix"), "its_suffix", "left")
     hosts = hosts.select(place(F.col("host"), F.col("its_suffix")).alias("place"), smoothed(F.col("own"), F.coalesce("by_suffix", top)).alias("by_host"), total(F.col("own")).alias("rows"))
+    hosts = cut(hosts, "language-hosts")
     fused = join_skewed(seen.withColumn("place", place(F.col("host"), F.col("suffix"))), hosts, ["place"], "rows", "left").drop("rows")
     fused = join_skewed(fused, suffixes, ["suffix"], "rows", "left")
     prior = F.transform(F.coalesce("by_host", "by_suffix", top), lambda p: F.log(p))

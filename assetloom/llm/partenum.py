@@ -214,7 +214,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
-        now = cut(hang(hang(now, False), True), label)
+        now = cut(hang(cut(hang(now, False), label), True), label)  # a table after each step keeps the plans small
     return now.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("root"))).distinct()
 
 
@@ -291,7 +291,7 @@ def verified_links(dealt: DataFrame, n: int, p: int, q: int) -> DataFrame:
 
 def star_tasks(star: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
     """Tasks of ``verified_links``: the documents of each star (id, hub) in blocks of ``STAR`` shingles, each with the hub."""
-    sized = star.join(sizes, "id")
+    sized = cut(star.join(sizes, "id"), "jaccard-sized")
     blocks = sized.groupBy("hub").agg(F.ceil(F.sum("n") / STAR).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     members = join_skewed(sized, blocks, ["hub"], "blocks").select("id", "hub", block.alias("block"))
@@ -317,7 +317,7 @@ def pair_tasks(tied: DataFrame, roots: DataFrame, sizes: DataFrame, texts: DataF
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     groups = groups.select("group", "largest", blocks(F.col("most")).alias("large"), blocks(F.col("all") - F.col("most")).alias("small"), "all")
     # blocks from 0 hold what isn't in the largest component and meet all; blocks from -1 down hold the largest and meet the others
-    dealt = join_skewed(members, groups, ["group"], "all")
+    dealt = join_skewed(members, cut(groups, "jaccard-parts"), ["group"], "all")
     inside = F.col("known") == F.col("largest")
     block = F.when(inside, -1 - F.pmod(F.xxhash64("id"), F.col("large"))).otherwise(F.pmod(F.xxhash64("id"), F.col("small"))).cast("int")
     lowest = F.when(inside, F.lit(0)).otherwise(-F.col("large"))
