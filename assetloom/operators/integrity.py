@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetloom.sources.catalog import ASSET_TYPES
@@ -47,10 +47,23 @@ def report(items: DataFrame) -> DataFrame:
     return items.rollup("kind", "subkind").agg(F.count(F.lit(1)).alias("expected"), F.count_if("there").alias("present"), F.count_if(~F.col("there")).alias("missing"))
 
 
+def _name() -> Column:
+    return F.coalesce(F.concat("kind", F.lit("/"), "subkind"), F.concat("kind", F.lit("/*")), F.lit("all"))
+
+
 def lines(reported: DataFrame) -> DataFrame:
     """(line): a report as text."""
-    name = F.coalesce(F.concat("kind", F.lit("/"), "subkind"), F.concat("kind", F.lit("/*")), F.lit("all"))
-    return reported.select(F.format_string("%s: %d of %d, %d missing", name, "present", "expected", "missing").alias("line"))
+    return reported.select(F.format_string("%s: %d of %d, %d missing", _name(), "present", "expected", "missing").alias("line"))
+
+
+def aligned(reported: DataFrame) -> DataFrame:
+    """(line): a report as text in columns, as wide as the longest name and number."""
+    named = reported.select(_name().alias("name"), F.col("expected").cast("string").alias("expected"), F.col("present").cast("string").alias("present"), "missing")
+    widths = named.agg(F.max(F.length("name")).alias("wide"), F.max(F.length("expected")).alias("digits"))
+    state = F.when(F.col("missing") == 0, "OK").otherwise(F.format_string("(%d missing)", "missing"))
+    number = F.concat(F.lpad("present", F.col("digits"), F.lit(" ")), F.lit(" / "), F.rpad("expected", F.col("digits"), F.lit(" ")))
+    placed = named.crossJoin(F.broadcast(widths))  # one row of widths
+    return placed.select(F.concat_ws("  ", F.rpad("name", F.col("wide"), F.lit(" ")), number, state).alias("line"))
 
 
 def complete(items: DataFrame) -> DataFrame:

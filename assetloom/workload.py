@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assetloom.functions import paths
 from assetloom.functions.paths import basename, spaced, stem
-from assetloom.functions.predicates import all_of, any_of, contains_text, dominant_in, flag_is, in_range, in_whole_range, one_of
+from assetloom.functions.predicates import all_of, any_of, contains_text, direct_child, dominant_in, flag_is, in_range, in_whole_range, one_of
 from assetloom.functions.textures import channels, texture_kind
 from assetloom.operators import documents as docs_
 from assetloom.operators import files, graph, hierarchy, integrity, scene, similarity, textures
 from assetloom.plans.query import AssetQuery
-from assetloom.schema import ASSET_FIELDS, ATTRIBUTE_PREFIX, ATTRIBUTES_DOC
+from assetloom.schema import ASSET_FIELDS, ATTRIBUTE_PREFIX, ATTRIBUTES_DOC, MASTER
 from assetloom.schema import schema_doc as schema_table
+from assetloom.sources import catalog, transfer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -660,6 +662,157 @@ def vegetation_page(spark, sf):
     return docs_.vegetation_document(load_vegetation(spark, sf).where("name < 'c'").withColumn("preview", preview), "http://localhost", "Trees")
 
 
+# ---- queries over sources: annotation texts, categories, paths, encoders, fetching
+
+_ASSET_TEXT_SQL = """SELECT CAST(p_partkey AS VARCHAR) AS uid, p_name AS description, p_retailprice AS height, CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_size AS DOUBLE) END AS mass,
+CASE WHEN p_partkey % 7 <> 0 THEN p_brand || '|' || p_type END AS materials, CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS movable,
+CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS shape, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS VARCHAR) END AS age FROM part"""
+
+
+def asset_texts(spark, sf):
+    """An annotation text for each part. One mass of five and one list of materials of seven have a wrong type."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    pieces = [
+        F.concat(F.lit('"uid": "'), k.cast("string"), F.lit('"')),
+        F.concat(F.lit('"description": "'), "p_name", F.lit('"')),
+        F.concat(F.lit('"height": '), F.col("p_retailprice").cast("string")),
+        F.concat(F.lit('"mass": '), F.when(k % 5 == 0, F.lit('"heavy"')).otherwise(size)),
+        F.concat(F.lit('"materials": '), F.when(k % 7 == 0, F.lit('"oak"')).otherwise(F.concat(F.lit('["'), "p_brand", F.lit('", "'), "p_type", F.lit('"]')))),
+        F.when(k % 3 == 0, F.lit('"movable": true')).when(k % 3 == 1, F.lit('"movable": false')),
+        F.when(k % 3 == 0, F.concat(F.lit('"attribute_shape": "'), "p_brand", F.lit('"'))),
+        F.when(k % 2 == 0, F.concat(F.lit('"attribute_age": '), size)),
+    ]
+    return table(spark, sf, "part").select(F.concat(F.lit("{"), F.concat_ws(", ", *pieces), F.lit("}")).alias("value"))
+
+
+@query(_ASSET_TEXT_SQL)
+def parsed_assets(spark, sf):
+    found = catalog.parse_assets(asset_texts(spark, sf))
+    special = [F.col("attributes").getItem(f"{ATTRIBUTE_PREFIX}{n}").alias(n) for n in ("shape", "age")]
+    return found.select("uid", "description", "height", "mass", F.when(F.col("materials").isNotNull(), joined("materials")).alias("materials"), "movable", *special)
+
+
+@query(f"""SELECT field, CASE field WHEN 'mass' THEN (SELECT count(*) FROM part WHERE p_partkey % 5 = 0) WHEN 'materials' THEN (SELECT count(*) FROM part WHERE p_partkey % 7 = 0) ELSE 0 END AS unreadable
+FROM (VALUES {", ".join(f"('{n}')" for n, _, _ in ASSET_FIELDS)}) AS f(field)""")
+def quality_counts(spark, sf):
+    return catalog.quality_counts(asset_texts(spark, sf))
+
+
+@query("SELECT 'attribute_shape' AS name, count(*) AS n FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 'attribute_age', count(*) FROM part WHERE p_partkey % 2 = 0")
+def attribute_names(spark, sf):
+    return catalog.attribute_names(catalog.parse_assets(asset_texts(spark, sf)))
+
+
+@query("SELECT count(*) AS number_of_assets, count(DISTINCT r_name) AS number_of_classes_l1, count(DISTINCT n_name) AS number_of_classes_l2, count(DISTINCT c_mktsegment) AS number_of_classes_l3 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def category_statistics(spark, sf):
+    return catalog.statistics(geography(spark, sf))
+
+
+def master_rows(spark, sf):
+    """A master annotation for each region: its nations are the leaf categories, each with two assets."""
+    k = F.col("n_nationkey").cast("long")
+    nations = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    names = [F.col(c).alias(f"class_name_l{i}") for i, c in ((1, "r_name"), (2, "n_name"), (3, "n_name"))]
+    leaf = F.struct(*names, *[k.alias(f"class_id_l{i}") for i in (1, 2, 3)], F.array(k.cast("string"), (k + 1).cast("string")).alias("asset_uids"), F.lit(2).cast("long").alias("asset_count"))
+    texts = nations.groupBy("r_name").agg(F.to_json(F.struct(F.map_from_entries(F.sort_array(F.collect_list(F.struct("n_name", leaf)))).alias("annotation"))).alias("value"))
+    return texts.select(F.from_json("value", MASTER).alias("master")).select("master.*")
+
+
+@query("""SELECT row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1 AS pos, n_name AS key, r_name AS l1, n_name AS l2, n_name AS l3, CAST(n_nationkey AS BIGINT) AS id_l1, CAST(n_nationkey AS BIGINT) AS id_l2, CAST(n_nationkey AS BIGINT) AS id_l3,
+n_nationkey || '|' || (n_nationkey + 1) AS asset_uids, CAST(2 AS BIGINT) AS asset_count FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def category_dim(spark, sf):
+    found = catalog.category_dim(master_rows(spark, sf))
+    longs = {c: F.col(c).cast("long") for c in ("pos", "id_l1", "id_l2", "id_l3", "asset_count")}
+    return found.withColumns(longs | {"asset_uids": joined("asset_uids")})
+
+
+@query("SELECT CAST(n_nationkey + i AS VARCHAR) AS uid, r_name AS l1, n_name AS l2, n_name AS l3, CAST(i AS INTEGER) AS pos FROM nation JOIN region ON n_regionkey = r_regionkey, (VALUES (0), (1)) AS x(i)")
+def category_bridge(spark, sf):
+    return catalog.asset_category(catalog.category_dim(master_rows(spark, sf))).select("uid", "l1", "l2", "l3", "pos")
+
+
+@query("""SELECT p_partkey, p_partkey || '.v1.tar.gz' AS basename, 'props/' || p_brand AS parent, CAST(p_partkey AS VARCHAR) AS stem, p_partkey || '.v1' AS plain, p_brand || '/' || p_partkey || '.v1.tar.gz' AS below,
+'props/' || p_brand || '/' || p_partkey || '.v1.tar.gz' AS undotted, 'props/' || p_brand || '/' || p_partkey || '.v1.tar_new.gz' AS renamed, 'http://h/props/' || p_brand || '/' || p_partkey || '.v1.tar.gz' AS url, 'render_' || p_size || '.0.jpg' AS render FROM part""")
+def path_strings(spark, sf):
+    path, base = F.col("path"), paths.basename(F.col("path"))
+    rows = table(spark, sf, "part").select("p_partkey", "p_size", F.concat(F.lit("props/"), "p_brand", F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".v1.tar.gz")).alias("path"))
+    found = {"basename": base, "parent": paths.parent(path), "stem": stem(base), "plain": paths.without_archive_suffix(base), "below": paths.below(path, "props"), "undotted": paths.without_leading_dots(F.concat(F.lit("../../"), path)), "renamed": paths.renamed(path, "_new"), "url": paths.url("http://h/", path), "render": paths.render_name(F.col("p_size"))}
+    return rows.select("p_partkey", *[c.alias(n) for n, c in found.items()])
+
+
+def listed_orders(spark, sf):
+    """(folder, path) of a file for each order, one of three in a folder below."""
+    k = F.col("o_orderkey")
+    path = F.concat("o_orderstatus", F.when(k % 3 == 0, "/sub/").otherwise("/"), k.cast("string"), F.when(k % 2 == 0, ".mdl").otherwise(".txt"))
+    return table(spark, sf, "orders").select(F.col("o_orderstatus").alias("folder"), path.alias("path"))
+
+
+@query("SELECT 'F/' || o_orderkey || '.mdl' AS path FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0")
+def direct_children(spark, sf):
+    return listed_orders(spark, sf).where(direct_child(F.col("path"), "F", ".mdl")).select("path")
+
+
+@query("SELECT 'F/sub/' || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN '.mdl' ELSE '.txt' END AS path FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 = 0")
+def folder_subtree(spark, sf):
+    return catalog.folder_listing(listed_orders(spark, sf), "F/sub").select("path")
+
+
+def vowels():
+    """An encoder that counts the vowels of a text."""
+    return lambda texts: [[t.count(v) for v in "aeiou"] for t in texts]
+
+
+_VOWELS_SQL = ", ".join(f"length(p_name) - length(replace(p_name, '{v}', '')) AS {v}" for v in "aeiou")
+
+
+@query(f"""WITH v AS (SELECT p_partkey AS uid, {_VOWELS_SQL} FROM part)
+SELECT uid, coalesce(round((a + 2 * e + 2 * i + u) / nullif(sqrt(CAST(a * a + e * e + i * i + o * o + u * u AS DOUBLE)) * sqrt(10.0::DOUBLE), 0), 6), 0) AS score FROM v ORDER BY score DESC, uid LIMIT 10""")
+def encoded_topk(spark, sf):
+    """Names by the vectors that a registered encoder gives them."""
+    encoders = similarity.Encoders()
+    encoders.register("vowels", vowels)
+    vectors = encoders.encode(table(spark, sf, "part").select(F.col("p_partkey").alias("uid"), "p_name"), "vowels", "p_name")
+    (asked,) = vowels()(["antique linen"])
+    return similarity.nearest(vectors, asked, 10, vector="vector")
+
+
+@query("SELECT p_partkey AS node FROM part WHERE p_partkey % 4 <> 2")
+def patchable_layers(spark, sf):
+    kind = F.element_at(F.array(*map(F.lit, ["float2", "int", "string", "float2"])), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return scene.patchable(table(spark, sf, "part").select(F.col("p_partkey").alias("layer"), kind.alias("type"), F.col("p_retailprice").alias("x")))
+
+
+def fetched_orders(spark, sf):
+    """Files of all orders, those of finished orders are there; the store lacks one of seven."""
+
+    def fetch(path):
+        if int(path.rsplit("/", 1)[-1]) % 7 == 0:
+            raise FileNotFoundError(path)
+        return b""
+
+    rows = table(spark, sf, "orders").select("o_orderstatus", F.concat(F.lit("order/"), F.col("o_orderkey").cast("string")).alias("path"))
+    return transfer.fetch_missing(rows, rows.where("o_orderstatus = 'F'"), fetch, lambda path, content: None)
+
+
+_FETCHED_SQL = """SELECT 'order/' || o_orderkey AS path, CASE WHEN o_orderstatus = 'F' THEN 'present' WHEN o_orderkey % 7 = 0 THEN 'failed' ELSE 'fetched' END AS status,
+CASE WHEN o_orderstatus <> 'F' AND o_orderkey % 7 = 0 THEN 'FileNotFoundError: order/' || o_orderkey END AS error FROM orders"""
+
+
+@query(_FETCHED_SQL)
+def fetch_results(spark, sf):
+    return fetched_orders(spark, sf)
+
+
+@query(f"SELECT count(*) FILTER (WHERE status = 'present') AS present, count(*) FILTER (WHERE status = 'fetched') AS fetched, count(*) FILTER (WHERE status = 'failed') AS failed FROM ({_FETCHED_SQL})")
+def fetch_summary(spark, sf):
+    return transfer.summary(fetched_orders(spark, sf))
+
+
+@query(_INTEGRITY_SQL + """, n AS (SELECT coalesce(kind || '/' || subkind, kind || '/*', 'all') AS name, expected, present, missing FROM r), w AS (SELECT max(length(name)) AS a, max(length(CAST(expected AS VARCHAR))) AS b FROM n)
+SELECT rpad(name, CAST(a AS INTEGER), ' ') || '  ' || lpad(CAST(present AS VARCHAR), CAST(b AS INTEGER), ' ') || ' / ' || rpad(CAST(expected AS VARCHAR), CAST(b AS INTEGER), ' ') || '  ' || CASE WHEN missing = 0 THEN 'OK' ELSE '(' || missing || ' missing)' END AS line FROM n, w""")
+def integrity_table(spark, sf):
+    return integrity.aligned(integrity.report(whole_status(spark, sf)))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
