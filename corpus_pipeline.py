@@ -3,7 +3,8 @@
 Language identification drops what is no language; the n-gram Jaccard join keeps the smallest document
 of each group of near duplicates (five-word shingles, similarity 0.8); substring deduplication cuts
 passages of 50 words and more that a smaller document has; best-fit packing lays what is left into
-sequences. All stages but the last return the columns of ``documents``.
+sequences. All stages but the last return the columns of ``documents``, whatever further columns there are and
+however they are called. Each stage takes empty tables, and whole texts of any length.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from assetloom.llm.partenum import jaccard_components
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text is of no language go, those with null or empty text too; repeated rows share their fate, null ids are judged by their text."""
     return in_a_language(docs)
 
 
@@ -29,10 +31,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated words go, and rows that lose all of theirs; ``n_chars`` is counted anew (null for a null text).
+
+    Of equal passages the smallest id's stays. Rows without words stay as they are.
+    """
     return without_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, piece, start_word, n_words, bin_id, bin_offset). A row without words is one piece of no words with a null bin; repeated rows are packed each; equal pieces go by the lower id."""
     return pack(measured(docs)).withColumnRenamed("id", "doc_id")
 
 
