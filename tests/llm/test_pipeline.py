@@ -82,3 +82,16 @@ def test_stages_on_odd_rows(spark, tmp_path):
             assert docs.count() == 0
         else:
             assert {1, 5, None} >= {r.doc_id for r in docs.collect()} >= {1}
+
+
+def test_stages_by_themselves_on_rows_without_words(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    line = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, line, "en", "s", 9), (2, line, "en", "s", 9), (3, None, None, None, 9), (4, "", "en", "s", 9), (5, " ", "en", "s", 9), (6, line + " more", "en", "s", 9)]
+    docs = spark.createDataFrame(rows, schema)
+    kept = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.repeated_passages(spark, docs, SF).collect()}
+    assert kept == {1: (line, len(line)), 3: (None, None), 4: ("", 0), 5: (" ", 1), 6: ("more", 4)}
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} == {1, 3, 4, 5}
+    assert not {r.doc_id for r in corpus_pipeline.language(spark, docs, SF).collect()} & {3, 4, 5}
+    bins = {r.doc_id: (r.n_words, r.bin_id is None) for r in corpus_pipeline.packing(spark, docs, SF).collect()}
+    assert bins == {1: (60, False), 2: (60, False), 3: (0, True), 4: (0, True), 5: (0, True), 6: (61, False)}
