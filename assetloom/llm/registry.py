@@ -7,6 +7,7 @@ from .class_lm import op2_class_lm
 from .fm_dedup import OP6_SQL, op6_fm_dedup
 from .jpeg_media import op8_baseline_jpeg
 from .language_id import op5_language_fusion, pages_language
+from .merkle import OP13_SQL, op13_merkle
 from .packing import op9_best_fit
 from .partenum import op3_partenum
 from .simhash import op7_simhash
@@ -26,9 +27,10 @@ def queries():
         "op8_baseline_jpeg": op8_baseline_jpeg,
         "op9_best_fit": op9_best_fit,
         "op10_transducer_bpe": op10_transducer_bpe,
+        "op13_merkle": op13_merkle,
         "pages_language": pages_language,
     }
 
 
 def oracle_sql():
-    return {"op6_fm_dedup": OP6_SQL}
+    return {"op6_fm_dedup": OP6_SQL, "op13_merkle": OP13_SQL}
