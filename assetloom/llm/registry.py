@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op11_alignment
 from .bpe_transducer import op10_transducer_bpe
 from .class_lm import op2_class_lm
 from .fm_dedup import OP6_SQL, op6_fm_dedup
@@ -10,6 +11,7 @@ from .language_id import op5_language_fusion, pages_language
 from .merkle import OP13_SQL, op13_merkle
 from .packing import op9_best_fit
 from .partenum import op3_partenum
+from .quality import op12_quality_trees
 from .simhash import op7_simhash
 from .token_attribution import op1_token_attribution
 from .url_trust import op4_url_trust
@@ -27,6 +29,8 @@ def queries():
         "op8_baseline_jpeg": op8_baseline_jpeg,
         "op9_best_fit": op9_best_fit,
         "op10_transducer_bpe": op10_transducer_bpe,
+        "op11_alignment": op11_alignment,
+        "op12_quality_trees": op12_quality_trees,
         "op13_merkle": op13_merkle,
         "pages_language": pages_language,
     }
