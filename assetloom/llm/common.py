@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +52,14 @@ def join_skewed(rows: DataFrame, values: DataFrame, on: list[str], weight: str,
     """``rows`` joined (inner or left) with ``values`` (one row for each key), of which ``weight`` says how busy a key is.
 
     The ``HEAVY`` busiest keys go by a broadcast of that bounded size, so their rows stay where they are; all others are shuffled.
+    Rows with a null in their key meet nothing: they are dropped or kept before any shuffle. In the left form a key that ``values``
+    lacks is shuffled like any other, so the caller keeps such rows few or apart.
     """
     busiest = F.broadcast(values.orderBy(F.desc(weight), *on).limit(HEAVY))
-    return rows.join(busiest, on).unionByName(rows.join(busiest.select(*on), on, "left_anti").join(values, on, how))
+    whole = reduce(and_, [F.col(c).isNotNull() for c in on])
+    keyed = rows.where(whole)
+    joined = keyed.join(busiest, on).unionByName(keyed.join(busiest.select(*on), on, "left_anti").join(values, on, how))
+    return joined.unionByName(rows.where(~whole), allowMissingColumns=True) if how == "left" else joined
 
 
 def most_frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:

@@ -451,8 +451,9 @@ def removals(docs: DataFrame, window: int = WINDOW, shard: int = SHARD, key: str
     dealt = stretches.where("not hot").select(F.col("anchor").alias("shard"), "id", "k1", "start", "words").unionByName(dealt)
     spans = _search(dealt, window, shard).unionByName(whole).groupBy("id", "k1").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     changed = cut(_cut_out(plain.join(spans.hint("merge"), "id")), "dedup-changed")
-    some = join_skewed(scan.select("id", "content", "n_words", "sha", "k1", "k2"), copies, ["k1", "k2"], "n", "left")
-    rows = some.select("id", "content", "n_words", "sha", ((F.col("n_words") >= window) & F.coalesce(F.col("class") < F.col("id"), F.lit(False))).alias("copy"))
+    told = join_skewed(long.select("id", "content", "n_words", "sha", "k1", "k2"), copies, ["k1", "k2"], "n")  # each of these has its row in ``copies``
+    short = scan.where((F.col("n_words") < window) | F.col("id").isNull())
+    rows = told.select("id", "content", "n_words", "sha", (F.col("class") < F.col("id")).alias("copy")).unionByName(short.select("id", "content", "n_words", "sha", F.lit(False).alias("copy")))
     return rows, changed.dropDuplicates(["id", "content"])
 
 

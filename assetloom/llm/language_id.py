@@ -9,7 +9,8 @@ The posterior of a language multiplies four kinds of evidence:
 * the declared markup language, which is right with probability ``DECLARED_RIGHT``;
 * the address suffix, and
 * the host: their languages by grouped counts of the first two kinds' decisions over all rows, each
-  level smoothed towards the one above with ``STRENGTH`` rows: all rows, suffix, host.
+  level smoothed towards the one above with ``STRENGTH`` rows: all rows, suffix, host. A row's own decision is left out
+  of the counts that judge it, so that a row that is alone on its host doesn't echo itself.
 
 Documents have no markup: their language column is the label that the text model learns from and no evidence. So
 that no row is judged by what it taught, rows lie in ``FOLDS`` parts by a hash of their id, and each part is judged by the model that
@@ -169,26 +170,30 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     as_array = F.array(*[F.coalesce(F.col(f"`{n}`"), F.lit(0)).cast("double") for n in languages])
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
     everything = decided.groupBy("text_lang").count().collect()
-    top = np.array([1.0 + sum(r["count"] for r in everything if r["text_lang"] == n) for n in languages])
-    top = F.array(*map(F.lit, (top / top.sum()).tolist()))
+    all_counts = F.array(*[F.lit(float(sum(r["count"] for r in everything if r["text_lang"] == n))) for n in languages])
+    # a row's own decision is no evidence for it: it is taken from the counts of every level
+    mine = F.array(*[F.when(F.col("text_lang") == n, F.lit(1.0)).otherwise(F.lit(0.0)) for n in languages])
+    others = lambda c: F.zip_with(c, mine, lambda n, m: n - m)
 
     def smoothed(own: Column, above: Column) -> Column:
         return F.zip_with(own, above, lambda n, p: (n + STRENGTH * p) / (total(own) + STRENGTH))
 
-    suffixes = counts("suffix").where("suffix is not null").select("suffix", smoothed(as_array, top).alias("by_suffix"), total(as_array).alias("rows"))
-    suffixes = cut(suffixes, "language-suffixes")
-    hosts = counts("host", "suffix").where("host is not null").select("host", F.col("suffix").alias("its_suffix"), as_array.alias("own"))
-    hosts = hosts.join(suffixes.select(F.col("suffix").alias("its_suffix"), "by_suffix"), "its_suffix", "left")
-    hosts = hosts.select(place(F.col("host"), F.col("its_suffix")).alias("place"), smoothed(F.col("own"), F.coalesce("by_suffix", top)).alias("by_host"), total(F.col("own")).alias("rows"))
-    hosts = cut(hosts, "language-hosts")
-    fused = join_skewed(seen.withColumn("place", place(F.col("host"), F.col("suffix"))), hosts, ["place"], "rows", "left").drop("rows")
+    suffixes = cut(counts("suffix").where("suffix is not null").select("suffix", as_array.alias("of_suffix"), total(as_array).alias("rows")), "language-suffixes")
+    hosts = counts("host", "suffix").where("host is not null").select("host", F.col("suffix").alias("its_suffix"), as_array.alias("of_host"))
+    hosts = cut(hosts.select(place(F.col("host"), F.col("its_suffix")).alias("place"), "of_host", total("of_host").alias("rows")), "language-hosts")
+    # every row that decided something is counted at its host and suffix, so each key that isn't null is met; the others have no score
+    fused = join_skewed(decided.withColumn("place", place(F.col("host"), F.col("suffix"))), hosts, ["place"], "rows", "left").drop("rows")
     fused = join_skewed(fused, suffixes, ["suffix"], "rows", "left")
-    prior = F.transform(F.coalesce("by_host", "by_suffix", top), lambda p: F.log(p))
-    fused = fused.withColumn("score", _add(F.col("evidence"), prior))
+    top = F.transform(others(all_counts), lambda n: (n + 1) / (total(others(all_counts)) + size + 1))
+    by_suffix = F.coalesce(smoothed(others(F.col("of_suffix")), F.col("top")), "top")
+    by_host = F.coalesce(smoothed(others(F.col("of_host")), F.col("by_suffix")), "by_suffix")
+    fused = fused.withColumn("top", top).withColumn("by_suffix", by_suffix).withColumn("score", _add(F.col("evidence"), F.transform(by_host, lambda p: F.log(p))))
     peak = F.array_max("score")
     share = 1 / total(F.transform("score", lambda s: F.exp(s - F.array_max("score"))))
-    lang = F.when(F.col("evidence").isNull(), F.lit(UNKNOWN)).otherwise(_best(F.col("score"), names))
-    return fused.select("id", "content", lang.alias("lang"), F.when(peak.isNotNull(), share).alias("posterior"), "text_lang", (lang != UNKNOWN).alias("accepted"))
+    lang = _best(F.col("score"), names)
+    told = fused.select("id", "content", lang.alias("lang"), F.when(peak.isNotNull(), share).alias("posterior"), "text_lang", (lang != UNKNOWN).alias("accepted"))
+    silent = seen.where(F.col("text_lang").isNull()).select("id", "content", F.lit(UNKNOWN).alias("lang"), F.lit(None).cast("double").alias("posterior"), "text_lang", F.lit(False).alias("accepted"))
+    return told.unionByName(silent)
 
 
 def document_evidence(docs: DataFrame) -> DataFrame:

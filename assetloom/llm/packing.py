@@ -80,9 +80,14 @@ class Bins:
                 break
 
 
+def by_id(own) -> tuple:
+    """Sorts ids of any one type, null last."""
+    return (True, 0) if own is None else (False, own)
+
+
 def pack_shard(pieces: list[tuple], capacity: int, per_source: int) -> list[tuple[int, int, int]]:
     """(place in ``pieces``, bin, offset) of pieces (id, words, source, cluster), each within the capacity."""
-    order = sorted(range(len(pieces)), key=lambda i: (-pieces[i][1], pieces[i][0] is None, pieces[i][0] or 0, pieces[i][3] or 0, i))
+    order = sorted(range(len(pieces)), key=lambda i: (-pieces[i][1], *by_id(pieces[i][0]), pieces[i][3] or 0, i))
     often = Counter(p[3] for p in pieces)
     source_bits: dict = {None: 0}
     cluster_bits: dict = {c: 0 for c, n in often.items() if n == 1} | {None: 0}
@@ -118,7 +123,8 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
         raise ValueError("capacity, per_source and shard_rows must be positive")
     rows = cut(rows, "packing-rows")
     shards = max(1, -(-rows.count() // shard_rows))
-    number = F.pmod(F.xxhash64(F.coalesce(F.col("id"), F.monotonically_increasing_id()), "cluster"), F.lit(shards))  # rows with null ids spread too
+    spread = F.coalesce(F.when(F.col("id").isNotNull(), F.xxhash64("id")), F.monotonically_increasing_id())  # rows with null ids spread too
+    number = F.pmod(F.xxhash64(spread, "cluster"), F.lit(shards))
     dealt = rows.select(number.alias("shard"), "id", "source", "n_words", "cluster")
     dealt = dealt.repartition("shard").sortWithinPartitions("shard")
 
@@ -128,7 +134,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
 
         def done():
             rests, out = [], []
-            held.sort(key=lambda r: (r[0] is None, r[0] or 0, r[3] or 0, r[1] or "", r[2] or 0))
+            held.sort(key=lambda r: (*by_id(r[0]), r[3] or 0, r[1] or "", r[2] or 0))
             for own, source, words, cluster in held:
                 full, rest = divmod(words or 0, capacity)
                 for piece in range(full):

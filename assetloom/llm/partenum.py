@@ -46,6 +46,9 @@ from .common import cut, documents, hash_words, join_skewed, mix, ngram_hashes,
 #: Shingles of a block of a star, and of a block in the second round.
 STAR, BLOCK = 50_000, 200_000
 
+#: A signature that ``OFTEN`` documents of one part in ``PARTS`` share is dealt over ``SALTS`` tasks; so many signatures at most (the most frequent).
+PARTS, OFTEN, SALTS, MOST_HOT = 64, 16, 64, 100_000
+
 #: Hashings of the domain that a set with empty subsets goes through.
 SCHEMES = 8
 
@@ -173,10 +176,25 @@ def signature_rows(docs: DataFrame, n: int, p: int, q: int, key: str = "doc_id",
     return usable.mapInArrow(sign, f"signature long, id {kind}, code long")
 
 
-def shared_signatures(rows: DataFrame, owner: DataFrame) -> DataFrame:
-    """(signature, id): signatures that several documents have, of documents that share enough of theirs; the smallest stands for equal sets."""
-    bucket = Window.partitionBy("signature")
-    shared = rows.withColumn("least", F.min("id").over(bucket)).withColumn("most", F.max("id").over(bucket)).where("least < most")
+def hot_signatures(docs: DataFrame, n: int, p: int, q: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(signature, hot): signatures that very many documents share, as a part of the documents shows.
+
+    This only says where rows go: every row of every document takes part, whether its signature is listed here or not.
+    """
+    some = signature_rows(docs.where(F.pmod(F.xxhash64(key), F.lit(PARTS)) == 0), n, p, q, key, text)
+    met = some.groupBy("signature").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= OFTEN) & (F.col("least") < F.col("most")))
+    return met.orderBy(F.desc("n"), "signature").limit(MOST_HOT).select("signature", F.lit(True).alias("hot"))
+
+
+def shared_signatures(rows: DataFrame, owner: DataFrame, hot: DataFrame) -> DataFrame:
+    """(signature, id): signatures that several documents have, of documents that share enough of theirs; the smallest stands for equal sets.
+
+    That a hot signature is shared is known before, so its rows needn't meet in one task.
+    """
+    known = F.coalesce("hot", F.lit(False))
+    rows = rows.join(F.broadcast(hot), "signature", "left").withColumn("salt", F.when(known, F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0))
+    bucket = Window.partitionBy("signature", "salt")
+    shared = rows.withColumn("least", F.min("id").over(bucket)).withColumn("most", F.max("id").over(bucket)).where(known | (F.col("least") < F.col("most")))
     shared = shared.join(owner, "id").select("signature", F.col("class").alias("id"), "code").distinct()
     shared = cut(shared, "jaccard-shared")
     enough = shared.groupBy("id", "code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.col("code").bitwiseAND(F.lit(0xFFFFFFFF))).select("id", "code")
@@ -185,7 +203,8 @@ def shared_signatures(rows: DataFrame, owner: DataFrame) -> DataFrame:
 
 def stars(tied: DataFrame) -> DataFrame:
     """(id, hub): of the smallest documents that share a signature, the one that shares most (of equals the smallest)."""
-    ways = tied.select("id", F.min("id").over(Window.partitionBy("signature")).alias("hub")).where("id <> hub")
+    least = tied.groupBy("signature").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    ways = join_skewed(tied, cut(least, "jaccard-hubs"), ["signature"], "n").where("id <> hub")
     counted = ways.groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n"))
     return counted.groupBy("id").agg(F.max_by("hub", F.struct("n", F.negative("hub"))).alias("hub"))
 
@@ -302,9 +321,9 @@ def star_tasks(star: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame
 
 def pair_tasks(tied: DataFrame, roots: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
     """Tasks of ``verified_links`` for documents of different components (id, root) that still share signatures."""
-    bucket = Window.partitionBy("signature")
-    placed = tied.join(roots, "id", "left").select("signature", "id", F.coalesce("root", "id").alias("known"))
-    placed = placed.withColumn("least", F.min("known").over(bucket)).withColumn("most", F.max("known").over(bucket)).where("least < most")
+    placed = cut(tied.join(roots, "id", "left").select("signature", "id", F.coalesce("root", "id").alias("known")), "jaccard-placed")
+    apart = placed.groupBy("signature").agg(F.min("known").alias("least"), F.max("known").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
+    placed = join_skewed(placed, cut(apart, "jaccard-apart"), ["signature"], "n")
     open_ = cut(placed.select("id", "known", "least").distinct(), "jaccard-open")
     groups = components(open_.select(F.col("known").alias("a"), F.col("least").alias("b")), "jaccard-groups").withColumnRenamed("id", "known")
     members = open_.select("id", "known").distinct().join(groups, "known").join(sizes, "id")
@@ -332,7 +351,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, k
     usable = known.where("n_shingles > 0 and id is not null")
     classes = cut(usable.groupBy("k1", "k2").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("copies")), "jaccard-classes")
     owner = cut(join_skewed(usable, classes, ["k1", "k2"], "copies").select("id", "class").distinct(), "jaccard-owners")
-    tied = shared_signatures(signature_rows(docs, n, p, q, key, text), owner)
+    tied = shared_signatures(signature_rows(docs, n, p, q, key, text), owner, hot_signatures(docs, n, p, q, key, text))
 
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(1.001 * math.log(q / p)))
     nodes = tied.select("id").distinct()

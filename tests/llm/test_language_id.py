@@ -61,13 +61,42 @@ def test_posterior_by_hand(spark):
     at = trigrams(b"in")
     ll = np.append(model[1][at].sum(0, dtype=float) / 4, len(at) * (model[1].min() - np.log(BUCKETS)) / 2 / 4)
     ll += np.log([0.05, 0.9, 0.05, 1.0])
-    own = np.eye(4)[np.argmax(ll)]
-    top = (own + 1) / (own + 1).sum()
-    by_suffix = (own + 20 * top) / 21
-    p = np.exp(ll) * (own + 20 * by_suffix) / 21
+    p = np.exp(ll)  # its own decision is left out, so all priors are even
     assert r.lang == "en" and abs(r.posterior - p.max() / p.sum()) < 1e-6
 
 
+def test_a_row_is_no_evidence_for_itself(spark):
+    """Alone on its host, or with others: the prior is what the others say, level by level."""
+    model = fit(labelled(spark))
+    rows = [(1, 1, text("en", 1), None, "de", "a.de"), (2, 2, text("de", 2), None, "de", "b.de"), (3, 3, text("de", 3), None, "de", "b.de"), (4, 4, text("fr", 4), None, None, None)]
+    got = {r.id: r for r in identify(spark.createDataFrame(rows, ROWS), model).collect()}
+    decided = {1: 1, 2: 0, 3: 0, 4: 2}
+    for i, _, t, _, suffix, host in rows:
+        at = trigrams(t.encode())
+        ll = np.append(model[1][at].sum(0, dtype=float) / 4, len(at) * (model[1].min() - np.log(BUCKETS)) / 2 / 4)
+        others = [(np.eye(4)[decided[j]], s, h) for j, _, _, _, s, h in rows if j != i]
+        prior = (sum(e for e, _, _ in others) + 1) / (len(others) + 4)
+        for level in (lambda s, h: s == suffix, lambda s, h: (s, h) == (suffix, host)):
+            if suffix is not None:
+                met = [e for e, s, h in others if level(s, h)]
+                prior = (sum(met, np.zeros(4)) + 20 * prior) / (len(met) + 20)
+        p = np.exp(ll - ll.max()) * prior
+        assert abs(got[i].posterior - p.max() / p.sum()) < 1e-5
+
+
+def test_null_and_silent_rows_stay_apart(spark):
+    """Rows without host, suffix or text pass no shuffle: no task holds them all."""
+    model = fit(labelled(spark))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(0, 4000, 1, 8).select("id", F.col("id").alias("content"), F.when(F.col("id") % 2 == 0, "the and of to in").alias("text"), F.lit(None).cast("string").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.lit(None).cast("string").alias("host"))
+        found = identify(rows, model).groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert sum(r["count"] for r in found) == 4000 and max(r["count"] for r in found) <= 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -104,7 +133,6 @@ def test_query_equals_brute_force(spark):
         if i in evidence:
             for key in (source, "all"):
                 own.setdefault(key, np.zeros(len(names) + 1))[evidence[i].argmax()] += 1
-    top = (own["all"] + 1) / (own["all"] + 1).sum()
     got = {r.doc_id: r for r in op5_language_fusion(spark, sf).collect()}
     assert len(got) == len(rows)
     differs = 0
@@ -112,7 +140,9 @@ def test_query_equals_brute_force(spark):
         if i not in evidence:
             assert (got[i].lang, got[i].posterior) == ("und", None)
             continue
-        prior = top if source is None else (own[source] + 20 * top) / (own[source].sum() + 20)
+        mine = np.eye(len(names) + 1)[evidence[i].argmax()]
+        top = (own["all"] - mine + 1) / (own["all"] - mine + 1).sum()
+        prior = top if source is None else (own[source] - mine + 20 * top) / (own[source].sum() - 1 + 20)
         score = evidence[i] + np.log(prior)
         share = np.exp(score - score.max())
         assert got[i].lang == [*names, "und"][score.argmax()] and got[i].text_lang == [*names, "und"][evidence[i].argmax()]

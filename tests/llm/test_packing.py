@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from assetloom.llm.packing import Bins, measured, op9_best_fit, pack, pack_shard
 
@@ -101,6 +102,49 @@ def test_odd_rows(spark):
         pack(measured(docs), per_source=0)
 
 
+@pytest.mark.parametrize("kind", ["string", "date", "decimal(9,2)"])
+def test_ids_of_any_type(spark, kind):
+    """Among them the empty text and null; each row is packed."""
+    rows = [(None if i % 9 == 0 else "" if i % 10 == 0 else f"id{i % 40}", "w " * (i % 7), "s") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    if kind != "string":
+        docs = docs.withColumn("doc_id", F.expr("date_add(date'2020-01-01', hash(doc_id) % 99)" if kind == "date" else "hash(doc_id) % 99").cast(kind))
+    got = pack(measured(docs), 20, 4, 50)
+    assert got.schema["id"].dataType.simpleString() == kind
+    assert got.count() == 200 and got.agg(F.sum("n_words")).first()[0] == sum(i % 7 for i in range(200))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_packing_equals_a_replay(spark, seed):
+    """Every shard by a plain best fit: pieces by size, each into the oldest of the tightest bins that take it."""
+    rng = random.Random(seed)
+    rows = [(f"d{i:03}", rng.choice(["hot", "hot", None, *"abc"]), rng.choice([0, 1, 5, 30, 60, 99, 100, 101, 250]), rng.choice([None, 1, 2, i])) for i in range(300)]
+    frame = spark.createDataFrame(rows, "id string, source string, n_words long, cluster long")
+    found = defaultdict(list)
+    for r in pack(frame, 100, 2, 60).collect():
+        found[r.id].append((r.piece, r.start_word, r.n_words, r.bin_id, r.bin_offset))
+    shards = {r.id: r.shard for r in frame.select("id", F.pmod(F.xxhash64(F.xxhash64("id"), "cluster"), F.lit(5)).alias("shard")).collect()}
+    expected = {}
+    for shard in range(5):
+        own = sorted(r for r in rows if shards[r[0]] == shard)
+        bins, whole = [], []
+        for i, source, n, cluster in sorted(own, key=lambda r: (-(r[2] % 100), r[0])):
+            if n % 100:
+                fits = [(100 - sum(x[1] for x in b), k) for k, b in enumerate(bins) if sum(x[1] for x in b) + n % 100 <= 100 and sum(x[2] == source for x in b if source) < 2 and not any(x[3] == cluster for x in b if cluster is not None)]
+                k = min(fits)[1] if fits else len(bins)
+                if not fits:
+                    bins.append([])
+                expected.setdefault(i, []).append((n // 100, n // 100 * 100, n % 100, (shard << 32) + k, sum(x[1] for x in bins[k])))
+                bins[k].append((i, n % 100, source, cluster))
+            elif not n:
+                expected[i] = [(0, 0, 0, None, None)]
+        for i, _, n, _ in own:
+            whole += [(i, p) for p in range(n // 100)]
+        for k, (i, p) in enumerate(whole):
+            expected.setdefault(i, []).append((p, p * 100, 100, (shard << 32) + len(bins) + k, 0))
+    assert {i: sorted(x, key=str) for i, x in found.items()} == {i: sorted(x, key=str) for i, x in expected.items()}
+
+
 def test_bitmaps_close_a_source():
     bins = Bins(10, 1)
     assert bins.place(4, 1, 0) == (0, 0) and bins.place(4, 1, 0) == (1, 0) and bins.place(6, 2, 0) == (0, 4) and bins.in_use == 1 << 6
