@@ -59,7 +59,11 @@ def resolved(folder: Column, authored: Column) -> Column:
     return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), walk), "/")
 
 
-def layer_edges(texts: DataFrame) -> DataFrame:
-    """(src, authored, dst): each asset path that a layer's text (layer, value) refers to, once, as written and as resolved from the layer's folder."""
-    found = texts.select(F.col("layer").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit("@([^@\n]+)@"), F.lit(1)))).alias("authored"))
-    return found.select("src", "authored", resolved(parent(F.col("src")), F.col("authored")).alias("dst"))
+def layer_edges(items: DataFrame) -> DataFrame:
+    """(src, kind, operation, authored, dst): each layer that a layer's lists of sublayers, references and payloads name, as written and as resolved from the layer's folder.
+
+    ``items``: what ``sources.layers.layer_items`` gives. Deleted entries are no edges, nor are textures and other assets that attributes name.
+    """
+    arcs = items.where(F.col("kind").isin("sublayer", "reference", "payload") & (F.col("operation") != "delete"))
+    found = arcs.select(F.col("layer").alias("src"), "kind", "operation", F.col("value").alias("authored")).distinct()
+    return found.withColumn("dst", resolved(parent(F.col("src")), F.col("authored")))

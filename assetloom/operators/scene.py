@@ -8,13 +8,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
+from assetloom.functions.paths import renamed
 from assetloom.functions.predicates import near, typed_as
+from assetloom.operators import graph
+from assetloom.sources.layers import attributes, layer_items
+from assetloom.sources.shared import written
 
 #: Attribute types that are turned into pairs, and the pair's type.
 SCALARS = ("int", "float", "double", "half")
 PAIR = "float2"
+#: Fixed value: the attribute that an upgrade is about.
+SCALE_ATTRIBUTE = "inputs:texture_scale"
 
 
 def patch(attributes: DataFrame, scale: float = 1.0, override: float | None = None) -> DataFrame:
@@ -45,25 +50,100 @@ def fixes(patched: DataFrame) -> DataFrame:
     return patched.rollup("layer").agg(F.count_if("changed").alias("fixes"))
 
 
-def triangles(meshes: DataFrame) -> DataFrame:
+def _number(value: Column) -> Column:
+    return F.regexp_replace(value.cast("string"), r"\.0$", "")
+
+
+def _edited(rows: DataFrame) -> DataFrame:
+    """Rows (layer, value, edits: sorted, apart) with the edits made in the value; places count characters."""
+
+    def work(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            out = []
+            for text, edits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                pieces, at = [], 0
+                for edit in edits or ():
+                    pieces += [text[at : edit["start"]], edit["text"]]
+                    at = edit["end"]
+                out.append("".join([*pieces, text[at:]]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["layer", "value"])
+
+    return rows.select("layer", "value", "edits").mapInArrow(work, "layer string, value string")
+
+
+def upgrade(texts: DataFrame, root: DataFrame | None = None, suffix: str | None = None, scale: float = 1.0, override: float | None = None, attribute: str = SCALE_ATTRIBUTE, dry_run: bool = False) -> DataFrame:
+    """(layer, target, fixed, rewrote, value): the layers that change when an attribute becomes a pair, and their new texts.
+
+    ``texts``: (layer, value), ``root``: (node), the layers to start from (all layers without it). With a suffix, layers
+    that hold the attribute and all that lead to one get copies under names with the suffix, which name each other; all else
+    stays as it is, byte for byte. Without a suffix, layers that have something to fix are changed in place. A dry run has
+    the same rows without ``value`` and reads no text a second time.
+    """
+    texts = texts.select("layer", "value")
+    items = written(layer_items(texts), "layer-items")
+    edges = graph.layer_edges(items)
+    held = attributes(items, attribute)
+    if root is not None:
+        targets = graph.layers(root, edges, texts.select(F.col("layer").alias("path"))).select(F.col("node").alias("layer"))
+        held = held.join(targets, "layer", "left_semi")
+        edges = edges.join(targets.withColumnRenamed("layer", "src"), "src", "left_semi")
+    patched = patch(held, scale, override)
+    fixed = patched.where("changed")
+    pair = F.concat(F.lit("("), _number(F.col("new_x")), F.lit(", "), _number(F.col("new_y")), F.lit(")"))
+    place = lambda start, end, text: F.struct(F.col(start).alias("start"), F.col(end).alias("end"), text.alias("text"))
+    edits = fixed.select("layer", F.explode(F.array(place("type_start", "type_end", F.col("new_type")), place("start", "end", pair))).alias("edit"), F.lit(None).cast("string").alias("authored"))
+    members = fixed.select("layer").distinct()
+    if suffix is not None:
+        changed = graph.affected(patchable(held), edges).select(F.col("node").alias("layer"))
+        members = changed
+        into = edges.select("src", "authored", "dst").distinct().join(changed.withColumnRenamed("layer", "dst"), "dst", "left_semi").join(changed.withColumnRenamed("layer", "src"), "src", "left_semi")
+        arcs = items.where(F.col("kind").isin("sublayer", "reference", "payload") & (F.col("operation") != "delete")).select("layer", F.col("value").alias("authored"), "start", "end")
+        arcs = arcs.join(into.select(F.col("src").alias("layer"), "authored"), ["layer", "authored"], "left_semi")
+        edits = edits.unionByName(arcs.select("layer", place("start", "end", renamed(F.col("authored"), suffix)).alias("edit"), "authored"))
+    counted = edits.groupBy("layer").agg(F.sort_array(F.collect_list("edit")).alias("edits"), (F.count_if(F.col("authored").isNull()) / 2).cast("long").alias("fixed"), F.count_distinct("authored").alias("rewrote"))
+    target = renamed(F.col("layer"), suffix) if suffix is not None else F.col("layer")
+    none = F.lit(0).cast("long")
+    found = members.join(counted, "layer", "left").select("layer", target.alias("target"), F.coalesce("fixed", none).alias("fixed"), F.coalesce("rewrote", none).alias("rewrote"), "edits")
+    if dry_run:
+        return found.drop("edits")
+    found = written(found, "layer-edits")
+    return found.drop("edits").join(_edited(texts.join(found.select("layer", "edits"), "layer")), "layer")
+
+
+def triangles(meshes: DataFrame, most: int = 1_000_000) -> DataFrame:
     """(mesh, face, a, b, c): fans of each face of meshes (mesh, indices, counts); faces of less than three corners are passed over.
 
-    In step over all faces of a mesh: built-in functions have no running sum over an array, so each face would add up those before it.
+    All faces of an Arrow batch at once, ``most`` triangles to a batch that goes out (a mesh of more by itself). Null lists count as empty,
+    null or negative counts as none; a corner beyond the mesh's indices is null.
     """
 
     def fans(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for row in range(batch.num_rows):
-                indices = batch.column(1)[row].values if batch.column(1)[row].is_valid else pa.nulls(0, kind)
-                n = np.asarray(batch.column(2)[row].as_py() or [], np.int64)
-                start = np.cumsum(n) - n
-                fan = np.maximum(n - 2, 0)
-                face = np.repeat(np.arange(len(n)), fan)
-                k = 1 + np.arange(len(face)) - np.repeat(np.cumsum(fan) - fan, fan)
-                corners = [indices.take(pa.array(at, mask=at >= len(indices))) for at in (start[face], start[face] + k, start[face] + k + 1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(face), row))), pa.array(face, pa.int32()), *corners], ["mesh", "face", "a", "b", "c"])
+            indices, counts = batch.column(1), batch.column(2)
+            sizes = [np.asarray(x.value_lengths().fill_null(0), np.int64) for x in (indices, counts)]
+            n = np.maximum(np.asarray(counts.flatten().fill_null(0), np.int64), 0)
+            corners = indices.flatten()
+            row = np.repeat(np.arange(batch.num_rows), sizes[1])  # of each face
+            faces_before = np.cumsum(sizes[1]) - sizes[1]
+            corners_before = np.cumsum(sizes[0]) - sizes[0]
+            place = np.cumsum(n) - n
+            heads = np.concatenate([place, [0]])[np.minimum(faces_before, len(place))]
+            place = place - heads[row]  # of each face's first corner in its mesh
+            fan = np.maximum(n - 2, 0)
+            until = np.concatenate([[0], np.cumsum(fan)])[np.append(faces_before, len(fan))]  # triangles before each mesh
+            first = 0
+            while first < batch.num_rows:
+                last = max(first + 1, int(np.searchsorted(until, until[first] + most, "right")) - 1)
+                a, b = (faces_before[first], faces_before[last] if last < batch.num_rows else len(fan))
+                face = np.repeat(np.arange(a, b), fan[a:b])
+                ends = np.cumsum(fan[a:b])
+                k = 1 + np.arange(len(face)) - np.repeat(ends - fan[a:b], fan[a:b])
+                mesh = row[face]
+                at = [place[face], place[face] + k, place[face] + k + 1]
+                found = [corners.take(pa.array(x + corners_before[mesh], mask=x >= sizes[0][mesh])) for x in at]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(mesh)), pa.array(face - faces_before[mesh], pa.int32()), *found], ["mesh", "face", "a", "b", "c"])
+                first = last
 
     mesh, index = meshes.schema["mesh"].dataType, meshes.schema["indices"].dataType.elementType
-    kind = to_arrow_type(index)
     name = index.simpleString()
     return meshes.select("mesh", "indices", "counts").mapInArrow(fans, f"mesh {mesh.simpleString()}, face int, a {name}, b {name}, c {name}")

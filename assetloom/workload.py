@@ -16,7 +16,7 @@ from assetloom.operators import files, graph, hierarchy, integrity, scene, simil
 from assetloom.plans.query import AssetQuery
 from assetloom.schema import ASSET_FIELDS, ATTRIBUTE_PREFIX, ATTRIBUTES_DOC, MASTER
 from assetloom.schema import schema_doc as schema_table
-from assetloom.sources import catalog, transfer
+from assetloom.sources import catalog, layers, transfer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -596,13 +596,113 @@ def names_topk(spark, sf):
     return similarity.clamped_top_k(similarity.text_scores(parts, "small ring", "p_partkey", spaced(F.col("name"))), 10, key="p_partkey")
 
 
-@query("""SELECT 'scenes/s' || p_partkey || '/main.usda' AS src, a AS authored, CASE WHEN a LIKE './%' THEN 'scenes/s' || p_partkey || a[2:] WHEN a LIKE '../../%' THEN a[7:] ELSE 'scenes' || a[3:] END AS dst
-FROM part, (SELECT unnest([0, 1, 2]) AS i), LATERAL (SELECT CASE i WHEN 0 THEN './sub/n' || p_partkey // 2 || '.usd' WHEN 1 THEN '../s' || p_partkey // 3 || '/main.usda' ELSE '../../shared/' || p_type || '.usdc' END AS a)""")
+def _filled(template: str, **values: F.Column) -> F.Column:
+    """The template with columns in place of their names in angle brackets."""
+    text = F.lit(template)
+    for name, value in values.items():
+        text = F.replace(text, F.lit(f"<{name}>"), value)
+    return text
+
+
+def _layer_name(number: F.Column) -> F.Column:
+    return F.concat(F.lit("scenes/s"), number.cast("string"), F.lit("/main.usda"))
+
+
+_EDGES_TEXT = """#usda 1.0
+(
+    subLayers = [
+        @../../shared/<type>.usdc@ (offset = 10),
+        @./sub/n<half>.usd@
+    ]
+    customLayerData = { asset icon = @icon.png@ string note = "not @this.usd@ {" }
+)
+def Xform "World" (
+    references = @./sub/n<half>.usd@
+    prepend payload = [@../s<third>/main.usda@</x>, @@@p<key>.usd@@@]  # no @more.usd@
+)
+{
+    asset inputs:diffuse = @./textures/<key>.png@
+    over "Inner" (
+        append references = @../s<third>/main.usda@</World>
+        delete references = @gone.usd@
+        add payload = @add<key>.usd@
+    )
+    {
+    }
+}
+"""
+
+
+@query("""SELECT 'scenes/s' || p_partkey || '/main.usda' AS src, kind, operation, a AS authored, CASE WHEN a LIKE './%' THEN 'scenes/s' || p_partkey || a[2:] WHEN a LIKE '../../%' THEN a[7:] WHEN a LIKE '../%' THEN 'scenes' || a[3:] ELSE 'scenes/s' || p_partkey || '/' || a END AS dst
+FROM part, LATERAL (VALUES ('sublayer', 'explicit', '../../shared/' || p_type || '.usdc'), ('sublayer', 'explicit', './sub/n' || p_partkey // 2 || '.usd'), ('reference', 'explicit', './sub/n' || p_partkey // 2 || '.usd'),
+('payload', 'prepend', '../s' || p_partkey // 3 || '/main.usda'), ('payload', 'prepend', 'p' || p_partkey || '.usd'), ('reference', 'append', '../s' || p_partkey // 3 || '/main.usda'), ('payload', 'add', 'add' || p_partkey || '.usd')) AS t(kind, operation, a)""")
 def layer_edges(spark, sf):
+    """All kinds of lists; textures, notes, comments and deleted entries are no edges."""
+    k = F.col("p_partkey")
+    text = _filled(_EDGES_TEXT, type=F.col("p_type"), key=k.cast("string"), half=(k / 2).cast("long").cast("string"), third=(k / 3).cast("long").cast("string"))
+    return graph.layer_edges(layers.layer_items(table(spark, sf, "part").select(_layer_name(k).alias("layer"), text.alias("value"))))
+
+
+_SCALED_TEXT = """#usda 1.0
+(
+    subLayers = [@../s<half>/main.usda@]
+)
+def Xform "World" (
+    prepend references = @../s<third>/main.usda@</World>
+)
+{
+    string note = "inputs:texture_scale = 3 } { ä"
+    asset inputs:t = @./tex/<key>.png@
+    def Scope "Looks"
+    {
+        def Shader "S"
+        {
+            custom <kind> inputs:texture_scale = <value> (
+                connectability = "interfaceOnly"
+            )
+        }
+        def Shader "T" { token inputs:texture_scale = "<key>" }
+    }
+}
+"""
+
+
+def scaled_layers(spark, sf):
+    """A layer for each part: of five one has a whole number to upgrade, one a pair; of three one has a sublayer, of four one a reference that exists."""
     k = F.col("p_partkey")
-    half, third = (k / 2).cast("long").cast("string"), (k / 3).cast("long").cast("string")
-    text = F.concat(F.lit("#usda 1.0\nreferences = @./sub/n"), half, F.lit(".usd@\npayload = @../s"), third, F.lit("/main.usda@</x>\nsubLayers = [@../../shared/"), F.col("p_type"), F.lit(".usdc@, @./sub/n"), half, F.lit(".usd@]"))
-    return graph.layer_edges(table(spark, sf, "part").select(F.concat(F.lit("scenes/s"), k.cast("string"), F.lit("/main.usda")).alias("layer"), text.alias("value")))
+    kind = F.when(k % 5 == 0, "int").when(k % 5 == 1, "float2").otherwise("token")
+    value = F.when(k % 5 == 0, F.col("p_size").cast("string")).when(k % 5 == 1, F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit(", 2.5)"))).otherwise('"none"')
+    half = F.when(k % 3 == 0, (k / 2).cast("long").cast("string")).otherwise("x")
+    third = F.when(k % 4 == 1, (k / 3).cast("long").cast("string")).otherwise("y")
+    text = _filled(_SCALED_TEXT, key=k.cast("string"), kind=kind, value=value, half=half, third=third)
+    return table(spark, sf, "part").select(_layer_name(k).alias("layer"), text.alias("value"))
+
+
+@query("""SELECT 'scenes/s' || p_partkey || '/main.usda' AS layer, '/World/Looks/' || s AS prim, t AS type, CASE WHEN s = 'S' AND p_partkey % 5 < 2 THEN CAST(p_size AS DOUBLE) END AS x, CASE WHEN s = 'S' AND p_partkey % 5 = 1 THEN 2.5::DOUBLE END AS y
+FROM part, LATERAL (VALUES ('S', CASE p_partkey % 5 WHEN 0 THEN 'int' WHEN 1 THEN 'float2' ELSE 'token' END), ('T', 'token')) AS x(s, t)""")
+def layer_attributes(spark, sf):
+    """Attributes of one name, wherever prims nest; strings that look like them aren't."""
+    found = layers.attributes(layers.layer_items(scaled_layers(spark, sf)), scene.SCALE_ATTRIBUTE)
+    return found.select("layer", "prim", "type", "x", "y")
+
+
+_SCALED_SQL = """WITH RECURSIVE p AS (SELECT p_partkey AS k, p_size AS v, CASE WHEN p_partkey % 3 = 0 THEN p_partkey // 2 END AS h, CASE WHEN p_partkey % 4 = 1 THEN p_partkey // 3 END AS t FROM part),
+a AS (SELECT k FROM p WHERE k % 5 < 2 UNION SELECT p.k FROM p JOIN a ON p.h = a.k OR p.t = a.k),
+u AS (SELECT k, v, CASE WHEN h IN (FROM a) THEN h END AS hn, CASE WHEN t IN (FROM a) THEN t END AS tn, coalesce(CAST(h AS VARCHAR), 'x') AS h, coalesce(CAST(t AS VARCHAR), 'y') AS t FROM p),
+r AS (SELECT k, 'scenes/s' || k || '/main.usda' AS layer, 'scenes/s' || k || '/main_new.usda' AS target, CAST(k % 5 < 2 AS BIGINT) AS fixed, CASE WHEN hn IS NOT NULL AND tn IS NOT NULL AND hn <> tn THEN 2 ELSE (hn IS NOT NULL OR tn IS NOT NULL)::BIGINT END AS rewrote,
+replace(replace(replace(replace(replace({}, '@../s<half>/main.usda@', '@../s' || h || '/main' || CASE WHEN hn IS NULL THEN '' ELSE '_new' END || '.usda@'), '@../s<third>/main.usda@', '@../s' || t || '/main' || CASE WHEN tn IS NULL THEN '' ELSE '_new' END || '.usda@'),
+'<kind>', CASE WHEN k % 5 < 2 THEN 'float2' ELSE 'token' END), '<value>', CASE k % 5 WHEN 0 THEN '(' || 2 * v || ', ' || 2 * v || ')' WHEN 1 THEN '(' || 2 * v || ', 5)' ELSE '"none"' END), '<key>', CAST(k AS VARCHAR)) AS value FROM u WHERE k IN (FROM a))""".format(_text(_SCALED_TEXT))
+
+
+@query(f"{_SCALED_SQL} SELECT layer, target, fixed, rewrote, value FROM r")
+def scene_upgrade(spark, sf):
+    """New texts of the layers that hold the attribute and of those that lead to one."""
+    return scene.upgrade(scaled_layers(spark, sf), suffix="_new", scale=2.0)
+
+
+@query(f"{_SCALED_SQL} SELECT layer, target, fixed, rewrote FROM r")
+def scene_dry_run(spark, sf):
+    return scene.upgrade(scaled_layers(spark, sf), suffix="_new", scale=2.0, dry_run=True)
 
 
 @query("SELECT 'order/' || o_orderkey || '.usd' AS path FROM orders WHERE o_orderstatus = 'F'")
