@@ -1,4 +1,8 @@
-"""Value predicates. ``None`` as a filter means no filter; an empty list matches nothing."""
+"""Value predicates. ``None`` as a filter means no filter; an empty list matches nothing.
+
+They are conditions of filters: where a value is missing they are null, which a filter drops like false, and so they stay plain
+enough to reach a scan's pushed filters. ``shown`` makes a column of true and false out of one.
+"""
 
 from __future__ import annotations
 
@@ -16,14 +20,12 @@ def _lowered(values: Iterable) -> list[str]:
 
 
 def in_range(value: Column, bounds: Sequence[float]) -> Column:
-    """Inclusive at both ends; a missing value or NaN fails."""
-    low, high = bounds
-    return F.coalesce(value.between(low, high) & ~F.isnan(value), F.lit(False))
+    """Inclusive at both ends; a missing value fails, and so does NaN, which is greater than any number."""
+    return value.between(*bounds)
 
 
-def in_whole_range(value: Column, bounds: Sequence[int]) -> Column:
-    """``in_range`` of whole numbers, plain enough to reach a scan's pushed filters."""
-    return value.between(*bounds)
+def shown(predicate: Column) -> Column:
+    return F.coalesce(predicate, F.lit(False))
 
 
 def any_of(values: Column, wanted: Iterable) -> Column:
@@ -31,22 +33,29 @@ def any_of(values: Column, wanted: Iterable) -> Column:
     names = _lowered(wanted)
     if not names:
         return F.lit(False)
-    return F.coalesce(F.exists(values, lambda x: F.coalesce(F.lower(x), F.lit(NONE_TEXT)).isin(names)), F.lit(False))
+    return values.isNotNull() & F.exists(values, lambda x: F.coalesce(F.lower(x), F.lit(NONE_TEXT)).isin(names))
+
+
+def dominant(values: Column) -> Column:
+    """The first element in lower case; null for an empty or missing list. What ``dominant_in`` compares, to be stored."""
+    return F.when(F.size(values) > 0, F.coalesce(F.lower(F.get(values, 0)), F.lit(NONE_TEXT)))
 
 
 def dominant_in(values: Column, wanted: Iterable) -> Column:
     """Is the first element a wanted one? Empty and missing lists fail."""
     names = _lowered(wanted)
-    if not names:
-        return F.lit(False)
-    first = F.coalesce(F.lower(F.get(values, 0)), F.lit(NONE_TEXT))
-    return F.coalesce((F.size(values) > 0) & first.isin(names), F.lit(False))
+    return values.isNotNull() & dominant(values).isin(names) if names else F.lit(False)
 
 
 def one_of(value: Column, allowed: Iterable) -> Column:
     """Does the value equal an allowed one, whatever its case?"""
+    return lowered_in(F.lower(value), allowed)
+
+
+def lowered_in(value: Column, allowed: Iterable) -> Column:
+    """``one_of`` and ``dominant_in`` on a stored column that is in lower case already, so that the scan can do it."""
     names = _lowered(allowed)
-    return F.coalesce(F.lower(value).isin(names), F.lit(False)) if names else F.lit(False)
+    return value.isin(names) if names else F.lit(False)
 
 
 def flag_is(value: Column, required: bool) -> Column:
@@ -81,4 +90,6 @@ def typed_as(kind: Column, default: Column, kinds: Sequence[str]) -> Column:
 
 
 def all_of(predicates: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a & b, predicates, F.lit(True))
+    """All together, as conjuncts that a scan can take one by one."""
+    predicates = list(predicates)
+    return reduce(lambda a, b: a & b, predicates) if predicates else F.lit(True)

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assetloom.functions.predicates import all_of, any_of, dominant_in, flag_is, in_range, one_of
+from assetloom.functions.predicates import all_of, any_of, dominant_in, flag_is, in_range, lowered_in, one_of
 from assetloom.operators.hierarchy import in_categories
 from assetloom.operators.similarity import dual_scores, top_k
 
@@ -21,8 +21,16 @@ ENUMS = ("surface_hardness", "surface_finish", "asset_composition_type")
 PARAMETERS = (*(f"{r}_range" for r in RANGES), *FLAGS, *DOMINANT, *LISTS, *ENUMS)
 
 
-def attribute_predicates(**filters) -> list[Column]:
-    """One predicate for each filter that is given; they hold together, the values of one filter are alternatives."""
+def shadow(parameter: str) -> str:
+    """The stored lower-case column that answers a filter on text or on a list's first element."""
+    return f"{parameter}_lc"
+
+
+def attribute_predicates(columns: Iterable[str] = (), **filters) -> list[Column]:
+    """One predicate for each filter that is given; they hold together, the values of one filter are alternatives.
+
+    Where ``columns`` has a lower-case shadow of what is asked (``ingest_assets`` stores them), it is asked instead, so the filter reaches the scan.
+    """
     unknown = set(filters) - set(PARAMETERS)
     if unknown:
         raise ValueError(f"unknown filters: {sorted(unknown)}")
@@ -34,6 +42,8 @@ def attribute_predicates(**filters) -> list[Column]:
             found.append(in_range(F.col(name.removesuffix("_range")), value))
         elif name in FLAGS:
             found.append(flag_is(F.col(name), value))
+        elif shadow(name) in columns:
+            found.append(lowered_in(F.col(shadow(name)), value))
         elif name in DOMINANT:
             found.append(dominant_in(F.col(DOMINANT[name]), value))
         elif name in LISTS:
@@ -74,7 +84,7 @@ class AssetQuery:
     def uids(self) -> DataFrame:
         """(uid), and its score if there is a query."""
         found = self.bridge.select("uid") if self.names is None else in_categories(self.bridge, self.names)
-        predicates = attribute_predicates(**self.filters)
+        predicates = attribute_predicates(self.assets.columns, **self.filters)
         if predicates:
             found = found.join(self.assets.where(all_of(predicates)).select("uid"), "uid")
         elif self.query is not None:

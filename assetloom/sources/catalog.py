@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from assetloom.functions.predicates import dominant
 from assetloom.schema import ASSET, ATTRIBUTE_PREFIX, MASTER
 from assetloom.sources.shared import written
 
@@ -82,7 +83,7 @@ def ingest_assets(texts: DataFrame, target: str) -> DataFrame:
     """Write parsed assets as Parquet once, clustered by category, with lower-case shadow columns for pushed-down matches."""
     assets = parse_assets(texts)
     shadows = {f"{c}_lc": F.lower(c) for c in ("surface_hardness", "surface_finish", "asset_composition_type")}
-    shadows |= {f"dominant_{c}_lc": F.lower(F.get(c, 0)) for c in ("materials", "colors")}
+    shadows |= {f"dominant_{c}_lc": dominant(F.col(c)) for c in ("materials", "colors")}
     assets.withColumns(shadows).repartitionByRange("category").sortWithinPartitions("category", "uid").write.mode("overwrite").parquet(target)
     return texts.sparkSession.read.parquet(target)
 

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from assetloom.functions import paths
 from assetloom.functions.paths import basename, spaced, stem
-from assetloom.functions.predicates import all_of, any_of, contains_text, direct_child, dominant_in, flag_is, in_range, in_whole_range, one_of
+from assetloom.functions.predicates import all_of, any_of, contains_text, direct_child, dominant_in, flag_is, in_range, one_of
 from assetloom.functions.textures import channels, texture_kind
 from assetloom.operators import documents as docs_
 from assetloom.operators import files, graph, hierarchy, integrity, scene, similarity, textures
-from assetloom.plans.query import AssetQuery
+from assetloom.plans.query import FLAGS, RANGES, AssetQuery
 from assetloom.schema import ASSET_FIELDS, ATTRIBUTE_PREFIX, ATTRIBUTES_DOC, MASTER
 from assetloom.schema import schema_doc as schema_table
 from assetloom.sources import catalog, layers, transfer
@@ -148,7 +148,7 @@ def dual_score_topk(spark, sf):
 
 @query(f"SELECT vec_id, label, round({_COSINE.format(0)}, 6) AS score FROM embeddings WHERE label BETWEEN 2 AND 5 ORDER BY score DESC, vec_id LIMIT 10")
 def filtered_topk(spark, sf):
-    rows = table(spark, sf, "embeddings").where(in_whole_range(F.col("label"), (2, 5)))
+    rows = table(spark, sf, "embeddings").where(in_range(F.col("label"), (2, 5)))
     return similarity.top_k(rows.select("vec_id", "label", similarity.dense_scores(rows, [vector(spark, sf, 0)]).alias("score")), 10, key="vec_id")
 
 
@@ -762,6 +762,39 @@ def vegetation_page(spark, sf):
     return docs_.vegetation_document(load_vegetation(spark, sf).where("name < 'c'").withColumn("preview", preview), "http://localhost", "Trees")
 
 
+def _measures(i: int) -> F.Column:
+    return ((F.col("p_partkey") * (7 + i)) % 101).cast("double")
+
+
+#: Every attribute filter at once. Lists are alternatives, filters hold together.
+ALL_FILTERS = (
+    {f"{name}_range": (i % 3, 95 + i % 4) for i, name in enumerate(RANGES)}
+    | dict(zip(FLAGS, (True, False, False, False, True), strict=True))
+    | {"dominant_materials": ["RED", "small", "Hot", "new", "old", "blue"], "dominant_colors": ["Economy", "PROMO", "standard", "small"], "affordances": ["brand#1", "Brand#2", "ECONOMY", "promo", "Standard"], "interactive_parts": ["gear", "Widget", "bolt", "ring", "rod", "x"]}
+    | {"surface_hardness": ["H0", "h1"], "surface_finish": ["F0", "f2", "F1"], "asset_composition_type": ["T1", "t0"]}
+)
+
+
+def measured_assets(spark, sf):
+    """Assets with all attributes that can be asked for, made of parts."""
+    k = F.col("p_partkey")
+    flags = [k % 2 == 0, F.when(k % 3 > 0, k % 3 == 1), F.when(k % 5 > 0, k % 5 == 1), k % 7 == 0, k % 11 > 0]
+    lists = {"materials": F.split("p_name", " "), "colors": F.split("p_type", " "), "affordances": F.array("p_brand", "p_type"), "interactive_parts": F.reverse(F.split("p_name", " "))}
+    texts = {"surface_hardness": F.concat(F.lit("H"), (k % 3).cast("string")), "surface_finish": F.concat(F.lit("F"), (k % 4).cast("string")), "asset_composition_type": F.concat(F.lit("t"), (k % 3).cast("string"))}
+    measures = {name: _measures(i) for i, name in enumerate(RANGES)}
+    return table(spark, sf, "part").select(k.alias("uid"), *[c.alias(n) for n, c in (measures | dict(zip(FLAGS, flags, strict=True)) | lists | texts).items()])
+
+
+@query(f"""SELECT DISTINCT p_partkey AS uid FROM part WHERE {" AND ".join(f"(p_partkey * {7 + i}) % 101 BETWEEN {i % 3} AND {95 + i % 4}" for i in range(len(RANGES)))}
+AND p_partkey % 2 = 0 AND p_partkey % 3 <> 1 AND p_partkey % 5 <> 1 AND p_partkey % 7 <> 0 AND p_partkey % 11 > 0
+AND lower(string_split(p_name, ' ')[1]) IN ('red', 'small', 'hot', 'new', 'old', 'blue') AND lower(string_split(p_type, ' ')[1]) IN ('economy', 'promo', 'standard', 'small')
+AND (lower(p_brand) IN ('brand#1', 'brand#2') OR lower(p_type) IN ('economy', 'promo', 'standard')) AND list_has_any(string_split(lower(p_name), ' '), ['gear', 'widget', 'bolt', 'ring', 'rod', 'x'])
+AND p_partkey % 3 < 2 AND p_partkey % 4 < 3 AND p_partkey % 3 < 2""")
+def asset_query_all_filters(spark, sf):
+    """All 26 filters in one query."""
+    return AssetQuery(part_bridge(spark, sf), measured_assets(spark, sf)).in_categories([f"brand#{i}" for i in range(1, 56)]).where(**ALL_FILTERS).uids()
+
+
 # ---- queries over sources: annotation texts, categories, paths, encoders, fetching
 
 _ASSET_TEXT_SQL = """SELECT CAST(p_partkey AS VARCHAR) AS uid, p_name AS description, p_retailprice AS height, CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_size AS DOUBLE) END AS mass,

@@ -108,7 +108,7 @@ def test_assets_keep_other_fields_where_one_is_of_a_wrong_type(spark, home, asse
     members = catalog.bundle_members(spark, f"{home}/bundle.tar.gz")
     assert sorted(column(members, "name")) == sorted(f"std_{a['uid']}.json" for a in ASSETS)
     stored = catalog.ingest_assets(members, f"{home}/stored")
-    assert {r.uid: r.dominant_materials_lc for r in stored.collect()} == {"a1": "wood", "a2": None, "a3": None, "a4": "steel", "a5": None, "a7": "wood"}
+    assert {r.uid: r.dominant_materials_lc for r in stored.collect()} == {"a1": "wood", "a2": None, "a3": "none", "a4": "steel", "a5": None, "a7": "wood"}
     texts = spark.read.text(f"{home}/assets", wholetext=True, pathGlobFilter="*.json")
     bad = {r.field: r.unreadable for r in catalog.quality_counts(texts).where("unreadable > 0").collect()}
     assert bad["materials"] == 1 and bad["height"] >= 1
@@ -169,11 +169,51 @@ def test_query_plans_and_ranking(spark, bridge, assets, capsys):
 
 def test_scan_plans(spark, capsys):
     table = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
-    table.where(P.in_whole_range(F.col("label"), (2, 5))).select("vec_id").explain("formatted")
+    table.where(P.in_range(F.col("label"), (2, 5))).select("vec_id").explain("formatted")
     plan = capsys.readouterr().out
     assert "GreaterThanOrEqual(label,2)" in plan and "embedding" not in plan.split("ReadSchema")[1].split("\n")[0]
 
 
+@pytest.fixture(scope="module")
+def stored(spark, home):
+    return catalog.ingest_assets(spark.read.text(f"{home}/assets", wholetext=True, pathGlobFilter="*.json"), f"{home}/stored_assets")
+
+
+@pytest.mark.parametrize("filters,expected", CASES)
+def test_filters_on_stored_assets(bridge, stored, filters, expected):
+    """The same answers from the shadow columns."""
+    found = AssetQuery(bridge, stored).in_categories(["street", "vehicle"]).where(**filters).uids()
+    assert sorted(column(found)) == sorted(expected.split() + (["a6"] if filters.get("affordances", 0) is None else []))
+
+
+PUSHED = [
+    ({"height_range": (0.5, 1.2)}, ["GreaterThanOrEqual(height,0.5)", "LessThanOrEqual(height,1.2)", "IsNotNull(height)"]),
+    ({"movable": True}, ["EqualNullSafe(movable,true)"]),
+    ({"movable": False}, ["IsNull(movable)", "EqualNullSafe(movable,false)"]),
+    ({"affordances": ["Sittable"]}, ["IsNotNull(affordances)"]),
+    ({"dominant_materials": ["Wood", "x"]}, ["In(dominant_materials_lc, [wood,x])"]),
+    ({"surface_finish": ["Glossy"]}, ["EqualTo(surface_finish_lc,glossy)"]),
+]
+
+
+@pytest.mark.parametrize("filters,wanted", PUSHED)
+def test_filters_reach_the_scan(bridge, stored, capsys, filters, wanted):
+    AssetQuery(bridge, stored).where(**filters).uids().explain("formatted")
+    pushed = "".join(line for line in capsys.readouterr().out.splitlines() if "PushedFilters" in line)
+    for part in wanted:
+        assert part in pushed, pushed
+
+
+def test_query_filters_reach_the_scan(spark, capsys):
+    from assetloom import workload
+
+    workload.queries()["range_filter"](spark, "/root/testdata/sf0.001").explain("formatted")
+    plan = capsys.readouterr().out
+    assert all(part in plan.split("PushedFilters")[1].split("\n")[0] for part in ("GreaterThanOrEqual(l_quantity,10.0)", "LessThanOrEqual(l_discount,0.07)", "LessThanOrEqual(l_extendedprice,30000.0)"))
+    workload.queries()["asset_query"](spark, "/root/testdata/sf0.001").explain("formatted")
+    assert "GreaterThanOrEqual(p_retailprice,900.0)" in capsys.readouterr().out
+
+
 values = st.one_of(st.none(), st.sampled_from(["Wood", "wood", "NONE", "None", "steel", "é", "É"]))
 
 
@@ -183,7 +223,7 @@ def test_kernels_equal_plain_python(spark, rows, wanted, bounds):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, l array<string>, x double, b boolean, s string")
     lower = {str(w).lower() for w in wanted}
     text = lambda v: str(v).lower()
-    got = df.orderBy("i").select(P.any_of(F.col("l"), wanted), P.dominant_in(F.col("l"), wanted), P.one_of(F.col("s"), wanted), P.in_range(F.col("x"), bounds), P.flag_is(F.col("b"), False)).collect()
+    got = df.orderBy("i").select(*map(P.shown, (P.any_of(F.col("l"), wanted), P.dominant_in(F.col("l"), wanted), P.one_of(F.col("s"), wanted), P.in_range(F.col("x"), bounds), P.flag_is(F.col("b"), False)))).collect()
     for r, (l, x, b, s) in zip(got, rows, strict=True):
         assert tuple(r) == (any(text(v) in lower for v in l or []), bool(l) and text(l[0]) in lower, s is not None and text(s) in lower, x is not None and bounds[0] <= x <= bounds[1], not b)
 
