@@ -1,4 +1,4 @@
-"""Viewer documents as JSON columns."""
+"""What viewers show: items as JSON rows with their places; nested documents as leaves."""
 
 from __future__ import annotations
 
@@ -8,19 +8,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetloom.functions.paths import url
+from assetloom.sources.catalog import numbered
+from assetloom.sources.shared import written
 
 MODES = ("show", "annotations", "assets", "thumbnails", "renders")
+#: Levels of a nested document that one plan opens.
+LEVELS = 8
 
 
-def _document(rows: DataFrame, title: str, mode: str, fields: Sequence[Column], order: str) -> DataFrame:
-    """(document): one JSON text. The items of a request are gathered in one row, so this is for what one page can show."""
-    items = F.collect_list(F.struct(F.col(order).alias("order_"), F.struct(*fields).alias("item")))
-    ordered = F.array_sort(items, lambda a, b: F.when(a["order_"] < b["order_"], -1).when(a["order_"] > b["order_"], 1).otherwise(0))
-    gathered = rows.agg(F.transform(ordered, lambda x: x["item"]).alias("items"))
-    return gathered.select(F.to_json(F.struct(F.lit(title).alias("title"), F.lit(mode).alias("mode"), "items"), {"ignoreNullFields": "false"}).alias("document"))
+def _items(rows: DataFrame, fields: Sequence[Column], order: str) -> DataFrame:
+    """(pos, item): a JSON text for each row, numbered in order; no task holds them all."""
+    named = rows.select(F.col(order).alias("order_"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("item"))
+    return numbered(named, "order_").select("pos", "item")
 
 
-def asset_document(loaded: DataFrame, mode: str, base: str, title: str = "Assets") -> DataFrame:
+def gathered(items: DataFrame, title: str, mode: str = "show") -> DataFrame:
+    """(document): the items (pos, item) of one page as one JSON text, for the sink that writes the page; give it what a page can show."""
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]), ",")
+    head = F.regexp_replace(F.to_json(F.struct(F.lit(title).alias("title"), F.lit(mode).alias("mode"))), r"\}$", "")
+    return items.agg(listed.alias("listed")).select(F.concat(head, F.lit(',"items":['), "listed", F.lit("]}")).alias("document"))
+
+
+def _there(base: str, path: str, name: str) -> Column:
+    return F.when(F.col(path).isNotNull(), url(base, F.col(path))).alias(name)
+
+
+def asset_items(loaded: DataFrame, mode: str, base: str) -> DataFrame:
     """Of loaded assets (uid, glb, annotation, thumbnail, renders, as the mode needs); what isn't there is null."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -28,25 +41,25 @@ def asset_document(loaded: DataFrame, mode: str, base: str, title: str = "Assets
     if mode in ("show", "annotations"):
         fields.append(F.col("annotation"))
     if mode in ("show", "assets"):
-        fields.append(F.when(F.col("glb").isNotNull(), url(base, F.col("glb"))).alias("glb_url"))
+        fields.append(_there(base, "glb", "glb_url"))
     if mode in ("show", "thumbnails"):
-        fields.append(F.when(F.col("thumbnail").isNotNull(), url(base, F.col("thumbnail"))).alias("thumbnail_url"))
+        fields.append(_there(base, "thumbnail", "thumbnail_url"))
     if mode in ("show", "renders"):
         fields.append(F.transform_values("renders", lambda _, p: F.when(p.isNotNull(), url(base, p))).alias("render_urls"))
-    return _document(loaded, title, mode, fields, "uid")
+    return _items(loaded, fields, "uid")
 
 
-def material_document(materials: DataFrame, base: str, title: str, mode: str = "show") -> DataFrame:
+def material_items(materials: DataFrame, base: str) -> DataFrame:
     """Of materials (name, main, thumbnail, and textures where there are some)."""
-    fields = [F.col("name"), F.when(F.col("main").isNotNull(), url(base, F.col("main"))).alias("url"), F.when(F.col("thumbnail").isNotNull(), url(base, F.col("thumbnail"))).alias("thumbnail_url")]
+    fields = [F.col("name"), _there(base, "main", "url"), _there(base, "thumbnail", "thumbnail_url")]
     if "textures" in materials.columns:
         fields.append(F.col("textures"))
-    return _document(materials, title, mode, fields, "name")
+    return _items(materials, fields, "name")
 
 
-def vegetation_document(plants: DataFrame, base: str, title: str) -> DataFrame:
+def vegetation_items(plants: DataFrame, base: str) -> DataFrame:
     """Of plants (name, usd, preview)."""
-    return _document(plants, title, "show", [F.col("name"), F.col("usd"), F.when(F.col("preview").isNotNull(), url(base, F.col("preview"))).alias("preview_url")], "name")
+    return _items(plants, [F.col("name"), F.col("usd"), _there(base, "preview", "preview_url")], "name")
 
 
 def image_strip(renders: DataFrame) -> DataFrame:
@@ -54,23 +67,33 @@ def image_strip(renders: DataFrame) -> DataFrame:
     return renders.select("uid", F.explode("renders").alias("angle", "path")).where("path is not null")
 
 
-def has_thumbnails(rows: DataFrame) -> DataFrame:
-    return rows.agg(F.coalesce(F.bool_or(F.col("thumbnail").isNotNull()), F.lit(False)).alias("has_thumbnails"))
+def has_thumbnails(rows: DataFrame, *groups: str) -> DataFrame:
+    """Has any row of the group a thumbnail?"""
+    return rows.groupBy(*groups).agg(F.coalesce(F.bool_or(F.col("thumbnail").isNotNull()), F.lit(False)).alias("has_thumbnails"))
 
 
-def annotation_rows(rows: DataFrame, key: str = "uid", document: str = "annotation", depth: int = 8) -> DataFrame:
-    """(key, path, value): the leaves of JSON documents; objects are opened by their keys, arrays by their places.
+def annotation_rows(rows: DataFrame, key: str = "uid", document: str = "annotation") -> DataFrame:
+    """(key, path, value): the leaves of JSON documents; objects are opened by their keys, arrays by their places, strings never.
 
-    Below ``depth`` levels what is left stays as JSON text. One explode a level, all in one plan, no shuffle.
+    One plan opens ``LEVELS`` levels without a shuffle; what then has values inside still is written and opened further, until nothing has.
+    Null values are leaves, empty objects and arrays have none, and texts that aren't JSON give no rows.
     """
-    opened = F.from_json(document, "map<string,string>")
-    leaves = rows.select(key, F.explode(opened).alias("path", "value"))
-    for _ in range(depth - 1):
-        value = F.col("value")
-        inside = F.when(value.startswith("{"), F.map_entries(F.from_json(value, "map<string,string>")))
-        places = F.transform(F.from_json(value, "array<string>"), lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value")))
-        entries = F.coalesce(inside, F.when(value.startswith("["), places))
-        named = F.transform(entries, lambda e: F.struct(F.concat_ws(".", "path", e["key"]).alias("path"), e["value"].alias("value")))
-        each = F.coalesce(named, F.array(F.struct("path", "value")))  # an empty object or array has no leaves
-        leaves = leaves.select(key, F.explode(each).alias("x")).select(key, "x.path", "x.value")
-    return leaves
+    spark = rows.sparkSession
+    opened = rows.select(key, F.lit("").alias("path"), F.try_parse_json(document).alias("inside"), F.lit(None).cast("string").alias("value")).where("inside is not null")
+    done = None
+    while True:
+        for _ in range(LEVELS):
+            children = spark.tvf.variant_explode_outer(F.col("inside").outer()).toDF("pos_", "key_", "child_")
+            step = opened.lateralJoin(children)
+            entered = F.col("pos_").isNotNull()
+            ends = ~entered & F.col("inside").isNotNull()
+            name = F.concat_ws(".", F.nullif("path", F.lit("")), F.coalesce("key_", F.col("pos_").cast("string")))
+            empty = ends & F.to_json("inside").isin("{}", "[]")
+            step = step.where(~F.coalesce(empty, F.lit(False)))
+            opened = step.select(key, F.when(entered, name).otherwise(F.col("path")).alias("path"), F.when(entered, F.col("child_")).alias("inside"), F.when(ends, F.variant_get("inside", "$", "string")).otherwise(F.col("value")).alias("value"))
+        opened = written(opened, "leaves")
+        leaves = opened.where("inside is null").select(key, "path", "value")
+        done = leaves if done is None else done.unionByName(leaves)
+        opened = opened.where("inside is not null")
+        if opened.isEmpty():
+            return done

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetloom.functions.paths import below, render_name, renamed, stem, without_archive_suffix
@@ -20,6 +20,9 @@ MATERIALS = {
     "sidewalk": ("material_sidewalk_mdl", "material_sidewalk_thumbnail", "mdl", "textures"),
     "terrain": ("material_terrain_mdl", "material_terrain_thumbnail", "mdl", "textures"),
 }
+#: How a converter may approximate a mesh for collisions, and where its files go.
+COLLISIONS = ("convexDecomposition", "convexHull", "boundingCube", "boundingSphere", "meshSimplification", "none")
+USD_FOLDER = "assets_std_usd_flat"
 VEGETATION = {"plant": "collected_plants", "shrub": "collected_shrubs", "tree": "collected_trees"}
 
 
@@ -72,10 +75,9 @@ def renders(uids: DataFrame, folders: DataFrame, present: DataFrame, angles: Seq
     return rows.groupBy("uid").agg(F.map_from_entries(pairs).alias("renders"))
 
 
-def batches(rows: DataFrame, order: Sequence[str], size: int = 256) -> DataFrame:
-    """Adds ``batch``: rows in order, ``size`` to a batch. Ordered in one window: for request-sized input."""
-    place = F.row_number().over(Window.orderBy(*order))
-    return rows.withColumn("batch", F.floor((place - 1) / size).cast("long"))
+def batches(rows: DataFrame, order: str | Sequence[Column], size: int = 256) -> DataFrame:
+    """Adds ``batch``: rows in order, ``size`` to a batch."""
+    return numbered(rows, order).withColumn("batch", F.floor(F.col("pos") / size).cast("long")).drop("pos")
 
 
 def page(rows: DataFrame, order: str, index: int) -> DataFrame:
@@ -180,6 +182,35 @@ def conversion_results(tasks: DataFrame, results: DataFrame) -> DataFrame:
     return results.join(first, "glb").select("task.uid", F.when(F.col("ok"), F.col("task.usd")).alias("usd"), F.when(~F.col("ok"), F.col("error")).alias("error"))
 
 
+def conversion_tasks(uids: DataFrame, index: DataFrame, present: DataFrame, collision: str = "convexDecomposition", instanceable: bool = False, mass: float | None = None, folder: str = USD_FOLDER) -> DataFrame:
+    """(uid, glb, usd, status, collision, instanceable, mass) of a request's ids: what to convert and how, what is converted, what has no file to convert.
+
+    A model file that isn't there is missing, whatever its conversion; the settings go with the rows that are to do.
+    """
+    check_arguments([collision], COLLISIONS, "collision approximation")
+    if mass is not None and mass < 0:
+        raise ValueError("mass must not be negative")
+    loaded = load_one(uids, index, present, "glb").withColumnRenamed("path", "glb")
+    usd = F.concat(F.lit(f"{folder}/std_"), F.col("uid").cast("string"), F.lit("/std_"), F.col("uid").cast("string"), F.lit(".usd"))
+    plan = conversion_plan(loaded.select("uid", "glb", usd.alias("usd"), F.col("glb").isNotNull().alias("glb_present")), present)
+    status = F.when(F.col("glb").isNull(), "missing").otherwise(F.col("status"))
+    to_do = status == "to_do"
+    return plan.select("uid", "glb", "usd", status.alias("status"), F.when(to_do, F.lit(collision)).alias("collision"), F.when(to_do, F.lit(instanceable)).alias("instanceable"), F.when(to_do, F.lit(mass).cast("double")).alias("mass"))
+
+
+def converted(tasks: DataFrame, results: DataFrame, present: DataFrame) -> DataFrame:
+    """(uid, usd, error) of each id: what was converted before, else what a converter says of its file (glb, ok, error) and left behind.
+
+    A result without its file is a failure, and so is a task without a result.
+    """
+    told = conversion_results(tasks.where("status = 'to_do'"), results)
+    there = present.select(F.col("path").alias("usd"), F.lit(True).alias("there_")).distinct()
+    told = told.join(there, "usd", "left").select("uid", F.when(F.col("there_"), F.col("usd")).alias("new_usd"), F.when(~F.coalesce("there_", F.lit(False)), F.coalesce("error", F.lit("no file"))).alias("new_error"))
+    before = F.col("status") == "existing"
+    reason = F.when(F.col("status") == "missing", "nothing to convert").when(~before & F.col("new_usd").isNull(), F.coalesce("new_error", F.lit("no result")))
+    return tasks.join(told, "uid", "left").select("uid", F.when(before, F.col("usd")).otherwise(F.col("new_usd")).alias("usd"), reason.alias("error"))
+
+
 def outcome(rows: DataFrame, ok: Column, by: Iterable[str] = ()) -> DataFrame:
     """(by, ok, failed)."""
     return rows.groupBy(*by).agg(F.count_if(ok).alias("ok"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("failed"))

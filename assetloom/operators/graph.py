@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetloom.functions.paths import parent, renamed
+from assetloom.functions.paths import parent, renamed, resolved
 from assetloom.sources.shared import written
 
 #: Extensions of scene layers.
@@ -52,13 +52,6 @@ def rewrites(edges: DataFrame, changed: DataFrame, suffix: str) -> DataFrame:
     return into.groupBy(F.col("src").alias("layer")).agg(F.map_from_entries(pairs).alias("renames"))
 
 
-def resolved(folder: Column, authored: Column) -> Column:
-    """An authored path as seen from a folder: ``.`` stays, ``..`` goes up."""
-    parts = F.filter(F.split(F.concat_ws("/", F.nullif(folder, F.lit("")), authored), "/"), lambda p: (p != ".") & (p != ""))
-    walk = lambda done, p: F.when(p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(p)))
-    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), walk), "/")
-
-
 def layer_edges(items: DataFrame) -> DataFrame:
     """(src, kind, operation, authored, dst): each layer that a layer's lists of sublayers, references and payloads name, as written and as resolved from the layer's folder.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetloom.functions.predicates import any_level_in
@@ -17,6 +17,11 @@ def all_uids(bridge: DataFrame) -> DataFrame:
     return bridge.orderBy("category_pos", "pos").select("uid")
 
 
+def places(members: DataFrame, group: str, *order: str) -> DataFrame:
+    """Adds ``pos``: the place of each member of a group in order, from 0."""
+    return members.withColumn("pos", (F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).cast("long"))
+
+
 def by_level(bridge: DataFrame, level: int) -> DataFrame:
     """(name, uids): the assets of each class of a level, in catalog order, repeats kept."""
     if level not in LEVELS:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assetloom.functions.paths import stem, without_archive_suffix
+from assetloom.operators.files import MATERIALS, VEGETATION
 from assetloom.sources.catalog import ASSET_TYPES
+from assetloom.sources.shared import written
+from assetloom.sources.transfer import fetch_missing
 
 
 def expected_assets(bridge: DataFrame, files: DataFrame, types: Sequence[str] = ASSET_TYPES) -> DataFrame:
@@ -30,16 +34,95 @@ def expected_vegetation(mapping: DataFrame, kind: str, folder: str) -> DataFrame
     return mapping.select(F.lit("vegetation").alias("kind"), F.lit(kind).alias("subkind"), F.col("name").alias("item"), F.concat(F.lit(folder + "/"), "name", F.lit("/")).alias("path"))
 
 
-def status(expected: DataFrame, present: DataFrame) -> DataFrame:
-    """(kind, subkind, item, there): an item is there when all its paths are; a path that ends in a slash is a folder."""
+def expected_files(listed: DataFrame) -> DataFrame:
+    """(kind, subkind, item, path, rule, source) of all materials and plants, from one pass over a listing (path).
+
+    A material's files are all that lie right inside its kind's folders under its name; a plant is there when anything of its
+    folder is, and comes as an archive (``source``).
+    """
+    folders = {f: ("material", kind) for kind, (main, thumbs, _, _) in MATERIALS.items() for f in (main, thumbs)} | {f: ("vegetation", kind) for kind, f in VEGETATION.items()}
+    top, rest = F.substring_index("path", "/", 1), F.substring_index("path", "/", -1)
+    of = lambda i: F.try_element_at(F.create_map(*[F.lit(x) for f, names in folders.items() for x in (f, names[i])]), top)
+    inside = listed.where(top.isin(list(folders)) & (F.size(F.split("path", "/")) == 2) & (rest != "")).select(of(0).alias("kind"), of(1).alias("subkind"), "path", rest.alias("name"), top.alias("top"))
+    archive = F.col("kind") == "vegetation"
+    inside = inside.where(~archive | F.col("name").endswith(".tar.gz"))
+    item = F.when(archive, without_archive_suffix(F.col("name"))).otherwise(stem(F.col("name")))
+    unpacked = F.concat("top", F.lit("/"), without_archive_suffix(F.col("name")), F.lit("/"))
+    return inside.select("kind", "subkind", item.alias("item"), F.when(archive, unpacked).otherwise(F.col("path")).alias("path"), F.lit("all").alias("rule"), F.col("path").alias("source"))
+
+
+def expected_objects(uids: DataFrame, index: DataFrame, flat: str = "assets") -> DataFrame:
+    """(kind, subkind, item, path, rule, source) of all assets' files, from one pass over the index.
+
+    Of an annotation's two places one will do; renders are there when their archive's folder is. What has no index entry is expected without a path.
+    """
+    ids = uids.select(F.col("uid").cast("string").alias("uid")).distinct()
+    rows = ids.select("uid", F.explode(F.array(*map(F.lit, ASSET_TYPES))).alias("asset_type"))
+    rows = rows.join(index.select(F.col("uid").cast("string").alias("uid"), "asset_type", "path"), ["uid", "asset_type"], "left")
+    kind = F.col("asset_type")
+    flat_path = F.concat(F.lit(f"{flat}/std_"), "uid", F.lit(".json"))
+    places = F.when(kind == "annotation", F.array("path", flat_path)).when(kind == "render", F.array(F.concat(without_archive_suffix(F.col("path")), F.lit("/")))).otherwise(F.array("path"))
+    rows = rows.select("uid", kind, F.explode(places).alias("place"), "path").where(F.col("place").isNotNull() | (kind != "annotation"))
+    return rows.select(F.lit("object").alias("kind"), kind.alias("subkind"), F.col("uid").alias("item"), F.col("place").alias("path"), F.when(kind == "annotation", "any").otherwise("all").alias("rule"), F.when(kind == "render", F.col("path")).otherwise(F.col("place")).alias("source"))
+
+
+def found_paths(expected: DataFrame, present: DataFrame) -> DataFrame:
+    """``expected`` with ``rule`` and ``ok``: is the path there? A path that ends in a slash is a folder."""
+    if "rule" not in expected.columns:
+        expected = expected.withColumn("rule", F.lit("all"))
     folders = expected.where(F.col("path").endswith("/")).select("path").distinct()
     parts = F.split("path", "/")
     above = present.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))).alias("path")).where(F.size(F.split("path", "/")) > 1)
     there = present.select("path").unionByName(above.join(folders, "path", "left_semi").select("path")).distinct().withColumn("found", F.lit(True))
-    rows = expected.join(there, "path", "left")
     # a material without any files counts as there, an asset without a path doesn't
-    ok = F.coalesce(F.col("found"), (F.col("path").isNull()) & (F.col("kind") == "material"))
-    return rows.groupBy("kind", "subkind", "item").agg(F.bool_and(ok).alias("there"))
+    ok = F.coalesce(F.col("found"), F.col("path").isNull() & (F.col("kind") == "material"))
+    return expected.join(there, "path", "left").withColumn("ok", ok).drop("found")
+
+
+def _items(paths: DataFrame) -> DataFrame:
+    """(kind, subkind, item, there): all rules in one aggregation."""
+    any_ = F.max("rule") == "any"
+    return paths.groupBy("kind", "subkind", "item").agg(F.when(any_, F.bool_or("ok")).otherwise(F.bool_and("ok")).alias("there"))
+
+
+def status(expected: DataFrame, present: DataFrame) -> DataFrame:
+    """(kind, subkind, item, there): an item is there when all its paths are, or any of them if that is its ``rule``."""
+    return _items(found_paths(expected, present))
+
+
+def repaired(expected: DataFrame, present: DataFrame, fetched: DataFrame) -> DataFrame:
+    """(kind, subkind, item, was, there) of each item before and after ``fetched`` (path: the sources that came).
+
+    What is present is looked at once; after the fetch only the items that were missing are judged again, by what came.
+    Running it again with what is there by then gives the rest.
+    """
+    keys = ["kind", "subkind", "item"]
+    paths = written(found_paths(expected, present), "repair-paths")
+    was = written(_items(paths), "repair-items")
+    gone = paths.join(was.where(~F.col("there")).select(*keys), keys, "left_semi")
+    source = F.coalesce(F.col("source"), F.col("path")) if "source" in expected.columns else F.col("path")
+    came = fetched.select(F.col("path").alias("source_")).distinct().withColumn("came", F.lit(True))
+    again = gone.withColumn("source_", source).join(came, "source_", "left").withColumn("ok", F.col("ok") | F.coalesce("came", F.lit(False)))
+    now = _items(again).withColumnRenamed("there", "now")
+    return was.withColumnRenamed("there", "was").join(now, keys, "left").select(*keys, "was", F.coalesce("now", "was").alias("there"))
+
+
+def repair(expected: DataFrame, present: DataFrame, fetch: Callable[[str], bytes], put: Callable[[str, bytes], None], tries: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(items before and after, results of the fetch): check, fetch what is missing, check again. ``fetch`` and ``put`` run on the executors."""
+    wanted = repair_plan(expected, present).select(F.col("source").alias("path") if "source" in expected.columns else "path")
+    nothing = present.select("path").limit(0)
+    results = written(fetch_missing(wanted, nothing, fetch, put, tries), "repair-results")
+    return repaired(expected, present, results.where("status = 'fetched'").select("path")), results
+
+
+def delta(items: DataFrame) -> DataFrame:
+    """(kind, subkind, expected, present, repaired, missing) of items (was, there), with subtotals of kinds and the total (nulls)."""
+    return items.rollup("kind", "subkind").agg(F.count(F.lit(1)).alias("expected"), F.count_if("was").alias("present"), F.count_if(F.col("there") & ~F.col("was")).alias("repaired"), F.count_if(~F.col("there")).alias("missing"))
+
+
+def whole_request(expected: DataFrame) -> DataFrame:
+    """(kind, subkind, path): everything there is to fetch, each path once for its kind."""
+    return expected.select("kind", "subkind", F.coalesce("source", "path").alias("path")).where("path is not null").distinct()
 
 
 def report(items: DataFrame) -> DataFrame:
@@ -72,9 +155,10 @@ def complete(items: DataFrame) -> DataFrame:
 
 
 def repair_plan(expected: DataFrame, present: DataFrame) -> DataFrame:
-    """(kind, subkind, item, path) to fetch: every missing path of an item that isn't there, annotations included."""
-    gone = status(expected, present).where(~F.col("there")).select("kind", "subkind", "item")
-    return expected.join(gone, ["kind", "subkind", "item"], "left_semi").join(present.select("path").distinct(), "path", "left_anti").where("path is not null").select("kind", "subkind", "item", "path")
+    """The rows of ``expected`` to fetch: every missing path of an item that isn't there, annotations included."""
+    paths = written(found_paths(expected, present), "plan-paths")
+    gone = _items(paths).where(~F.col("there")).select("kind", "subkind", "item")
+    return paths.where("not ok and path is not null").join(gone, ["kind", "subkind", "item"], "left_semi").select(*expected.columns)
 
 
 def counted(expected: DataFrame, present: DataFrame, key: str, *groups: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from assetloom.functions.vectors import cosine, dot, literal, mean_of
 
@@ -78,22 +79,22 @@ class Encoders:
             raise ValueError(f"unknown encoder {name!r}; known: {sorted(self.makers)}")
 
     def encode(self, rows: DataFrame, name: str, text: str, key: str = "uid", batch: int = 64) -> DataFrame:
-        """(key, vector): unit vectors of the texts; a missing text is encoded as the empty one."""
+        """(key, vector): unit vectors of the texts, ``batch`` texts to a call of the model; a missing text is encoded as the empty one."""
         self.check(name)
         maker = self.makers[name]
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def make():
             model = maker()
-            for frame in frames:
-                for start in range(0, len(frame), batch):
-                    part = frame.iloc[start : start + batch]
-                    vectors = np.asarray(model(part["text_"].tolist()), float)
-                    length = np.linalg.norm(vectors, axis=1, keepdims=True)
-                    unit = np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
-                    yield pd.DataFrame({key: part[key].to_numpy(), "vector": list(unit)})
 
-        kind = rows.schema[key].dataType.simpleString()
-        return rows.select(key, F.coalesce(F.col(text), F.lit("")).alias("text_")).mapInPandas(run, f"{key} {kind}, vector array<double>")
+            def predict(texts: np.ndarray) -> np.ndarray:
+                vectors = np.asarray(model(list(texts)), np.float32)
+                length = np.linalg.norm(vectors, axis=1, keepdims=True)
+                return np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
+
+            return predict
+
+        encoded = predict_batch_udf(make, return_type=ArrayType(FloatType()), batch_size=batch)
+        return rows.select(key, encoded(F.coalesce(F.col(text), F.lit(""))).alias("vector"))
 
 
 def hashed_terms(size: int = 256) -> Callable[[], Callable[[list[str]], np.ndarray]]:
@@ -103,7 +104,7 @@ def hashed_terms(size: int = 256) -> Callable[[], Callable[[list[str]], np.ndarr
         import zlib
 
         def encode(texts: list[str]) -> np.ndarray:
-            out = np.zeros((len(texts), size))
+            out = np.zeros((len(texts), size), np.float32)
             for i, text in enumerate(texts):
                 for word in text.lower().split():
                     out[i, zlib.crc32(word.encode()) % size] += 1

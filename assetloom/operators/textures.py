@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetloom.functions.paths import url, without_leading_dots
+from assetloom.functions.paths import parent, resolved, url, without_leading_dots
 from assetloom.functions.textures import channels, preview_channel, texture_kind
 
 #: How a material text refers to a texture.
@@ -20,13 +23,18 @@ def references(texts: DataFrame, key: str = "name", value: str = "value", patter
 
 
 def channel_urls(texts: DataFrame, present: DataFrame, folder: str, base: str, key: str = "name") -> DataFrame:
-    """(key, textures): a map from channels to the URLs of the first textures that feed them and are there."""
-    refs = references(texts, key).withColumn("path", F.concat(F.lit(folder + "/"), without_leading_dots(F.col("ref"))))
+    """(key, textures): a map from channels to the URLs of the first textures that feed them and are there, for each text."""
+    return fed_channels(references(texts, key), texts.select(key), present, folder, base, key)
+
+
+def fed_channels(refs: DataFrame, keys: DataFrame, present: DataFrame, folder: str, base: str, key: str = "name") -> DataFrame:
+    """``channel_urls`` of references (key, pos, ref) that were found before."""
+    refs = refs.withColumn("path", F.concat(F.lit(folder + "/"), without_leading_dots(F.col("ref"))))
     refs = refs.join(present.select("path").distinct(), "path", "left_semi")
     fed = refs.select(key, "pos", "path", F.explode(channels(texture_kind(F.col("ref")), F.col("ref"))).alias("channel"))
     first = fed.groupBy(key, "channel").agg(F.min_by("path", "pos").alias("path"))
     maps = first.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("channel", url(base, F.col("path")).alias("url"))))).alias("textures"))
-    return texts.select(key).distinct().join(maps, key, "left").select(key, F.coalesce("textures", F.create_map().cast("map<string,string>")).alias("textures"))
+    return keys.select(key).distinct().join(maps, key, "left").select(key, F.coalesce("textures", F.create_map().cast("map<string,string>")).alias("textures"))
 
 
 def preview_textures(texts: DataFrame, present: DataFrame, folder: str, key: str = "name") -> DataFrame:
@@ -37,3 +45,34 @@ def preview_textures(texts: DataFrame, present: DataFrame, folder: str, key: str
     rows = rows.join(present.select("path").distinct(), "path", "left_semi").withColumn("channel", preview_channel(F.col("parameter"), F.col("ref")))
     found = rows.groupBy(key).agg(*[F.min_by("path", F.when(F.col("channel") == c, F.col("pos"))).alias(c) for c in ("diffuse", "normal")])
     return texts.select(key).distinct().join(found, key, "left")
+
+
+def bound_textures(items: DataFrame, texts: DataFrame, present: DataFrame) -> DataFrame:
+    """(layer, material, diffuse, normal) of each material with shaders in layers: what the shaders' inputs name comes first.
+
+    ``items``: what ``sources.layers.layer_items`` gives, ``texts``: (path, value) of material files. Only files that are
+    there count. A material without a diffuse input takes what is missing from the material file that its shader names.
+    """
+    assets = items.where((F.col("kind") == "attribute") & (F.col("type") == "asset") & F.col("value").isNotNull())
+    written_path = F.regexp_replace("value", "^@+|@+$", "")
+    assets = assets.select("layer", F.regexp_extract("prim", r"^(.*)/[^/]*$", 1).alias("material"), "name", "start", resolved(parent(F.col("layer")), written_path).alias("path"))
+    there = present.select("path").distinct()
+    assets = assets.join(there, "path", "left_semi")
+    name = F.lower(F.substring_index("name", ":", -1))
+    has = lambda *words: reduce(or_, [F.contains(name, F.lit(w)) for w in words])
+    channel = F.when(has("diffuse", "albedo", "basecolor"), F.lit("diffuse")).when(has("normal"), F.lit("normal"))
+    first = lambda when, what, order: F.min_by(what, F.when(when, order))
+    inputs = F.col("name").startswith("inputs:")
+    source = F.col("name") == "info:mdl:sourceAsset"
+    found = assets.withColumn("channel", F.when(inputs, channel)).groupBy("layer", "material").agg(
+        first(F.col("channel") == "diffuse", "path", F.col("start")).alias("diffuse"), first(F.col("channel") == "normal", "path", F.col("start")).alias("normal"), first(source, "path", F.col("start")).alias("source")
+    )
+    names, refs = (F.regexp_extract_all("value", F.lit(NAMED_REFERENCE), F.lit(i)) for i in (1, 2))
+    rows = texts.select(F.col("path").alias("source"), F.posexplode(F.arrays_zip(names.alias("parameter"), refs.alias("ref"))).alias("pos", "one"))
+    rows = rows.select("source", "pos", preview_channel(F.col("one.parameter"), F.col("one.ref")).alias("channel"), resolved(parent(F.col("source")), F.col("one.ref")).alias("path"))
+    rows = rows.join(there, "path", "left_semi")
+    named = rows.groupBy("source").agg(*[F.min_by("path", F.when(F.col("channel") == c, F.col("pos"))).alias(f"mdl_{c}") for c in ("diffuse", "normal")])
+    shaders = items.where((F.col("kind") == "attribute") & (F.col("name").startswith("inputs:") | (F.col("name") == "info:mdl:sourceAsset"))).select("layer", F.regexp_extract("prim", r"^(.*)/[^/]*$", 1).alias("material")).distinct()
+    both = shaders.join(found, ["layer", "material"], "left").join(named, "source", "left")
+    normal = F.coalesce("normal", F.when(F.col("diffuse").isNull(), F.col("mdl_normal")))
+    return both.select("layer", "material", F.coalesce("diffuse", "mdl_diffuse").alias("diffuse"), normal.alias("normal"))

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import io
-import tarfile
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assetloom.functions.predicates import dominant
 from assetloom.schema import ASSET, ATTRIBUTE_PREFIX, MASTER
+from assetloom.sources.bundles import register
 from assetloom.sources.shared import written
 
 #: Kinds of files that each asset has.
@@ -60,23 +58,16 @@ def asset_documents(spark: SparkSession, path: str) -> DataFrame:
     return parse_assets(texts)
 
 
-def bundle_members(spark: SparkSession, path: str) -> DataFrame:
-    """(name, value) of the JSON members of tar archives, wherever in the archive they lie.
+def bundle(spark: SparkSession, path: str, **options) -> DataFrame:
+    """(archive, name, value, error) of the JSON members of tar archives, wherever in an archive they lie; what couldn't be read has an error and no value."""
+    register(spark)
+    return spark.read.format("tar_members").options(suffix=".json", **options).load(path)
 
-    An archive is read by one task, member by member.
-    """
 
-    def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for content in frame["content"]:
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as archive:
-                    for member in archive:
-                        name = member.name.rsplit("/", 1)[-1]
-                        if member.isfile() and name.endswith(".json") and not name.startswith("._"):
-                            yield pd.DataFrame({"name": [name], "value": [archive.extractfile(member).read().decode("utf-8", "replace")]})
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(members, "name string, value string")
+def bundle_members(spark: SparkSession, path: str, **options) -> DataFrame:
+    """(name, value) of the JSON members that could be read; bytes that aren't UTF-8 are replaced."""
+    read = bundle(spark, path, **options).where("value is not null")
+    return read.select(F.substring_index("name", "/", -1).alias("name"), F.make_valid_utf8(F.col("value").cast("string")).alias("value"))
 
 
 def ingest_assets(texts: DataFrame, target: str) -> DataFrame:
@@ -129,14 +120,16 @@ def material_texts(spark: SparkSession, path: str) -> DataFrame:
     return texts.select(F.col("_metadata.file_path").alias("path"), "value")
 
 
-def numbered(files: DataFrame, order: str = "path") -> DataFrame:
+def numbered(files: DataFrame, order: str | Sequence[Column] = "path") -> DataFrame:
     """Adds ``pos``: the place in order, from 0. Positions of a global order without one big sort task:
     rows are counted per range partition and each partition starts at the sum of those before."""
-    parts = written(files.repartitionByRange(order).sortWithinPartitions(order).withColumn("part_", F.spark_partition_id()), "numbered")
-    counts = parts.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))
-    before = counts.select("part_", (F.sum("n_").over(Window.orderBy("part_")) - F.col("n_")).alias("before_"))
-    inner = F.row_number().over(Window.partitionBy("part_").orderBy(order))
-    return parts.withColumn("inner_", inner).join(F.broadcast(before), "part_").withColumn("pos", (F.col("before_") + F.col("inner_") - 1).cast("long")).drop("part_", "inner_", "before_")
+    order = [order] if isinstance(order, str) else list(order)
+    sorted_ = files.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = written(sorted_.withColumns({"part_": F.spark_partition_id(), "place_": F.monotonically_increasing_id()}), "numbered")
+    counts = parts.groupBy("part_").agg(F.min("place_").alias("first_"), F.count(F.lit(1)).alias("n_"))
+    before = F.sum("n_").over(Window.orderBy("part_")) - F.col("n_")  # one row for each partition
+    shifts = counts.select("part_", (before - F.col("first_")).alias("shift_"))
+    return parts.join(F.broadcast(shifts), "part_").withColumn("pos", F.col("place_") + F.col("shift_")).drop("part_", "place_", "shift_")
 
 
 def refresh(spark: SparkSession, path: str) -> None:

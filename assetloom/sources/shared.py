@@ -4,19 +4,30 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the folder that the cluster names in ``spark.checkpoint.dir`` and read it back.
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder that the cluster names in ``spark.checkpoint.dir``.
 
-    The table cuts the lineage, survives lost executors, and goes when the JVM's file system client closes.
-    Where the folder isn't named (one machine, tests) the warehouse directory is taken.
+    On one machine (tests), where that is unset, the warehouse directory is taken; on a cluster that is an error, since
+    the warehouse need not be shared. The path is deleted when the JVM's file system client closes.
     """
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/shared"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir')}/shared"
     path = f"{root}/{label}-{uuid.uuid4().hex}"
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: the table cuts the lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import tarfile
 import time
 from collections.abc import Callable, Iterator
@@ -71,9 +72,28 @@ def summary(results: DataFrame) -> DataFrame:
     return results.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("present", "fetched", "failed")])
 
 
-def archive_members(archives: DataFrame, suffix: str = ".jpg") -> DataFrame:
-    """(path, name, content) of the archives' members with a suffix, flattened to their names; archives are rows (path, content).
+def fetched_archives(wanted: DataFrame, fetch: Callable[[str], bytes], tries: int = 5) -> DataFrame:
+    """(path, content, error) of the archives that are wanted, each once; ``fetch`` runs on the executors, a failure is a row.
 
+    A task holds one archive at a time.
+    """
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path in frame["path"]:
+                try:
+                    content, error = fetch_one(fetch, path, tries), None
+                except Exception as failed:  # noqa: BLE001  the error is the result
+                    content, error = None, f"{type(failed).__name__}: {failed}"
+                yield pd.DataFrame({"path": [path], "content": [content], "error": [error]})
+
+    return wanted.select("path").distinct().repartition("path").mapInPandas(work, "path string, content binary, error string")
+
+
+def archive_members(archives: DataFrame, suffix: str = ".jpg", tree: bool = False) -> DataFrame:
+    """(path, name, content) of the archives' members with a suffix; archives are rows (path, content).
+
+    Names are flattened, or kept with their folders where ``tree`` is set (a name that leads out of the archive's folder is passed over).
     A broken archive gives one row without a name, so the others of its batch go on.
     """
 
@@ -84,8 +104,9 @@ def archive_members(archives: DataFrame, suffix: str = ".jpg") -> DataFrame:
                 try:
                     with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as archive:
                         for member in archive:
-                            if member.isfile() and member.name.endswith(suffix):
-                                rows.append((path, member.name.rsplit("/", 1)[-1], archive.extractfile(member).read()))
+                            name = posixpath.normpath(member.name) if tree else member.name.rsplit("/", 1)[-1]
+                            if member.isfile() and member.name.endswith(suffix) and not name.startswith(("/", "..")):
+                                rows.append((path, name, archive.extractfile(member).read()))
                 except (tarfile.TarError, OSError, EOFError):
                     rows = [(path, None, None)]
                 yield pd.DataFrame(rows, columns=["path", "name", "content"])

@@ -12,11 +12,10 @@ from assetloom.functions.paths import basename, spaced, stem
 from assetloom.functions.predicates import all_of, any_of, contains_text, direct_child, dominant_in, flag_is, in_range, one_of
 from assetloom.functions.textures import channels, texture_kind
 from assetloom.operators import documents as docs_
-from assetloom.operators import files, graph, hierarchy, integrity, scene, similarity, textures
+from assetloom.operators import files, graph, hierarchy, integrity, scene, show, similarity, textures
 from assetloom.plans.query import FLAGS, RANGES, AssetQuery
-from assetloom.schema import ASSET_FIELDS, ATTRIBUTE_PREFIX, ATTRIBUTES_DOC, MASTER
-from assetloom.schema import schema_doc as schema_table
-from assetloom.sources import catalog, layers, transfer
+from assetloom.schema import ASSET_FIELDS, ATTRIBUTE_PREFIX, MASTER
+from assetloom.sources import catalog, layers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -102,20 +101,14 @@ def class_counts(spark, sf):
 @query("""SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS BIGINT) AS pos, l_partkey
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey""")
 def catalog_flatten(spark, sf):
-    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("parts"))
-    rows = table(spark, sf, "orders").select("o_orderkey").join(lines, "o_orderkey").select("o_orderkey", F.posexplode("parts").alias("pos", "part"))
-    return rows.select("o_orderkey", F.col("pos").cast("long").alias("pos"), F.col("part.l_partkey").alias("l_partkey"))
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    return hierarchy.places(lines, "l_orderkey", "l_linenumber", "l_partkey").select(F.col("l_orderkey").alias("o_orderkey"), "pos", "l_partkey")
 
 
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({_text(n)}, {_text(t.simpleString())}, {_text(d)})" for n, t, d in ASSET_FIELDS) + f", ({_text(ATTRIBUTE_PREFIX + '*')}, 'map<string,string>', {_text(ATTRIBUTES_DOC)})) AS t(field, type, description)")
-def schema_doc(spark, sf):
-    return schema_table(spark)
-
-
 @query("SELECT name FROM (VALUES ('NATION_1'), ('ATLANTIS'), ('nation_2'), ('NATION_24'), ('MU')) AS t(name) EXCEPT SELECT n_name FROM nation")
 def unknown_names(spark, sf):
     wanted = spark.createDataFrame([("NATION_1",), ("ATLANTIS",), ("nation_2",), ("NATION_24",), ("MU",)], "name string")
@@ -295,12 +288,10 @@ v AS (SELECT p_brand, channel, arg_min(path, k) AS path FROM (SELECT p_brand, k,
 j AS (SELECT p_brand, '{' || string_agg('"' || channel || '":"http://localhost/' || path || '"', ',' ORDER BY channel) || '}' AS textures FROM v GROUP BY p_brand)
 SELECT DISTINCT p.p_brand AS name, coalesce(textures, '{}') AS textures FROM part p LEFT JOIN j ON j.p_brand = p.p_brand""")
 def texture_channels(spark, sf):
-    """Material texts made of parts: the channels of each brand, by the first texture that is there."""
-    parts = table(spark, sf, "part").select("p_brand", "p_partkey", _part_texture().alias("ref"))
-    line = F.concat(F.lit('texture: texture_2d("./'), F.col("ref"), F.lit('")'))
-    texts = parts.groupBy(F.col("p_brand").alias("name")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", line.alias("line")))), lambda x: x["line"]), "\n").alias("value"))
-    there = parts.where("p_partkey % 3 = 0").select(F.concat(F.lit("m/"), "ref").alias("path"))
-    found = textures.channel_urls(texts, there, "m", "http://localhost")
+    """The channels of each brand, by the first part's texture that is there."""
+    parts = table(spark, sf, "part").select(F.col("p_brand").alias("name"), F.col("p_partkey").alias("pos"), _part_texture().alias("ref"))
+    there = parts.where("pos % 3 = 0").select(F.concat(F.lit("m/"), "ref").alias("path"))
+    found = textures.fed_channels(parts, parts.select("name"), there, "m", "http://localhost")
     return found.select("name", F.to_json("textures").alias("textures"))
 
 
@@ -319,18 +310,19 @@ def annotation_leaves(spark, sf):
 r AS (SELECT user_id, '{' || string_agg('"' || angle || '":' || CASE WHEN e.event_type IS NULL THEN 'null' ELSE '"http://localhost/' || user_id || '/render_' || angle || '.0.jpg"' END, ',' ORDER BY angle) || '}' AS renders
 FROM u CROSS JOIN (VALUES (0, 'view'), (90, 'click'), (180, 'error'), (270, 'signup')) AS a(angle, event_type) LEFT JOIN e USING (user_id, event_type) GROUP BY user_id),
 o AS (SELECT o_custkey, min(o_orderkey) FILTER (WHERE o_orderstatus = 'P') AS p, min(o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS f FROM orders GROUP BY o_custkey)
-SELECT '{"title":"Assets","mode":"show","items":[' || string_agg('{"uid":' || user_id || ',"annotation":' || to_json(annotation) || ',"glb_url":' || CASE WHEN p % 2 = 0 THEN '"http://localhost/order/' || p || '"' ELSE 'null' END
-|| ',"thumbnail_url":' || CASE WHEN f % 2 = 0 THEN '"http://localhost/order/' || f || '"' ELSE 'null' END || ',"render_urls":' || renders || '}', ',' ORDER BY user_id) || ']}' AS document
+SELECT row_number() OVER (ORDER BY user_id) - 1 AS pos, '{"uid":' || user_id || ',"annotation":' || to_json(annotation) || ',"glb_url":' || CASE WHEN p % 2 = 0 THEN '"http://localhost/order/' || p || '"' ELSE 'null' END
+|| ',"thumbnail_url":' || CASE WHEN f % 2 = 0 THEN '"http://localhost/order/' || f || '"' ELSE 'null' END || ',"render_urls":' || renders || '}' AS item
 FROM u JOIN r USING (user_id) JOIN customer ON c_custkey = user_id LEFT JOIN o ON o_custkey = user_id""")
 def viewer_document(spark, sf):
-    """Annotations and renders of users, files of the customers of the same number."""
+    """Annotations and renders of users, files of the customers of the same number: an item for each, in order."""
     events = table(spark, sf, "events")
     kinds = spark.createDataFrame([(0, "view"), (90, "click"), (180, "error"), (270, "signup")], "angle int, event_type string")
     there = events.where("value < 1").select("user_id", "event_type").distinct().join(F.broadcast(kinds), "event_type")
     there = there.select(F.concat(F.col("user_id").cast("string"), F.lit("/render_"), F.col("angle").cast("string"), F.lit(".0.jpg")).alias("path"))
+    files_there = table(spark, sf, "orders").where("o_orderkey % 2 = 0").select(F.concat(F.lit("order/"), F.col("o_orderkey").cast("string")).alias("path"))
     users = events.groupBy(F.col("user_id").alias("uid")).agg(F.min("props").alias("annotation"))
-    shown = files.renders(users, users.select("uid", F.col("uid").cast("string").alias("folder")), there)
-    return docs_.asset_document(load_wide(spark, sf).join(users, "uid").join(shown, "uid"), "show", "http://localhost")
+    asked = users.join(table(spark, sf, "customer").select(F.col("c_custkey").alias("uid")), "uid", "left_semi")
+    return show.assets(asked, order_files(spark, sf), files_there.unionAll(there), "http://localhost", "show", users, users.select("uid", F.col("uid").cast("string").alias("folder")))
 
 
 @query("""WITH a AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'float2' WHEN 1 THEN 'int' WHEN 2 THEN 'string' ELSE 'float2' END AS type,
@@ -538,6 +530,37 @@ def conversion_results(spark, sf):
     return files.conversion_results(tasks, results)
 
 
+_TASKS_SQL = """WITH p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 'glb/' || p_partkey END AS glb, 'assets_std_usd_flat/std_' || p_partkey || '/std_' || p_partkey || '.usd' AS usd, p_size, p_brand FROM part),
+t AS (SELECT *, CASE WHEN glb IS NULL THEN 'missing' WHEN k % 3 = 0 THEN 'existing' ELSE 'to_do' END AS status FROM p)"""
+
+
+def conversions(spark, sf):
+    """(index, present): a model file for each part, four of five are there; one of three is converted."""
+    k = F.col("p_partkey").cast("string")
+    part = table(spark, sf, "part")
+    index = part.select(F.col("p_partkey").alias("uid"), F.lit("glb").alias("asset_type"), F.concat(F.lit("glb/"), k).alias("path"))
+    done = part.where("p_partkey % 3 = 0").select(F.concat(F.lit("assets_std_usd_flat/std_"), k, F.lit("/std_"), k, F.lit(".usd")).alias("path"))
+    return index, index.where("uid % 5 <> 0").select("path").unionAll(done)
+
+
+@query(_TASKS_SQL + " SELECT k AS uid, glb, usd, status, CASE WHEN status = 'to_do' THEN 'convexHull' END AS collision, CASE WHEN status = 'to_do' THEN true END AS instanceable, CASE WHEN status = 'to_do' THEN 2.5::DOUBLE END AS mass FROM t")
+def conversion_tasks(spark, sf):
+    index, present = conversions(spark, sf)
+    return files.conversion_tasks(index.select("uid"), index, present, "convexHull", True, 2.5)
+
+
+@query(_TASKS_SQL + """ SELECT k AS uid, CASE WHEN status = 'existing' OR (status = 'to_do' AND p_size % 4 = 0 AND k % 7 <> 0) THEN usd END AS usd,
+CASE status WHEN 'missing' THEN 'nothing to convert' WHEN 'to_do' THEN CASE p_size % 4 WHEN 0 THEN CASE WHEN k % 7 = 0 THEN 'no file' END WHEN 3 THEN 'no result' ELSE p_brand END END AS error FROM t""")
+def conversion_merge(spark, sf):
+    """Of four results one is good (of seven of these one left no file), two are failures, one doesn't come."""
+    index, present = conversions(spark, sf)
+    tasks = files.conversion_tasks(index.select("uid"), index, present)
+    k, part = F.col("p_partkey").cast("string"), table(spark, sf, "part")
+    results = part.where("p_size % 4 <> 3").select(F.concat(F.lit("glb/"), k).alias("glb"), (F.col("p_size") % 4 == 0).alias("ok"), F.when(F.col("p_size") % 4 > 0, F.col("p_brand")).alias("error"))
+    made = part.where("p_size % 4 = 0 and p_partkey % 7 <> 0").select(F.concat(F.lit("assets_std_usd_flat/std_"), k, F.lit("/std_"), k, F.lit(".usd")).alias("path"))
+    return files.converted(tasks, results, present.unionAll(made))
+
+
 @query("SELECT count(*) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS missing, count(*) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM labels)) = 0 AS complete FROM documents")
 def integrity_complete(spark, sf):
     there = table(spark, sf, "labels").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"))
@@ -714,11 +737,22 @@ def without_sibling(spark, sf):
     return files.without_sibling(rows, done, "_new").select("path")
 
 
-@query("""SELECT p_partkey AS uid, k AS path, v AS value FROM part, LATERAL (VALUES ('name', p_name), ('a.size', CAST(p_size AS VARCHAR)), ('a.b.type', p_type), ('a.b.c.list.0', p_brand), ('a.b.c.list.1.x', CAST(p_partkey AS VARCHAR)), ('tags.0', p_type), ('tags.1', p_name)) AS t(k, v)""")
+@query("""SELECT p_partkey AS uid, k AS path, v AS value FROM part, LATERAL (VALUES ('name', p_name), ('a.size', CAST(p_size AS VARCHAR)), ('a.b.type', p_type), ('a.b.c.list.0', p_brand), ('a.b.c.list.1', '{"x":' || p_partkey || '}'), ('a.b.c.list.2.0.0', 'true'), ('a.b.c.list.2.0.1', NULL), ('tags.0', p_type), ('tags.1', p_name)) AS t(k, v)""")
 def nested_leaves(spark, sf):
-    deep = F.struct(F.array(F.col("p_brand"), F.to_json(F.struct(F.col("p_partkey").alias("x")))).alias("list"))
-    whole = F.struct(F.col("p_name").alias("name"), F.struct(F.col("p_size").alias("size"), F.struct(F.col("p_type").alias("type"), deep.alias("c")).alias("b")).alias("a"), F.array("p_type", "p_name").alias("tags"))
-    return docs_.annotation_rows(table(spark, sf, "part").select(F.col("p_partkey").alias("uid"), F.to_json(whole).alias("annotation")))
+    """Objects and arrays of arrays are opened; a text that looks like an object stays a text."""
+    text = _filled('{"name": "<name>", "a": {"size": <size>, "b": {"type": "<type>", "c": {"list": ["<brand>", "{\\"x\\":<key>}", [[true, null], []], {}]}}}, "tags": ["<type>", "<name>"]}', name=F.col("p_name"), size=F.col("p_size").cast("string"), type=F.col("p_type"), brand=F.col("p_brand"), key=F.col("p_partkey").cast("string"))
+    return docs_.annotation_rows(table(spark, sf, "part").select(F.col("p_partkey").alias("uid"), text.alias("annotation")))
+
+
+@query("""SELECT p_partkey AS uid, rtrim(repeat('k.', CAST(p_partkey % 40 AS INTEGER)), '.') || CASE WHEN p_partkey % 40 = 0 THEN '' ELSE '.' END || 'name' AS path, p_name AS value FROM part
+UNION ALL SELECT p_partkey, rtrim(repeat('0.', CAST(p_partkey % 40 + 1 AS INTEGER)), '.'), CAST(p_size AS VARCHAR) FROM part""")
+def deep_leaves(spark, sf):
+    """Two documents for each part, of as many levels as its number says, up to 40."""
+    rows = table(spark, sf, "part")
+    depth = (F.col("p_partkey") % 40).cast("int")
+    objects = F.concat(F.repeat(F.lit('{"k":'), depth), F.lit('{"name":"'), "p_name", F.lit('"}'), F.repeat(F.lit("}"), depth))
+    arrays = F.concat(F.repeat(F.lit("["), depth + 1), F.col("p_size").cast("string"), F.repeat(F.lit("]"), depth + 1))
+    return docs_.annotation_rows(rows.select(F.col("p_partkey").alias("uid"), F.explode(F.array(objects, arrays)).alias("annotation")))
 
 
 @query("""WITH e AS (SELECT DISTINCT user_id AS uid, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 90 WHEN 'error' THEN 180 WHEN 'signup' THEN 270 END AS angle FROM events WHERE value < 1)
@@ -732,9 +766,12 @@ def image_strip(spark, sf):
     return docs_.image_strip(files.renders(users, users.select("uid", F.col("uid").cast("string").alias("folder")), there))
 
 
-@query("SELECT true AS has_thumbnails")
+@query("""WITH f AS (SELECT o_custkey AS uid, min(o_orderkey) AS k FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL)
+SELECT c_mktsegment AS segment, c_nationkey AS nation, coalesce(bool_or(k % 2 = 0), false) AS has_thumbnails FROM customer LEFT JOIN f ON uid = c_custkey GROUP BY ALL""")
 def any_thumbnails(spark, sf):
-    return docs_.has_thumbnails(load_wide(spark, sf))
+    """Which pages (customers of a segment and nation) have a strip of thumbnails?"""
+    pages = table(spark, sf, "customer").select(F.col("c_custkey").alias("uid"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
+    return docs_.has_thumbnails(load_wide(spark, sf).join(pages, "uid"), "segment", "nation")
 
 
 @query("SELECT CAST(floor((r - 1) / 256) AS BIGINT) AS batch, c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey DESC) AS r FROM customer)")
@@ -748,18 +785,211 @@ def load_one(spark, sf):
     return files.load_one(table(spark, sf, "customer").select(F.col("c_custkey").alias("uid")), order_files(spark, sf), there, "glb")
 
 
-@query(f"""WITH {_MATERIAL_SQL}, there AS (SELECT path FROM f WHERE k % 5 <> 0), l AS (SELECT name, CASE WHEN main IN (SELECT path FROM there) THEN main END AS main, CASE WHEN thumbnail IN (SELECT path FROM there) THEN thumbnail END AS thumbnail
-FROM (SELECT name, thumbnail, coalesce(list_filter(mains, lambda x: x LIKE '%.mdl')[1], mains[1]) AS main FROM m))
-SELECT CAST(to_json({{title: 'Road', mode: 'show', items: list({{name: name, url: 'http://localhost/' || main, thumbnail_url: 'http://localhost/' || thumbnail}} ORDER BY name)}}) AS VARCHAR) AS document FROM l WHERE name < 'c'""")
+def kind_files(spark, sf, kind):
+    """Paths of a kind's materials, one for each part: main files, thumbnails, and textures where the kind has them."""
+    main, thumbs, end, inside = files.MATERIALS[kind]
+    k = F.col("k")
+    path = lambda folder, end: F.concat(F.lit(folder + "/"), "name", F.lit(end))
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_partkey").cast("string"))
+    rows = table(spark, sf, "part").where("p_partkey % 7 <> 6").select(name.alias("name"), F.col("p_partkey").alias("k"))
+    paths = [F.when(k % 3 < 2, path(main, "." + end)), F.when(k % 3 > 0, path(main, ".hash")), F.when(k % 2 == 0, path(thumbs, ".jpg"))]
+    if inside:
+        paths += [F.when(k % 2 == 0, path(f"{main}/{inside}", "_diff.png")), F.when(k % 4 == 1, path(f"{main}/{inside}", "_ORM.png"))]
+    return rows.select("k", "name", F.explode(F.array_compact(F.array(*paths))).alias("path"))
+
+
+def kind_texts(spark, sf, kind):
+    """(name, value): a material file for each part, which names three textures."""
+    rows = kind_files(spark, sf, kind).select("name").distinct()
+    line = lambda end: F.concat(F.lit('t: texture_2d("./textures/'), "name", F.lit(end + '"),\n'))
+    return rows.select("name", F.concat(line("_mask.png"), line("_ORM.png"), line("_diff.png")).alias("value"))
+
+
+def _show_sql(kind):
+    main, thumbs, end, inside = files.MATERIALS[kind]
+    fed = f"""|| ',"textures":' || CASE WHEN k % 5 <> 0 AND k % 3 < 2 THEN '{{' || concat_ws(',', CASE WHEN k % 4 = 1 THEN '"ao":"http://localhost/{main}/{inside}/' || name || '_ORM.png"' END, CASE WHEN k % 2 = 0 THEN '"diffuse":"http://localhost/{main}/{inside}/' || name || '_diff.png"' END,
+CASE WHEN k % 4 = 1 THEN '"roughness":"http://localhost/{main}/{inside}/' || name || '_ORM.png"' END) || '}}' ELSE '{{}}' END""" if inside else ""
+    return f"""WITH p AS (SELECT {_NAME} AS name, p_partkey AS k FROM part WHERE p_partkey % 7 <> 6)
+SELECT row_number() OVER (ORDER BY name) - 1 AS pos, '{{"name":"' || name || '","url":' || CASE WHEN k % 5 = 0 THEN 'null' ELSE '"http://localhost/{main}/' || name || CASE WHEN k % 3 < 2 THEN '.{end}"' ELSE '.hash"' END END
+|| ',"thumbnail_url":' || CASE WHEN k % 5 = 0 OR k % 2 = 1 THEN 'null' ELSE '"http://localhost/{thumbs}/' || name || '.jpg"' END {fed} || '}}' AS item FROM p"""
+
+
+def _material_show(kind):
+    def run(spark, sf):
+        listed = kind_files(spark, sf, kind)
+        return show.materials(kind, listed, listed.where("k % 5 <> 0"), "http://localhost", kind_texts(spark, sf, kind))
+
+    return run
+
+
+for _kind in files.MATERIALS:
+    QUERIES[f"{_kind}_show"], SQL[f"{_kind}_show"] = _material_show(_kind), _show_sql(_kind)
+
+
+@query(_show_sql("road") + " WHERE k % 10 = 4 OR k % 10 = 5")
 def material_page(spark, sf):
-    return docs_.material_document(load_materials(spark, sf).where("name < 'c'"), "http://localhost", "Road")
+    """A request by names."""
+    listed = kind_files(spark, sf, "road")
+    asked = listed.where("k % 10 = 4 or k % 10 = 5").select("name")
+    return show.materials("road", listed, listed.where("k % 5 <> 0"), "http://localhost", kind_texts(spark, sf, "road"), asked)
+
+
+def _plants(spark, sf, kind):
+    """(listed, present) of a kind: archives, and unpacked files of two plants of three; one of six has no scene, one of four a preview."""
+    archives = plant_files(spark, sf).select("k", "name", F.concat(F.lit(files.VEGETATION[kind] + "/"), "name", F.lit(".tar.gz")).alias("path"))
+    inside = F.array_compact(F.array(F.lit("/textures/x.png"), F.when(F.col("k") % 6 != 1, F.lit("/b.usd")), F.when(F.col("k") % 4 == 0, F.lit("/a.usdc")), F.when(F.col("k") % 4 == 1, F.lit("/_preview.glb"))))
+    unpacked = archives.where("k % 3 < 2").select("k", "name", F.explode(inside).alias("end")).select("k", F.concat(F.lit(files.VEGETATION[kind] + "/"), "name", "end").alias("path"))
+    return archives, unpacked
+
 
+def _plants_sql(kind):
+    folder = files.VEGETATION[kind]
+    return f"""WITH {_PLANT_SQL} SELECT row_number() OVER (ORDER BY name) - 1 AS pos, '{{"name":"' || name || '","usd":' || CASE WHEN k % 3 = 2 THEN 'null' WHEN k % 4 = 0 THEN '"{folder}/' || name || '/a.usdc"' WHEN k % 6 <> 1 THEN '"{folder}/' || name || '/b.usd"' ELSE 'null' END
+|| ',"preview_url":' || CASE WHEN k % 3 < 2 AND k % 4 = 1 THEN '"http://localhost/{folder}/' || name || '/_preview.glb"' ELSE 'null' END || '}}' AS item FROM p"""
 
-@query(f"""WITH {_PLANT_SQL} SELECT CAST(to_json({{title: 'Trees', mode: 'show', items: list({{name: name, usd: CASE WHEN k % 3 < 2 THEN CASE WHEN k % 4 = 0 THEN 'collected_trees/' || name || '/a.usdc' WHEN k % 6 <> 1 THEN 'collected_trees/' || name || '/b.usd' END END,
-preview_url: CASE WHEN k % 4 = 1 THEN 'http://localhost/p/' || name END}} ORDER BY name)}}) AS VARCHAR) AS document FROM p WHERE name < 'c'""")
+
+def _vegetation_show(kind):
+    def run(spark, sf):
+        listed, present = _plants(spark, sf, kind)
+        return show.vegetation(kind, listed, present, "http://localhost")
+
+    return run
+
+
+for _kind in files.VEGETATION:
+    QUERIES[f"{_kind}_show"], SQL[f"{_kind}_show"] = _vegetation_show(_kind), _plants_sql(_kind)
+
+
+@query(_plants_sql("tree") + " WHERE k % 10 > 6")
 def vegetation_page(spark, sf):
-    preview = F.when(F.substring_index("name", "_", -1).cast("int") % 4 == 1, F.concat(F.lit("p/"), "name"))
-    return docs_.vegetation_document(load_vegetation(spark, sf).where("name < 'c'").withColumn("preview", preview), "http://localhost", "Trees")
+    """A request by names."""
+    listed, present = _plants(spark, sf, "tree")
+    return show.vegetation("tree", listed, present, "http://localhost", listed.where("k % 10 > 6").select("name"))
+
+
+_SHOWN_USERS = "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS pos, '{\"uid\":' || c_custkey || "
+
+
+@query(f"""WITH o AS (SELECT o_custkey, min(o_orderkey) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY o_custkey)
+{_SHOWN_USERS} ',"glb_url":' || CASE WHEN p % 2 = 0 THEN '"http://localhost/order/' || p || '"' ELSE 'null' END || '}}' AS item FROM customer LEFT JOIN o ON o_custkey = c_custkey""")
+def object_assets(spark, sf):
+    there = table(spark, sf, "orders").where("o_orderkey % 2 = 0").select(F.concat(F.lit("order/"), F.col("o_orderkey").cast("string")).alias("path"))
+    return show.assets(table(spark, sf, "customer").select(F.col("c_custkey").alias("uid")), order_files(spark, sf), there, "http://localhost", "assets")
+
+
+@query(f"""WITH o AS (SELECT o_custkey, min(o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS p FROM orders GROUP BY o_custkey)
+{_SHOWN_USERS} ',"thumbnail_url":' || CASE WHEN p % 2 = 0 THEN '"http://localhost/order/' || p || '"' ELSE 'null' END || '}}' AS item FROM customer LEFT JOIN o ON o_custkey = c_custkey""")
+def object_thumbnails(spark, sf):
+    there = table(spark, sf, "orders").where("o_orderkey % 2 = 0").select(F.concat(F.lit("order/"), F.col("o_orderkey").cast("string")).alias("path"))
+    return show.assets(table(spark, sf, "customer").select(F.col("c_custkey").alias("uid")), order_files(spark, sf), there, "http://localhost", "thumbnails")
+
+
+@query(f"""WITH u AS (SELECT user_id, min(props) AS annotation FROM events GROUP BY user_id)
+{_SHOWN_USERS} ',"annotation":' || coalesce(CAST(to_json(annotation) AS VARCHAR), 'null') || '}}' AS item FROM customer LEFT JOIN u ON user_id = c_custkey""")
+def object_annotations(spark, sf):
+    found = table(spark, sf, "events").groupBy(F.col("user_id").alias("uid")).agg(F.min("props").alias("annotation"))
+    asked = table(spark, sf, "customer").select(F.col("c_custkey").alias("uid"))
+    return show.assets(asked, order_files(spark, sf), asked.select(F.lit("").alias("path")), "http://localhost", "annotations", found)
+
+
+@query("""WITH u AS (SELECT DISTINCT user_id FROM events), e AS (SELECT DISTINCT user_id, event_type FROM events WHERE value < 1)
+SELECT row_number() OVER (ORDER BY user_id) - 1 AS pos, '{"uid":' || user_id || ',"render_urls":{' || string_agg('"' || angle || '":' || CASE WHEN e.event_type IS NULL THEN 'null' ELSE '"http://localhost/' || user_id || '/render_' || angle || '.0.jpg"' END, ',' ORDER BY angle) || '}}' AS item
+FROM u CROSS JOIN (VALUES (0, 'view'), (90, 'click')) AS a(angle, event_type) LEFT JOIN e USING (user_id, event_type) GROUP BY user_id""")
+def object_renders(spark, sf):
+    """Two of the four angles."""
+    events = table(spark, sf, "events")
+    kinds = spark.createDataFrame([(0, "view"), (90, "click"), (180, "error"), (270, "signup")], "angle int, event_type string")
+    there = events.where("value < 1").select("user_id", "event_type").distinct().join(F.broadcast(kinds), "event_type")
+    there = there.select(F.concat(F.col("user_id").cast("string"), F.lit("/render_"), F.col("angle").cast("string"), F.lit(".0.jpg")).alias("path"))
+    users = events.select(F.col("user_id").alias("uid")).distinct()
+    return show.assets(users, order_files(spark, sf), there, "http://localhost", "renders", folders=users.select("uid", F.col("uid").cast("string").alias("folder")), angles=(0, 90))
+
+
+# ---- integrity of all eleven kinds, and repair
+
+_KINDS_SQL = """WITH i AS (SELECT kind, subkind, b, a FROM part, LATERAL (SELECT p_partkey AS k) AS x, LATERAL (VALUES ('object', 'annotation', (k % 4 <> 3 AND k % 5 <> 0) OR k % 3 = 0, (k % 4 <> 3 AND k % 5 <> 0) OR k % 3 = 0 OR k % 10 <> 0),
+('object', 'glb', k % 4 <> 3 AND k % 5 <> 0, k % 4 <> 3 AND k % 10 <> 0), ('object', 'thumbnail', k % 4 <> 3 AND k % 5 <> 0, k % 4 <> 3 AND k % 10 <> 0), ('object', 'render', k % 4 <> 3 AND k % 5 <> 0, k % 4 <> 3 AND k % 10 <> 0),
+('material', 'sky', k % 5 <> 0, k % 10 <> 0), ('material', 'road', k % 5 <> 0, k % 10 <> 0), ('material', 'sidewalk', k % 5 <> 0, k % 10 <> 0), ('material', 'terrain', k % 5 <> 0, k % 10 <> 0),
+('vegetation', 'plant', k % 3 < 2, k % 3 < 2 OR k % 10 <> 0), ('vegetation', 'shrub', k % 3 < 2, k % 3 < 2 OR k % 10 <> 0), ('vegetation', 'tree', k % 3 < 2, k % 3 < 2 OR k % 10 <> 0)) AS t(kind, subkind, b, a) WHERE kind <> 'material' OR k % 7 <> 6)"""
+
+
+def eleven_kinds(spark, sf):
+    """(expected, present, stored): everything that should be there, what is, and what a store has; each with the part's number ``k`` where it is a listing."""
+    k, uid = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    part = table(spark, sf, "part")
+    kinds = F.explode(F.array(*map(F.lit, catalog.ASSET_TYPES)))
+    index = part.where("p_partkey % 4 <> 3").select(k.alias("k"), uid.alias("uid"), kinds.alias("asset_type")).withColumn("path", F.concat("asset_type", F.lit("/b/"), "uid", F.when(F.col("asset_type") == "render", ".tar.gz").otherwise(".x")))
+    listed = None
+    for kind in files.MATERIALS:
+        rows = kind_files(spark, sf, kind).select("k", "path")
+        listed = rows if listed is None else listed.unionAll(rows)
+    plants = [_plants(spark, sf, kind) for kind in files.VEGETATION]
+    for archives, _ in plants:
+        listed = listed.unionAll(archives.select("k", "path"))
+    expected = integrity.expected_objects(part.select(uid.alias("uid")), index, "assets").unionByName(integrity.expected_files(listed))
+    flat = part.select(k.alias("k"), F.concat(F.lit("assets/std_"), uid, F.lit(".json")).alias("path"))
+    unpacked = F.when(F.col("asset_type") == "render", F.concat(F.lit("render/b/"), "uid", F.lit("/render_0.0.jpg"))).otherwise(F.col("path"))
+    materials = listed.where("path like 'material%'")
+    present = index.where("k % 5 <> 0").select(unpacked.alias("path")).unionAll(flat.where("k % 3 = 0").select("path")).unionAll(materials.where("k % 5 <> 0").select("path"))
+    for _, inside in plants:
+        present = present.unionAll(inside.select("path"))
+    stored = index.select("k", "path").unionAll(flat).unionAll(listed).where("k % 10 <> 0").select("path")
+    return expected, present, stored
+
+
+@query(_KINDS_SQL + " SELECT kind, subkind, count(*) AS expected, count(*) FILTER (WHERE b) AS present, count(*) FILTER (WHERE NOT b) AS missing FROM i GROUP BY ROLLUP (kind, subkind)")
+def integrity_kinds(spark, sf):
+    """All eleven kinds: any of an annotation's places, all of a material's files, anything of an unpacked folder."""
+    expected, present, _ = eleven_kinds(spark, sf)
+    return integrity.report(integrity.status(expected, present))
+
+
+@query(_KINDS_SQL + " SELECT kind, subkind, count(*) AS expected, count(*) FILTER (WHERE b) AS present, count(*) FILTER (WHERE a AND NOT b) AS repaired, count(*) FILTER (WHERE NOT a) AS missing FROM i GROUP BY ROLLUP (kind, subkind)")
+def repair_report(spark, sf):
+    """Before and after: what is missing is fetched where the store has it."""
+    expected, present, stored = eleven_kinds(spark, sf)
+    came = integrity.repair_plan(expected, present).select(F.col("source").alias("path")).join(stored, "path", "left_semi")
+    return integrity.delta(integrity.repaired(expected, present, came))
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS k, {_NAME} AS name FROM part),
+o AS (SELECT 'object' AS kind, t AS subkind, t || '/b/' || k || CASE t WHEN 'render' THEN '.tar.gz' ELSE '.x' END AS path FROM p, (VALUES ('glb'), ('annotation'), ('thumbnail'), ('render')) AS x(t) WHERE k % 4 <> 3 UNION ALL SELECT 'object', 'annotation', 'assets/std_' || k || '.json' FROM p),
+m AS (SELECT 'material' AS kind, t AS subkind, CASE j WHEN 2 THEN thumbs ELSE main END || '/' || name || CASE j WHEN 0 THEN e WHEN 1 THEN '.hash' ELSE '.jpg' END AS path FROM p, (VALUES {", ".join(f"('{kind}', '{m}', '{t}', '.{e}')" for kind, (m, t, e, _) in files.MATERIALS.items())}) AS x(t, main, thumbs, e), (VALUES (0), (1), (2)) AS y(j)
+WHERE k % 7 <> 6 AND CASE j WHEN 0 THEN k % 3 < 2 WHEN 1 THEN k % 3 > 0 ELSE k % 2 = 0 END),
+v AS (SELECT 'vegetation' AS kind, t AS subkind, folder || '/' || name || '.tar.gz' AS path FROM p, (VALUES {", ".join(f"('{kind}', '{folder}')" for kind, folder in files.VEGETATION.items())}) AS x(t, folder))
+FROM o UNION ALL FROM m UNION ALL FROM v""")
+def whole_request(spark, sf):
+    """Everything there is to fetch."""
+    return integrity.whole_request(eleven_kinds(spark, sf)[0])
+
+
+_BOUND_TEXT = """#usda 1.0
+def Scope "Looks" {
+    def Material "M" {
+        def Shader "S" {
+            uniform asset info:mdl:sourceAsset = @./mdl/<key>.mdl@
+            asset inputs:rough_texture = @./t/<key>_r.png@
+            asset inputs:basecolor_map = @./t/<key>_d.png@
+            asset inputs:Normal_map = @../shared/n<key>.png@
+            asset inputs:diffuse_late = @./t/<key>_r.png@
+        }
+    }
+    def Material "Plain" { token outputs:surface = "x" }
+}
+"""
+
+
+@query("""SELECT 's/m' || p_partkey || '.usda' AS layer, '/Looks/M' AS material, CASE WHEN p_partkey % 2 = 0 THEN 's/t/' || p_partkey || '_d.png' WHEN p_partkey % 3 = 0 THEN 's/t/' || p_partkey || '_r.png' WHEN p_partkey % 7 > 1 THEN 's/mdl/x/' || p_partkey || '_albedo.png' END AS diffuse,
+CASE WHEN p_partkey % 5 = 0 THEN 'shared/n' || p_partkey || '.png' WHEN p_partkey % 2 = 1 AND p_partkey % 3 > 0 AND p_partkey % 7 > 0 THEN 's/n.png' END AS normal FROM part""")
+def bound_textures(spark, sf):
+    """What shaders name comes before what their material files name."""
+    k, key = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    part = table(spark, sf, "part")
+    items = layers.layer_items(part.select(F.concat(F.lit("s/m"), key, F.lit(".usda")).alias("layer"), _filled(_BOUND_TEXT, key=key).alias("value")))
+    texts = part.where("p_partkey % 7 > 0").select(F.concat(F.lit("s/mdl/"), key, F.lit(".mdl")).alias("path"), _filled('rough: texture_2d("./x/<key>_r.png"),\nbump_normal: texture_2d("../n.png"),\ntex: texture_2d("x/<key>_albedo.png")', key=key).alias("value"))
+    made = lambda when, template: F.when(when, _filled(template, key=key))
+    there = F.array_compact(F.array(F.lit("s/n.png"), made(k % 2 == 0, "s/t/<key>_d.png"), made(k % 3 == 0, "s/t/<key>_r.png"), made(k % 5 == 0, "shared/n<key>.png"), made(k % 7 > 0, "s/mdl/<key>.mdl"), made(k % 7 > 1, "s/mdl/x/<key>_albedo.png")))
+    return textures.bound_textures(items, texts, part.select(F.explode(there).alias("path")))
 
 
 def _measures(i: int) -> F.Column:
@@ -890,23 +1120,14 @@ def folder_subtree(spark, sf):
     return catalog.folder_listing(listed_orders(spark, sf), "F/sub").select("path")
 
 
-def vowels():
-    """An encoder that counts the vowels of a text."""
-    return lambda texts: [[t.count(v) for v in "aeiou"] for t in texts]
-
-
-_VOWELS_SQL = ", ".join(f"length(p_name) - length(replace(p_name, '{v}', '')) AS {v}" for v in "aeiou")
-
-
-@query(f"""WITH v AS (SELECT p_partkey AS uid, {_VOWELS_SQL} FROM part)
-SELECT uid, coalesce(round((a + 2 * e + 2 * i + u) / nullif(sqrt(CAST(a * a + e * e + i * i + o * o + u * u AS DOUBLE)) * sqrt(10.0::DOUBLE), 0), 6), 0) AS score FROM v ORDER BY score DESC, uid LIMIT 10""")
+@query()
 def encoded_topk(spark, sf):
-    """Names by the vectors that a registered encoder gives them."""
+    """Names by the vectors that the shipped encoder gives them; held against brute force by a test."""
     encoders = similarity.Encoders()
-    encoders.register("vowels", vowels)
-    vectors = encoders.encode(table(spark, sf, "part").select(F.col("p_partkey").alias("uid"), "p_name"), "vowels", "p_name")
-    (asked,) = vowels()(["antique linen"])
-    return similarity.nearest(vectors, asked, 10, vector="vector")
+    encoders.register("terms", similarity.hashed_terms(64))
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("uid"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
+    (asked,) = similarity.hashed_terms(64)()(["small ring economy"])
+    return similarity.nearest(encoders.encode(rows, "terms", "text"), [float(x) for x in asked], 10, vector="vector")
 
 
 @query("SELECT p_partkey AS node FROM part WHERE p_partkey % 4 <> 2")
@@ -915,32 +1136,6 @@ def patchable_layers(spark, sf):
     return scene.patchable(table(spark, sf, "part").select(F.col("p_partkey").alias("layer"), kind.alias("type"), F.col("p_retailprice").alias("x")))
 
 
-def fetched_orders(spark, sf):
-    """Files of all orders, those of finished orders are there; the store lacks one of seven."""
-
-    def fetch(path):
-        if int(path.rsplit("/", 1)[-1]) % 7 == 0:
-            raise FileNotFoundError(path)
-        return b""
-
-    rows = table(spark, sf, "orders").select("o_orderstatus", F.concat(F.lit("order/"), F.col("o_orderkey").cast("string")).alias("path"))
-    return transfer.fetch_missing(rows, rows.where("o_orderstatus = 'F'"), fetch, lambda path, content: None)
-
-
-_FETCHED_SQL = """SELECT 'order/' || o_orderkey AS path, CASE WHEN o_orderstatus = 'F' THEN 'present' WHEN o_orderkey % 7 = 0 THEN 'failed' ELSE 'fetched' END AS status,
-CASE WHEN o_orderstatus <> 'F' AND o_orderkey % 7 = 0 THEN 'FileNotFoundError: order/' || o_orderkey END AS error FROM orders"""
-
-
-@query(_FETCHED_SQL)
-def fetch_results(spark, sf):
-    return fetched_orders(spark, sf)
-
-
-@query(f"SELECT count(*) FILTER (WHERE status = 'present') AS present, count(*) FILTER (WHERE status = 'fetched') AS fetched, count(*) FILTER (WHERE status = 'failed') AS failed FROM ({_FETCHED_SQL})")
-def fetch_summary(spark, sf):
-    return transfer.summary(fetched_orders(spark, sf))
-
-
 @query(_INTEGRITY_SQL + """, n AS (SELECT coalesce(kind || '/' || subkind, kind || '/*', 'all') AS name, expected, present, missing FROM r), w AS (SELECT max(length(name)) AS a, max(length(CAST(expected AS VARCHAR))) AS b FROM n)
 SELECT rpad(name, CAST(a AS INTEGER), ' ') || '  ' || lpad(CAST(present AS VARCHAR), CAST(b AS INTEGER), ' ') || ' / ' || rpad(CAST(expected AS VARCHAR), CAST(b AS INTEGER), ' ') || '  ' || CASE WHEN missing = 0 THEN 'OK' ELSE '(' || missing || ' missing)' END AS line FROM n, w""")
 def integrity_table(spark, sf):

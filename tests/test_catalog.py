@@ -14,10 +14,11 @@ from assetloom.functions import predicates as P
 from assetloom.functions import vectors as V
 from assetloom.functions.paths import render_name, renamed, stem, without_archive_suffix, without_leading_dots
 from assetloom.functions.textures import channels, preview_channel, texture_kind
-from assetloom.operators import documents, files, graph, hierarchy, integrity, scene, similarity, textures
+from assetloom.operators import documents, files, graph, hierarchy, integrity, scene, show, similarity, textures
 from assetloom.plans.query import PARAMETERS, AssetQuery, attribute_predicates
 from assetloom.schema import ASSET_FIELDS, explain_field
 from assetloom.sources import catalog, transfer
+from assetloom.streaming import archives
 from assetloom.streaming.archives import unpack_arriving
 
 MASTER = {
@@ -282,7 +283,7 @@ def test_materials_and_vegetation(spark):
     assert [tuple(r) for r in trees.collect()] == [("American_Beech", "collected_trees/American_Beech.tar.gz")]
     present = spark.createDataFrame([("collected_trees/American_Beech/a.usd",)], "path string")
     assert tuple(files.load_vegetation(trees, present, "tree").first()) == ("American_Beech", "collected_trees/American_Beech", "collected_trees/American_Beech/a.usd")
-    document = json.loads(documents.material_document(files.load_materials(mapping, listed, "road"), "http://h/", "Road").first()[0])
+    document = json.loads(documents.gathered(documents.material_items(files.load_materials(mapping, listed, "road"), "http://h/"), "Road").first()[0])
     assert [i["name"] for i in document["items"]] == ["Bare", "Only", "X"] and document["items"][1]["url"] is None
 
 
@@ -317,6 +318,82 @@ def test_integrity(spark, bridge, index):
     assert {r.item for r in integrity.status(expected, done).where("not there").collect()} == {"a2", "a6"}  # they have no path
 
 
+def test_repair_loop(spark, tmp_path):
+    """Check, fetch, check again: once with a store that lacks a file, then with one that has it."""
+    listed = spark.createDataFrame([(p,) for p in ("material_road_mdl/X.mdl", "material_road_thumbnail/X.png", "material_background_hdr/S.hdr", "material_road_mdl/textures/t.png", "collected_trees/Oak.tar.gz", "collected_trees/Elm.tar.gz", "collected_trees/readme.txt", "other/x")], "path string")
+    index = spark.createDataFrame([("a1", "glb", "glb/a1.x"), ("a1", "annotation", "annotation/a1.x"), ("a1", "render", "render/a1.tar.gz"), ("a2", "annotation", "annotation/a2.x")], "uid string, asset_type string, path string")
+    uids = spark.createDataFrame([("a1",), ("a2",), ("a1",)], "uid string")
+    expected = integrity.expected_objects(uids, index).unionByName(integrity.expected_files(listed))
+    assert {(r.kind, r.subkind, r.item) for r in expected.where("kind <> 'object'").collect()} == {("material", "road", "X"), ("material", "sky", "S"), ("vegetation", "tree", "Oak"), ("vegetation", "tree", "Elm")}
+    store = tmp_path / "store"
+    store.mkdir()
+    folder = str(store)
+
+    def put(path, content):
+        with open(f"{folder}/{path.replace('/', '%')}", "wb") as file:
+            file.write(content)
+
+    def fetch(path):
+        if "Elm" in path or "sky" in path:
+            raise FileNotFoundError(path)
+        return b"x"
+
+    present = spark.createDataFrame([("material_road_mdl/X.mdl",), ("assets/std_a2.json",), ("collected_trees/Oak/a/b.usd",), ("glb/a1.x",)], "path string")
+    items, results = integrity.repair(expected, present, fetch, put, tries=1)
+    state = {(r.subkind, r.item): (r.was, r.there) for r in items.collect()}
+    assert state == {
+        ("glb", "a1"): (True, True), ("glb", "a2"): (False, False), ("annotation", "a1"): (False, True), ("annotation", "a2"): (True, True), ("thumbnail", "a1"): (False, False), ("thumbnail", "a2"): (False, False),
+        ("render", "a1"): (False, True), ("render", "a2"): (False, False), ("road", "X"): (False, True), ("sky", "S"): (False, True), ("tree", "Oak"): (True, True), ("tree", "Elm"): (False, False),
+    }
+    assert {r.path: r.status for r in results.collect()} == {"annotation/a1.x": "fetched", "assets/std_a1.json": "fetched", "render/a1.tar.gz": "fetched", "material_road_thumbnail/X.png": "fetched", "material_background_hdr/S.hdr": "fetched", "collected_trees/Elm.tar.gz": "failed"}
+    total = integrity.delta(items).where("kind is null").first()
+    assert (total.expected, total.present, total.repaired, total.missing) == (12, 3, 4, 5)
+    # again, with what is there by now and a store that has the rest
+    now = present.unionByName(results.where("status = 'fetched'").select(F.regexp_replace("path", r"\.tar\.gz$", "/x").alias("path")))
+    again, more = integrity.repair(expected, now, lambda path: b"x", put, tries=1)
+    assert [tuple(r) for r in more.select("path", "status").collect()] == [("collected_trees/Elm.tar.gz", "fetched")]
+    assert integrity.delta(again).where("kind is null").first().missing == 4  # those without an index entry
+    assert sorted(column(integrity.whole_request(expected), "path")) == sorted(["annotation/a1.x", "annotation/a2.x", "assets/std_a1.json", "assets/std_a2.json", "collected_trees/Elm.tar.gz", "collected_trees/Oak.tar.gz", "glb/a1.x", "material_background_hdr/S.hdr", "material_road_mdl/X.mdl", "material_road_thumbnail/X.png", "render/a1.tar.gz"])
+
+
+def test_shows(spark):
+    listed = spark.createDataFrame([("material_road_mdl/X.mdl",), ("material_road_thumbnail/X.png",), ("material_road_mdl/textures/X_diff.png",), ("material_background_hdr/S.hdr",), ("collected_trees/Oak.tar.gz",)], "path string")
+    texts = spark.createDataFrame([("X", 'a: texture_2d("./textures/X_diff.png")'), ("Other", 'a: texture_2d("./textures/X_diff.png")')], "name string, value string")
+    items = lambda df: [json.loads(r["item"]) for r in df.orderBy("pos").collect()]
+    assert items(show.materials("road", listed, listed, "http://h", texts)) == [{"name": "X", "url": "http://h/material_road_mdl/X.mdl", "thumbnail_url": "http://h/material_road_thumbnail/X.png", "textures": {"diffuse": "http://h/material_road_mdl/textures/X_diff.png"}}]
+    assert items(show.materials("sky", listed, listed.limit(0), "http://h")) == [{"name": "S", "url": None, "thumbnail_url": None}]
+    for names, call in ((["X", "Y"], lambda w: show.materials("road", listed, listed, "http://h", texts, w)), (["Oak", "Elm"], lambda w: show.vegetation("tree", listed, listed, "http://h", w))):
+        wanted = spark.createDataFrame([(n,) for n in names], "name string")
+        with pytest.raises(ValueError, match=names[1]):
+            call(wanted)
+        assert [i["name"] for i in items(call(wanted.limit(1)))] == names[:1]
+    present = spark.createDataFrame([("collected_trees/Oak/a.usd",), ("collected_trees/Oak/_preview.glb",)], "path string")
+    assert items(show.vegetation("tree", listed, present, "http://h")) == [{"name": "Oak", "usd": "collected_trees/Oak/a.usd", "preview_url": "http://h/collected_trees/Oak/_preview.glb"}]
+    uids = spark.createDataFrame([("b",), ("a",), ("a",)], "uid string")
+    index = spark.createDataFrame([("a", "glb", "g/a.glb"), ("b", "glb", "g/b.glb"), ("a", "thumbnail", "t/a.png")], "uid string, asset_type string, path string")
+    there = spark.createDataFrame([("g/a.glb",), ("t/a.png",), ("r/a/render_90.0.jpg",)], "path string")
+    words, folders = spark.createDataFrame([("a", "{}")], "uid string, annotation string"), spark.createDataFrame([("a", "r/a")], "uid string, folder string")
+    expected = {"annotation": ["{}", None], "glb_url": ["http://h/g/a.glb", None], "thumbnail_url": ["http://h/t/a.png", None], "render_urls": [{"90": "http://h/r/a/render_90.0.jpg"}, {"90": None}]}
+    for mode, fields in (("show", list(expected)), ("annotations", ["annotation"]), ("assets", ["glb_url"]), ("thumbnails", ["thumbnail_url"]), ("renders", ["render_urls"])):
+        found = items(show.assets(uids, index, there, "http://h", mode, words, folders, (90,)))
+        assert found == [{"uid": u} | {f: expected[f][i] for f in fields} for i, u in enumerate("ab")]
+    with pytest.raises(ValueError):
+        show.assets(uids, index, there, "http://h", "other")
+
+
+def test_encoded_query_against_brute_force(spark):
+    from assetloom import workload
+
+    model = similarity.hashed_terms(64)()
+    (asked,) = model(["small ring economy"])
+    rows = [(r.p_partkey, f"{r.p_name} {r.p_type} {r.p_brand}") for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").collect()]
+    vectors = model([t for _, t in rows]).astype(float)
+    scores = [round(float(v @ asked / ((v @ v) * (asked @ asked)) ** 0.5), 6) if v.any() else 0.0 for v in vectors]
+    best = sorted(((-s, uid) for s, (uid, _) in zip(scores, rows, strict=True)))[:10]
+    found = [(r["uid"], r["score"]) for r in workload.queries()["encoded_topk"](spark, "/root/testdata/sf0.001").collect()]
+    assert [u for u, _ in found] == [u for _, u in best] and [s for _, s in found] == pytest.approx([-s for s, _ in best], abs=2e-6)
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([("r", "a"), ("a", "b"), ("b", "a"), ("r", "c"), ("c", "b"), ("x", "c"), ("b", "t.png"), (None, "q")], "src string, dst string")
     edges = edges.select(F.concat("src", F.lit(".usd")).alias("src"), F.when(F.col("dst").endswith(".png"), F.col("dst")).otherwise(F.concat("dst", F.lit(".usd"))).alias("dst"), F.concat(F.lit("./"), "dst").alias("authored"))
@@ -380,10 +457,78 @@ def test_fetch_and_archives(spark, tmp_path):
                 entry.size = 3
                 archive.addfile(entry, io.BytesIO(b"abc"))
     (tmp_path / "in" / "bad.tar.gz").write_bytes(b"nothing")
-    for _ in range(2):  # the second run finds nothing new
-        unpack_arriving(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state", batch=2).awaitTermination()
-    out = spark.read.parquet(f"{tmp_path}/out").collect()
-    assert sorted(r.name or "" for r in out) == [""] + [f"render_{i}.jpg" for i in range(5)]
+    wanted = [""] + [f"render_{i}.jpg" for i in range(5)]
+    for state in ("state", "state", "afresh"):  # the second run finds nothing new, a new checkpoint unpacks nothing again
+        unpack_arriving(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/{state}", batch=2).awaitTermination()
+        assert sorted(r.name or "" for r in archives.members(spark, f"{tmp_path}/out").collect()) == wanted
+    done = {r.path.rsplit("/", 1)[-1]: r.members for r in archives.unpacked(spark, f"{tmp_path}/out").collect()}
+    assert done == {f"u{i}.tar.gz": 1 for i in range(5)} | {"bad.tar.gz": 0}
+
+
+def tar(*entries):
+    held = io.BytesIO()
+    with tarfile.open(fileobj=held, mode="w:gz") as archive:
+        for name, content in entries:
+            entry = tarfile.TarInfo(name)
+            entry.size = len(content)
+            archive.addfile(entry, io.BytesIO(content))
+    return held.getvalue()
+
+
+def test_batches_that_are_cut_short(spark, tmp_path, monkeypatch):
+    """Lost before, between and after the two writes, and run again: no member twice, none lost."""
+    target = f"{tmp_path}/out"
+    rows = spark.createDataFrame([(f"a{i}", tar((f"x/{i}.jpg", b"1"), ("y.txt", b"2"))) for i in range(4)], "path string, content binary")
+    first, second = rows.where("path < 'a2'"), rows
+    archives.append_batch(first.unionAll(first), target, "q-0")  # a path that comes twice
+
+    class Lost(Exception):
+        pass
+
+    writer = type(rows.write)
+    whole = writer.parquet
+
+    def lost(self, path, *args, **kwargs):
+        if "/done/" in path:
+            raise Lost
+        return whole(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(writer, "parquet", lost)
+    with pytest.raises(Lost):
+        archives.append_batch(second, target, "q-1")
+    monkeypatch.undo()
+    assert sorted(column(archives.members(spark, target), "path")) == ["a0", "a1"]  # what the lost run left isn't read
+    for _ in range(2):
+        archives.append_batch(second, target, "q-1")
+    archives.append_batch(second, target, "q-2")  # by another checkpoint
+    assert sorted(column(archives.members(spark, target), "path")) == ["a0", "a1", "a2", "a3"]
+    assert sorted(column(archives.unpacked(spark, target), "path")) == ["a0", "a1", "a2", "a3"]
+
+
+def test_renders_from_index_to_members(spark, tmp_path, index):
+    """Index, what is done, fetch, unpack: a failed fetch and a broken archive are rows."""
+    uids = spark.createDataFrame([("a1",), ("a2",), ("a3",), ("a4",), ("zz",)], "uid string")
+    target, name = f"{tmp_path}/out", "render_flat/bucket_1/std_{}.x"
+    archives.append_batch(spark.createDataFrame([(name.format("a1"), tar(("r.jpg", b"1")))], "path string, content binary"), target, "0")
+    wanted = archives.wanted_archives(uids, index, archives.unpacked(spark, target))
+    assert sorted(column(wanted)) == ["a2", "a3", "a4"]
+    good = tar(("d/r.jpg", b"2"))
+
+    def fetch(path):
+        if "a3" in path:
+            raise FileNotFoundError(path)
+        return good if "a2" in path else b"broken"
+
+    came = transfer.fetched_archives(wanted, fetch).cache()
+    assert {r.path: r.error is None for r in came.collect()} == {name.format("a2"): True, name.format("a3"): False, name.format("a4"): True}
+    archives.append_batch(came.where("content is not null").select("path", "content"), target, "1")
+    assert sorted(column(archives.wanted_archives(uids, index, archives.unpacked(spark, target)))) == ["a3"]
+    assert sorted(str(r.name) for r in archives.members(spark, target).collect()) == ["None", "r.jpg", "r.jpg"]
+
+
+def test_archives_keep_their_folders(spark):
+    rows = spark.createDataFrame([("p", tar(("Oak/a.usd", b"1"), ("./Oak/t/x.usd", b"2"), ("../out.usd", b"3"), ("/abs.usd", b"4")))], "path string, content binary")
+    assert sorted(column(transfer.archive_members(rows, ".usd", tree=True), "name")) == ["Oak/a.usd", "Oak/t/x.usd"]
 
 
 def test_plans_of_conversion(spark):
@@ -404,17 +549,37 @@ def test_encoders(spark):
     rows = spark.createDataFrame([("a", "red car"), ("b", None), ("c", "red car")], "uid string, description string")
     found = {r.uid: r.vector for r in encoders.encode(rows, "terms", "description").collect()}
     assert found["a"] == found["c"] and sum(x * x for x in found["a"]) == pytest.approx(1) and not any(found["b"])
+    many = spark.range(0, 1000, 1, 4).select(F.col("id").alias("uid"), F.concat(F.lit("word "), (F.col("id") % 7).cast("string")).alias("description"))
+    calls = {}
+    for batch in (1, 64, 5000):
+        got = {r.uid: tuple(r.vector) for r in encoders.encode(many, "terms", "description", batch=batch).collect()}
+        assert len(got) == 1000 and calls.setdefault("all", got) == got
+    model = similarity.hashed_terms(64)()
+    for uid, vector in list(got.items())[:20]:
+        plain = model([f"word {uid % 7}"])[0]
+        assert vector == pytest.approx(tuple(plain / (plain @ plain) ** 0.5))
+    assert encoders.encode(rows.limit(0), "terms", "description").collect() == []
     with pytest.raises(ValueError):
         encoders.encode(rows, "other", "description")
 
 
 def test_documents(spark):
     loaded = spark.createDataFrame([("b", None, None, "t/b.png", {90: None}), ("a", "g/a.glb", "x.json", None, {0: "r/0.jpg"})], "uid string, glb string, annotation string, thumbnail string, renders map<int,string>")
-    show = json.loads(documents.asset_document(loaded, "show", "http://h").first()[0])
+    show = json.loads(documents.gathered(documents.asset_items(loaded, "show", "http://h"), "A \"title\"}").first()[0])
     assert [i["uid"] for i in show["items"]] == ["a", "b"] and show["items"][0]["glb_url"] == "http://h/g/a.glb" and show["items"][1]["render_urls"] == {"90": None}
-    thumbs = json.loads(documents.asset_document(loaded, "thumbnails", "http://h").first()[0])
+    assert (show["title"], show["mode"]) == ('A "title"}', "show")
+    thumbs = json.loads(documents.gathered(documents.asset_items(loaded, "thumbnails", "http://h"), "T", "thumbnails").first()[0])
     assert set(thumbs["items"][0]) == {"uid", "thumbnail_url"} and documents.has_thumbnails(loaded).first()[0]
     with pytest.raises(ValueError):
-        documents.asset_document(loaded, "other", "")
-    nested = spark.createDataFrame([("a", '{"k": 1, "n": {"x": "y"}, "z": null}')], "uid string, annotation string")
-    assert {(r.path, r.value) for r in documents.annotation_rows(nested).collect()} == {("k", "1"), ("n.x", "y"), ("z", None)}
+        documents.asset_items(loaded, "other", "")
+    assert json.loads(documents.gathered(documents.asset_items(loaded.limit(0), "show", "http://h"), "None").first()[0])["items"] == []
+    texts = ['{"k": 1, "n": {"x": "y"}, "z": null, "s": "{\\"a\\": 1}", "t": "[2]", "e": {}, "l": [], "m": [[1.5, true], [[]], [{"q": "7"}]]}', "not json", None, "{", "[1, [2]]", "5", '"text"', "null"]
+    nested = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "uid string, annotation string").withColumns({"value": F.lit("x"), "path": F.lit("y")})
+    found = {}
+    for x in documents.annotation_rows(nested).collect():
+        found.setdefault(x.uid, set()).add((x.path, x.value))
+    assert found["0"] == {("k", "1"), ("n.x", "y"), ("z", None), ("s", '{"a": 1}'), ("t", "[2]"), ("m.0.0", "1.5"), ("m.0.1", "true"), ("m.2.0.q", "7")}
+    assert found["4"] == {("0", "1"), ("1.0", "2")} and found["5"] == {("", "5")} and found["6"] == {("", "text")} and found["7"] == {("", None)} and set(found) == {"0", "4", "5", "6", "7"}
+    deep = spark.createDataFrame([("d", '{"k":' * 40 + "[[1]]" + "}" * 40)], "uid string, annotation string")
+    assert [tuple(x) for x in documents.annotation_rows(deep).collect()] == [("d", ".".join(["k"] * 40) + ".0.0", "1")]
+    assert documents.annotation_rows(deep.limit(0)).collect() == []
