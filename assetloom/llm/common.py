@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+from contextlib import contextmanager
 from functools import reduce
 from operator import and_
 
@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assetloom.sources.shared import written as cut
+
 #: Distinct words whose hashes a Python worker remembers before it starts afresh.
 WORD_CACHE = 400_000
 
@@ -25,27 +27,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that the driver and all executors share.
-
-    The cluster names the folder in ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) the warehouse directory is taken. The path is deleted when the JVM's file system
-    client closes.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/shared"
-    path = f"{root}/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return path
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lost executors don't cost lineage."""
-    spark = df.sparkSession
-    path = shared_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """While it lasts, what is run reads and hands to Python at most so many rows at a time: for rows that hold long lists or texts."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {name: spark.conf.get(name) for name in names}
+    for name, own in before.items():
+        spark.conf.set(name, min(rows, int(own)) if int(own) > 0 else rows)
+    try:
+        yield
+    finally:
+        for name, own in before.items():
+            spark.conf.set(name, own)
 
 
 def join_skewed(rows: DataFrame, values: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
