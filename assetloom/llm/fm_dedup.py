@@ -4,11 +4,12 @@ A window is ``window`` consecutive words of a document; it goes when the same wo
 document with a smaller id. Equal windows have the same anchor (the least hash among their word
 ``GRAM``-grams), so only stretches around anchors that several documents hold are compared, and each
 anchor's stretches meet in one shard. A shard is a compressed FM-index: the Burrows-Wheeler transform of its
-stretches and their documents as bit-packed wavelet matrices, and every ``SAMPLED``-th entry of the suffix array.
+stretches and their documents as bit-packed wavelet matrices, and every ``SAMPLED``-th entry of the suffix array and of its inverse;
+the text itself isn't kept, what is needed of it is read back out of the transform.
 Stretches are streamed against it by backward search that keeps only intervals with an occurrence in a smaller
 document. Where the search of a window dies at
 word j, no window that starts at or before j can match, so the next one starts behind it; where it
-lives, the match is compared on to its end. So all stretches of at least ``window`` words of matching
+lives, the match is compared on with what the index spells there. So all stretches of at least ``window`` words of matching
 statistics are found with little more than one search each.
 
 Whole copies are settled before by a hash of all words: only the smallest document of equal ones takes
@@ -140,7 +141,7 @@ class FMIndex:
     """
 
     def __init__(self, text: np.ndarray, owner: np.ndarray):
-        self.text, self.size = text.astype(np.uint32), len(text)
+        self.size = len(text)
         rank, step = text, 1
         while True:  # suffixes are ordered by twice as many words each time
             after = np.concatenate([rank[step:] + 1, np.zeros(min(step, len(rank)), rank.dtype)])
@@ -160,6 +161,9 @@ class FMIndex:
         offset = np.arange(self.size) - np.repeat(begins, np.diff(np.append(begins, self.size)))
         kept = offset[suffixes] % SAMPLED == 0  # so no search for a place leaves its stretch
         self.kept, self.places = WaveletMatrix(kept.astype(np.int64)), suffixes[kept].astype(np.uint32)
+        self.ends = separators.astype(np.uint32)
+        self.marks = np.union1d(self.places, self.ends)  # places whose rows are known
+        self.rows = rank[self.marks].astype(np.uint32)
 
     def extend(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of symbol + pattern, given the rows of the patterns."""
@@ -182,12 +186,28 @@ class FMIndex:
         return places
 
 
-def matched(index: FMIndex, begin: np.ndarray, length: np.ndarray, own: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def spell(self, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Symbols from each place on, as many as asked for; 0 from the end of its stretch on. Backwards from the next known row, word by word."""
+        out = np.zeros((len(begin), int(size.max(initial=0))), np.int64)
+        stop = np.minimum(begin + size, self.ends[np.searchsorted(self.ends, begin)])
+        mark = np.searchsorted(self.marks, stop)
+        at, rows, who = self.marks[mark].astype(np.int64), self.rows[mark].astype(np.int64), np.arange(len(begin))
+        while True:
+            more = at > begin[who]
+            at, rows, who = at[more], rows[more], who[more]
+            if not len(at):
+                return out
+            symbols, below = self.transform.look(rows)
+            rows, at = self.first[symbols] + below, at - 1
+            inside = at < stop[who]
+            out[who[inside], (at - begin[who])[inside]] = symbols[inside]
+
+
+def matched(index: FMIndex, text: np.ndarray, begin: np.ndarray, length: np.ndarray, own: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(stretch, start, stop) of the words covered by windows that a smaller document has.
 
-    Stretches lie in the index's text at ``begin``; ``own`` are the numbers of their documents.
+    Stretches are streamed from ``text``, where they lie at ``begin``; ``own`` are the numbers of their documents.
     """
-    text = index.text
     found: list[tuple] = []
     # a cursor looks at SPAN windows of a stretch at most, so that long stretches don't go on alone
     windows = np.maximum(length - window + 1, 0)
@@ -209,16 +229,11 @@ def matched(index: FMIndex, begin: np.ndarray, length: np.ndarray, own: np.ndarr
         if whole.any():
             w = np.flatnonzero(whole)
             place = index.locate(index.documents.find(document[w], low[w], high[w]))
-            here, there, last = begin[row[w]] + at[w] + window, place + window, begin[row[w]] + length[row[w]]
-            more, run = np.zeros(len(w), np.int64), np.arange(len(w))
-            while len(run):  # compare on, 64 words at a time
-                x = here[run] + more[run]
-                steps = np.arange(64)
-                same = text[np.minimum(x[:, None] + steps, index.size - 1)] == text[np.minimum(there[run, None] + more[run, None] + steps, index.size - 1)]
-                same &= x[:, None] + steps < last[run, None]
-                equal = np.where(same.all(1), 64, same.argmin(1))
-                more[run] += equal
-                run = run[equal == 64]
+            here, room = begin[row[w]] + at[w] + window, end[w] - 1 - at[w]  # as far as this cursor looks; the next one goes on
+            spelled = index.spell(place + window, room)
+            steps = np.arange(spelled.shape[1])
+            same = (text[np.minimum(here[:, None] + steps, index.size - 1)] == spelled) & (steps < room[:, None])
+            more = np.where(same.all(1), len(steps), same.argmin(1)) if len(steps) else np.zeros(len(w), np.int64)
             found.append((row[w], at[w], at[w] + window + more))
             goes_on[w] += more
         ended = whole | ~alive
@@ -251,7 +266,7 @@ def search_shard(ids: np.ndarray, stretches: list[np.ndarray], window: int) -> t
     _, symbols = np.unique(np.concatenate([stretches[i] for i in kept]), return_inverse=True)
     text[inner] = symbols + 1
     own = least[kept]
-    row, start, stop = matched(FMIndex(text, np.repeat(own, wide)), begin, length[kept], own, window)
+    row, start, stop = matched(FMIndex(text, np.repeat(own, wide)), text, begin, length[kept], own, window)
     copies = np.flatnonzero(number > least[original])
     # the document that stands for equal stretches has what was found; the others go whole
     holders = np.flatnonzero(number == least[original])
