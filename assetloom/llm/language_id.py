@@ -43,6 +43,8 @@ TEMPER = 4.0
 DECLARED_RIGHT = 0.9
 STRENGTH = 20.0
 UNKNOWN = "und"
+#: Labels that can be languages: the most frequent ones. Others teach nothing (a label column with more isn't one of languages).
+MOST_LABELS = 1000
 FOLDS = 2
 #: Trigrams looked up at once.
 _SLICE = 1 << 20
@@ -58,7 +60,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
     """(languages, log-likelihoods by bucket and language) from rows (id, text, label)."""
     rows = labelled.where(F.col("label").isNotNull() & (F.col("text") != ""))
     ids = rows.where(F.col("id").isNotNull()).select("id", "label").distinct()
-    counts = sorted(((r["label"], r["count"]) for r in ids.groupBy("label").count().collect()), key=lambda x: (-x[1], x[0]))[:sample]
+    counted = ids.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(min(sample, MOST_LABELS))
+    counts = [(r["label"], r["n"]) for r in counted.collect()]
     quotas, left = [], sample
     for k, (label, n) in enumerate(reversed(counts)):  # the rarest first: what they leave goes to the others
         quota = min(n, left // (len(counts) - k))

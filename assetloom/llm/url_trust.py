@@ -76,7 +76,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, toleran
     """(host, trust, distrust, trust_share, distrust_share) from seeds (host, trust, distrust) over edges (src, dst, n).
 
     Trust passes along edges, distrust against them, each split by the edges' counts. A share is what a host
-    got last, divided by what it would have got if every seed were 1; 0 if it gets nothing.
+    got last, divided by what it would have got if every seed were 1; 0 if it gets nothing. Raises if scores haven't settled after ``most_rounds``.
     """
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = both.groupBy("kind", "src").agg(F.sum("n").alias("all"))
@@ -99,6 +99,8 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, toleran
         ranks = cut(ranks, f"trust-ranks-{done}")
         if (ranks.agg(F.max(F.greatest(F.abs(F.col("rank") - F.col("before")), F.abs(F.col("even") - F.col("even_before"))))).first()[0] or 0.0) <= tolerance:
             break
+    else:
+        raise RuntimeError(f"scores still change by more than {tolerance} after {most_rounds} rounds")
     each = lambda kind, of: F.max(F.when(F.col("kind") == kind, F.col(of)))
     return ranks.groupBy("host").agg(*(each(kind, of).alias(kind + end) for of, end in (("rank", ""), ("share", "_share")) for kind in ("trust", "distrust")))
 
