@@ -1,22 +1,20 @@
 """Scores of a class-based bigram language model whose classes come from exchange clustering.
 
-Training counts every word and every pair of neighbours of all training documents. The units that are
-clustered are the ``CLUSTERED`` most frequent words and ``SHAPES`` groups of all other words by their
-ending; a group's words share its class, so each word, seen or not, has one. Exchange clustering moves
-one unit after another to the class that gains most likelihood of the class bigrams.
-
-That tells what comes before. Each listed word then gets a class of its own for what comes after: all words that are listed (and the
-endings) are counted with the classes before them, and in ``SWEEPS`` sweeps over all of them at once each word that occurs ``ENOUGH`` times
-moves to the class under which its own contexts are most likely. So a word has two classes, one as history, from its frequency or ending, and one as what follows,
-from its own occurrences; only words that are rarer or aren't listed have both from their ending.
-
-P(w | v) = P(class(w) | history(v)) * P(w | class(w)). Transitions are smoothed towards the classes'
+Training counts every word and every pair of neighbours of all training documents. Exchange clustering first moves the
+``CLUSTERED`` most frequent words and ``SHAPES`` groups of all other words by their ending, one after another, each to
+the class that gains most likelihood of the class bigrams. From there the exchange goes on over words, all at once: in each
+of ``ROUNDS`` rounds every listed word and ending is counted with the classes of its neighbours on both sides, and in
+``SWEEPS`` sweeps each that occurs ``ENOUGH`` times moves to the class under which what comes before and after it is most
+likely. A listed word that is rarer has the class of its ending. So there is one class to a word, the same whether it
+comes before or after.
+
+P(w | v) = P(class(w) | class(v)) * P(w | class(w)). Transitions are smoothed towards the classes'
 frequencies. A word that is listed has its share of its class; any other word has its group's share of
 the class times (c + 1) / (n + v + 1) within the group (n tokens, v distinct words), so unseen words
 have a probability too. A text begins after, and ends with, the end token, a class of its own.
 
-The most frequent words, ``LISTED`` at most, are looked up in a broadcast of that bounded size. All other tokens
-meet their counts by a join, so every count is exact however many words there are.
+The most frequent words of up to ``LONGEST`` bytes, ``LISTED`` at most, are looked up in a broadcast of that bounded size. All
+other tokens, added up for each document, meet their counts by a join whose busiest words go by broadcast, so every count is exact however many words there are.
 
 Defined results: null text counts as empty (an end alone); a null id counts as the empty string when
 documents are dealt to training; repeated rows are trained on and scored each; without training
@@ -34,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, most_frequent, text_bytes
+from .common import cut, documents, join_skewed, most_frequent, text_bytes
 
 CLUSTERED = 768
 SHAPES = 256
 CLASSES = 48
-LISTED = 200_000
-SWEEPS = 3
+LISTED, LONGEST = 200_000, 64
+ROUNDS, SWEEPS = 2, 2
 #: Occurrences from which a word's own contexts say more than its ending.
 ENOUGH = 5
 SMOOTHING = 20.0
@@ -197,19 +195,23 @@ def class_table(bigrams: np.ndarray, own: np.ndarray, classes: int = CLASSES) ->
     return table
 
 
-def best_classes(contexts: np.ndarray, steps: np.ndarray, mass: np.ndarray) -> np.ndarray:
-    """The class of each word that makes its contexts (word, history) most likely; of equals the first."""
-    gain = contexts @ steps[:, : len(mass)] - contexts.sum(1, keepdims=True) * np.log10(np.maximum(mass, 1))
+def best_classes(contexts: np.ndarray, table: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """The class of each word that makes its contexts most likely; of equals the first.
+
+    ``contexts``: how often each class comes before the word, then how often each comes after; ``table``: counts (class, class).
+    """
+    before, after = transitions(table)[:, : len(mass)], transitions(table)[: len(mass)].T
+    gain = contexts @ np.concatenate([before, after]) - contexts[:, : len(table)].sum(1, keepdims=True) * np.log10(np.maximum(mass, 1))
     return np.argmax(np.round(gain, 6), 1)
 
 
-def word_contexts(training: DataFrame, listed: list[bytes], history: np.ndarray, text: str = "text") -> DataFrame:
-    """(unit, before, n: arrays): how often each listed word, ending and end comes after each history class."""
+def word_contexts(training: DataFrame, listed: list[bytes], class_of: np.ndarray, text: str = "text") -> DataFrame:
+    """(unit, at, n: arrays): how often each class comes before (at = class) and after (at = classes + 1 + class) each listed word, ending and end."""
     side, end = CLASSES + 1, len(listed) + SHAPES
-    shared = training.sparkSession.sparkContext.broadcast((listed, history))
+    shared = training.sparkSession.sparkContext.broadcast((listed, class_of))
 
     def count(batches):
-        listed, history = shared.value
+        listed, class_of = shared.value
         units = _Units(listed)
         held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         size = 0
@@ -221,8 +223,10 @@ def word_contexts(training: DataFrame, listed: list[bytes], history: np.ndarray,
         for batch in batches:
             for start in range(0, batch.num_rows, _ROWS):
                 _, tokens, _ = _tokens(text_bytes(batch.column(0).slice(start, _ROWS)), units, end)
-                before = np.concatenate([[CLASSES], history[tokens[:-1]]])
-                held.append(np.unique(tokens * side + before, return_counts=True))
+                classes = class_of[tokens]
+                before, after = np.concatenate([[CLASSES], classes[:-1]]), np.concatenate([classes[1:], [CLASSES]])
+                after[tokens == end] = CLASSES  # what follows an end is another text
+                held.append(np.unique(np.concatenate([tokens * 2 * side + before, tokens * 2 * side + side + after]), return_counts=True))
                 size += len(held[-1][0])
                 if size > 4 * HELD:
                     held = [merged()]
@@ -234,29 +238,29 @@ def word_contexts(training: DataFrame, listed: list[bytes], history: np.ndarray,
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
 
     counted = training.select(F.col(text).cast("string")).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    rows = counted.select(F.expr(f"key div {side}").alias("unit"), F.struct((F.col("key") % side).cast("int").alias("before"), "n").alias("x"))
-    gathered = rows.groupBy("unit").agg(F.collect_list("x").alias("x"))
-    return gathered.select("unit", F.transform("x", lambda x: x["before"]).alias("before"), F.transform("x", lambda x: x["n"]).alias("n"))
+    rows = counted.select(F.expr(f"key div {2 * side}").alias("unit"), F.struct((F.col("key") % (2 * side)).cast("int").alias("at"), "n").alias("x"))
+    gathered = rows.groupBy("unit").agg(F.collect_list("x").alias("x"))  # no more than twice the classes
+    return gathered.select("unit", F.transform("x", lambda x: x["at"]).alias("at"), F.transform("x", lambda x: x["n"]).alias("n"))
 
 
 def _dense(batch: pa.RecordBatch) -> np.ndarray:
-    """Contexts (unit, history class) of a batch of ``word_contexts``."""
-    before, n = batch.column(1), batch.column(2)
-    row = np.repeat(np.arange(batch.num_rows), np.diff(before.offsets.to_numpy()))
-    out = np.zeros((batch.num_rows, CLASSES + 1))
-    np.add.at(out, (row, before.flatten().to_numpy()), n.flatten().to_numpy())
+    """Contexts (unit, class before and class after) of a batch of ``word_contexts``."""
+    at, n = batch.column(1), batch.column(2)
+    row = np.repeat(np.arange(batch.num_rows), np.diff(at.offsets.to_numpy()))
+    out = np.zeros((batch.num_rows, 2 * (CLASSES + 1)))
+    np.add.at(out, (row, at.flatten().to_numpy()), n.flatten().to_numpy())
     return out
 
 
 def followed(contexts: DataFrame, classes: np.ndarray) -> np.ndarray:
-    """Counts (history, class) of all tokens, given each unit's class."""
+    """Counts (class before, class) of all tokens: those before by the classes of the round's beginning, the others by ``classes``."""
     side = CLASSES + 1
     shared = contexts.sparkSession.sparkContext.broadcast(classes)
 
     def add(batches):
         table = np.zeros((side, side))
         for batch in batches:
-            np.add.at(table.T, shared.value[batch.column(0).to_numpy()], _dense(batch))
+            np.add.at(table.T, shared.value[batch.column(0).to_numpy()], _dense(batch)[:, :side])
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table.ravel()[at].astype(np.int64))], ["at", "n"])
 
@@ -266,22 +270,43 @@ def followed(contexts: DataFrame, classes: np.ndarray) -> np.ndarray:
     return table.reshape(side, side)
 
 
-def sweep(contexts: DataFrame, listed: int, steps: np.ndarray, mass: np.ndarray) -> np.ndarray:
-    """The best class of each listed word; as many numbers as are listed come to the driver."""
+def sweep(contexts: DataFrame, units: int, table: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """The best class of each unit but the end (-1 where it doesn't occur); as many numbers as there are units come to the driver."""
 
     def choose(batches):
         for batch in batches:
             unit = batch.column(0).to_numpy()
-            own = best_classes(_dense(batch), steps, mass)
+            own = best_classes(_dense(batch), table, mass)
             yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(own.astype(np.int64))], ["unit", "own"])
 
-    found = contexts.where(F.col("unit") < listed).mapInArrow(choose, "unit long, own long").toPandas()
-    own = np.zeros(listed, np.int64)
+    found = contexts.where(F.col("unit") < units).mapInArrow(choose, "unit long, own long").toPandas()
+    own = np.full(units, -1)
     own[found["unit"].to_numpy(np.int64)] = found["own"]
     return own
 
 
-def score(docs: DataFrame, is_training: Column, key: str = "doc_id", text: str = "text", clustered: int = CLUSTERED, listed: int = LISTED) -> DataFrame:
+def class_pairs(training: DataFrame, listed: list[bytes], class_of: np.ndarray, text: str = "text") -> np.ndarray:
+    """Counts (class, class) of all neighbours."""
+    side, end = CLASSES + 1, len(listed) + SHAPES
+    shared = training.sparkSession.sparkContext.broadcast((listed, class_of))
+
+    def count(batches):
+        listed, class_of = shared.value
+        units, sums = _Units(listed), np.zeros(side * side, np.int64)
+        for batch in batches:
+            for start in range(0, batch.num_rows, _ROWS):
+                classes = class_of[_tokens(text_bytes(batch.column(0).slice(start, _ROWS)), units, end)[1]]
+                sums += np.bincount(np.concatenate([[CLASSES], classes[:-1]]) * side + classes, minlength=side * side)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["at", "n"])
+
+    found = training.select(F.col(text).cast("string")).mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(side * side)
+    table[found["at"].to_numpy(np.int64)] = found["n"]
+    return table.reshape(side, side)
+
+
+def score(docs: DataFrame, is_training: Column, key: str = "doc_id", text: str = "text", clustered: int = CLUSTERED, listed: int = LISTED, enough: int = ENOUGH) -> DataFrame:
     """(key, is_training, n_tokens, n_known, train_tokens, base_score, score) of each document."""
     spark = docs.sparkSession
     docs = docs.select(F.col(key), F.col(text).cast("string").alias("text"), is_training.alias("is_training"))
@@ -290,7 +315,7 @@ def score(docs: DataFrame, is_training: Column, key: str = "doc_id", text: str =
     ends = training.count()
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, distinct = total + ends, distinct + (ends > 0)
-    top = sorted(((bytes(w), n) for w, n in most_frequent(counts, listed).collect()), key=lambda x: (-x[1], x[0]))
+    top = sorted(((bytes(w), n) for w, n in most_frequent(counts.where(F.length("word") <= LONGEST), listed).collect()), key=lambda x: (-x[1], x[0]))
 
     bigram_rows = unit_bigrams(training, [w for w, _ in top[:clustered]]).toPandas()
     clustered = len(top[:clustered])
@@ -308,27 +333,29 @@ def score(docs: DataFrame, is_training: Column, key: str = "doc_id", text: str =
 
     listed_n = np.array([n for _, n in top], float)
     listed_unit = np.array([i if i < clustered else clustered + shape(w) for i, (w, _) in enumerate(top)], np.int64)
+    words, shapes = [w for w, _ in top], np.array([shape(w) for w, _ in top], np.int64)
     listed_class = own[listed_unit] if top else np.zeros(0, np.int64)
     shape_class = own[clustered : clustered + SHAPES]
-    history = np.concatenate([listed_class, shape_class, [CLASSES]]).astype(np.int64)
-    contexts = cut(word_contexts(training, [w for w, _ in top], history), "lm-contexts")
+    whole = lambda: np.concatenate([listed_class, shape_class, [CLASSES]]).astype(np.int64)
     masses = lambda: np.bincount(listed_class, listed_n, CLASSES) + np.bincount(shape_class, group_tokens + 1, CLASSES)
-    for _ in range(SWEEPS):
-        table = followed(contexts, np.concatenate([listed_class, shape_class, [CLASSES]]).astype(np.int64))
-        listed_class = np.where(listed_n >= ENOUGH, sweep(contexts, len(top), transitions(table), masses()), listed_class)
-    mass = masses()
+    for _ in range(ROUNDS):
+        contexts = cut(word_contexts(training, words, whole()), "lm-contexts")
+        for _ in range(SWEEPS):
+            best = sweep(contexts, len(top) + SHAPES, followed(contexts, whole()), masses())
+            shape_class = np.where(best[len(top) :] >= 0, best[len(top) :], shape_class)
+            listed_class = np.where(listed_n >= enough, best[: len(top)], shape_class[shapes])
+    mass, class_of = masses(), whole()
     emit = np.concatenate([np.log10(listed_n / mass[listed_class]) if top else [], np.log10((group_tokens + 1) / mass[shape_class]), [0.0]])
     base = np.concatenate([np.log10((listed_n + 1) / (total + distinct + 1)), np.zeros(SHAPES), [np.log10((ends + 1) / (total + distinct + 1))]])
-    class_of = np.concatenate([listed_class, shape_class, [CLASSES]]).astype(np.int64)
-    steps = transitions(followed(contexts, class_of))
-    shared = spark.sparkContext.broadcast(([w for w, _ in top], history, class_of, emit, base, steps))
+    steps = transitions(class_pairs(training, words, class_of))
+    shared = spark.sparkContext.broadcast((words, class_of, emit, base, steps))
     token, known_end, first_rare = uuid.uuid4().hex, int(ends > 0), len(top)
 
     def tally(batches):
         if token not in _models:
             _models.clear()
             _models[token] = (_Units(shared.value[0]), *shared.value[1:])
-        units, history, class_of, emit, base, steps = _models[token]
+        units, class_of, emit, base, steps = _models[token]
         end = first_rare + SHAPES
         for batch in batches:
             for start in range(0, batch.num_rows, _ROWS):
@@ -336,25 +363,29 @@ def score(docs: DataFrame, is_training: Column, key: str = "doc_id", text: str =
                 words, tokens, ends = _tokens(text_bytes(part.column(1)), units, end)
                 begins = np.concatenate([[0], ends[:-1] + 1])
                 classes = class_of[tokens]
-                before = np.concatenate([[CLASSES], history[tokens[:-1]]])
+                before = np.concatenate([[CLASSES], classes[:-1]])
                 sums = [np.add.reduceat(x, begins) for x in ((tokens < first_rare).astype(np.int64), base[tokens], emit[tokens] + steps[before, classes])]
                 rows = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.nulls(rows, pa.binary()), pa.array(ends - begins + 1), pa.array(sums[0] + known_end), pa.array(sums[1]), pa.array(sums[2])], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.int64()), pa.array(ends - begins + 1), pa.array(sums[0] + known_end), pa.array(sums[1]), pa.array(sums[2])], names)
                 at = np.flatnonzero((tokens >= first_rare) & (tokens < end))
                 if len(at):
                     row = np.searchsorted(ends, at)
-                    found = pa.array([words[i] for i in (at - row).tolist()], pa.binary())
-                    none = pa.nulls(len(at), pa.int64())
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), found, none, none, pa.nulls(len(at), pa.float64()), pa.nulls(len(at), pa.float64())], names)
+                    times = Counter(zip(row.tolist(), [words[i] for i in (at - row).tolist()], strict=True))  # each word of a document once
+                    rows = part.column(0).take(pa.array([i for i, _ in times], pa.int64()))
+                    none, no_score = pa.nulls(len(times), pa.int64()), pa.nulls(len(times), pa.float64())
+                    yield pa.RecordBatch.from_arrays([rows, pa.array([w for _, w in times], pa.binary()), pa.array(times.values(), pa.int64()), none, none, no_score, no_score], names)
 
-    names = ["row", "word", "n_tokens", "n_known", "base_score", "score"]
+    names = ["row", "word", "times", "n_tokens", "n_known", "base_score", "score"]
     rows = docs.withColumn("row", F.struct(F.monotonically_increasing_id().alias("id"), F.col(key).alias("key"), "is_training"))
     kind = rows.schema["row"].dataType.simpleString()
-    tallied = cut(rows.select("row", "text").mapInArrow(tally, f"row {kind}, word binary, n_tokens long, n_known long, base_score double, score double"), "lm-tally")
+    tallied = cut(rows.select("row", "text").mapInArrow(tally, f"row {kind}, word binary, times long, n_tokens long, n_known long, base_score double, score double"), "lm-tally")
     groups = spark.createDataFrame([(i, float(group_tokens[i] + group_words[i] + 1)) for i in range(SHAPES)], "shape int, room double")
-    spelled = tallied.where("word is not null").select("row", "word").join(counts, "word", "left")
-    spelled = spelled.select("row", shape_column(F.col("word")).alias("shape"), F.coalesce("n", F.lit(0)).alias("c")).join(F.broadcast(groups), "shape")
-    spelled = spelled.groupBy("row.id").agg(F.sum((F.col("c") > 0).cast("long")).alias("more_known"), F.sum(F.log10((F.col("c") + 1) / F.lit(float(total + distinct + 1)))).alias("more_base"), F.sum(F.log10((F.col("c") + 1) / F.col("room"))).alias("more_score"))
+    spelled = tallied.where("word is not null").select("row", "word", "times")
+    held = spelled.groupBy("word").agg(F.count(F.lit(1)).alias("held")).join(counts, "word", "left").select("word", "held", F.coalesce("n", F.lit(0)).alias("c"))
+    spelled = join_skewed(spelled, cut(held, "lm-held"), ["word"], "held")  # a word that no training document has may be busy too
+    spelled = spelled.select("row", "times", shape_column(F.col("word")).alias("shape"), "c").join(F.broadcast(groups), "shape")
+    sum_of = lambda each: F.sum(F.col("times") * each)
+    spelled = spelled.groupBy("row.id").agg(sum_of((F.col("c") > 0).cast("long")).alias("more_known"), sum_of(F.log10((F.col("c") + 1) / F.lit(float(total + distinct + 1)))).alias("more_base"), sum_of(F.log10((F.col("c") + 1) / F.col("room"))).alias("more_score"))
     done = tallied.where("word is null").select("row.*", "n_tokens", "n_known", "base_score", "score").join(spelled, "id", "left")
     more = lambda name, extra: (F.col(name) + F.coalesce(extra, F.lit(0))).alias(name)
     return done.select(F.col("key").alias(key), "is_training", "n_tokens", more("n_known", "more_known"), F.lit(total).cast("long").alias("train_tokens"), more("base_score", "more_base"), more("score", "more_score"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assetloom.llm import class_lm
-from assetloom.llm.class_lm import CLASSES, ENOUGH, SHAPES, SWEEPS, best_classes, class_table, exchange, held_out, op2_class_lm, score, shape, transitions
+from assetloom.llm.class_lm import CLASSES, ENOUGH, LONGEST, ROUNDS, SHAPES, SWEEPS, best_classes, class_table, exchange, held_out, op2_class_lm, score, shape, transitions
 
 SCHEMA = "doc_id long, text string"
 
@@ -31,8 +31,9 @@ def brute(docs, training, clustered, listed):
     total, distinct = sum(counts.values()) + ends, len(counts) + (ends > 0)
     ranked = sorted(counts, key=lambda w: (-counts[w], w))
     bucket = lambda w: (counts[w].bit_length(), counts[w] >> max(counts[w].bit_length() - 7, 0))
-    many = Counter(map(bucket, ranked))
-    known = {w for w in ranked if sum(n for b, n in many.items() if b >= bucket(w)) <= listed}
+    short = [w for w in ranked if len(w) <= LONGEST]
+    many = Counter(map(bucket, short))
+    known = {w for w in short if sum(n for b, n in many.items() if b >= bucket(w)) <= listed}
     top = [w for w in ranked if w in known][:clustered]
     unit_of = {w: i for i, w in enumerate(top)}
     unit = lambda w: unit_of[w] if w in unit_of else len(top) + shape(w)
@@ -47,29 +48,36 @@ def brute(docs, training, clustered, listed):
     for w in rare:
         tokens[shape(w)] += counts[w]
         words[shape(w)] += 1
-    class_of = {w: own[unit(w)] for w in known}  # what follows; own: what came before
-    follows = lambda w: class_of[w] if w in known else own[unit(w)]
+    of_word = {w: own[unit(w)] for w in known}
+    of_shape = [own[len(top) + k] for k in range(SHAPES)]
+    follows = lambda w: of_word[w] if w in known else of_shape[shape(w)]
+    units = [*sorted(known), *range(SHAPES)]
+    number = {u: k for k, u in enumerate(units)}
 
-    def counted():
+    def counted(before):
         table, mass = np.zeros((CLASSES + 1, CLASSES + 1)), np.zeros(CLASSES)
         for s in trained:
-            sequence = [CLASSES, *(own[unit(w)] for w in s)], [*map(follows, s), CLASSES]
-            np.add.at(table, sequence, 1)
+            np.add.at(table, ([CLASSES, *(before[w] for w in s)], [*map(follows, s), CLASSES]), 1)
         for w in known:
-            mass[class_of[w]] += counts[w]
-        for s in range(SHAPES):
-            mass[own[len(top) + s]] += tokens[s] + 1
+            mass[of_word[w]] += counts[w]
+        for k in range(SHAPES):
+            mass[of_shape[k]] += tokens[k] + 1
         return table, mass
 
-    contexts = {w: np.zeros(CLASSES + 1) for w in known}
-    for s in trained:
-        for before, w in zip([None, *s], s, strict=False):
-            if w in known:
-                contexts[w][CLASSES if before is None else own[unit(before)]] += 1
-    for _ in range(SWEEPS):
-        table, mass = counted()
-        class_of = {w: best_classes(contexts[w][None, :], transitions(table), mass)[0] if counts[w] >= ENOUGH else class_of[w] for w in known}
-    table, mass = counted()
+    for _ in range(ROUNDS):
+        start = {w: follows(w) for w in counts}
+        contexts = np.zeros((len(units), 2 * (CLASSES + 1)))
+        for s in trained:
+            around = [CLASSES, *(start[w] for w in s), CLASSES]
+            for k, w in enumerate(s):
+                at = number[w if w in known else shape(w)]
+                contexts[at, around[k]] += 1
+                contexts[at, CLASSES + 1 + around[k + 2]] += 1
+        for _ in range(SWEEPS):
+            best = best_classes(contexts, *counted(start))
+            of_shape = [best[number[k]] if contexts[number[k]].any() else of_shape[k] for k in range(SHAPES)]
+            of_word = {w: best[number[w]] if counts[w] >= ENOUGH else of_shape[shape(w)] for w in known}
+    table, mass = counted({w: follows(w) for w in counts})
     steps = transitions(table)
 
     def emit(w):
@@ -83,7 +91,7 @@ def brute(docs, training, clustered, listed):
     for i, t in docs:
         s = split(t)
         base = sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in s) + math.log10((ends + 1) / (total + distinct + 1))
-        model = sum(steps[a, b] for a, b in zip([CLASSES, *(own[unit(w)] for w in s)], [*map(follows, s), CLASSES], strict=True)) + sum(map(emit, s))
+        model = sum(steps[a, b] for a, b in zip([CLASSES, *map(follows, s)], [*map(follows, s), CLASSES], strict=True)) + sum(map(emit, s))
         out[i] = (len(s) + 1, sum(w in counts for w in s) + (ends > 0), total, base, model)
     return out
 
@@ -122,6 +130,7 @@ def test_probabilities_add_up():
 def test_scores_equal_brute_force(spark, clustered, listed):
     rng = np.random.default_rng(3)
     docs = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.6, rng.integers(0, 40)) if x < 500)) for i in range(60)]
+    docs += [(105, "y" * 65 + " " + "y" * 64 + " b"), (106, ("y" * 65 + " ") * 9), (107, "unseen " * 30 + "w1 unseen")]
     docs += [(100, None), (101, ""), (102, "\x0b\t A a É é \x1cx\xa0y"), (103, "z" * 50_000), (104, "w1 " * 5000)]
     frame = spark.createDataFrame([(i, t, 1, "k") for i, t in docs], SCHEMA + ", id int, word string")
     got = score(frame, F.col("doc_id") % 3 != 0, clustered=clustered, listed=listed).collect()
