@@ -40,7 +40,7 @@ CLASSES = 48
 LISTED, LONGEST = 200_000, 64
 ROUNDS, SWEEPS = 2, 2
 #: Occurrences from which a word's own contexts say more than its ending.
-ENOUGH = 5
+ENOUGH = 2
 SMOOTHING = 20.0
 
 #: Distinct words that a worker counts or remembers before it starts afresh.
