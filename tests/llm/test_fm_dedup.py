@@ -71,13 +71,6 @@ def test_backward_search_finds_all_rows():
             assert document[0] == owner[expected[0]]
             assert owner[index.locate(index.documents.find(document, low, high))] == document
             assert np.array_equal(index.documents.look(rows)[0], owner[places])
-    assert not hasattr(index, "text")
-    begin, size = rng.integers(0, 800, 200), rng.integers(0, 40, 200)
-    for a, n, spelled in zip(begin, size, index.spell(begin, size), strict=True):
-        own = text[a : a + n]
-        stop = np.flatnonzero(own == 0)
-        own = own[: stop[0]] if len(stop) else own
-        assert np.array_equal(spelled[: len(own)], own) and not spelled[len(own) :].any()
 
 
 @pytest.mark.parametrize("window", [1, 2, 7, 20, 50])
