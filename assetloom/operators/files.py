@@ -11,6 +11,7 @@ from assetloom.functions.paths import below, render_name, renamed, stem, without
 from assetloom.functions.predicates import direct_child
 from assetloom.operators.hierarchy import check_arguments
 from assetloom.sources.catalog import ASSET_TYPES, numbered
+from assetloom.sources.shared import join_large
 
 ANGLES = (0, 90, 180, 270)
 #: Folders of the namespaces.
@@ -34,12 +35,12 @@ def requested(uids: DataFrame) -> DataFrame:
 def resolve(uids: DataFrame, files: DataFrame, asset_type: str) -> DataFrame:
     """(uid, path) of the ids that have a file of the type; others are dropped."""
     check_arguments([asset_type], ASSET_TYPES, "asset type")
-    return requested(uids).join(files.where(F.col("asset_type") == asset_type).select("uid", "path"), "uid")
+    return join_large(requested(uids), files.where(F.col("asset_type") == asset_type).select("uid", "path"), "uid")
 
 
 def annotations(uids: DataFrame, assets: DataFrame, keep_missing: bool = True) -> DataFrame:
     """Asset rows of a request; ids without one are kept with nulls or dropped."""
-    return requested(uids).join(assets, "uid", "left" if keep_missing else "inner")
+    return join_large(requested(uids), assets, "uid", "left" if keep_missing else "inner")
 
 
 def load(uids: DataFrame, files: DataFrame, present: DataFrame, what: Sequence[str] = ASSET_TYPES, flat: str = "assets") -> DataFrame:
@@ -48,15 +49,15 @@ def load(uids: DataFrame, files: DataFrame, present: DataFrame, what: Sequence[s
     An annotation that isn't in a bucket may lie in the flat folder.
     """
     check_arguments(what, ASSET_TYPES, "what")
-    wanted = requested(uids).join(files.where(F.col("asset_type").isin(list(what))), "uid")
+    wanted = join_large(requested(uids), files.where(F.col("asset_type").isin(list(what))), "uid")
     if "annotation" in what:
         there = F.concat(F.lit(f"{flat}/std_"), F.col("uid"), F.lit(".json"))
         wanted = wanted.withColumn("order", F.lit(0)).unionByName(requested(uids).select("uid", F.lit("annotation").alias("asset_type"), there.alias("path"), F.lit(1).alias("order")))
     else:
         wanted = wanted.withColumn("order", F.lit(0))
-    found = wanted.join(present.select("path").distinct(), "path", "left_semi")
+    found = join_large(wanted, present.select("path"), "path", "left_semi")
     wide = found.groupBy("uid").pivot("asset_type", list(what)).agg(F.min_by("path", "order"))
-    return requested(uids).join(wide, "uid", "left")
+    return join_large(requested(uids), wide, "uid", "left")
 
 
 def load_one(uids: DataFrame, files: DataFrame, present: DataFrame, asset_type: str) -> DataFrame:
@@ -67,14 +68,21 @@ def load_one(uids: DataFrame, files: DataFrame, present: DataFrame, asset_type:
 def renders(uids: DataFrame, folders: DataFrame, present: DataFrame, angles: Sequence[int] = ANGLES) -> DataFrame:
     """(uid, renders): a map from each angle to the render's path, null if it isn't there. ``folders``: (uid, folder)."""
     check_arguments(map(str, angles), map(str, ANGLES), "angles")
-    rows = requested(uids).select("uid", F.explode(F.array(*map(F.lit, angles))).alias("angle")).join(folders, "uid", "left")
+    rows = join_large(requested(uids).select("uid", F.explode(F.array(*map(F.lit, angles))).alias("angle")), folders, "uid", "left")
     rows = rows.withColumn("path", F.concat_ws("/", "folder", render_name(F.col("angle")))).withColumn("path", F.when(F.col("folder").isNotNull(), F.col("path")))
     there = present.select(F.col("path").alias("there")).distinct()
-    rows = rows.join(there, F.col("path") == F.col("there"), "left")
+    rows = looked_up(rows, there, "path", "there", "uid")
     pairs = F.sort_array(F.collect_list(F.struct("angle", F.col("there").alias("path"))))
     return rows.groupBy("uid").agg(F.map_from_entries(pairs).alias("renders"))
 
 
+def looked_up(rows: DataFrame, there: DataFrame, path: str, found: str, key: str) -> DataFrame:
+    """``rows`` with the column ``found`` of ``there`` (distinct paths) where it equals their path, else null. Rows without a path are dealt by their key, not to one task."""
+    rows = rows.withColumn("lookup_", F.coalesce(path, F.concat(F.lit("\n"), F.col(key).cast("string"))))
+    joined = join_large(rows, there, F.col("lookup_") == F.col(found), "left")
+    return joined.withColumn(found, F.when(F.col(path).isNotNull(), F.col(found))).drop("lookup_")
+
+
 def batches(rows: DataFrame, order: str | Sequence[Column], size: int = 256) -> DataFrame:
     """Adds ``batch``: rows in order, ``size`` to a batch."""
     return numbered(rows, order).withColumn("batch", F.floor(F.col("pos") / size).cast("long")).drop("pos")
@@ -116,7 +124,7 @@ def material_request(mapping: DataFrame, files: DataFrame, kind: str, wanted: Da
     _, _, key, _ = MATERIALS[kind]
     what = [key, "thumbnail"] if what is None else list(what)
     check_arguments(what, [key, "thumbnail"], "what")
-    chosen = mapping if wanted is None else mapping.join(wanted.select("name").distinct(), "name", "left_semi")
+    chosen = mapping if wanted is None else join_large(mapping, wanted.select("name"), "name", "left_semi")
     paths = chosen.select(F.explode("main_files").alias("path")) if key in what else chosen.select(F.col("thumbnail").alias("path")).limit(0)
     if "thumbnail" in what:
         paths = paths.unionByName(chosen.where("thumbnail is not null").select(F.col("thumbnail").alias("path")))
@@ -127,11 +135,11 @@ def material_request(mapping: DataFrame, files: DataFrame, kind: str, wanted: Da
 
 def load_materials(mapping: DataFrame, present: DataFrame, kind: str, wanted: DataFrame | None = None) -> DataFrame:
     """(name, main, thumbnail): the file with the kind's own extension or else the first; null if it isn't there."""
-    chosen = mapping if wanted is None else mapping.join(wanted.select("name").distinct(), "name", "left_semi")
+    chosen = mapping if wanted is None else join_large(mapping, wanted.select("name"), "name", "left_semi")
     rows = chosen.select("name", preferred(F.col("main_files"), "." + MATERIALS[kind][2]).alias("main"), "thumbnail")
+    there = present.select(F.col("path").alias("there_")).distinct()
     for column in ("main", "thumbnail"):
-        there = present.select(F.col("path").alias(column), F.lit(True).alias("there_")).distinct()
-        rows = rows.join(there, column, "left").withColumn(column, F.when(F.col("there_"), F.col(column))).drop("there_")
+        rows = looked_up(rows, there, column, "there_", "name").withColumn(column, F.col("there_")).drop("there_")
     return rows.select("name", "main", "thumbnail")
 
 
@@ -146,40 +154,40 @@ def load_vegetation(mapping: DataFrame, present: DataFrame, kind: str, wanted: D
     folder = VEGETATION[kind]
     inside = present.where(F.col("path").startswith(folder + "/")).select(F.substring_index(below(F.col("path"), folder), "/", 1).alias("name"), "path").where(F.instr(below(F.col("path"), folder), "/") > 0)
     found = inside.groupBy("name").agg(F.min(F.when(F.col("path").rlike(r"\.usd[acz]?$"), F.col("path"))).alias("usd"), F.lit(True).alias("there"))
-    chosen = mapping if wanted is None else mapping.join(wanted.select("name").distinct(), "name", "left_semi")
-    return chosen.join(found, "name", "left").select("name", F.when(F.col("there"), F.concat(F.lit(folder + "/"), "name")).alias("folder"), "usd")
+    chosen = mapping if wanted is None else join_large(mapping, wanted.select("name"), "name", "left_semi")
+    return join_large(chosen, found, "name", "left").select("name", F.when(F.col("there"), F.concat(F.lit(folder + "/"), "name")).alias("folder"), "usd")
 
 
 def without_preview(mapping: DataFrame, present: DataFrame, kind: str, preview: str = "_preview.glb") -> DataFrame:
     """The plants of a kind whose folder holds no preview yet."""
     path = F.concat(F.lit(VEGETATION[kind] + "/"), "name", F.lit("/" + preview))
-    return mapping.withColumn("preview_", path).join(present.select(F.col("path").alias("preview_")).distinct(), "preview_", "left_anti").select(*mapping.columns)
+    return join_large(mapping.withColumn("preview_", path), present.select(F.col("path").alias("preview_")), "preview_", "left_anti").select(*mapping.columns)
 
 
 def without_sibling(rows: DataFrame, present: DataFrame, suffix: str, path: str = "path") -> DataFrame:
     """The rows whose path has no sibling with the suffix before its extension."""
-    done = present.select(F.col("path").alias("sibling_")).distinct()
-    return rows.withColumn("sibling_", renamed(F.col(path), suffix)).join(done, "sibling_", "left_anti").select(*rows.columns)
+    done = present.select(F.col("path").alias("sibling_"))
+    return join_large(rows.withColumn("sibling_", renamed(F.col(path), suffix)), done, "sibling_", "left_anti").select(*rows.columns)
 
 
 def precedence(rows: DataFrame, first: DataFrame, second: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value): the first frame's value, else the second's, else null."""
     a = first.select(key, F.col(value).alias("first_")).dropDuplicates([key])
     b = second.select(key, F.col(value).alias("second_")).dropDuplicates([key])
-    return rows.select(key).distinct().join(a, key, "left").join(b, key, "left").select(key, F.coalesce("first_", "second_").alias(value))
+    return join_large(join_large(rows.select(key).distinct(), a, key, "left"), b, key, "left").select(key, F.coalesce("first_", "second_").alias(value))
 
 
 def conversion_plan(files: DataFrame, existing: DataFrame) -> DataFrame:
     """(uid, glb, usd, status): which files are there to convert, which are converted, which are missing. ``files``: (uid, glb, usd, glb_present)."""
     there = existing.select(F.col("path").alias("usd"), F.lit(True).alias("done_")).distinct()
     status = F.when(F.col("done_"), "existing").when(F.col("glb_present"), "to_do").otherwise("missing")
-    return files.join(there, "usd", "left").select("uid", "glb", "usd", status.alias("status"))
+    return join_large(files, there, "usd", "left").select("uid", "glb", "usd", status.alias("status"))
 
 
 def conversion_results(tasks: DataFrame, results: DataFrame) -> DataFrame:
     """(uid, usd, error): results met with their tasks by the file, one task each."""
     first = tasks.groupBy("glb").agg(F.min_by(F.struct("uid", "usd"), "uid").alias("task"))
-    return results.join(first, "glb").select("task.uid", F.when(F.col("ok"), F.col("task.usd")).alias("usd"), F.when(~F.col("ok"), F.col("error")).alias("error"))
+    return join_large(results, first, "glb").select("task.uid", F.when(F.col("ok"), F.col("task.usd")).alias("usd"), F.when(~F.col("ok"), F.col("error")).alias("error"))
 
 
 def conversion_tasks(uids: DataFrame, index: DataFrame, present: DataFrame, collision: str = "convexDecomposition", instanceable: bool = False, mass: float | None = None, folder: str = USD_FOLDER) -> DataFrame:
@@ -204,11 +212,11 @@ def converted(tasks: DataFrame, results: DataFrame, present: DataFrame) -> DataF
     A result without its file is a failure, and so is a task without a result.
     """
     told = conversion_results(tasks.where("status = 'to_do'"), results)
-    there = present.select(F.col("path").alias("usd"), F.lit(True).alias("there_")).distinct()
-    told = told.join(there, "usd", "left").select("uid", F.when(F.col("there_"), F.col("usd")).alias("new_usd"), F.when(~F.coalesce("there_", F.lit(False)), F.coalesce("error", F.lit("no file"))).alias("new_error"))
+    there = present.select(F.col("path").alias("there_")).distinct()
+    told = looked_up(told, there, "usd", "there_", "uid").select("uid", F.col("there_").alias("new_usd"), F.when(F.col("there_").isNull(), F.coalesce("error", F.lit("no file"))).alias("new_error"))
     before = F.col("status") == "existing"
     reason = F.when(F.col("status") == "missing", "nothing to convert").when(~before & F.col("new_usd").isNull(), F.coalesce("new_error", F.lit("no result")))
-    return tasks.join(told, "uid", "left").select("uid", F.when(before, F.col("usd")).otherwise(F.col("new_usd")).alias("usd"), reason.alias("error"))
+    return join_large(tasks, told, "uid", "left").select("uid", F.when(before, F.col("usd")).otherwise(F.col("new_usd")).alias("usd"), reason.alias("error"))
 
 
 def outcome(rows: DataFrame, ok: Column, by: Iterable[str] = ()) -> DataFrame:

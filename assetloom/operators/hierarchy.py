@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetloom.functions.predicates import any_level_in
+from assetloom.sources.shared import join_large
 
 LEVELS = (1, 2, 3)
 
@@ -48,7 +49,8 @@ def in_categories(bridge: DataFrame, wanted: Iterable[str], levels: Iterable[str
 
 def unknown_names(requested: DataFrame, known: DataFrame, name: str = "name") -> DataFrame:
     """Requested names that aren't known, sorted."""
-    return requested.select(name).subtract(known.select(name)).orderBy(name)
+    there = known.select(F.col(name).alias("known_"))
+    return join_large(requested.select(name).distinct(), there, F.col(name).eqNullSafe(F.col("known_")), "left_anti").orderBy(name)
 
 
 def check_names(requested: DataFrame, known: DataFrame, name: str = "name", shown: int = 20) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assetloom.operators import documents, files, textures
 from assetloom.operators.hierarchy import check_names
+from assetloom.sources.shared import join_large
 
 #: Kinds of files that each mode of a show of assets looks up.
 NEEDS = {"show": ("glb", "thumbnail"), "assets": ("glb",), "thumbnails": ("thumbnail",), "annotations": (), "renders": ()}
@@ -25,9 +26,9 @@ def assets(uids: DataFrame, index: DataFrame, present: DataFrame, base: str, mod
     if NEEDS[mode]:
         shown = files.load(uids, index, present, NEEDS[mode])
     if mode in ("show", "annotations"):
-        shown = shown.join(annotations.select("uid", "annotation"), "uid", "left")
+        shown = join_large(shown, annotations.select("uid", "annotation"), "uid", "left")
     if mode in ("show", "renders"):
-        shown = shown.join(files.renders(uids, folders, present, angles), "uid", "left")
+        shown = join_large(shown, files.renders(uids, folders, present, angles), "uid", "left")
     return documents.asset_items(shown, mode, base)
 
 
@@ -43,8 +44,8 @@ def materials(kind: str, listed: DataFrame, present: DataFrame, base: str, texts
     folder, _, extension, inside = files.MATERIALS[kind]
     if inside:
         readable = loaded.where(F.col("main").endswith("." + extension)).select("name")
-        fed = textures.channel_urls(texts.join(readable, "name", "left_semi"), present, folder, base)
-        loaded = loaded.join(fed, "name", "left").withColumn("textures", F.coalesce("textures", F.create_map().cast("map<string,string>")))
+        fed = textures.channel_urls(join_large(texts, readable, "name", "left_semi"), present, folder, base)
+        loaded = join_large(loaded, fed, "name", "left").withColumn("textures", F.coalesce("textures", F.create_map().cast("map<string,string>")))
     return documents.material_items(loaded, base)
 
 
@@ -56,5 +57,5 @@ def vegetation(kind: str, listed: DataFrame, present: DataFrame, base: str, want
     loaded = files.load_vegetation(mapping, present, kind, wanted)
     path = F.concat("folder", F.lit("/" + preview))
     there = present.select(F.col("path").alias("preview")).distinct()
-    shown = loaded.withColumn("preview_", path).join(there, F.col("preview_") == F.col("preview"), "left")
+    shown = files.looked_up(loaded.withColumn("preview_", path), there, "preview_", "preview", "name")
     return documents.vegetation_items(shown.select("name", "usd", "preview"), base)

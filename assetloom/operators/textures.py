@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from assetloom.functions.paths import parent, resolved, url, without_leading_dots
 from assetloom.functions.textures import channels, preview_channel, texture_kind
+from assetloom.sources.shared import join_large
 
 #: How a material text refers to a texture.
 REFERENCE = r'texture_2d\(\s*"([^"]+)"'
@@ -30,11 +31,11 @@ def channel_urls(texts: DataFrame, present: DataFrame, folder: str, base: str, k
 def fed_channels(refs: DataFrame, keys: DataFrame, present: DataFrame, folder: str, base: str, key: str = "name") -> DataFrame:
     """``channel_urls`` of references (key, pos, ref) that were found before."""
     refs = refs.withColumn("path", F.concat(F.lit(folder + "/"), without_leading_dots(F.col("ref"))))
-    refs = refs.join(present.select("path").distinct(), "path", "left_semi")
+    refs = join_large(refs, present.select("path"), "path", "left_semi")
     fed = refs.select(key, "pos", "path", F.explode(channels(texture_kind(F.col("ref")), F.col("ref"))).alias("channel"))
     first = fed.groupBy(key, "channel").agg(F.min_by("path", "pos").alias("path"))
     maps = first.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("channel", url(base, F.col("path")).alias("url"))))).alias("textures"))
-    return keys.select(key).distinct().join(maps, key, "left").select(key, F.coalesce("textures", F.create_map().cast("map<string,string>")).alias("textures"))
+    return join_large(keys.select(key).distinct(), maps, key, "left").select(key, F.coalesce("textures", F.create_map().cast("map<string,string>")).alias("textures"))
 
 
 def preview_textures(texts: DataFrame, present: DataFrame, folder: str, key: str = "name") -> DataFrame:
@@ -42,9 +43,9 @@ def preview_textures(texts: DataFrame, present: DataFrame, folder: str, key: str
     names, refs = (F.regexp_extract_all("value", F.lit(NAMED_REFERENCE), F.lit(i)) for i in (1, 2))
     rows = texts.select(key, F.posexplode(F.arrays_zip(names.alias("parameter"), refs.alias("ref"))).alias("pos", "one"))
     rows = rows.select(key, "pos", F.col("one.parameter").alias("parameter"), F.col("one.ref").alias("ref"), F.concat(F.lit(folder + "/"), without_leading_dots(F.col("one.ref"))).alias("path"))
-    rows = rows.join(present.select("path").distinct(), "path", "left_semi").withColumn("channel", preview_channel(F.col("parameter"), F.col("ref")))
+    rows = join_large(rows, present.select("path"), "path", "left_semi").withColumn("channel", preview_channel(F.col("parameter"), F.col("ref")))
     found = rows.groupBy(key).agg(*[F.min_by("path", F.when(F.col("channel") == c, F.col("pos"))).alias(c) for c in ("diffuse", "normal")])
-    return texts.select(key).distinct().join(found, key, "left")
+    return join_large(texts.select(key).distinct(), found, key, "left")
 
 
 def bound_textures(items: DataFrame, texts: DataFrame, present: DataFrame) -> DataFrame:
@@ -56,8 +57,8 @@ def bound_textures(items: DataFrame, texts: DataFrame, present: DataFrame) -> Da
     assets = items.where((F.col("kind") == "attribute") & (F.col("type") == "asset") & F.col("value").isNotNull())
     written_path = F.regexp_replace("value", "^@+|@+$", "")
     assets = assets.select("layer", F.regexp_extract("prim", r"^(.*)/[^/]*$", 1).alias("material"), "name", "start", resolved(parent(F.col("layer")), written_path).alias("path"))
-    there = present.select("path").distinct()
-    assets = assets.join(there, "path", "left_semi")
+    there = present.select("path")
+    assets = join_large(assets, there, "path", "left_semi")
     name = F.lower(F.substring_index("name", ":", -1))
     has = lambda *words: reduce(or_, [F.contains(name, F.lit(w)) for w in words])
     channel = F.when(has("diffuse", "albedo", "basecolor"), F.lit("diffuse")).when(has("normal"), F.lit("normal"))
@@ -70,9 +71,12 @@ def bound_textures(items: DataFrame, texts: DataFrame, present: DataFrame) -> Da
     names, refs = (F.regexp_extract_all("value", F.lit(NAMED_REFERENCE), F.lit(i)) for i in (1, 2))
     rows = texts.select(F.col("path").alias("source"), F.posexplode(F.arrays_zip(names.alias("parameter"), refs.alias("ref"))).alias("pos", "one"))
     rows = rows.select("source", "pos", preview_channel(F.col("one.parameter"), F.col("one.ref")).alias("channel"), resolved(parent(F.col("source")), F.col("one.ref")).alias("path"))
-    rows = rows.join(there, "path", "left_semi")
+    rows = join_large(rows, there, "path", "left_semi")
     named = rows.groupBy("source").agg(*[F.min_by("path", F.when(F.col("channel") == c, F.col("pos"))).alias(f"mdl_{c}") for c in ("diffuse", "normal")])
     shaders = items.where((F.col("kind") == "attribute") & (F.col("name").startswith("inputs:") | (F.col("name") == "info:mdl:sourceAsset"))).select("layer", F.regexp_extract("prim", r"^(.*)/[^/]*$", 1).alias("material")).distinct()
-    both = shaders.join(found, ["layer", "material"], "left").join(named, "source", "left")
+    both = join_large(shaders, found, ["layer", "material"], "left")
+    # materials whose source isn't there are dealt by their layer, not to one task
+    both = both.withColumn("lookup_", F.coalesce("source", F.concat(F.lit("\n"), "layer"))).drop("source")
+    both = join_large(both, named, F.col("lookup_") == F.col("source"), "left")
     normal = F.coalesce("normal", F.when(F.col("diffuse").isNull(), F.col("mdl_normal")))
     return both.select("layer", "material", F.coalesce("diffuse", "mdl_diffuse").alias("diffuse"), normal.alias("normal"))

@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
+
+#: Rows of a table that go to a task before they become texts, paths or lists.
+DEALT = 20_000
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -31,3 +36,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(rows: DataFrame, *keys: str, most: int = DEALT) -> DataFrame:
+    """The rows of a stored table dealt by keys over so many tasks that each has about ``most``, however the table's files are cut.
+
+    What is made of the rows later (texts that are read, paths that are collected) may be many times larger than the rows. Counting a stored table reads its footers.
+    """
+    return rows.repartition(max(1, -(-rows.count() // most)), *keys)
+
+
+def join_large(left: DataFrame, right: DataFrame, on: str | Sequence[str] | Column, how: str = "inner") -> DataFrame:
+    """A join of two tables that both grow with the input, shuffled on both sides.
+
+    Spark guesses the size of derived rows (exploded paths, concatenated texts) by that of the files below, which is far too small:
+    without the hint it sends tables of hundreds of MB through the driver to all executors.
+    """
+    return left.join(right.hint("merge"), on, how)

@@ -16,6 +16,7 @@ from assetloom.operators import files, graph, hierarchy, integrity, scene, show,
 from assetloom.plans.query import FLAGS, RANGES, AssetQuery
 from assetloom.schema import ASSET_FIELDS, ATTRIBUTE_PREFIX, MASTER
 from assetloom.sources import catalog, layers
+from assetloom.sources.shared import dealt
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,6 +36,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts, dealt before they become texts and listings: their file is small and may be one task's."""
+    return dealt(table(spark, sf, "part"), "p_partkey")
+
+
 def geography(spark: SparkSession, sf: str) -> DataFrame:
     """Customers below nations below regions: (uid, l1, l2, l3)."""
     nations = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -453,7 +459,7 @@ def material_files(spark, sf):
     """Paths of a road material for each part: main files, thumbnails, textures."""
     name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_partkey").cast("string"))
     k = F.col("k")
-    rows = table(spark, sf, "part").where("p_partkey % 7 <> 6").select(name.alias("name"), F.col("p_partkey").alias("k"))
+    rows = parts(spark, sf).where("p_partkey % 7 <> 6").select(name.alias("name"), F.col("p_partkey").alias("k"))
     path = lambda folder, end: F.concat(F.lit(folder + "/"), "name", F.lit(end))
     paths = F.array_compact(F.array(F.when(k % 3 < 2, path("material_road_mdl", ".mdl")), F.when(k % 3 > 0, path("material_road_mdl", ".hash")), F.when(k % 2 == 0, path("material_road_thumbnail", ".jpg")), path("material_road_mdl/textures", ".png")))
     return rows.select("k", F.explode(paths).alias("path"))
@@ -482,7 +488,7 @@ def load_materials(spark, sf):
 
 def plant_files(spark, sf):
     name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_partkey").cast("string"))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("k"), name.alias("name"), F.concat(F.lit("collected_trees/"), name, F.lit(".tar.gz")).alias("path"))
+    return parts(spark, sf).select(F.col("p_partkey").alias("k"), name.alias("name"), F.concat(F.lit("collected_trees/"), name, F.lit(".tar.gz")).alias("path"))
 
 
 def plant_parts(spark, sf):
@@ -516,9 +522,9 @@ def previews_to_make(spark, sf):
 def preview_textures(spark, sf):
     k = F.col("p_partkey").cast("string")
     line = lambda parameter, end: F.concat(F.lit(f"{parameter}: texture_2d(\"./t/"), k, F.lit(end + '"),\n'))
-    texts = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.concat(line("rough_map", "_r.png"), line("tex_a", "_albedo.png"), line("diffuse_texture", "_late.png"), line("normalmap", "_n.png")).alias("value"))
+    texts = parts(spark, sf).select(F.col("p_partkey").alias("k"), F.concat(line("rough_map", "_r.png"), line("tex_a", "_albedo.png"), line("diffuse_texture", "_late.png"), line("normalmap", "_n.png")).alias("value"))
     path = lambda end: F.concat(F.lit("m/t/"), k, F.lit(end))
-    there = table(spark, sf, "part").select(F.explode(F.array_compact(F.array(path("_r.png"), F.when(F.col("p_partkey") % 4 != 3, path("_albedo.png")), F.when(F.col("p_partkey") % 3 == 0, path("_n.png"))))).alias("path"))
+    there = parts(spark, sf).select(F.explode(F.array_compact(F.array(path("_r.png"), F.when(F.col("p_partkey") % 4 != 3, path("_albedo.png")), F.when(F.col("p_partkey") % 3 == 0, path("_n.png"))))).alias("path"))
     return textures.preview_textures(texts, there, "m", "k")
 
 
@@ -537,7 +543,7 @@ t AS (SELECT *, CASE WHEN glb IS NULL THEN 'missing' WHEN k % 3 = 0 THEN 'existi
 def conversions(spark, sf):
     """(index, present): a model file for each part, four of five are there; one of three is converted."""
     k = F.col("p_partkey").cast("string")
-    part = table(spark, sf, "part")
+    part = parts(spark, sf)
     index = part.select(F.col("p_partkey").alias("uid"), F.lit("glb").alias("asset_type"), F.concat(F.lit("glb/"), k).alias("path"))
     done = part.where("p_partkey % 3 = 0").select(F.concat(F.lit("assets_std_usd_flat/std_"), k, F.lit("/std_"), k, F.lit(".usd")).alias("path"))
     return index, index.where("uid % 5 <> 0").select("path").unionAll(done)
@@ -555,7 +561,7 @@ def conversion_merge(spark, sf):
     """Of four results one is good (of seven of these one left no file), two are failures, one doesn't come."""
     index, present = conversions(spark, sf)
     tasks = files.conversion_tasks(index.select("uid"), index, present)
-    k, part = F.col("p_partkey").cast("string"), table(spark, sf, "part")
+    k, part = F.col("p_partkey").cast("string"), parts(spark, sf)
     results = part.where("p_size % 4 <> 3").select(F.concat(F.lit("glb/"), k).alias("glb"), (F.col("p_size") % 4 == 0).alias("ok"), F.when(F.col("p_size") % 4 > 0, F.col("p_brand")).alias("error"))
     made = part.where("p_size % 4 = 0 and p_partkey % 7 <> 0").select(F.concat(F.lit("assets_std_usd_flat/std_"), k, F.lit("/std_"), k, F.lit(".usd")).alias("path"))
     return files.converted(tasks, results, present.unionAll(made))
@@ -576,7 +582,7 @@ r AS (SELECT kind, subkind, count(*) AS expected, count(*) FILTER (WHERE there)
 
 def whole_status(spark, sf):
     """Objects (an index entry for three of four), materials and vegetation together; a fifth of the files is gone."""
-    part = table(spark, sf, "part")
+    part = parts(spark, sf)
     uid = F.col("p_partkey").cast("string")
     kinds = F.explode(F.array(F.lit("glb"), F.lit("thumbnail"))).alias("asset_type")
     index = part.where("p_partkey % 4 <> 3").select(uid.alias("uid"), "p_partkey", kinds).select("uid", "p_partkey", "asset_type", F.concat_ws("/", "asset_type", "uid").alias("path"))
@@ -663,7 +669,7 @@ def layer_edges(spark, sf):
     """All kinds of lists; textures, notes, comments and deleted entries are no edges."""
     k = F.col("p_partkey")
     text = _filled(_EDGES_TEXT, type=F.col("p_type"), key=k.cast("string"), half=(k / 2).cast("long").cast("string"), third=(k / 3).cast("long").cast("string"))
-    return graph.layer_edges(layers.layer_items(table(spark, sf, "part").select(_layer_name(k).alias("layer"), text.alias("value"))))
+    return graph.layer_edges(layers.layer_items(parts(spark, sf).select(_layer_name(k).alias("layer"), text.alias("value"))))
 
 
 _SCALED_TEXT = """#usda 1.0
@@ -698,7 +704,7 @@ def scaled_layers(spark, sf):
     half = F.when(k % 3 == 0, (k / 2).cast("long").cast("string")).otherwise("x")
     third = F.when(k % 4 == 1, (k / 3).cast("long").cast("string")).otherwise("y")
     text = _filled(_SCALED_TEXT, key=k.cast("string"), kind=kind, value=value, half=half, third=third)
-    return table(spark, sf, "part").select(_layer_name(k).alias("layer"), text.alias("value"))
+    return parts(spark, sf).select(_layer_name(k).alias("layer"), text.alias("value"))
 
 
 @query("""SELECT 'scenes/s' || p_partkey || '/main.usda' AS layer, '/World/Looks/' || s AS prim, t AS type, CASE WHEN s = 'S' AND p_partkey % 5 < 2 THEN CAST(p_size AS DOUBLE) END AS x, CASE WHEN s = 'S' AND p_partkey % 5 = 1 THEN 2.5::DOUBLE END AS y
@@ -791,7 +797,7 @@ def kind_files(spark, sf, kind):
     k = F.col("k")
     path = lambda folder, end: F.concat(F.lit(folder + "/"), "name", F.lit(end))
     name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_partkey").cast("string"))
-    rows = table(spark, sf, "part").where("p_partkey % 7 <> 6").select(name.alias("name"), F.col("p_partkey").alias("k"))
+    rows = parts(spark, sf).where("p_partkey % 7 <> 6").select(name.alias("name"), F.col("p_partkey").alias("k"))
     paths = [F.when(k % 3 < 2, path(main, "." + end)), F.when(k % 3 > 0, path(main, ".hash")), F.when(k % 2 == 0, path(thumbs, ".jpg"))]
     if inside:
         paths += [F.when(k % 2 == 0, path(f"{main}/{inside}", "_diff.png")), F.when(k % 4 == 1, path(f"{main}/{inside}", "_ORM.png"))]
@@ -916,7 +922,7 @@ _KINDS_SQL = """WITH i AS (SELECT kind, subkind, b, a FROM part, LATERAL (SELECT
 def eleven_kinds(spark, sf):
     """(expected, present, stored): everything that should be there, what is, and what a store has; each with the part's number ``k`` where it is a listing."""
     k, uid = F.col("p_partkey"), F.col("p_partkey").cast("string")
-    part = table(spark, sf, "part")
+    part = parts(spark, sf)
     kinds = F.explode(F.array(*map(F.lit, catalog.ASSET_TYPES)))
     index = part.where("p_partkey % 4 <> 3").select(k.alias("k"), uid.alias("uid"), kinds.alias("asset_type")).withColumn("path", F.concat("asset_type", F.lit("/b/"), "uid", F.when(F.col("asset_type") == "render", ".tar.gz").otherwise(".x")))
     listed = None
@@ -984,7 +990,7 @@ CASE WHEN p_partkey % 5 = 0 THEN 'shared/n' || p_partkey || '.png' WHEN p_partke
 def bound_textures(spark, sf):
     """What shaders name comes before what their material files name."""
     k, key = F.col("p_partkey"), F.col("p_partkey").cast("string")
-    part = table(spark, sf, "part")
+    part = parts(spark, sf)
     items = layers.layer_items(part.select(F.concat(F.lit("s/m"), key, F.lit(".usda")).alias("layer"), _filled(_BOUND_TEXT, key=key).alias("value")))
     texts = part.where("p_partkey % 7 > 0").select(F.concat(F.lit("s/mdl/"), key, F.lit(".mdl")).alias("path"), _filled('rough: texture_2d("./x/<key>_r.png"),\nbump_normal: texture_2d("../n.png"),\ntex: texture_2d("x/<key>_albedo.png")', key=key).alias("value"))
     made = lambda when, template: F.when(when, _filled(template, key=key))
