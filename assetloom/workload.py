@@ -16,7 +16,7 @@ from assetloom.operators import files, graph, hierarchy, integrity, scene, show,
 from assetloom.plans.query import FLAGS, RANGES, AssetQuery
 from assetloom.schema import ASSET_FIELDS, ATTRIBUTE_PREFIX, MASTER
 from assetloom.sources import catalog, layers
-from assetloom.sources.shared import dealt
+from assetloom.sources.shared import dealt, join_large
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -107,7 +107,8 @@ def class_counts(spark, sf):
 @query("""SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS BIGINT) AS pos, l_partkey
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey""")
 def catalog_flatten(spark, sf):
-    lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    lines = dealt(table(spark, sf, "lineitem"), "l_orderkey", most=500_000)
+    lines = join_large(lines, table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     return hierarchy.places(lines, "l_orderkey", "l_linenumber", "l_partkey").select(F.col("l_orderkey").alias("o_orderkey"), "pos", "l_partkey")
 
 

@@ -43,6 +43,11 @@ def test_rows_are_dealt_before_they_grow(spark, monkeypatch):
             assert rows.rdd.getNumPartitions() == 4
 
 
+def test_sorts_of_flattened_lists_are_bounded(spark, plan, monkeypatch):
+    monkeypatch.setattr(workload, "dealt", lambda rows, *keys, most: dealt(rows, *keys, most=most // 500))
+    assert "hashpartitioning(l_orderkey" in (found := plan(workload.catalog_flatten(spark, SF))) and "6), REPARTITION_BY_NUM" in found
+
+
 def test_rows_without_a_path_are_kept_and_spread(spark):
     rows = spark.createDataFrame([(i, None if i % 2 else f"p{i % 8}") for i in range(40)], "key long, path string")
     found = files.looked_up(rows, spark.createDataFrame([("p0",), ("\n1",)], "there string"), "path", "there", "key")
