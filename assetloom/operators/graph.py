@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetloom.functions.paths import parent, renamed, resolved
-from assetloom.sources.shared import written
+from assetloom.sources.shared import join_large, written
 
 #: Extensions of scene layers.
 LAYER_EXTENSIONS = ("usd", "usda", "usdc", "usdz")
@@ -36,7 +36,7 @@ def reachable(starts: DataFrame, edges: DataFrame, most_rounds: int = 10_000) ->
 def layers(root: DataFrame, edges: DataFrame, present: DataFrame) -> DataFrame:
     """(node, depth): scene layers that a root needs: only files that are there and have a layer's extension."""
     ok = present.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*LAYER_EXTENSIONS)).select(F.col("path").alias("dst")).distinct()
-    return reachable(root, edges.join(ok, "dst", "left_semi"))
+    return reachable(root, join_large(edges, ok, "dst", "left_semi"))
 
 
 def affected(patched: DataFrame, edges: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def affected(patched: DataFrame, edges: DataFrame) -> DataFrame:
 def rewrites(edges: DataFrame, changed: DataFrame, suffix: str) -> DataFrame:
     """(layer, renames): for each changed layer a map from authored paths into changed layers to their new names."""
     nodes = changed.select("node").distinct()
-    into = edges.join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi").join(nodes.withColumnRenamed("node", "src"), "src", "left_semi")
+    into = join_large(join_large(edges, nodes.withColumnRenamed("node", "dst"), "dst", "left_semi"), nodes.withColumnRenamed("node", "src"), "src", "left_semi")
     pairs = F.sort_array(F.collect_set(F.struct(F.col("authored").alias("key"), renamed(F.col("authored"), suffix).alias("value"))))
     return into.groupBy(F.col("src").alias("layer")).agg(F.map_from_entries(pairs).alias("renames"))
 

@@ -13,7 +13,7 @@ from assetloom.functions.paths import renamed
 from assetloom.functions.predicates import near, typed_as
 from assetloom.operators import graph
 from assetloom.sources.layers import attributes, layer_items
-from assetloom.sources.shared import written
+from assetloom.sources.shared import join_large, written
 
 #: Attribute types that are turned into pairs, and the pair's type.
 SCALARS = ("int", "float", "double", "half")
@@ -85,8 +85,8 @@ def upgrade(texts: DataFrame, root: DataFrame | None = None, suffix: str | None
     held = attributes(items, attribute)
     if root is not None:
         targets = graph.layers(root, edges, texts.select(F.col("layer").alias("path"))).select(F.col("node").alias("layer"))
-        held = held.join(targets, "layer", "left_semi")
-        edges = edges.join(targets.withColumnRenamed("layer", "src"), "src", "left_semi")
+        held = join_large(held, targets, "layer", "left_semi")
+        edges = join_large(edges, targets.withColumnRenamed("layer", "src"), "src", "left_semi")
     patched = patch(held, scale, override)
     fixed = patched.where("changed")
     pair = F.concat(F.lit("("), _number(F.col("new_x")), F.lit(", "), _number(F.col("new_y")), F.lit(")"))
@@ -96,18 +96,19 @@ def upgrade(texts: DataFrame, root: DataFrame | None = None, suffix: str | None
     if suffix is not None:
         changed = graph.affected(patchable(held), edges).select(F.col("node").alias("layer"))
         members = changed
-        into = edges.select("src", "authored", "dst").distinct().join(changed.withColumnRenamed("layer", "dst"), "dst", "left_semi").join(changed.withColumnRenamed("layer", "src"), "src", "left_semi")
+        into = join_large(edges.select("src", "authored", "dst"), changed.withColumnRenamed("layer", "dst"), "dst", "left_semi")
+        into = join_large(into, changed.withColumnRenamed("layer", "src"), "src", "left_semi")
         arcs = items.where(F.col("kind").isin("sublayer", "reference", "payload") & (F.col("operation") != "delete")).select("layer", F.col("value").alias("authored"), "start", "end")
-        arcs = arcs.join(into.select(F.col("src").alias("layer"), "authored"), ["layer", "authored"], "left_semi")
+        arcs = join_large(arcs, into.select(F.col("src").alias("layer"), "authored"), ["layer", "authored"], "left_semi")
         edits = edits.unionByName(arcs.select("layer", place("start", "end", renamed(F.col("authored"), suffix)).alias("edit"), "authored"))
     counted = edits.groupBy("layer").agg(F.sort_array(F.collect_list("edit")).alias("edits"), (F.count_if(F.col("authored").isNull()) / 2).cast("long").alias("fixed"), F.count_distinct("authored").alias("rewrote"))
     target = renamed(F.col("layer"), suffix) if suffix is not None else F.col("layer")
     none = F.lit(0).cast("long")
-    found = members.join(counted, "layer", "left").select("layer", target.alias("target"), F.coalesce("fixed", none).alias("fixed"), F.coalesce("rewrote", none).alias("rewrote"), "edits")
+    found = join_large(members, counted, "layer", "left").select("layer", target.alias("target"), F.coalesce("fixed", none).alias("fixed"), F.coalesce("rewrote", none).alias("rewrote"), "edits")
     if dry_run:
         return found.drop("edits")
     found = written(found, "layer-edits")
-    return found.drop("edits").join(_edited(texts.join(found.select("layer", "edits"), "layer")), "layer")
+    return join_large(found.drop("edits"), _edited(join_large(texts, found.select("layer", "edits"), "layer")), "layer")
 
 
 def triangles(meshes: DataFrame, most: int = 1_000_000) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 
 from assetloom import workload
 from assetloom.operators import files, hierarchy, textures
+from assetloom.sources import layers
 from assetloom.sources.shared import dealt
 
 SF = "/root/testdata/sf0.001"
@@ -48,6 +49,24 @@ def test_sorts_of_flattened_lists_are_bounded(spark, plan, monkeypatch):
     assert "hashpartitioning(l_orderkey" in (found := plan(workload.catalog_flatten(spark, SF))) and "6), REPARTITION_BY_NUM" in found
 
 
+def test_items_of_small_layers_share_batches(spark):
+    """In each batch that goes out are the items of many layers, but of no more than fill it."""
+    import pyarrow as pa
+
+    texts = [(f"l{i}", 'def "A" { int a = 1; int b = 2 }') for i in range(30)] + [("none", None), ("empty", "")]
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, work, schema):  # noqa: N802
+            return list(work(iter([pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*texts, strict=True)], ["layer", "value"])])))
+
+    (batch,) = layers.layer_items(Rows())
+    assert batch.num_rows == 60 and batch.column(0).to_pylist() == [f"l{i // 2}" for i in range(60)]
+    assert layers.layer_items(spark.createDataFrame(texts, "layer string, value string")).count() == 60
+
+
 def test_rows_without_a_path_are_kept_and_spread(spark):
     rows = spark.createDataFrame([(i, None if i % 2 else f"p{i % 8}") for i in range(40)], "key long, path string")
     found = files.looked_up(rows, spark.createDataFrame([("p0",), ("\n1",)], "there string"), "path", "there", "key")
