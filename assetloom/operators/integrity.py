@@ -8,18 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetloom.functions.paths import stem, without_archive_suffix
-from assetloom.operators.files import MATERIALS, VEGETATION
+from assetloom.operators.files import MATERIALS, VEGETATION, looked_up
 from assetloom.sources.catalog import ASSET_TYPES
-from assetloom.sources.shared import written
+from assetloom.sources.shared import join_large, written
 from assetloom.sources.transfer import fetch_missing
 
 
 def expected_assets(bridge: DataFrame, files: DataFrame, types: Sequence[str] = ASSET_TYPES) -> DataFrame:
     """(kind, subkind, item, path) of all assets' files of the types; an asset without an index entry is expected without a path."""
     uids = bridge.select("uid").distinct()
-    known = uids.join(files.where(F.col("asset_type").isin(list(types))), "uid").select(F.lit("object").alias("kind"), F.col("asset_type").alias("subkind"), F.col("uid").alias("item"), "path")
+    known = join_large(uids, files.where(F.col("asset_type").isin(list(types))), "uid").select(F.lit("object").alias("kind"), F.col("asset_type").alias("subkind"), F.col("uid").alias("item"), "path")
     pairs = uids.select("uid", F.explode(F.array(*map(F.lit, types))).alias("asset_type"))
-    absent = pairs.join(files.select("uid", "asset_type"), ["uid", "asset_type"], "left_anti")
+    absent = join_large(pairs, files.select("uid", "asset_type"), ["uid", "asset_type"], "left_anti")
     return known.unionByName(absent.select(F.lit("object").alias("kind"), F.col("asset_type").alias("subkind"), F.col("uid").alias("item"), F.lit(None).cast("string").alias("path")))
 
 
@@ -58,7 +58,7 @@ def expected_objects(uids: DataFrame, index: DataFrame, flat: str = "assets") ->
     """
     ids = uids.select(F.col("uid").cast("string").alias("uid")).distinct()
     rows = ids.select("uid", F.explode(F.array(*map(F.lit, ASSET_TYPES))).alias("asset_type"))
-    rows = rows.join(index.select(F.col("uid").cast("string").alias("uid"), "asset_type", "path"), ["uid", "asset_type"], "left")
+    rows = join_large(rows, index.select(F.col("uid").cast("string").alias("uid"), "asset_type", "path"), ["uid", "asset_type"], "left")
     kind = F.col("asset_type")
     flat_path = F.concat(F.lit(f"{flat}/std_"), "uid", F.lit(".json"))
     places = F.when(kind == "annotation", F.array("path", flat_path)).when(kind == "render", F.array(F.concat(without_archive_suffix(F.col("path")), F.lit("/")))).otherwise(F.array("path"))
@@ -73,10 +73,11 @@ def found_paths(expected: DataFrame, present: DataFrame) -> DataFrame:
     folders = expected.where(F.col("path").endswith("/")).select("path").distinct()
     parts = F.split("path", "/")
     above = present.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))).alias("path")).where(F.size(F.split("path", "/")) > 1)
-    there = present.select("path").unionByName(above.join(folders, "path", "left_semi").select("path")).distinct().withColumn("found", F.lit(True))
+    # a folder may be above very many files, so each goes once to the join
+    there = present.select("path").unionByName(join_large(above.distinct(), folders, "path", "left_semi")).distinct().select(F.col("path").alias("found"))
     # a material without any files counts as there, an asset without a path doesn't
-    ok = F.coalesce(F.col("found"), F.col("path").isNull() & (F.col("kind") == "material"))
-    return expected.join(there, "path", "left").withColumn("ok", ok).drop("found")
+    ok = F.col("found").isNotNull() | (F.col("path").isNull() & (F.col("kind") == "material"))
+    return looked_up(expected, there, "path", "found", "item").withColumn("ok", ok).drop("found")
 
 
 def _items(paths: DataFrame) -> DataFrame:
@@ -90,29 +91,35 @@ def status(expected: DataFrame, present: DataFrame) -> DataFrame:
     return _items(found_paths(expected, present))
 
 
-def repaired(expected: DataFrame, present: DataFrame, fetched: DataFrame) -> DataFrame:
+def judged(expected: DataFrame, present: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``found_paths``, ``status``) as stored tables, for a plan and a report that both need them."""
+    paths = written(found_paths(expected, present), "judged-paths")
+    return paths, written(_items(paths), "judged-items")
+
+
+def repaired(expected: DataFrame, present: DataFrame, fetched: DataFrame, seen: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(kind, subkind, item, was, there) of each item before and after ``fetched`` (path: the sources that came).
 
-    What is present is looked at once; after the fetch only the items that were missing are judged again, by what came.
+    What is present is looked at once (or not at all, if ``seen`` is what ``judged`` gave before); after the fetch only the items that were missing are judged again, by what came.
     Running it again with what is there by then gives the rest.
     """
     keys = ["kind", "subkind", "item"]
-    paths = written(found_paths(expected, present), "repair-paths")
-    was = written(_items(paths), "repair-items")
-    gone = paths.join(was.where(~F.col("there")).select(*keys), keys, "left_semi")
+    paths, was = judged(expected, present) if seen is None else seen
+    gone = join_large(paths, was.where(~F.col("there")).select(*keys), keys, "left_semi")
     source = F.coalesce(F.col("source"), F.col("path")) if "source" in expected.columns else F.col("path")
-    came = fetched.select(F.col("path").alias("source_")).distinct().withColumn("came", F.lit(True))
-    again = gone.withColumn("source_", source).join(came, "source_", "left").withColumn("ok", F.col("ok") | F.coalesce("came", F.lit(False)))
+    came = fetched.select(F.col("path").alias("came")).distinct()
+    again = looked_up(gone.withColumn("source_", source), came, "source_", "came", "item").withColumn("ok", F.col("ok") | F.col("came").isNotNull())
     now = _items(again).withColumnRenamed("there", "now")
-    return was.withColumnRenamed("there", "was").join(now, keys, "left").select(*keys, "was", F.coalesce("now", "was").alias("there"))
+    return join_large(was.withColumnRenamed("there", "was"), now, keys, "left").select(*keys, "was", F.coalesce("now", "was").alias("there"))
 
 
 def repair(expected: DataFrame, present: DataFrame, fetch: Callable[[str], bytes], put: Callable[[str, bytes], None], tries: int = 5) -> tuple[DataFrame, DataFrame]:
     """(items before and after, results of the fetch): check, fetch what is missing, check again. ``fetch`` and ``put`` run on the executors."""
-    wanted = repair_plan(expected, present).select(F.col("source").alias("path") if "source" in expected.columns else "path")
+    seen = judged(expected, present)
+    wanted = repair_plan(expected, present, seen).select(F.col("source").alias("path") if "source" in expected.columns else "path")
     nothing = present.select("path").limit(0)
     results = written(fetch_missing(wanted, nothing, fetch, put, tries), "repair-results")
-    return repaired(expected, present, results.where("status = 'fetched'").select("path")), results
+    return repaired(expected, present, results.where("status = 'fetched'").select("path"), seen), results
 
 
 def delta(items: DataFrame) -> DataFrame:
@@ -154,15 +161,15 @@ def complete(items: DataFrame) -> DataFrame:
     return items.agg(F.count_if(~F.col("there")).alias("missing")).select("missing", (F.col("missing") == 0).alias("complete"))
 
 
-def repair_plan(expected: DataFrame, present: DataFrame) -> DataFrame:
-    """The rows of ``expected`` to fetch: every missing path of an item that isn't there, annotations included."""
-    paths = written(found_paths(expected, present), "plan-paths")
-    gone = _items(paths).where(~F.col("there")).select("kind", "subkind", "item")
-    return paths.where("not ok and path is not null").join(gone, ["kind", "subkind", "item"], "left_semi").select(*expected.columns)
+def repair_plan(expected: DataFrame, present: DataFrame, seen: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """The rows of ``expected`` to fetch: every missing path of an item that isn't there, annotations included. ``seen``: what ``judged`` gave before."""
+    paths, items = judged(expected, present) if seen is None else seen
+    gone = items.where(~F.col("there")).select("kind", "subkind", "item")
+    return join_large(paths.where("not ok and path is not null"), gone, ["kind", "subkind", "item"], "left_semi").select(*expected.columns)
 
 
 def counted(expected: DataFrame, present: DataFrame, key: str, *groups: str) -> DataFrame:
     """Expected, present and missing keys by group, with the total."""
     there = present.select(key).distinct().withColumn("there", F.lit(True))
-    rows = expected.join(there, key, "left").withColumn("there", F.coalesce("there", F.lit(False)))
+    rows = join_large(expected, there, key, "left").withColumn("there", F.coalesce("there", F.lit(False)))
     return rows.rollup(*groups).agg(F.count(F.lit(1)).alias("expected"), F.count_if("there").alias("present"), F.count_if(~F.col("there")).alias("missing"))

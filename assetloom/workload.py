@@ -955,8 +955,9 @@ def integrity_kinds(spark, sf):
 def repair_report(spark, sf):
     """Before and after: what is missing is fetched where the store has it."""
     expected, present, stored = eleven_kinds(spark, sf)
-    came = integrity.repair_plan(expected, present).select(F.col("source").alias("path")).join(stored, "path", "left_semi")
-    return integrity.delta(integrity.repaired(expected, present, came))
+    seen = integrity.judged(expected, present)
+    came = join_large(integrity.repair_plan(expected, present, seen).select(F.col("source").alias("path")), stored, "path", "left_semi")
+    return integrity.delta(integrity.repaired(expected, present, came, seen))
 
 
 @query(f"""WITH p AS (SELECT p_partkey AS k, {_NAME} AS name FROM part),

@@ -3,9 +3,10 @@
 from functools import partial
 
 import pytest
+from pyspark.sql import functions as F
 
 from assetloom import workload
-from assetloom.operators import files, hierarchy, textures
+from assetloom.operators import files, hierarchy, integrity, textures
 from assetloom.sources import layers
 from assetloom.sources.shared import dealt
 
@@ -29,7 +30,7 @@ def test_listings_are_not_broadcast(spark, plan):
     plants, unpacked = workload._plants(spark, SF, "tree")
     for found in (
         files.load_materials(mapping, listed, "road", listed.select("name")), textures.channel_urls(texts, listed, "material_road_mdl", "http://h"), hierarchy.unknown_names(listed, mapping),
-        files.load_vegetation(files.vegetation_map(plants, "tree"), unpacked, "tree"), workload.preview_textures(spark, SF), workload.bound_textures(spark, SF),
+        files.load_vegetation(files.vegetation_map(plants, "tree"), unpacked, "tree"), workload.preview_textures(spark, SF), workload.bound_textures(spark, SF), integrity.status(*workload.eleven_kinds(spark, SF)[:2]),
     ):
         assert "SortMergeJoin" in plan(found) and "Broadcast" not in plan(found)
 
@@ -77,3 +78,10 @@ def test_unknown_names_with_null(spark):
     rows = lambda *names: spark.createDataFrame([(n,) for n in names], "name string")
     assert [r[0] for r in hierarchy.unknown_names(rows("b", "a", None, "a", "c"), rows("c", None, "d")).collect()] == ["a", "b"]
     assert [r[0] for r in hierarchy.unknown_names(rows("a", None), rows("a")).collect()] == [None]
+
+
+def test_a_repair_looks_once_at_what_is_there(spark, monkeypatch):
+    labels = []
+    monkeypatch.setattr(integrity, "written", lambda df, label, f=integrity.written: labels.append(label) or f(df, label))
+    assert workload.repair_report(spark, SF).where("kind is null").select(F.col("expected") > 0).first()[0]
+    assert len(labels) == 2
