@@ -71,8 +71,7 @@ def found_paths(expected: DataFrame, present: DataFrame) -> DataFrame:
     if "rule" not in expected.columns:
         expected = expected.withColumn("rule", F.lit("all"))
     folders = expected.where(F.col("path").endswith("/")).select("path").distinct()
-    parts = F.split("path", "/")
-    above = present.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))).alias("path")).where(F.size(F.split("path", "/")) > 1)
+    above = present.select(F.explode(F.expr("transform(sequence(1, size(split(path, '/')) - 1), i -> concat(substring_index(path, '/', i), '/'))")).alias("path")).where(F.size(F.split("path", "/")) > 1)
     # a folder may be above very many files, so each goes once to the join
     there = present.select("path").unionByName(join_large(above.distinct(), folders, "path", "left_semi")).distinct().select(F.col("path").alias("found"))
     # a material without any files counts as there, an asset without a path doesn't
@@ -82,7 +81,7 @@ def found_paths(expected: DataFrame, present: DataFrame) -> DataFrame:
 
 def _items(paths: DataFrame) -> DataFrame:
     """(kind, subkind, item, there): all rules in one aggregation."""
-    any_ = F.max("rule") == "any"
+    any_ = F.bool_or(F.col("rule") == "any")
     return paths.groupBy("kind", "subkind", "item").agg(F.when(any_, F.bool_or("ok")).otherwise(F.bool_and("ok")).alias("there"))
 
 
