@@ -13,7 +13,8 @@ frequencies. A word that is listed has its share of its class; any other word ha
 the class times (c + 1) / (n + v + 1) within the group (n tokens, v distinct words), so unseen words
 have a probability too. A text begins after, and ends with, the end token, a class of its own.
 
-The most frequent words of up to ``LONGEST`` bytes, ``LISTED`` at most, are looked up in a broadcast of that bounded size. All
+The most frequent words of up to ``LONGEST`` bytes, ``LISTED`` at most, are looked up in a broadcast of that bounded size. Texts
+are cut into words twice: to count them, and to write the numbers of their tokens, which all later passes read. All
 other tokens, added up for each document, meet their counts by a join whose busiest words go by broadcast, so every count is exact however many words there are.
 
 Defined results: null text counts as empty (an end alone); a null id counts as the empty string when
@@ -23,12 +24,14 @@ documents N = V = 0 and every unit is unseen; whole texts count.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections import Counter
+from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,11 +46,11 @@ ROUNDS, SWEEPS = 2, 2
 ENOUGH = 2
 SMOOTHING = 20.0
 
-#: Distinct words that a worker counts or remembers before it starts afresh.
+#: Distinct words that a worker counts before it starts afresh.
 HELD = 400_000
 _ROWS = 400
-
-_models: dict[str, tuple] = {}
+#: Units of which a task sends its counts together.
+PACKED = 32
 
 
 def shape(word: bytes) -> int:
@@ -87,21 +90,21 @@ class _Units:
     """Numbers of words: their place in ``listed``, or ``len(listed)`` + their shape."""
 
     def __init__(self, listed: list[bytes]):
-        self.fixed = {w: i for i, w in enumerate(listed)}
-        self.known = dict(self.fixed)
+        self.listed = {w: i for i, w in enumerate(listed)}
+        self.endings: dict[bytes, int] = {}
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > len(self.fixed) + HELD:
-            known = self.known = dict(self.fixed)
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            base = len(self.fixed)
-            for w in words:
-                if w not in known:
-                    known[w] = base + shape(w)
-            return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        out = np.fromiter(map(self.listed.get, words, repeat(-1)), np.int64, len(words))
+        base, endings = len(self.listed), self.endings
+        at = np.flatnonzero(out < 0)
+        own = []
+        for i in at.tolist():
+            ending = words[i][-2:]
+            if ending not in endings:
+                endings[ending] = base + shape(ending)
+            own.append(endings[ending])
+        out[at] = own
+        return out
 
 
 def _tokens(raw: list[bytes], units: _Units, end: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -116,23 +119,54 @@ def _tokens(raw: list[bytes], units: _Units, end: int) -> tuple[list[bytes], np.
     return words, tokens, ends
 
 
-def unit_bigrams(training: DataFrame, clustered: list[bytes], text: str = "text") -> DataFrame:
-    """(pair, n): neighbours among units and the end; pair = before * (units + 1) + after."""
-    count = len(clustered) + SHAPES
-    side = count + 1
+def numbered(rows: DataFrame, listed: list[bytes]) -> DataFrame:
+    """(row, units, words, times) of (row, text): the units of all tokens, the end too, as 32-bit integers, and the words that aren't listed, each once."""
+    shared = rows.sparkSession.sparkContext.broadcast(listed)
+    names = ["row", "units", "words", "times"]
+
+    def number(batches):
+        units = _Units(shared.value)
+        first_rare = len(units.listed)
+        end = first_rare + SHAPES
+        for batch in batches:
+            for start in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(start, _ROWS)
+                words, tokens, ends = _tokens(text_bytes(part.column(1)), units, end)
+                places = np.concatenate([[0], ends + 1]).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(places * 4), pa.py_buffer(tokens.astype(np.int32))])
+                at = np.flatnonzero((tokens >= first_rare) & (tokens < end))
+                row = np.searchsorted(ends, at)
+                times = Counter(zip(row.tolist(), [words[i] for i in (at - row).tolist()], strict=True))  # each word of a document once, by documents
+                lists = pa.array(np.searchsorted([i for i, _ in times], np.arange(part.num_rows + 1)), pa.int32())
+                held = [pa.array([w for _, w in times], pa.binary()), pa.array(times.values(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), packed, *(pa.ListArray.from_arrays(lists, x) for x in held)], names)
+
+    return rows.mapInArrow(number, f"row {rows.schema['row'].dataType.simpleString()}, units binary, words array<binary>, times array<long>")
+
+
+def _units(column: pa.Array) -> Iterator[np.ndarray]:
+    """Units of all tokens of some texts at a time, from a column of ``numbered``."""
+    for start in range(0, len(column), _ROWS):
+        yield np.frombuffer(b"".join(column.slice(start, _ROWS).to_pylist()), np.int32)
+
+
+def unit_bigrams(units: DataFrame, clustered_of: np.ndarray) -> DataFrame:
+    """(pair, n): neighbours among clustered units and the end; pair = before * (units + 1) + after. ``clustered_of``: the clustered unit of each unit, the end's last."""
+    side = int(clustered_of[-1]) + 1
+    shared = units.sparkSession.sparkContext.broadcast(clustered_of)
 
     def pairs(batches):
-        units = _Units(clustered)
+        clustered_of = shared.value
         sums = np.zeros(side * side, np.int64)
         for batch in batches:
-            for start in range(0, batch.num_rows, _ROWS):
-                _, tokens, ends = _tokens(text_bytes(batch.column(0).slice(start, _ROWS)), units, count)
-                before = np.concatenate([[count], tokens[:-1]])
-                sums += np.bincount(before * side + tokens, minlength=side * side)
+            for found in _units(batch.column(0)):
+                tokens = clustered_of[found]
+                before = np.concatenate([[side - 1], tokens[:-1]])
+                np.add.at(sums, before * side + tokens, 1)
         found = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums[found])], ["pair", "n"])
 
-    return training.select(F.col(text).cast("string")).mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return units.mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = 10) -> np.ndarray:
@@ -205,42 +239,65 @@ def best_classes(contexts: np.ndarray, table: np.ndarray, mass: np.ndarray) -> n
     return np.argmax(np.round(gain, 6), 1)
 
 
-def word_contexts(training: DataFrame, listed: list[bytes], class_of: np.ndarray, text: str = "text") -> DataFrame:
-    """(unit, at, n: arrays): how often each class comes before (at = class) and after (at = classes + 1 + class) each listed word, ending and end."""
-    side, end = CLASSES + 1, len(listed) + SHAPES
-    shared = training.sparkSession.sparkContext.broadcast((listed, class_of))
+def word_contexts(units: DataFrame, class_of: np.ndarray) -> DataFrame:
+    """(unit, at, n: arrays): how often each class comes before (at = class) and after (at = classes + 1 + class) each listed word, ending and end.
+
+    A task counts in one table of bounded size (listed words times classes) and sends what it found in packed stretches of ``PACKED``
+    units, which meet by stretch.
+    """
+    wide = 2 * (CLASSES + 1)
+    room, end = PACKED * wide, len(class_of) - 1
+    shared = units.sparkSession.sparkContext.broadcast(class_of)
 
     def count(batches):
-        listed, class_of = shared.value
-        units = _Units(listed)
-        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        size = 0
+        class_of = shared.value
+        table, counted = np.zeros(len(class_of) * wide, np.int32), 0
 
-        def merged():
-            keys, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(place, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
+        def packed():
+            at = np.flatnonzero(table)
+            stretch = at // room
+            heads = np.flatnonzero(np.concatenate([[True], stretch[1:] != stretch[:-1]])) if len(at) else at
+            places = np.append(heads, len(at)).astype(np.int32)
+            columns = [pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(places * x.itemsize), pa.py_buffer(x)]) for x in ((at % room).astype(np.uint16), table[at])]
+            return pa.RecordBatch.from_arrays([pa.array(stretch[heads]), *columns], ["stretch", "at", "n"])
 
         for batch in batches:
-            for start in range(0, batch.num_rows, _ROWS):
-                _, tokens, _ = _tokens(text_bytes(batch.column(0).slice(start, _ROWS)), units, end)
+            for tokens in _units(batch.column(0)):
                 classes = class_of[tokens]
                 before, after = np.concatenate([[CLASSES], classes[:-1]]), np.concatenate([classes[1:], [CLASSES]])
                 after[tokens == end] = CLASSES  # what follows an end is another text
-                held.append(np.unique(np.concatenate([tokens * 2 * side + before, tokens * 2 * side + side + after]), return_counts=True))
-                size += len(held[-1][0])
-                if size > 4 * HELD:
-                    held = [merged()]
-                    size = len(held[0][0])
-                    if size > 2 * HELD:
-                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], ["key", "n"])
-                        held, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
-        keys, n = merged()
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
-
-    counted = training.select(F.col(text).cast("string")).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    rows = counted.select(F.expr(f"key div {2 * side}").alias("unit"), F.struct((F.col("key") % (2 * side)).cast("int").alias("at"), "n").alias("x"))
-    gathered = rows.groupBy("unit").agg(F.collect_list("x").alias("x"))  # no more than twice the classes
-    return gathered.select("unit", F.transform("x", lambda x: x["at"]).alias("at"), F.transform("x", lambda x: x["n"]).alias("n"))
+                key = tokens.astype(np.int64) * wide
+                np.add.at(table, key + before, np.int32(1))
+                np.add.at(table, key + (after + CLASSES + 1), np.int32(1))
+                counted += len(tokens)
+                if counted > 1 << 30:  # before a number of 32 bits can be too small
+                    yield packed()
+                    table[:], counted = 0, 0
+        yield packed()
+
+    def add(batches):
+        last, sums = None, np.zeros(room, np.int64)
+
+        def done():
+            at = np.flatnonzero(sums)
+            unit, place = np.divmod(at, wide)
+            heads = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+            lists = [pa.ListArray.from_arrays(pa.array(np.append(heads, len(at)), pa.int32()), x) for x in (pa.array(place, pa.int32()), pa.array(sums[at]))]
+            return pa.RecordBatch.from_arrays([pa.array(last * PACKED + unit[heads]), *lists], ["unit", "at", "n"])
+
+        for batch in batches:
+            for stretch, at, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if stretch != last:
+                    if last is not None:
+                        yield done()
+                    last = stretch
+                    sums[:] = 0
+                sums[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int32)
+        if last is not None:
+            yield done()
+
+    packed = units.mapInArrow(count, "stretch long, at binary, n binary").repartition("stretch").sortWithinPartitions("stretch")
+    return packed.mapInArrow(add, "unit long, at array<int>, n array<long>")
 
 
 def _dense(batch: pa.RecordBatch) -> np.ndarray:
@@ -285,22 +342,21 @@ def sweep(contexts: DataFrame, units: int, table: np.ndarray, mass: np.ndarray)
     return own
 
 
-def class_pairs(training: DataFrame, listed: list[bytes], class_of: np.ndarray, text: str = "text") -> np.ndarray:
+def class_pairs(units: DataFrame, class_of: np.ndarray) -> np.ndarray:
     """Counts (class, class) of all neighbours."""
-    side, end = CLASSES + 1, len(listed) + SHAPES
-    shared = training.sparkSession.sparkContext.broadcast((listed, class_of))
+    side = CLASSES + 1
+    shared = units.sparkSession.sparkContext.broadcast(class_of)
 
     def count(batches):
-        listed, class_of = shared.value
-        units, sums = _Units(listed), np.zeros(side * side, np.int64)
+        class_of, sums = shared.value, np.zeros(side * side, np.int64)
         for batch in batches:
-            for start in range(0, batch.num_rows, _ROWS):
-                classes = class_of[_tokens(text_bytes(batch.column(0).slice(start, _ROWS)), units, end)[1]]
+            for tokens in _units(batch.column(0)):
+                classes = class_of[tokens]
                 sums += np.bincount(np.concatenate([[CLASSES], classes[:-1]]) * side + classes, minlength=side * side)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["at", "n"])
 
-    found = training.select(F.col(text).cast("string")).mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    found = units.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros(side * side)
     table[found["at"].to_numpy(np.int64)] = found["n"]
     return table.reshape(side, side)
@@ -317,8 +373,14 @@ def score(docs: DataFrame, is_training: Column, key: str = "doc_id", text: str =
     total, distinct = total + ends, distinct + (ends > 0)
     top = sorted(((bytes(w), n) for w, n in most_frequent(counts.where(F.length("word") <= LONGEST), listed).collect()), key=lambda x: (-x[1], x[0]))
 
-    bigram_rows = unit_bigrams(training, [w for w, _ in top[:clustered]]).toPandas()
+    words, shapes = [w for w, _ in top], np.array([shape(w) for w, _ in top], np.int64)
+    rows = docs.select(F.struct(F.monotonically_increasing_id().alias("id"), F.col(key).alias("key"), "is_training").alias("row"), "text")
+    table = cut(numbered(rows, words), "lm-units")  # texts are cut into words once
+    units = table.where("row.is_training").select("units")
+
     clustered = len(top[:clustered])
+    listed_unit = np.where(np.arange(len(top)) < clustered, np.arange(len(top)), clustered + shapes)
+    bigram_rows = unit_bigrams(units, np.concatenate([listed_unit, clustered + np.arange(SHAPES + 1)]).astype(np.int64)).toPandas()
     side = clustered + SHAPES + 1
     bigrams = np.zeros(side * side, np.int64)
     bigrams[bigram_rows["pair"]] = bigram_rows["n"]
@@ -332,14 +394,12 @@ def score(docs: DataFrame, is_training: Column, key: str = "doc_id", text: str =
         group_tokens[s], group_words[s] = n, v
 
     listed_n = np.array([n for _, n in top], float)
-    listed_unit = np.array([i if i < clustered else clustered + shape(w) for i, (w, _) in enumerate(top)], np.int64)
-    words, shapes = [w for w, _ in top], np.array([shape(w) for w, _ in top], np.int64)
     listed_class = own[listed_unit] if top else np.zeros(0, np.int64)
     shape_class = own[clustered : clustered + SHAPES]
     whole = lambda: np.concatenate([listed_class, shape_class, [CLASSES]]).astype(np.int64)
     masses = lambda: np.bincount(listed_class, listed_n, CLASSES) + np.bincount(shape_class, group_tokens + 1, CLASSES)
     for _ in range(ROUNDS):
-        contexts = cut(word_contexts(training, words, whole()), "lm-contexts")
+        contexts = cut(word_contexts(units, whole()), "lm-contexts")
         for _ in range(SWEEPS):
             best = sweep(contexts, len(top) + SHAPES, followed(contexts, whole()), masses())
             shape_class = np.where(best[len(top) :] >= 0, best[len(top) :], shape_class)
@@ -347,46 +407,34 @@ def score(docs: DataFrame, is_training: Column, key: str = "doc_id", text: str =
     mass, class_of = masses(), whole()
     emit = np.concatenate([np.log10(listed_n / mass[listed_class]) if top else [], np.log10((group_tokens + 1) / mass[shape_class]), [0.0]])
     base = np.concatenate([np.log10((listed_n + 1) / (total + distinct + 1)), np.zeros(SHAPES), [np.log10((ends + 1) / (total + distinct + 1))]])
-    steps = transitions(class_pairs(training, words, class_of))
-    shared = spark.sparkContext.broadcast((words, class_of, emit, base, steps))
-    token, known_end, first_rare = uuid.uuid4().hex, int(ends > 0), len(top)
+    steps = transitions(class_pairs(units, class_of))
+    shared = spark.sparkContext.broadcast((class_of, emit, base, steps))
+    known_end, first_rare = int(ends > 0), len(top)
+    names = ["row", "n_tokens", "n_known", "base_score", "score"]
 
     def tally(batches):
-        if token not in _models:
-            _models.clear()
-            _models[token] = (_Units(shared.value[0]), *shared.value[1:])
-        units, class_of, emit, base, steps = _models[token]
-        end = first_rare + SHAPES
+        class_of, emit, base, steps = shared.value
         for batch in batches:
             for start in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(start, _ROWS)
-                words, tokens, ends = _tokens(text_bytes(part.column(1)), units, end)
-                begins = np.concatenate([[0], ends[:-1] + 1])
+                (tokens,) = _units(part.column(1))
+                n = pc.binary_length(part.column(1)).to_numpy() // 4
+                begins = np.cumsum(n) - n
                 classes = class_of[tokens]
                 before = np.concatenate([[CLASSES], classes[:-1]])
                 sums = [np.add.reduceat(x, begins) for x in ((tokens < first_rare).astype(np.int64), base[tokens], emit[tokens] + steps[before, classes])]
-                rows = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.int64()), pa.array(ends - begins + 1), pa.array(sums[0] + known_end), pa.array(sums[1]), pa.array(sums[2])], names)
-                at = np.flatnonzero((tokens >= first_rare) & (tokens < end))
-                if len(at):
-                    row = np.searchsorted(ends, at)
-                    times = Counter(zip(row.tolist(), [words[i] for i in (at - row).tolist()], strict=True))  # each word of a document once
-                    rows = part.column(0).take(pa.array([i for i, _ in times], pa.int64()))
-                    none, no_score = pa.nulls(len(times), pa.int64()), pa.nulls(len(times), pa.float64())
-                    yield pa.RecordBatch.from_arrays([rows, pa.array([w for _, w in times], pa.binary()), pa.array(times.values(), pa.int64()), none, none, no_score, no_score], names)
-
-    names = ["row", "word", "times", "n_tokens", "n_known", "base_score", "score"]
-    rows = docs.withColumn("row", F.struct(F.monotonically_increasing_id().alias("id"), F.col(key).alias("key"), "is_training"))
-    kind = rows.schema["row"].dataType.simpleString()
-    tallied = cut(rows.select("row", "text").mapInArrow(tally, f"row {kind}, word binary, times long, n_tokens long, n_known long, base_score double, score double"), "lm-tally")
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sums[0] + known_end), pa.array(sums[1]), pa.array(sums[2])], names)
+
+    kind = table.schema["row"].dataType.simpleString()
+    tallied = table.select("row", "units").mapInArrow(tally, f"row {kind}, n_tokens long, n_known long, base_score double, score double")
     groups = spark.createDataFrame([(i, float(group_tokens[i] + group_words[i] + 1)) for i in range(SHAPES)], "shape int, room double")
-    spelled = tallied.where("word is not null").select("row", "word", "times")
+    spelled = table.select("row.id", F.explode(F.arrays_zip("words", "times")).alias("x")).select("id", F.col("x.words").alias("word"), "x.times")
     held = spelled.groupBy("word").agg(F.count(F.lit(1)).alias("held")).join(counts, "word", "left").select("word", "held", F.coalesce("n", F.lit(0)).alias("c"))
     spelled = join_skewed(spelled, cut(held, "lm-held"), ["word"], "held")  # a word that no training document has may be busy too
-    spelled = spelled.select("row", "times", shape_column(F.col("word")).alias("shape"), "c").join(F.broadcast(groups), "shape")
+    spelled = spelled.select("id", "times", shape_column(F.col("word")).alias("shape"), "c").join(F.broadcast(groups), "shape")
     sum_of = lambda each: F.sum(F.col("times") * each)
-    spelled = spelled.groupBy("row.id").agg(sum_of((F.col("c") > 0).cast("long")).alias("more_known"), sum_of(F.log10((F.col("c") + 1) / F.lit(float(total + distinct + 1)))).alias("more_base"), sum_of(F.log10((F.col("c") + 1) / F.col("room"))).alias("more_score"))
-    done = tallied.where("word is null").select("row.*", "n_tokens", "n_known", "base_score", "score").join(spelled, "id", "left")
+    spelled = spelled.groupBy("id").agg(sum_of((F.col("c") > 0).cast("long")).alias("more_known"), sum_of(F.log10((F.col("c") + 1) / F.lit(float(total + distinct + 1)))).alias("more_base"), sum_of(F.log10((F.col("c") + 1) / F.col("room"))).alias("more_score"))
+    done = tallied.select("row.*", "n_tokens", "n_known", "base_score", "score").join(spelled, "id", "left")
     more = lambda name, extra: (F.col(name) + F.coalesce(extra, F.lit(0))).alias(name)
     return done.select(F.col("key").alias(key), "is_training", "n_tokens", more("n_known", "more_known"), F.lit(total).cast("long").alias("train_tokens"), more("base_score", "more_base"), more("score", "more_score"))
 

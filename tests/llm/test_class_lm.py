@@ -156,3 +156,27 @@ def test_query_is_exact_and_beats_the_base_on_held_out_documents(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
     same(got, brute(docs, lambda i: zlib.crc32(str(i).encode()) % 7 != 2, class_lm.CLUSTERED, class_lm.LISTED))
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
+
+
+def test_texts_are_numbered_once_and_contexts_sent_in_stretches(spark):
+    texts = ["a b a c zz", None, "c A  b\n", "b " * 300 + "yy zz yy"]
+    rows = spark.createDataFrame([((i,), t) for i, t in enumerate(texts)], "row struct<id: long>, text string").coalesce(1)
+    listed = [b"a", b"b", b"c"]
+    end = len(listed) + SHAPES
+    found = {r.row.id: r for r in class_lm.numbered(rows, listed).collect()}
+    unit = lambda w: listed.index(w) if w in listed else len(listed) + shape(w)
+    for i, t in enumerate(texts):
+        assert np.frombuffer(found[i].units, np.int32).tolist() == [*map(unit, split(t)), end]
+        assert dict(zip(map(bytes, found[i].words), found[i].times, strict=True)) == Counter(w for w in split(t) if w not in listed)
+
+    class_of = np.arange(end + 1) % CLASSES
+    class_of[end] = CLASSES
+    expected = Counter()
+    for t in texts:
+        around = [end, *map(unit, split(t)), end]
+        for k in range(1, len(around)):
+            expected[around[k], class_of[around[k - 1]]] += 1
+            expected[around[k], CLASSES + 1 + class_of[around[k + 1] if k + 1 < len(around) else end]] += 1
+    contexts = class_lm.word_contexts(class_lm.numbered(rows, listed).select("units"), class_of).collect()
+    assert {(r.unit, a): n for r in contexts for a, n in zip(r.at, r.n, strict=True)} == expected
+    assert len(contexts) == len({r.unit for r in contexts})
