@@ -41,7 +41,7 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 
 #: Beyond all ids and all ranks.
-PAD, NO_RANK = (1 << 20) - 1, 1 << 40
+PAD, NO_RANK = (1 << 20) - 1, 1 << 30
 
 #: Code points that Python's split() takes as white space and the vocabulary's normalizer doesn't.
 SEPARATORS = regex.compile(r"[\x1c-\x1f]")
@@ -124,12 +124,13 @@ class Vocabulary:
     def _tables(self):
         """Ids of bytes inside and at the end of words; sorted pairs of ids with their ranks and results."""
         ids = self.ids
-        inner = np.array([ids[s] for s in self.symbols])
-        last = np.array([ids[s + WORD_END] for s in self.symbols])
+        inner = np.array([ids[s] for s in self.symbols], np.int32)
+        last = np.array([ids[s + WORD_END] for s in self.symbols], np.int32)
         keys = np.array([ids[a] << 20 | ids[b] for a, b in self.ranks], np.int64)
-        results = np.array([ids[a + b] for a, b in self.ranks], np.int64)
+        results = np.array([ids[a + b] for a, b in self.ranks], np.int32)
         order = np.argsort(keys)
-        return inner, last, np.append(keys[order], 1 << 62), np.append(np.array(list(self.ranks.values()))[order], NO_RANK), np.append(results[order], -1)
+        ranks = np.array(list(self.ranks.values()), np.int32)[order]
+        return inner, last, np.append(keys[order], 1 << 62), np.append(ranks, np.int32(NO_RANK)), np.append(results[order], np.int32(-1))
 
     def _merge_in_step(self, words: list[bytes], width: int) -> list[list[int]]:
         if self.tables is None:
@@ -141,12 +142,12 @@ class Vocabulary:
         ids = inner[raw]
         ids[row, size - 1] = last[raw[row, size - 1]]
         ids[np.arange(width) >= size[:, None]] = PAD
-        ids = np.concatenate([ids, np.full((len(words), 1), PAD)], 1)
+        ids = np.concatenate([ids, np.full((len(words), 1), PAD, np.int32)], 1)
 
         def look(a, b):
-            wanted = a << 20 | b
+            wanted = a.astype(np.int64) << 20 | b
             at = np.searchsorted(keys, wanted)
-            return np.where(keys[at] == wanted, at, len(keys) - 1)
+            return np.where(keys[at] == wanted, at, len(keys) - 1).astype(np.int32)
 
         pair = look(ids[:, :-1], ids[:, 1:])
         rank = ranks[pair]
@@ -266,6 +267,7 @@ class Lexicon:
         self.first, self.targets, self.outputs, self.offsets, self.ids = views
         self.final = memoryview(self.map)[at : at + sizes[5]]
         self.labels_at = at + sizes[5]
+        self.steps = None
 
     def get(self, word: bytes) -> list[int] | None:
         state, ordinal, at, find = 0, 0, self.labels_at, self.map.find
@@ -279,53 +281,116 @@ class Lexicon:
             return None
         return list(self.ids[self.offsets[ordinal] : self.offsets[ordinal + 1]])
 
+    def get_many(self, words: list[bytes]) -> list[list[int] | None]:
+        """``get`` of many words at once: all walk in step, a byte of each at a time."""
+        if self.steps is None:
+            first = np.frombuffer(self.first, np.uint32).astype(np.int64)
+            labels = np.frombuffer(self.map, np.uint8, len(self.targets), self.labels_at)
+            keys = np.repeat(np.arange(len(first) - 1), np.diff(first)) << 8 | labels  # in order: states, and labels of a state
+            self.steps = np.append(keys, 1 << 62), *(np.append(np.frombuffer(x, np.uint32).astype(np.int64), 0) for x in (self.targets, self.outputs))
+        keys, targets, outputs = self.steps
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        row = np.argsort(-size, kind="stable")
+        raw, begin = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size
+        state, ordinal = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        depth = 0
+        row = row[size[row] > 0]
+        while len(row):
+            wanted = state[row] << 8 | raw[begin[row] + depth]
+            edge = np.searchsorted(keys, wanted)
+            there = keys[edge] == wanted
+            state[row[~there]] = -1
+            row, edge = row[there], edge[there]
+            ordinal[row] += outputs[edge]
+            state[row] = targets[edge]
+            depth += 1
+            row = row[size[row] > depth]
+        final = np.frombuffer(self.final, np.uint8)
+        held = (state >= 0) & (size > 0)
+        held[held] = final[state[held]] > 0
+        ids, offsets = self.ids, self.offsets
+        return [ids[offsets[o] : offsets[o + 1]].tolist() if h else None for o, h in zip(ordinal.tolist(), held.tolist(), strict=True)]
+
+
+class Numbers(dict):
+    """Numbers of chunks and pieces; what is asked for the first time gets the next."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, name: str) -> int:
+        number = self[name] = len(self)
+        self.fresh.append(name)
+        return number
+
 
 class Codec:
     """Encodes whole texts; remembers a bounded number of chunks."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.known: dict[str, bytes] = {}
-        self.decoded: dict[str, str] = {}
-
-    def learn(self, unknown: list[str]) -> None:
-        pieces = [[p.encode() for p in PATTERN.findall(chunk)] for chunk in unknown]
-        ids = {w: None for ps in pieces for w in ps}
-        if self.lexicon:
-            get = self.lexicon.get
-            ids = {w: get(w) for w in ids}
-        rest = [w for w, found in ids.items() if found is None]
-        ids.update(zip(rest, self.vocabulary.merge_many(rest), strict=True))
-        tokens = self.vocabulary.tokens
-        for chunk, ps in zip(unknown, pieces, strict=True):
-            all_ids = ids[ps[0]] if len(ps) == 1 else [i for w in ps for i in ids[w]]
-            self.known[chunk] = struct.pack(f"<{len(all_ids)}I", *all_ids)
-            self.decoded[chunk] = " ".join([tokens[i] for i in all_ids])
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = Numbers()
+        self.ids: list[bytes] = []
+        self.decoded: list[str] = []
+
+    def learn(self) -> None:
+        """Encode what has a number and no ids yet; a piece that makes up a chunk or comes again has one number."""
+        known, ids, decoded = self.known, self.ids, self.decoded
+        fresh, start = known.fresh, len(ids)
+        alone, several = [], []
+        for number, chunk in enumerate(fresh, start):  # pieces of chunks are numbered meanwhile, and come later
+            if chunk.isascii() and chunk.isalpha():
+                alone.append(number)
+                continue
+            pieces = PATTERN.findall(chunk)
+            if len(pieces) == 1:
+                alone.append(number)
+            else:
+                several.append((number, [known[p] for p in pieces]))
+        words = [fresh[i - start].encode() for i in alone]
+        found = self.lexicon.get_many(words) if self.lexicon else [None] * len(words)
+        rest = [i for i, x in enumerate(found) if x is None]
+        for i, x in zip(rest, self.vocabulary.merge_many([words[i] for i in rest]), strict=True):
+            found[i] = x
+        ids += [b""] * len(fresh)
+        decoded += [""] * len(fresh)
+        token = self.vocabulary.tokens.__getitem__
+        for number, x in zip(alone, found, strict=True):
+            ids[number] = struct.pack(f"<{len(x)}I", *x)
+            decoded[number] = token(x[0]) if len(x) == 1 else " ".join(map(token, x))
+        for number, pieces in several:
+            ids[number] = b"".join([ids[i] for i in pieces])
+            decoded[number] = " ".join(filter(None, [decoded[i] for i in pieces]))
+        fresh.clear()
 
     def encode_many(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """(ids as little-endian unsigned 32-bit integers, text decoded from the ids) of each text."""
-        vocabulary, known, decoded = self.vocabulary, self.known, self.decoded
-        if len(known) > CHUNK_CACHE:
-            known.clear()
-            decoded.clear()
+        vocabulary = self.vocabulary
+        if len(self.known) > CHUNK_CACHE:
+            self.forget()
+        number = self.known.__getitem__
         split = []
         for text in texts:
             if vocabulary.special_split and "<|" in text:
                 parts = [p for p in vocabulary.special_split.split(text) if p]
             else:
                 parts = [text]
-            split.append([([p], True) if p in vocabulary.special else (chunks(normalize(p)), False) for p in parts])
-        self.learn(list({c for parts in split for found, special in parts if not special for c in found}.difference(known)))
+            split.append([(p, None) if p in vocabulary.special else (None, list(map(number, chunks(normalize(p))))) for p in parts])
+        self.learn()
+        all_ids, decoded = self.ids.__getitem__, self.decoded.__getitem__
         out = []
         for parts in split:
             ids, words = [], []
-            for found, special in parts:
+            for special, numbers in parts:
                 if special:
-                    ids.append(struct.pack("<I", vocabulary.special[found[0]]))
-                    words += found
+                    ids.append(struct.pack("<I", vocabulary.special[special]))
+                    words.append(special)
                 else:
-                    ids += map(known.__getitem__, found)
-                    words += map(decoded.__getitem__, found)
+                    ids += map(all_ids, numbers)
+                    words += map(decoded, numbers)
             out.append((b"".join(ids), " ".join(filter(None, words))))
         return out
 

@@ -81,3 +81,27 @@ def test_query_equals_library_on_whole_table(spark, library):
     for d in docs:
         ids = encode(d.text)
         assert (got[d.doc_id].n_tokens, got[d.doc_id].ids_sha256, got[d.doc_id].decoded_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(decode(ids).encode()).hexdigest())
+
+
+def test_words_walk_the_lexicon_in_step():
+    rng = random.Random(5)
+    entries = {w.encode(): [i, 70_000 + i] for i, w in enumerate({"".join(rng.choices("abé", k=rng.randint(1, 9))) for _ in range(400)})}
+    words = [*entries, b"", b"x", b"\xc3", *("".join(rng.choices("abéx", k=rng.randint(1, 12))).encode() for _ in range(2000))]
+    for lexicon in (Lexicon(compile_lexicon(entries)), Lexicon(compile_lexicon({}))):
+        assert lexicon.get_many(words) == [lexicon.get(w) for w in words]
+        assert lexicon.get_many([]) == []
+
+
+def test_a_piece_is_encoded_once_whatever_chunks_hold_it(library):
+    encode, decode = library
+    with open(PATH, "rb") as file:
+        vocabulary = Vocabulary(file.read())
+    merged = []
+    merge_many = vocabulary.merge_many
+    vocabulary.merge_many = lambda words: merged.extend(words) or merge_many(words)
+    codec = Codec(vocabulary)
+    texts = ["qwx, (qwx) qwx", "qwx's ''qwx'' don'qwx", "qwx... <|endoftext|>qwx"]
+    for text in (*texts, *texts):
+        ids, decoded = codec.encode(text)
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == encode(text) and decoded == decode(encode(text))
+    assert merged.count(b"qwx") == 1 and len(merged) == len(set(merged))
