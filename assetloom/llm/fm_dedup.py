@@ -47,6 +47,9 @@ SAMPLED = 16
 #: Windows that one cursor of the search looks at.
 SPAN = 16
 
+#: Bits below each place of a word of 64.
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
 _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -85,15 +88,14 @@ class WaveletMatrix:
         for shift in range(max(1, int(values.max(initial=0)).bit_length()) - 1, -1, -1):
             bit = (values >> shift & 1).astype(bool)
             words = np.packbits(np.pad(bit, (0, 64 + -len(bit) % 64)), bitorder="little").view(np.uint64)
-            ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1]]).astype(np.uint32)
+            ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1]])
             self.levels.append((shift, words, ones, len(bit) - int(bit.sum())))
             values = np.concatenate([values[~bit], values[bit]])
 
     @staticmethod
     def _rank(words: np.ndarray, ones: np.ndarray, at: np.ndarray) -> np.ndarray:
         word = at >> 6
-        below = words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
-        return ones[word].astype(np.int64) + np.bitwise_count(below)
+        return ones.take(word) + np.bitwise_count(words.take(word) & _BELOW.take(at & 63))
 
     def descend(self, values: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Places of ``at`` below the matrix, along the values' bits; differences count the value."""
@@ -197,12 +199,14 @@ def matched(index: FMIndex, begin: np.ndarray, length: np.ndarray, own: np.ndarr
     end = np.minimum(at + SPAN, windows[row])
     word = at + window - 1  # the word that comes next, from right to left
     low, high = np.zeros(len(row), np.int64), np.full(len(row), index.size)
+    asks = False  # for the smallest document: where a window is whole, and else in every other step
     while len(row):
         low, high = index.extend(text[begin[row] + word], low, high)
         alive = low < high
         document = np.zeros(len(row), np.int64)
-        if alive.any():
-            document[alive] = index.documents.least(low[alive], high[alive])
+        asked, asks = alive if asks else alive & (word == at), not asks
+        if asked.any():
+            document[asked] = index.documents.least(low[asked], high[asked])
             alive &= document < own[row]
         whole = alive & (word == at)
         goes_on = np.where(whole, at, word) + 1  # the next window to look at, where a search ends

@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from assetloom.llm import fm_dedup
 from assetloom.llm.fm_dedup import OP6_SQL, FMIndex, anchor_runs, deduplicated, op6_fm_dedup, search_shard
 
 SCHEMA = "doc_id long, text string"
@@ -137,3 +138,22 @@ def test_query_equals_sql(spark):
     with duckdb.connect() as db:
         db.execute(f"CREATE VIEW documents AS SELECT * FROM '{Path(sf)}/documents.parquet'")
         assert sorted(db.execute(OP6_SQL).fetchall()) == got
+
+
+def test_search_asks_for_the_smallest_document_in_every_other_step(monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 40, 400).astype(np.uint64)
+    stretches = [np.concatenate([rng.integers(0, 40, 30).astype(np.uint64), base[a : a + 150]]) for a in range(0, 200, 10)]
+    asked, extended = [], []
+    least, extend = fm_dedup.WaveletMatrix.least, fm_dedup.FMIndex.extend
+    monkeypatch.setattr(fm_dedup.WaveletMatrix, "least", lambda self, low, high: asked.append(len(low)) or least(self, low, high))
+    monkeypatch.setattr(fm_dedup.FMIndex, "extend", lambda self, symbols, low, high: extended.append(len(low)) or extend(self, symbols, low, high))
+    row, start, stop = fm_dedup.search_shard(np.arange(len(stretches)), stretches, 50)
+    got = {(r, i) for r, a, b in zip(row.tolist(), start.tolist(), stop.tolist(), strict=True) for i in range(a, b)}
+    windows, expected = {}, set()
+    for r, s in enumerate(stretches):
+        for a in range(len(s) - 49):
+            if windows.setdefault(s[a : a + 50].tobytes(), r) < r:
+                expected.update((r, i) for i in range(a, a + 50))
+    assert got == expected and expected
+    assert sum(asked) < 0.7 * sum(extended)
