@@ -21,9 +21,11 @@ documents are tied together; a passage that many documents share doesn't tie the
 Two rounds verify what signatures tie, both exactly and with an inverted index. First each document meets the
 one that most of its signatures point to (the smallest that shares them), in stars that are cut into blocks of bounded size:
 near copies hang together after that. Then only signatures count that documents of different components
-still share. What they tie is parted by set size (similar sets have similar sizes); its largest component meets the
-others, and the others meet each other, in pairs of blocks of bounded size. So a large group of near copies isn't
-compared pair by pair. Only spanning links leave a task.
+still share, and of them only those of documents that have enough such in one band and hashing (a slot). Signatures that few documents
+have are told as pairs, and a pair that shares enough of them in a slot is compared. Documents that are tied by
+others make groups, slot by slot; a group's largest component meets the others, and the others meet each other, in pairs of blocks
+of bounded size. A pair shares enough among its few alone, or shares one of the others, so none is left out; and documents that chance ties to
+each other in a chain of unlike ones do not all meet. Nor is a large group of near copies compared pair by pair. Only spanning links leave a task.
 
 Defined results: null, empty or blank text has an empty set and links with nothing; fewer words than n
 are one element, the whole sequence; rows with a null id link with nothing and have no component; rows
@@ -38,14 +40,19 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from assetloom.sources.shared import passing
+
 from .common import cut, documents, hash_words, join_skewed, mix, ngram_hashes, signed, text_bytes
 
 #: Shingles of a block of a star, and of a block in the second round.
 STAR, BLOCK = 50_000, 200_000
 
+#: A signature that so many documents have at most is told as their pairs in the second round.
+FEW = 32
+
 #: A signature that ``OFTEN`` documents of one part in ``PARTS`` share is dealt over ``SALTS`` tasks; so many signatures at most (the most frequent).
 PARTS, OFTEN, SALTS, MOST_HOT = 64, 16, 64, 100_000
 
@@ -186,8 +193,19 @@ def hot_signatures(docs: DataFrame, n: int, p: int, q: int, key: str = "doc_id",
     return met.orderBy(F.desc("n"), "signature").limit(MOST_HOT).select("signature", F.lit(True).alias("hot"))
 
 
+def need(code: str) -> Column:
+    """Of a code, how many signatures a set must share."""
+    return F.col(code).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def enough(rows: DataFrame, label: str) -> DataFrame:
+    """Of rows (signature, id, code, ...), those of sets that have as many as they need."""
+    known = rows.groupBy("id", "code").agg(F.count(F.lit(1)).alias("had")).where(F.col("had") >= need("code")).select("id", "code")
+    return cut(rows.join(known, ["id", "code"]), label, kept=True)
+
+
 def shared_signatures(rows: DataFrame, owner: DataFrame, hot: DataFrame) -> DataFrame:
-    """(signature, id): signatures that several documents have, of documents that share enough of theirs; the smallest stands for equal sets.
+    """(signature, id, code): signatures that several documents have, of documents that share enough of theirs; the smallest stands for equal sets.
 
     That a hot signature is shared is known before, so its rows needn't meet in one task.
     """
@@ -195,10 +213,10 @@ def shared_signatures(rows: DataFrame, owner: DataFrame, hot: DataFrame) -> Data
     rows = rows.join(F.broadcast(hot), "signature", "left").withColumn("salt", F.when(known, F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0))
     bucket = Window.partitionBy("signature", "salt")
     shared = rows.withColumn("least", F.min("id").over(bucket)).withColumn("most", F.max("id").over(bucket)).where(known | (F.col("least") < F.col("most")))
-    shared = shared.join(owner, "id").select("signature", F.col("class").alias("id"), "code").distinct()
-    shared = cut(shared, "jaccard-shared")
-    enough = shared.groupBy("id", "code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.col("code").bitwiseAND(F.lit(0xFFFFFFFF))).select("id", "code")
-    return cut(shared.join(enough, ["id", "code"]).select("signature", "id"), "jaccard-tied")
+    with passing(rows.sparkSession):
+        shared = cut(shared.select("signature", "id", "code"), "jaccard-met")  # by itself: the shuffle of all signatures is the largest of all
+        shared = shared.join(owner, "id").select("signature", F.col("class").alias("id"), "code").distinct()
+        return enough(cut(shared, "jaccard-shared"), "jaccard-tied")
 
 
 def stars(tied: DataFrame) -> DataFrame:
@@ -308,29 +326,45 @@ def verified_links(dealt: DataFrame, n: int, p: int, q: int) -> DataFrame:
     return dealt.mapInArrow(verify, f"a {kind}, b {kind}")
 
 
-def star_tasks(star: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Tasks of ``verified_links``: the documents of each star (id, hub) in blocks of ``STAR`` shingles, each with the hub."""
+def star_tasks(star: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Tasks of ``verified_links``, without texts: the documents of each star (id, hub) in blocks of ``STAR`` shingles, each with the hub."""
     sized = cut(star.join(sizes, "id"), "jaccard-sized")
     blocks = sized.groupBy("hub").agg(F.ceil(F.sum("n") / STAR).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     members = join_skewed(sized, blocks, ["hub"], "blocks").select("id", "hub", block.alias("block"))
     hubs = blocks.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    rows = members.unionByName(hubs).select("id", F.col("id").alias("known"), F.concat_ws(":", "hub", "block").alias("task"), F.lit(0).alias("block"), F.lit(False).alias("apart"))
-    return rows.join(texts, "id")
-
-
-def pair_tasks(tied: DataFrame, roots: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Tasks of ``verified_links`` for documents of different components (id, root) that still share signatures."""
-    placed = cut(tied.join(roots, "id", "left").select("signature", "id", F.coalesce("root", "id").alias("known")), "jaccard-placed")
-    apart = placed.groupBy("signature").agg(F.min("known").alias("least"), F.max("known").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
-    placed = join_skewed(placed, cut(apart, "jaccard-apart"), ["signature"], "n")
-    open_ = cut(placed.select("id", "known", "least").distinct(), "jaccard-open")
-    groups = components(open_.select(F.col("known").alias("a"), F.col("least").alias("b")), "jaccard-groups").withColumnRenamed("id", "known")
-    members = open_.select("id", "known").distinct().join(groups, "known").join(sizes, "id")
-    # similar sets lie in one band of sizes or in neighbouring ones, so each goes to two windows of two bands; a document of several sets to those of each
-    windows = F.array_union("bands", F.transform("bands", lambda b: b - 1))
-    members = members.select("id", "known", "n", "root", F.explode(windows).alias("window"))
-    members = cut(members.select("id", "known", "n", F.concat_ws(":", "root", "window").alias("group")), "jaccard-members")
+    return members.unionByName(hubs).select("id", F.col("id").alias("known"), F.concat_ws(":", "hub", "block").alias("task"), F.lit(0).alias("block"), F.lit(False).alias("apart"))
+
+
+def apart_signatures(tied: DataFrame, roots: DataFrame) -> DataFrame:
+    """(signature, id, code, known, n): what documents of different components (id, root) still share, of those that share enough; n documents have it."""
+    with passing(tied.sparkSession):
+        placed = cut(tied.join(roots, "id", "left").select("signature", "id", "code", F.coalesce("root", "id").alias("known")), "jaccard-placed")
+        apart = placed.groupBy("signature").agg(F.min("known").alias("least"), F.max("known").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
+        apart = cut(apart.select("signature", "n"), "jaccard-apart")
+        return enough(cut(join_skewed(placed, apart, ["signature"], "n"), "jaccard-open"), "jaccard-rivals")
+
+
+def candidates(rivals: DataFrame) -> DataFrame:
+    """(id, hub): pairs of different components that share enough of the signatures that few documents have."""
+    every = rivals.where(F.col("n") <= FEW).groupBy("signature").agg(F.collect_list(F.struct("id", "known", "code")).alias("all"))
+    one = every.select(F.explode("all").alias("x"), "all")
+    pairs = one.select("x", F.explode(F.filter("all", lambda y: (y["id"] > F.col("x.id")) & (y["known"] != F.col("x.known")))).alias("y"))
+    pairs = pairs.select(F.col("x.id").alias("hub"), F.col("y.id").alias("id"), F.shiftright("x.code", 32).alias("slot"), F.greatest(need("x.code"), need("y.code")).alias("need"))
+    counted = pairs.groupBy("hub", "id", "slot").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need"))
+    return counted.where("n >= need").select("id", "hub").distinct()
+
+
+def block_tasks(rivals: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Tasks of ``verified_links``, without texts: documents tied by the signatures that more than ``FEW`` have."""
+    node = lambda c: F.struct("slot", F.col(c).alias("id"))
+    often = rivals.where(F.col("n") > FEW).withColumn("slot", F.shiftright("code", 32))
+    first = cut(often.groupBy("signature").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "jaccard-often")
+    ties = join_skewed(often.drop("n"), first, ["signature"], "n")
+    ties = cut(ties.select("slot", "id", "known", "first").distinct(), "jaccard-ties")
+    groups = components(ties.select(node("id").alias("a"), node("first").alias("b")), "jaccard-groups")
+    members = ties.select(node("id").alias("node"), "id", "known").distinct().join(groups.select(F.col("id").alias("node"), "root"), "node").join(sizes, "id")
+    members = cut(members.select("id", "known", "n", F.concat_ws(":", "root.id", "root.slot").alias("group")), "jaccard-members")
     parts = members.groupBy("group", "known").agg(F.sum("n").alias("n"))
     groups = parts.groupBy("group").agg(F.max_by("known", F.struct("n", "known")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
@@ -342,32 +376,42 @@ def pair_tasks(tied: DataFrame, roots: DataFrame, sizes: DataFrame, texts: DataF
     lowest = F.when(inside, F.lit(0)).otherwise(-F.col("large"))
     dealt = dealt.select("group", "id", "known", block.alias("block"), F.explode(F.sequence(lowest, F.col("small") - 1)).alias("other"))
     task = F.concat_ws(":", "group", F.least("block", "other"), F.greatest("block", "other"))
-    return dealt.select("id", "known", task.alias("task"), "block", (F.col("block") != F.col("other")).alias("apart")).join(texts, "id")
+    return dealt.select("id", "known", task.alias("task"), "block", (F.col("block") != F.col("other")).alias("apart"))
+
+
+def pair_tasks(tied: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Tasks of ``verified_links``, without texts, for documents of different components (id, root) that still share signatures."""
+    rivals = apart_signatures(tied, roots)
+    pairs = star_tasks(candidates(rivals), sizes).drop("known").join(roots, "id", "left")
+    pairs = pairs.select("id", F.coalesce("root", "id").alias("known"), F.concat("task", F.lit("*")).alias("task"), "block", "apart")
+    return pairs.unionByName(block_tasks(rivals, sizes))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id): documents link when their sets' Jaccard similarity is p/q or more."""
+    spark = docs.sparkSession
     known = cut(sets(docs, n, key, text), "jaccard-sets")
-    usable = known.where("n_shingles > 0 and id is not null")
-    classes = cut(usable.groupBy("k1", "k2").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("copies")), "jaccard-classes")
-    owner = cut(join_skewed(usable, classes, ["k1", "k2"], "copies").select("id", "class").distinct(), "jaccard-owners")
-    tied = shared_signatures(signature_rows(docs, n, p, q, key, text), owner, hot_signatures(docs, n, p, q, key, text))
-
-    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(1.001 * math.log(q / p)))
-    nodes = tied.select("id").distinct()
-    sizes = cut(usable.select("id", "n_shingles").distinct().join(nodes, "id").groupBy("id").agg(F.sum("n_shingles").alias("n"), F.collect_set(band).alias("bands")), "jaccard-sizes")
-    # whole texts are dealt by id once, at any size of the corpus, and those that take part kept
-    texts = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
-    texts = cut(texts.join(sizes.select("id").hint("merge"), "id"), "jaccard-texts")
-
-    several = owner.groupBy("id").agg(F.min("class").alias("b"), F.max("class").alias("most")).where("b < most")
-    own = owner.join(several, "id").where("class <> b").select(F.col("class").alias("a"), "b")  # sets of one document hang together
-    first = cut(verified_links(star_tasks(stars(tied), sizes, texts), n, p, q), "jaccard-stars")
-    roots = cut(components(first.unionByName(own), "jaccard-first"), "jaccard-roots")
-    second = cut(verified_links(pair_tasks(tied, roots, sizes, texts), n, p, q), "jaccard-pairs")
-    further = components(second, "jaccard-second").select(F.col("id").alias("root"), F.col("root").alias("further"))
-    placed = owner.join(roots.withColumnRenamed("id", "class"), "class", "left").select("id", F.coalesce("root", "class").alias("root"))
-    whole = placed.join(further, "root", "left").groupBy("id").agg(F.min(F.coalesce("further", "root")).alias("component"))
+    with passing(spark):
+        usable = known.where("n_shingles > 0 and id is not null")
+        classes = cut(usable.groupBy("k1", "k2").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("copies")), "jaccard-classes")
+        owner = cut(join_skewed(usable, classes, ["k1", "k2"], "copies").select("id", "class").distinct(), "jaccard-owners")
+        tied = shared_signatures(signature_rows(docs, n, p, q, key, text), owner, hot_signatures(docs, n, p, q, key, text))
+
+        nodes = tied.select("id").distinct()
+        sizes = cut(usable.select("id", "n_shingles").distinct().join(nodes, "id").groupBy("id").agg(F.sum("n_shingles").alias("n")), "jaccard-sizes")
+        # whole texts are dealt by id once, at any size of the corpus, and those that take part kept
+        texts = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
+        texts = cut(texts.join(sizes.select("id").hint("merge"), "id"), "jaccard-texts")
+
+        several = owner.groupBy("id").agg(F.min("class").alias("b"), F.max("class").alias("most")).where("b < most")
+        own = owner.join(several, "id").where("class <> b").select(F.col("class").alias("a"), "b")  # sets of one document hang together
+        first = cut(verified_links(star_tasks(stars(tied), sizes).join(texts, "id"), n, p, q), "jaccard-stars")
+        roots = cut(components(first.unionByName(own), "jaccard-first"), "jaccard-roots")
+        second = cut(verified_links(pair_tasks(tied, roots, sizes).join(texts, "id"), n, p, q), "jaccard-pairs")
+        further = components(second, "jaccard-second").select(F.col("id").alias("root"), F.col("root").alias("further"))
+        placed = owner.join(roots.withColumnRenamed("id", "class"), "class", "left").select("id", F.coalesce("root", "class").alias("root"))
+        whole = placed.join(further, "root", "left").groupBy("id").agg(F.min(F.coalesce("further", "root")).alias("component"))
+        whole = cut(whole, "jaccard-components", kept=True)
     rows = known.join(whole, "id", "left")
     return rows.select(F.col("id").alias(key), "n_shingles", F.coalesce("component", "id").alias("component_id"))
 

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from assetloom.llm import partenum
 from assetloom.llm.partenum import Bands, components, jaccard_components, op3_partenum, shingle_set
 
 SCHEMA = "doc_id long, text string"
@@ -108,6 +109,33 @@ def test_documents_equal_brute_force(spark, monkeypatch, seed, n, p, q, block):
     assert len({c for _, _, c in expected}) < 250
 
 
+@pytest.mark.parametrize("seed,n,p,q,few", [(1, 3, 90, 100, 0), (2, 3, 90, 100, 2), (3, 5, 80, 100, 0), (4, 5, 80, 100, 3), (5, 1, 50, 100, 4)])
+def test_signatures_of_few_and_of_many(spark, monkeypatch, seed, n, p, q, few):
+    monkeypatch.setattr("assetloom.llm.partenum.FEW", few)
+    monkeypatch.setattr("assetloom.llm.partenum.BLOCK", 300)
+    monkeypatch.setattr("assetloom.llm.partenum.STAR", 100)
+    docs = made_up(seed, 220, 12)
+    got = jaccard_components(spark.createDataFrame(docs, SCHEMA), n, p, q).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(docs, n, p, q)
+
+
+def test_a_chain_of_unlike_documents_does_not_meet_as_a_whole(spark, monkeypatch):
+    monkeypatch.setattr(partenum, "BLOCK", 600)
+    monkeypatch.setattr(partenum, "STAR", 600)
+    own, rows = partenum.verified_links, []
+
+    def counted(dealt, *rest):
+        rows.append(dealt.count())
+        return own(dealt, *rest)
+
+    monkeypatch.setattr(partenum, "verified_links", counted)
+    for count in (30, 120):
+        docs = [(i, " ".join(f"w{k}" for k in range(15 * i, 15 * i + 104))) for i in range(count)]  # each shares 85 of 100 shingles with the next
+        got = jaccard_components(spark.createDataFrame(docs, SCHEMA), 5, 80, 100).collect()
+        assert all(r.component_id == r.doc_id for r in got)
+    assert 0 < rows[3] <= 6 * rows[1]  # the second round, over four times as many
+
+
 def test_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(5000))
     docs = [(1, None), (2, ""), (3, " \n "), (4, "one"), (5, "ONE"), (6, "one two"), (7, "one\ttwo"), (7, "one two"), (8, long), (9, long + " end"), (None, long), (None, None), (10, "É a b"), (11, "é a b"), (12, "x" * 50_000)]
